@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from fieldtrust.llm import resharding, simhash, token_counts
+from fieldtrust.llm import decontamination, lm, quality, resharding, simhash, sp_encoding, surrogates, token_counts, vectors
 
 QUERIES = {
+    "op1_surrogates": surrogates.query,
+    "op2_decontamination": decontamination.query,
+    "op3_sentencepiece": sp_encoding.query,
+    "op4_quality": quality.query,
+    "op5_embedding_dedup": vectors.query,
     "op6_simhash": simhash.query,
     "op7_resharding": resharding.query,
+    "op9_interpolation": lm.query,
     "op10_token_counts": token_counts.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_decontamination": decontamination.ORACLE_SQL,
+}
