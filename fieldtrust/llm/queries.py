@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldtrust.llm import decontamination, lm, quality, resharding, simhash, sp_encoding, surrogates, token_counts, vectors
+from fieldtrust.llm import decontamination, lm, quality, repeats, resharding, simhash, sp_encoding, surrogates, token_counts, vectors
 
 QUERIES = {
     "op1_surrogates": surrogates.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_embedding_dedup": vectors.query,
     "op6_simhash": simhash.query,
     "op7_resharding": resharding.query,
+    "op8_suffix_repeats": repeats.query,
     "op9_interpolation": lm.query,
     "op10_token_counts": token_counts.query,
 }

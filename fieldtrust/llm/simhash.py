@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtrust.llm.components import connected_components
 from fieldtrust.llm.common import written
@@ -142,7 +143,8 @@ def links(distinct: DataFrame, limit: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, limit: int = 2) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, fingerprint, component_id)``, one row for each input row.
+    """``docs(doc_id, text)`` to ``(doc_id, fingerprint, component_id, part)``, one row for each input row; ``part`` is the group's
+    least fingerprint in signed order.
 
     Copies share a fingerprint, so a group of copies of any size is one fingerprint when links are sought. Rows with a
     null id keep their component but never name it; a component of null ids alone has a null id. Empty and null texts
@@ -153,9 +155,33 @@ def near_duplicates(docs: DataFrame, limit: int = 2) -> DataFrame:
     parts = connected_components(links(distinct.select("fp"), limit))
     named = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("part"))
     least = named.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "part").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = named.join(least, "part").select("fp", "component_id", "part")
+    return fps.join(named, "fp").select("doc_id", _hex("fp"), "component_id", _hex("part"))
+
+
+def _hex(name: str):
+    return F.lower(F.lpad(F.hex(name), 16, "0")).alias("fingerprint" if name == "fp" else name)
+
+
+def keep_one(docs: DataFrame, limit: int = 2) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one that names it, once if its id repeats.
+
+    A group whose rows all lack an id keeps one row of its least fingerprint.
+    """
+    names = docs.columns
+    found = written(near_duplicates(docs.select("doc_id", "text"), limit), "simhash-groups")
+    kept = docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [f"{fingerprint(t):016x}" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.string())], [*b.schema.names, "__fp"])
+
+    nameless = docs.where("doc_id IS NULL")
+    nameless = nameless.mapInArrow(tag, T.StructType([*docs.schema, T.StructField("__fp", T.StringType())]))
+    alone = found.where("component_id IS NULL").groupBy("part").agg(F.min("fingerprint").alias("__fp")).select("__fp")
+    return kept.select(*names).unionByName(nameless.join(alone, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("part")
