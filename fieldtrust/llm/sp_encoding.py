@@ -9,10 +9,13 @@ that give the same piece), the runtime's ids are returned and ``parity`` is fals
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +26,8 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BATCH_CHARS = 2_000_000
+CACHE = 700_000
+WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 @dataclass
@@ -105,6 +110,11 @@ def merges(model: Model) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(out)]
 
 
+def crosses_words(model: Model) -> bool:
+    """Whether a piece has a space mark after another character; if none has, words with the marks before them are encoded apart."""
+    return any(SPACE in p.lstrip(SPACE) for p, _, kind in model.pieces if kind in (NORMAL, UNUSED))
+
+
 def build(model: Model):
     """A ``tokenizers.Tokenizer`` that encodes and decodes as the model does."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -129,9 +139,7 @@ def build(model: Model):
     else:
         raise ValueError(f"model type {model.kind} is not supported")
     tok.normalizer = normalizers.Sequence(steps)
-    inner = any(SPACE in p.lstrip(SPACE) for p, _, kind in model.pieces if kind == NORMAL)
-    if model.kind == BPE and not inner:
-        # no piece has a space mark after another character: words with the marks before them are encoded apart
+    if model.kind == BPE and not crosses_words(model):
         tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), "isolated")
     tail = [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
     tok.decoder = decoders.Sequence([*tail, decoders.Strip(" ", 1, 0)] if model.dummy_prefix else tail)
@@ -139,26 +147,79 @@ def build(model: Model):
     return tok
 
 
+class _Encoder:
+    """Ids, parity and round trip of texts; ids and offsets come as arrays."""
+
+    def __init__(self, raw: bytes, threads: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+        from sentencepiece import SentencePieceProcessor
+
+        self.threads = threads
+        self.spec = parse_model(raw)
+        self.tok, self.sp = build(self.spec), SentencePieceProcessor(model_proto=raw)
+        self.plain = not (self.spec.charsmap or self.spec.squeeze_spaces)
+        self.by_words = self.plain and self.spec.dummy_prefix and self.spec.escape_spaces and not crosses_words(self.spec)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table = [np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool), np.empty(0, bool)]
+
+    def batch(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Ids by the rebuilt pipeline, held against the runtime and decoded again."""
+        mine = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        theirs = self.sp.encode(texts, num_threads=self.threads)
+        parity = np.array([a == b for a, b in zip(mine, theirs, strict=True)], bool)
+        back = self.tok.decode_batch(theirs, skip_special_tokens=False)
+        whole = texts if self.plain else self.sp.decode(theirs)
+        same = np.array([a == b.replace(SPACE, " ") for a, b in zip(back, whole, strict=True)], bool)
+        return theirs, parity, same
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, offsets, parity, round trip) of the texts."""
+        if not self.by_words:
+            ids, parity, same = self.batch(texts)
+            return np.fromiter(chain.from_iterable(ids), np.int32), np.cumsum([0, *map(len, ids)]), parity, same
+        words, counts = [], []
+        for t in texts:
+            own = WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else []
+            words += own
+            counts.append(len(own))
+        if len(self.known) > CACHE:
+            self.forget()
+        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
+            # the first mark is the one that the model puts before a text
+            ids, parity, same = self.batch([w[1:].replace(SPACE, " ") if w != SPACE else "" for w in new])
+            ids = [x if w != SPACE else [self.sp.piece_to_id(SPACE)] for x, w in zip(ids, new, strict=True)]
+            flat = np.fromiter(chain.from_iterable(ids), np.int32)
+            ends = self.table[1][-1] + np.cumsum([len(x) for x in ids])
+            self.table = [np.concatenate(p) for p in zip(self.table, (flat, ends, parity, same), strict=True)]
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        flat, ends, parity, same = self.table
+        k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        lens = ends[k + 1] - ends[k]
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        ids = flat[np.arange(upto[-1]) + np.repeat(ends[k] - upto[:-1], lens)]
+        at = np.concatenate([[0], np.cumsum(counts)])
+        good = lambda flag: np.diff(np.concatenate([[0], np.cumsum(~flag[k])])[at]) == 0
+        return ids, upto[at], good(parity), good(same)
+
+
 def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, shipped: bool = False) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_tokens, ids, parity, round_trip)``, one row for each input row.
 
     ``ids`` are the model's ids of the whole text, without begin and end marks. ``round_trip``: decoding gives back the
     normalised text. ``parity``: the rebuilt pipeline gave the runtime's ids by itself. Null and empty texts have no ids
     and are true in both. ``model`` is a path that every executor has, or with ``shipped`` a name sent by ``addFile``.
-    Batches are bounded by their characters, so very long texts do not pile up in memory.
+    Batches are bounded by their characters, so very long texts do not pile up in memory. Where no piece of the model
+    reaches over a word's beginning, ids of a text are those of its words, and each word is encoded and checked once a task.
     """
     kinds = "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        from sentencepiece import SentencePieceProcessor
-
-        path = SparkFiles.get(model) if shipped else model
-        with open(path, "rb") as f:
-            raw = f.read()
-        spec = parse_model(raw)
-        tok, sp = build(spec), SentencePieceProcessor(model_proto=raw)
+        with open(SparkFiles.get(model) if shipped else model, "rb") as f:
+            encoder = _Encoder(f.read(), threads)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             at = 0
@@ -167,24 +228,10 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, shipped: bool
                 while to < len(texts) and (to == at or chars + len(texts[to]) <= BATCH_CHARS):
                     chars += len(texts[to])
                     to += 1
-                part = texts[at:to]
-                mine = [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]
-                theirs = sp.encode(part, num_threads=threads)
-                parity = [a == b for a, b in zip(mine, theirs, strict=True)]
-                ids = [a if ok else b for a, b, ok in zip(mine, theirs, parity, strict=True)]
-                back = tok.decode_batch(ids, skip_special_tokens=False)
-                whole = part if not (spec.charsmap or spec.squeeze_spaces) else [sp.decode(x) for x in ids]
-                same = [a == b.replace(SPACE, " ") for a, b in zip(back, whole, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, to - at),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array(ids, pa.list_(pa.int32())),
-                        pa.array(parity, pa.bool_()),
-                        pa.array(same, pa.bool_()),
-                    ],
-                    ["doc_id", "n_tokens", "ids", "parity", "round_trip"],
-                )
+                ids, offsets, parity, same = encoder(texts[at:to])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                columns = [batch.column(0).slice(at, to - at), pa.array(np.diff(offsets), pa.int64()), lists, pa.array(parity), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "parity", "round_trip"])
                 at = to
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kinds)
