@@ -17,9 +17,9 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents that the quality classifier accepts."""
     model = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
     names = docs.columns
-    plain = docs.select(*[F.col(c).alias(f"d_{c}" if c in ("score", "predicted", "held_out") else c) for c in names])
-    kept = quality.scored(plain, model).where("predicted = 1")
-    return kept.select(*[F.col(f"d_{c}").alias(c) if c in ("score", "predicted", "held_out") else F.col(c) for c in names])
+    own = {c: f"__{c}" for c in ("score", "predicted", "held_out") if c in names}  # the documents' own columns of these names stay
+    kept = quality.scored(docs.withColumnsRenamed(own), model).where("predicted = 1")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in names])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +35,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by surrogates; ``n_chars`` follows the text."""
     names = docs.columns
-    out = surrogates.surrogates(docs.drop("n_replaced"))
+    own = {"n_replaced": "__n_replaced"} if "n_replaced" in names else {}
+    out = surrogates.surrogates(docs.withColumnsRenamed(own))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in names])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

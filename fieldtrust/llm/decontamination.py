@@ -77,9 +77,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text overlaps a benchmark item; all columns stay as they are."""
     bad = written(overlaps(docs, benchmark).select("k1", "k2").distinct(), "benchmark-bad")
     k1, k2 = text_key(F.col("text"))
-    names = docs.columns
-    tagged = docs.withColumns({"__k1": k1, "__k2": k2})
-    return tagged.join(bad, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti").select(*names)
+    # the row travels as one struct, so its columns may have any names
+    rows = docs.select(F.struct("*").alias("row"), k1, k2)
+    return rows.join(bad, ["k1", "k2"], "left_anti").select("row.*")
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
