@@ -42,6 +42,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts are long: where the session still has Spark's default of 10,000 rows to an Arrow batch, take fewer, so that a batch stays at some megabytes on both sides."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo ``k``; -1 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % k, F.lit(-1))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtrust.llm.common import fold
+from fieldtrust.llm.common import fold, short_batches
 
 FOLDS = 5
 SAMPLE = 6000
@@ -109,6 +109,8 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, width: int
 
 
 def _matrix(docs: DataFrame) -> np.ndarray:
+    short_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["x"])
@@ -146,6 +148,8 @@ def scored(docs: DataFrame, model: Classifier | None) -> DataFrame:
     Without a model every score is 0.5. Null and empty texts get the model's score of the empty text.
     """
 
+    short_batches(docs.sparkSession)
+
     def run(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in texts:
             at = b.schema.get_field_index("text")

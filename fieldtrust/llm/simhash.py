@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtrust.llm.components import connected_components
-from fieldtrust.llm.common import written
+from fieldtrust.llm.common import short_batches, written
 
 PIVOTS = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, size=24, dtype=np.uint64)
 SMALL = 12
@@ -47,6 +47,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)`` to ``(doc_id, fp long)``; a null text counts as empty."""
 
+    short_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)

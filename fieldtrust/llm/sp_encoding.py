@@ -21,12 +21,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtrust.llm.common import short_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-BATCH_CHARS = 2_000_000
-CACHE = 700_000
+BATCH_CHARS = 1_000_000
+CACHE = 400_000
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -166,6 +168,16 @@ class _Encoder:
         self.known: dict[str, int] = {}
         self.table = [np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool), np.empty(0, bool)]
 
+    def keep(self, words: list[str]) -> None:
+        """Forget all words but those known ones that the texts in hand use again: the frequent ones stay."""
+        flat, ends, parity, same = self.table
+        old = {w: self.known[w] for w in words if w in self.known}
+        k = np.fromiter(old.values(), np.int64, len(old))
+        lens = ends[k + 1] - ends[k]
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        self.table = [flat[np.arange(upto[-1]) + np.repeat(ends[k] - upto[:-1], lens)], upto, parity[k], same[k]]
+        self.known = dict(zip(old, range(len(old)), strict=True))
+
     def batch(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Ids by the rebuilt pipeline, held against the runtime and decoded again."""
         mine = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -187,7 +199,7 @@ class _Encoder:
             words += own
             counts.append(len(own))
         if len(self.known) > CACHE:
-            self.forget()
+            self.keep(words)
         if new := [w for w in dict.fromkeys(words) if w not in self.known]:
             # the first mark is the one that the model puts before a text
             ids, parity, same = self.batch([w[1:].replace(SPACE, " ") if w != SPACE else "" for w in new])
@@ -216,6 +228,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, shipped: bool
     reaches over a word's beginning, ids of a text are those of its words, and each word is encoded and checked once a task.
     """
     kinds = "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean"
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open(SparkFiles.get(model) if shipped else model, "rb") as f:

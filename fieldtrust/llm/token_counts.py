@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtrust.llm.common import short_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CACHE = 400_000
@@ -127,6 +129,8 @@ def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     Words are runs without ASCII white space. Null and empty texts have no words. Ids may be null or repeat.
     """
 
+    short_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Cache(LongestMatch(vocabulary(model)))
         for b in batches:
