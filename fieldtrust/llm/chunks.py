@@ -17,16 +17,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import written
+from fieldtrust.llm.common import short_batches, written
 
 CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 12 << 20
 KINDS = "chunk long, raw long, ids array<long>, sizes array<long>, digests binary, data binary"
 
 
-def pack(docs: DataFrame, name: str) -> DataFrame:
+def pack(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs(doc_id, text)`` as a written table of chunks; null texts are empty. ``digests`` holds the SHA-256 of each text."""
 
+    short_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 24
         ids, parts, size, n = [], [], 0, 0
@@ -39,7 +41,7 @@ def pack(docs: DataFrame, name: str) -> DataFrame:
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 p = (t or "").encode("utf-8", "surrogatepass")
-                if parts and size + len(p) > CHUNK_BYTES:
+                if parts and size + len(p) > chunk_bytes:
                     yield full()
                     ids, parts, size, n = [], [], 0, n + 1
                 ids.append(i)

@@ -25,6 +25,7 @@ GRAM = 19
 SPAN = LENGTH - GRAM + 1  # a passage has this many places for its anchor
 LEFT, RIGHT = SPAN - 1, LENGTH
 BLOCK = 1 << 17
+CHUNK_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 NOTHING = hashlib.sha256().hexdigest()
@@ -159,7 +160,7 @@ def _contexts(chunks: DataFrame, told: DataFrame, ranges: int) -> DataFrame:
             before, after = np.minimum(LEFT, places - (ends - sizes)[doc]), np.minimum(RIGHT, ends[doc] - places)
             k = np.arange(-LEFT, RIGHT)
             padded = np.concatenate([np.zeros(LEFT, np.uint8), raw, np.zeros(RIGHT, np.uint8)])
-            ctx = padded[(places + LEFT)[:, None] + k]
+            ctx = np.lib.stride_tricks.sliding_window_view(padded, LEFT + RIGHT)[places]
             ctx[(k < -before[:, None]) | (k >= after[:, None])] = 0
             lens = np.stack([before, after], axis=1).astype(np.uint8)
             whole = np.concatenate([hashes[:, None].astype(">u8").view(np.uint8), ctx, lens], axis=1)
@@ -307,8 +308,8 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     judged on the input. Null texts are empty; texts under 50 bytes lose nothing; a null id counts as the greatest. Rows
     that repeat an id take nothing from each other. A passage that very many texts hold leaves each chunk once.
     """
-    packed = ch.pack(docs, "repeat-chunks")
-    ranges = ch.ranges_for(packed)
+    packed = ch.pack(docs, "repeat-chunks", CHUNK_BYTES)
+    ranges = ch.ranges_for(packed, 2)
     spark: SparkSession = docs.sparkSession
     copies = written(_copies(packed), "repeat-copies")
     told = written(_shared(_asked(packed, ranges)), "repeat-shared").unionAll(copies)
