@@ -29,13 +29,14 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4})(?!\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?=[^\d\s]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})(?![\p{L}\p{N}])",
     "person": rf"(?<!\p{{L}})(?:{'|'.join(sorted((*MALE, *FEMALE), key=len, reverse=True))})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
 }
 KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ipv4", "person")
 PATTERN = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
 #: What every text with a mention has; cheap to look for, and all others pass by untouched and unshuffled.
-MAYBE = rf"[0-9@]|[a-f]{{32}}|[A-F]{{32}}|AKIA|gh[pousr]_|(?:{'|'.join((*MALE, *FEMALE))})\.? \p{{Lu}}"
+DIGIT_OR_AT = "[0-9@]"
+TITLE = r"[MHFSгκ](?:rs?|s|iss|onsieur|adame|err|rau|eñora?|осподин|оспожа|ύριος|υρία)\.? \p{Lu}"
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 SYLLABLES = {
     "latin": (("ba", "de", "fi", "ga", "ho", "ju", "ka", "le", "mi", "no", "pa", "ro", "sa", "te", "vi", "zu"), ("n", "r", "s", "l"), ("a", "ia", "ina", "ella")),
@@ -162,9 +163,9 @@ def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     distinct texts that hold personal data; mentions of a text that thousands of rows share are handled once.
     """
     names = [c for c in docs.columns if c != "n_replaced"]
-    maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
+    maybe = F.coalesce(F.col("text").rlike(DIGIT_OR_AT) | F.col("text").rlike(TITLE), F.lit(False))
     others = docs.where(~maybe).select(*names, F.lit(0).cast("long").alias("n_replaced"))
-    docs = docs.where(maybe)
+    docs = written(docs.where(maybe), "pii-suspects")
     k1, k2 = text_key(F.col("text"))
     hit = docs.select(k1, k2, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("forms")).where(F.size("forms") > 0)
     hit = written(hit.dropDuplicates(["k1", "k2"]), "pii-mentions")
