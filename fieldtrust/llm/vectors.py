@@ -23,7 +23,7 @@ from fieldtrust.llm.components import connected_components
 
 THRESHOLD = 0.93
 TILE = 1024
-BLOCK = 1024
+BLOCK = 512
 BINS = 20_000
 SLACK = 1e-9
 STOPS = (4, 8, 16, 32)
@@ -134,14 +134,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
 
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            theta = []
+            theta, packed = [], []
             for e in b.column(b.schema.get_field_index("embedding")).to_pylist():
                 x = np.asarray(e, np.float64)
                 theta.append(float(np.arccos(np.clip(x @ lead[len(x)] / np.linalg.norm(x), -1, 1))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(theta, pa.float64())], [*b.schema.names, "theta"])
+                packed.append(x.tobytes())
+            label, rep, copies = (b.column(b.schema.get_field_index(c)) for c in ("label", "rep", "copies"))
+            sizes = [len(x) // 8 for x in packed]
+            yield pa.RecordBatch.from_arrays([label, pa.array(sizes, pa.int32()), rep, copies, pa.array(packed, pa.binary()), pa.array(theta, pa.float64())], ["label", "d", "rep", "copies", "vector", "theta"])
 
-    g = groups.mapInArrow(angles, T.StructType([*groups.schema, T.StructField("theta", T.DoubleType())])).withColumn("d", F.size("embedding"))
-    g = written(g, "vector-angles")
+    kinds = (("label", groups.schema["label"].dataType), ("d", T.IntegerType()), ("rep", T.LongType()), ("copies", T.LongType()), ("vector", T.BinaryType()), ("theta", T.DoubleType()))
+    g = written(groups.mapInArrow(angles, T.StructType([T.StructField(*k) for k in kinds])), "vector-angles")
     # rows of a label are counted by fine bins of the angle (at most BINS rows a label); about `tile` rows make a tile
     binned = g.withColumn("bin", F.floor(F.col("theta") / F.lit(np.pi) * BINS))
     before = F.sum("n").over(Window.partitionBy("label", "d").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
@@ -152,7 +155,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     reach = float(np.arccos(min(1.0, max(-1.0, threshold)))) + 1e-6
     meets = (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.tile") <= F.col("b.tile")) & (F.col("b.lo") - F.col("a.hi") <= reach)
     pairs = written(a.join(b, meets).select("a.label", "a.d", F.col("a.tile").alias("ta"), F.col("b.tile").alias("tb")), "vector-tile-pairs")
-    side = ["label", "d", "ta", "tb", "rep", "copies", "embedding"]
+    side = ["label", "d", "ta", "tb", "rep", "copies", "vector"]
     left = g.withColumnRenamed("tile", "ta").join(pairs, ["label", "d", "ta"]).select(*side)
     right = g.withColumnRenamed("tile", "tb").join(pairs, ["label", "d", "tb"]).where("ta <> tb").select(*[F.col(c).alias(f"r_{c}") for c in side])
 
@@ -163,7 +166,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         y = x if own else y.sort_values("rep", kind="stable")
         if not len(x):
             return pd.DataFrame({"a": [], "b": [], "n": []})
-        p, q = np.vstack(x.embedding.to_numpy()), np.vstack(y.embedding.to_numpy())
+        p, q = (np.frombuffer(b"".join(f["vector"]), np.float64).reshape(len(f), -1) for f in (x, y))
         i, j = tile_links(p, q, basis[p.shape[1]], threshold)
         if own:
             i, j = i[i < j], j[i < j]
