@@ -1,6 +1,441 @@
-"""Registered queries over the driver's tables and their SQL twins."""
+"""Registered queries over the driver's tables and, where SQL can say them, their twins.
+
+Real numbers leave as whole multiples (``_c``: hundredths, ``_m``: millionths), rounded half up, so that engines agree.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldtrust.functions import geo, hashing
+from fieldtrust.operators import address, cluster, crossval, decision, dedup, geo_rules, ml, output, preprocess, records, reports, spatial, text_rules, workflow
+from fieldtrust.plans import tables as t
+from fieldtrust.plans.tables import DETECTIONS_SQL, PROSE, REPORTS_SQL, SPARSE
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+AS_OF = "2024-01-20"
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def times(c: Column, n: float) -> Column:
+    return F.floor(c * n + 0.5).cast("long")
+
+
+def ts(c: str) -> str:
+    return f"CAST(floor({c} + 0.5) AS BIGINT)"
+
+
+# ---- text rules -------------------------------------------------------------------------------------------------------
+def _occurs(word: str) -> str:
+    return f"(length(text) - length(replace(text, '{word}', '')))"
+
+
+_WORDS = ("worthless", "disgusting", "trash", "idiot", "stupid", "scum", "moron", "loser", "License")
+_TEXT_SQL = f"""
+b AS (SELECT doc_id, text, length(text) AS n, {" + ".join(_occurs(w) for w in _WORDS)} AS covered, {" + ".join(f"CAST(contains(text, '{w}') AS INT)" for w in _WORDS)} AS words,
+  list_bool_or(list_transform(range(1, length(text) - 1), lambda i: t[i] = t[i + 1] AND t[i] = t[i + 2] AND t[i] <> chr(10))) AS stuffed,
+  regexp_matches(text, 'disgusting|worthless|trash|idiot|[!]{{2,}}|[*]{{3,}}') AS templated, len(regexp_extract_all(text, '[!！]')) AS loud FROM (SELECT doc_id, text, string_split(text, '') AS t FROM documents)),
+m AS (SELECT *, CASE WHEN n > 0 THEN covered * 1.0 / n ELSE 0 END AS density FROM b),
+k AS (SELECT *, CASE WHEN density > 0.05 AND words >= 2 THEN 0.8 WHEN density > 0.02 THEN 0.5 WHEN words >= 3 THEN least(words / 5.0, 0.4) END AS marketing FROM m),
+s AS (SELECT *, CASE WHEN n < 20 THEN 0.6 WHEN n > 5000 THEN 0.3 ELSE 0 END AS s1, CASE WHEN stuffed THEN 0.8 ELSE 0 END AS s2, coalesce(marketing, 0) AS s3,
+  CASE WHEN templated THEN CASE WHEN marketing IS NOT NULL THEN least(0.7 + marketing * 0.3, 1.0) ELSE 0.7 END ELSE 0 END AS s4, CASE WHEN loud > 5 THEN 0.4 ELSE 0 END AS s5 FROM k),
+scored AS (SELECT *, 1 - (1 - s1) * (1 - s2) * (1 - s3) * (1 - s4) * (1 - s5) AS u, CASE WHEN marketing IS NULL THEN 0 ELSE words END AS marketing_count FROM s)"""
+
+
+@query(f"WITH {_TEXT_SQL} SELECT doc_id, {ts('u * 1000')} AS score_k, CAST((s1 > 0) AS INT) + CAST((s2 > 0) AS INT) + CAST((s3 > 0) AS INT) + CAST((s4 > 0) AS INT) + CAST((s5 > 0) AS INT) AS n_anomalies, CAST(marketing_count AS INT) AS marketing_count FROM scored")
+def text_rules_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = text_rules.analyze(t.documents(spark, sf_dir), PROSE)
+    one = F.aggregate("text_anomalies", F.lit(0.0), lambda a, x: a + x["severity"] - a * x["severity"])
+    return df.select(F.col("seq").alias("doc_id"), times(one, 1000).alias("score_k"), F.size("text_anomalies").alias("n_anomalies"), "marketing_count")
+
+
+def _scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = text_rules.analyze(t.documents(spark, sf_dir), PROSE).withColumns({"latitude": F.lit(0.0), "longitude": F.lit(0.0), "geo_score": F.lit(0.0), "geo_anomalies": F.array().cast("array<struct<type:string,description:string,severity:double,details:map<string,string>>>")})
+    return decision.score(df, PROSE)
+
+
+@query(f"""WITH {_TEXT_SQL}, d AS (SELECT *, round(u * 100, 2) * CASE WHEN length(trim(text)) >= 20 THEN 0.4 / 0.7 ELSE 0 END AS total FROM scored)
+SELECT CASE WHEN total >= 60 THEN 'high' WHEN total >= 35 OR marketing_count >= 3 THEN 'medium' ELSE 'low' END AS risk_level, count(*) AS n, count(*) FILTER (total >= 60) AS fake FROM d GROUP BY 1""")
+def scored_risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored_documents(spark, sf_dir).groupBy("risk_level").agg(F.count("*").alias("n"), F.count_if("is_fake").alias("fake"))
+
+
+@query("""SELECT doc_id, CAST(length(text) AS INT) AS length, len(regexp_extract_all(text, '[，。！？、；："（）]')) AS punctuation_count, len(regexp_extract_all(text, '[!！]')) AS exclamation_count FROM documents""")
+def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtrust.functions.text import features
+
+    f = t.documents(spark, sf_dir).select("seq", features(F.col("text")).alias("f"))
+    return f.select(F.col("seq").alias("doc_id"), "f.length", F.col("f.punctuation_count").cast("long").alias("punctuation_count"), F.col("f.exclamation_count").cast("long").alias("exclamation_count"))
+
+
+_LIBRARY = (("insult", ("IDIOT", "moron")), ("licence", ("licensed under", "apache license")), ("secret", ("token =",)))
+
+
+@query(f"""WITH l(feature_id, pattern) AS (VALUES {", ".join(f"('{k}', '{p}')" for k, ps in _LIBRARY for p in ps)}) SELECT doc_id, feature_id, count(*) AS n_patterns FROM documents JOIN l ON contains(lower(text), lower(pattern)) GROUP BY ALL""")
+def feature_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = spark.createDataFrame([(k, list(p), True) for k, p in _LIBRARY] + [("off", ["the"], False)], "feature_id string, patterns array<string>, is_active boolean")
+    out = text_rules.match_features(t.read(spark, sf_dir, "documents").select("doc_id", "text"), lib)
+    return out.select("doc_id", "feature_id", "n_patterns")
+
+
+# ---- places and movement ----------------------------------------------------------------------------------------------
+_INVALID = "NOT (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180)"
+_FAR = "NOT (lat BETWEEN 18 AND 54 AND lon BETWEEN 73 AND 135) AND least(abs(lat - 18), abs(lat - 54)) > 5 AND least(abs(lon - 73), abs(lon - 135)) > 5"
+_KM = "2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2))))"
+_MOVES_SQL = f"""
+p AS (SELECT seq, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(t) OVER w AS pt FROM {REPORTS_SQL} WHERE NOT ({_INVALID}) WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+j AS (SELECT r.*, plat, plon, pt FROM {REPORTS_SQL} r LEFT JOIN p USING (seq)),
+k AS (SELECT *, {_KM} AS km, abs(t - pt) AS dt FROM j),
+v AS (SELECT *, CASE WHEN pt IS NULL THEN NULL WHEN dt = 0 THEN CASE WHEN km > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END ELSE km / (dt / 3600.0) END AS kmh FROM k)"""
+_RATES_SQL = f"""
+c AS (SELECT seq, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) - (count(*) OVER (PARTITION BY user_id, t ORDER BY seq DESC) - 1) AS per_minute,
+  count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) - (count(*) OVER (PARTITION BY user_id, t ORDER BY seq DESC) - 1) AS per_hour FROM {REPORTS_SQL})"""
+
+
+@query(f"SELECT seq, {_INVALID} AS invalid, {_FAR} AS far FROM {REPORTS_SQL}")
+def coordinate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lon = F.col("latitude"), F.col("longitude")
+    return t.reports(spark, sf_dir).select("seq", geo_rules.invalid_coordinate(lat, lon).isNotNull().alias("invalid"), geo_rules.out_of_range(lat, lon).isNotNull().alias("far"))
+
+
+@query(f"WITH {_RATES_SQL} SELECT * FROM c")
+def device_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo_rules.with_rates(t.reports(spark, sf_dir)).select("seq", F.col("minute_count").alias("per_minute"), F.col("hour_count").alias("per_hour"))
+
+
+@query(f"WITH {_MOVES_SQL} SELECT seq, {ts('km * 100')} AS km_c, CAST(dt AS BIGINT) AS seconds, kmh > 350 AS fast, km > 100 AND dt < 60 AS jump FROM v WHERE pt IS NOT NULL")
+def device_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = geo_rules.with_previous(t.reports(spark, sf_dir)).where("prev_ts IS NOT NULL")
+    return m.select("seq", times(F.col("step_km"), 100).alias("km_c"), F.col("step_seconds").cast("long").alias("seconds"), (F.col("step_kmh") > 350).alias("fast"), geo.is_teleport(F.col("step_km"), F.col("step_seconds")).alias("jump"))
+
+
+@query(f"""WITH {_MOVES_SQL}, {_RATES_SQL},
+g AS (SELECT v.seq, CASE WHEN {_INVALID} THEN 1.0 ELSE 0 END AS s1, CASE WHEN {_FAR} THEN 0.8 ELSE 0 END AS s2, CASE WHEN per_minute > 1 THEN 0.7 WHEN per_hour > 2 THEN 0.5 ELSE 0 END AS s3,
+  CASE WHEN km > 100 AND dt < 60 THEN 0.9 WHEN kmh > 350 THEN 0.6 ELSE 0 END AS s4 FROM v JOIN c USING (seq)),
+u AS (SELECT *, round((1 - (1 - s1) * (1 - s2) * (1 - s3) * (1 - s4)) * 100, 2) AS geo, greatest(s1, s2, s3, s4) AS worst FROM g),
+d AS (SELECT *, geo * 0.3 / 0.6 AS total FROM u)
+SELECT seq, {ts('geo * 100')} AS geo_c, worst >= 0.8 OR (worst > 0 AND total >= 35) AS is_fake, CASE WHEN worst >= 0.8 THEN 'high' WHEN worst > 0 THEN 'medium' ELSE 'low' END AS risk_level FROM d""")
+def report_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = geo_rules.analyze(t.reports(spark, sf_dir), SPARSE).withColumns({"text_score": F.lit(0.0), "marketing_count": F.lit(0), "text_anomalies": F.array().cast("array<struct<severity:double,description:string>>")})
+    return decision.score(df, SPARSE).select("seq", times(F.col("geo_score"), 100).alias("geo_c"), "is_fake", "risk_level")
+
+
+_POINTS = ", ".join(f"({i}, '{c}', {a}, {b}, {r})" for i, (c, a, b, r) in enumerate(spatial.CITIES))
+_CITY_KM = "2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2))))"
+
+
+@query(f"""WITH c(n, city, clat, clon, r) AS (VALUES {_POINTS}), d AS (SELECT seq, city, n, r, {_CITY_KM} AS km FROM {REPORTS_SQL} JOIN c ON true)
+SELECT seq, CASE WHEN min(km) < 500 THEN arg_min(city, km) END AS nearest, arg_min(city, n) FILTER (km <= r) AS inside FROM d GROUP BY seq""")
+def nearest_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lon = F.col("latitude"), F.col("longitude")
+    return t.reports(spark, sf_dir).select("seq", spatial.nearest_city(lat, lon, 500.0).alias("nearest"), spatial.containing_city(lat, lon).alias("inside"))
+
+
+@query(f"""WITH r AS (SELECT * FROM {REPORTS_SQL} WHERE abs(lat) < 80 AND abs(lon) <= 180)
+SELECT a.seq, count(*) AS n FROM r a JOIN r b ON abs(a.lat - b.lat) < 0.3 AND 2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 30000 GROUP BY a.seq""")
+def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = t.reports(spark, sf_dir).where("abs(latitude) < 80 AND abs(longitude) <= 180")
+    n = spatial.neighbours(r, r.withColumnRenamed("seq", "other_id"), 30_000.0, "seq")
+    return n.groupBy("seq").agg(F.count("*").alias("n"))
+
+
+@query()
+def datum_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lon = F.col("latitude"), F.col("longitude")
+    g = geo.wgs84_to_gcj02(lat, lon)
+    back = geo.gcj02_to_wgs84(*g)
+    b = geo.convert(lat, lon, "wgs84", "bd09")
+    return t.reports(spark, sf_dir).select("seq", g[0].alias("gcj_lat"), g[1].alias("gcj_lon"), back[0].alias("back_lat"), back[1].alias("back_lon"), b[0].alias("bd_lat"), b[1].alias("bd_lon"))
+
+
+@query()
+def coordinate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.reports(spark, sf_dir).select("seq", spatial.verdict(F.col("latitude"), F.col("longitude")).alias("v"), spatial.info(F.col("latitude"), F.col("longitude")).alias("i")).select("seq", "v.valid", "v.type", "v.city", "i.nearest_city", "i.water_nearby")
+
+
+# ---- copies and clusters ----------------------------------------------------------------------------------------------
+_FP_SQL = """
+g AS (SELECT doc_id, unnest(CASE WHEN length(text) < 2 THEN [text] ELSE list_transform(range(1, length(text)), lambda i: substring(text, i, 2)) END) AS g FROM documents WHERE text <> ''),
+u AS (SELECT doc_id, g, count(*) AS c FROM g GROUP BY ALL),
+h AS (SELECT g, CAST('0x' || substring(md5(g), 17, 16) AS UBIGINT) AS h FROM (SELECT DISTINCT g FROM u)),
+bits AS (SELECT doc_id, k, sum(CASE WHEN (h >> k) & 1 = 1 THEN c ELSE 0 END) AS ones, sum(c) AS n FROM u JOIN h USING (g), range(64) r(k) GROUP BY doc_id, k),
+f AS (SELECT doc_id, CAST(sum(CASE WHEN ones * 2 > n THEN CAST(1 AS HUGEINT) << k ELSE 0 END) AS UBIGINT) AS fp FROM bits GROUP BY doc_id)"""
+
+
+@query(f"WITH {_FP_SQL} SELECT doc_id, lower(lpad(to_hex(fp), 16, '0')) AS fp FROM f")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.with_fingerprint(t.documents(spark, sf_dir), "seq").select(F.col("seq").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
+
+
+@query(f"""WITH {_FP_SQL}, d AS (SELECT doc_id, fp, length(text) < 20 AS short FROM f JOIN documents USING (doc_id)),
+p AS (SELECT a.doc_id, bit_count(CAST(xor(a.fp, b.fp) AS BIT)) AS k, a.short FROM d a JOIN d b ON b.doc_id < a.doc_id)
+SELECT doc_id, CAST(count(*) AS INT) AS similar_records, CAST(min(k) AS INT) AS hamming_distance FROM p WHERE k <= CASE WHEN short THEN 0 ELSE 3 END GROUP BY doc_id""")
+def prior_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.check_prior(t.documents(spark, sf_dir)).where("is_duplicate").select(F.col("seq").alias("doc_id"), "similar_records", "hamming_distance")
+
+
+@query(f"""WITH RECURSIVE {_FP_SQL}, p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.doc_id <> b.doc_id AND bit_count(CAST(xor(a.fp, b.fp) AS BIT)) <= 3),
+r AS (SELECT doc_id AS node, doc_id AS root FROM f UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node WHERE r.root < p.b),
+c AS (SELECT node, min(root) AS group_id FROM r GROUP BY node) SELECT node AS doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM c QUALIFY count(*) OVER (PARTITION BY group_id) > 1""")
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.duplicate_groups(t.documents(spark, sf_dir), "seq").select(F.col("seq").alias("doc_id"), "group_id", "group_size")
+
+
+_COS = 0.4
+_PAIRS_SQL = f"v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {_COS})"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
+
+
+@query(f"WITH {_PAIRS_SQL} SELECT a, b, {ts('c * 1000000')} AS cosine_m FROM p")
+def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.similar_pairs(_vectors(spark, sf_dir), _COS).select("a", "b", times(F.col("cosine"), 1e6).alias("cosine_m"))
+
+
+@query(f"""WITH RECURSIVE {_PAIRS_SQL}, q AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT DISTINCT a AS node, a AS root FROM q UNION SELECT q.b, r.root FROM r JOIN q ON q.a = r.node WHERE r.root < q.b),
+c AS (SELECT node, min(root) AS id FROM r GROUP BY node), l AS (SELECT vec_id, coalesce(id, -1) AS cluster_id FROM embeddings LEFT JOIN c ON node = vec_id)
+SELECT vec_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM l""")
+def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dataclasses import replace
+
+    return cluster.batch_clusters(_vectors(spark, sf_dir), replace(PROSE, cosine=_COS)).select(F.col("seq").alias("vec_id"), "cluster_id", "cluster_size")
+
+
+@query(f"WITH {_PAIRS_SQL} SELECT vec_id, coalesce(n, 0) + 1 AS cluster_size FROM embeddings LEFT JOIN (SELECT b, count(*) AS n FROM p WHERE a <> (SELECT min(vec_id) FROM embeddings) GROUP BY b) ON b = vec_id")
+def prior_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dataclasses import replace
+
+    return cluster.prior_clusters(_vectors(spark, sf_dir), replace(PROSE, cosine=_COS)).select(F.col("seq").alias("vec_id"), "cluster_size")
+
+
+# ---- hashes -----------------------------------------------------------------------------------------------------------
+@query("""SELECT doc_id, sha256(text) AS content_hash, md5(concat(lang, source)) AS dedup_key, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS BIGINT) AS poly FROM documents""")
+def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = t.read(spark, sf_dir, "documents")
+    return d.select("doc_id", hashing.content_hash(F.col("text")).alias("content_hash"), hashing.dedup_key(F.col("lang"), F.col("source")).alias("dedup_key"), hashing.polynomial31(F.col("text")).alias("poly"))
+
+
+# ---- reports ----------------------------------------------------------------------------------------------------------
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN floor(({a}) * 1.0 / ({b}) * 10000 + 0.5) / 10000 ELSE 0 END"
+
+
+@query(f"""SELECT count(*) AS total, count(*) FILTER (is_fake) AS fake, count(*) FILTER (NOT is_fake) AS normal, count(*) FILTER (NOT is_fake AND risk_level = 'medium') AS suspicious, count(*) FILTER (risk_level = 'high') AS high,
+count(*) FILTER (risk_level = 'medium') AS medium, count(*) - count(*) FILTER (risk_level = 'high') - count(*) FILTER (risk_level = 'medium') AS low, {ts('avg(suspicion_score) * 1000')} AS avg_k,
+count(*) FILTER (geo_score > 0) AS geo_hits, count(*) FILTER (text_score > 0) AS text_hits, count(*) FILTER (simhash_score > 0) AS simhash_hits, count(*) FILTER (semantic_score > 0) AS semantic_hits FROM {DETECTIONS_SQL}""")
+def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.batch_counts(t.detections(spark, sf_dir)).withColumn("avg_k", times(F.col("avg_score"), 1000)).drop("avg_score")
+
+
+@query(f"""WITH s AS (SELECT count(*) FILTER (CAST(created_at AS DATE) = DATE '{AS_OF}') AS today, count(*) FILTER (CAST(created_at AS DATE) = DATE '{AS_OF}' - 1) AS yesterday, count(*) AS total, count(*) FILTER (is_fake) AS fake,
+count(*) FILTER (review_status = 'pending') AS pending FROM {DETECTIONS_SQL}) SELECT *, today - yesterday AS delta, CAST({_ratio('fake', 'total')} AS DOUBLE) AS fake_rate FROM s""")
+def daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.daily_summary(t.detections(spark, sf_dir), AS_OF)
+
+
+@query(f"""WITH s AS (SELECT count(*) AS total, count(*) FILTER (is_fake) AS fake, count(*) FILTER (risk_level = 'high') AS high, count(DISTINCT device_id) AS devices FROM {DETECTIONS_SQL}
+WHERE created_at >= DATE '{AS_OF}' - 7 AND created_at < DATE '{AS_OF}' + 1) SELECT *, CAST({_ratio('fake', 'total')} AS DOUBLE) AS fake_rate FROM s""")
+def week_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.overview(t.detections(spark, sf_dir), AS_OF, "week").drop("avg_score")
+
+
+@query(f"SELECT date_trunc('day', created_at)::TIMESTAMP AS bucket, count(*) AS total, count(*) FILTER (is_fake) AS fake, CAST({_ratio('count(*) FILTER (is_fake)', 'count(*)')} AS DOUBLE) AS fake_rate FROM {DETECTIONS_SQL} GROUP BY 1")
+def daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.trend(t.detections(spark, sf_dir), "day")
+
+
+@query(f"WITH g AS (SELECT coalesce(risk_level, 'unknown') AS value, count(*) AS n FROM {DETECTIONS_SQL} GROUP BY 1) SELECT value, n, CAST(floor(n * 1.0 / sum(n) OVER () * 10000 + 0.5) / 10000 AS DOUBLE) AS share FROM g")
+def risk_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.distribution(t.detections(spark, sf_dir), "risk")
+
+
+@query(f"WITH g AS (SELECT device_id AS value, count(*) AS n FROM {DETECTIONS_SQL} GROUP BY 1 ORDER BY n DESC, value LIMIT 10) SELECT value, n, CAST(floor(n * 1.0 / sum(n) OVER () * 10000 + 0.5) / 10000 AS DOUBLE) AS share FROM g")
+def device_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.distribution(t.detections(spark, sf_dir), "device")
+
+
+@query(f"SELECT device_id, count(*) AS fakes FROM {DETECTIONS_SQL} WHERE is_fake GROUP BY 1 ORDER BY fakes DESC, min(id) LIMIT 10")
+def most_fakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.most_fakes(t.detections(spark, sf_dir), "device_id")
+
+
+@query(f"SELECT 'geo' AS kind, count(*) FILTER (geo_score > 0) AS n FROM {DETECTIONS_SQL} UNION ALL SELECT 'text', count(*) FILTER (text_score > 0) FROM {DETECTIONS_SQL} UNION ALL SELECT 'simhash', count(*) FILTER (simhash_score > 0) FROM {DETECTIONS_SQL} UNION ALL SELECT 'semantic', count(*) FILTER (semantic_score > 0) FROM {DETECTIONS_SQL}")
+def anomaly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.anomaly_counts(t.detections(spark, sf_dir))
+
+
+@query(f"""SELECT tenant_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, count(*) AS total, count(*) FILTER (is_fake) AS fake, count(*) FILTER (risk_level = 'high') AS high, count(*) FILTER (risk_level = 'medium') AS medium,
+count(*) FILTER (risk_level = 'low') AS low, {ts('avg(suspicion_score) * 1000')} AS avg_k, {ts('avg(processing_time_ms) * 1000')} AS avg_us FROM {DETECTIONS_SQL} GROUP BY 1, 2""")
+def tenant_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.tenant_days(t.detections(spark, sf_dir)).withColumns({"avg_k": times(F.col("avg_score"), 1000), "avg_us": times(F.col("avg_ms"), 1000), "day": F.col("day").cast("string")}).drop("avg_score", "avg_ms")
+
+
+@query(f"SELECT CAST(least(greatest(floor(suspicion_score / 100 * 20), 0), 19) AS BIGINT) AS bin, count(*) AS n FROM {DETECTIONS_SQL} GROUP BY 1")
+def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.histogram(t.detections(spark, sf_dir), "suspicion_score")
+
+
+@query(f"SELECT id, device_id FROM {DETECTIONS_SQL} WHERE tenant_id = 1 AND risk_level = 'high' AND created_at >= TIMESTAMP '2024-01-03' AND created_at <= TIMESTAMP '2024-01-25' AND contains(lower(text), '\"k\": 1') ORDER BY created_at DESC, id LIMIT 20 OFFSET 20")
+def filtered_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records.filtered(t.detections(spark, sf_dir), {"risk_level": "high", "device_id": None}, "2024-01-03", "2024-01-25", '"K": 1', tenant=1)
+    return records.page(rows, 2, 20, [F.col("created_at").desc(), F.col("id")]).select("id", "device_id")
+
+
+@query(f"SELECT id, risk_level, {ts('suspicion_score * 100')} AS score_c FROM {DETECTIONS_SQL} WHERE review_status = 'pending' AND risk_level = 'medium'")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.review_queue(t.detections(spark, sf_dir), "medium").select("id", "risk_level", times(F.col("suspicion_score"), 100).alias("score_c"))
+
+
+@query("""WITH s AS (SELECT CAST(quality AS INT) = 0 AS truth, CAST(regexp_matches(text, '[!]{2}|[*]{3}|[|]') AS BOOLEAN) AS p FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT count(*) FILTER (truth AND p) AS tp, count(*) FILTER (NOT truth AND p) AS fp, count(*) FILTER (truth AND NOT p) AS fn, count(*) FILTER (NOT truth AND NOT p) AS tn FROM s)
+SELECT tp, fp, fn, tn, CAST(floor((tp + tn) * 1.0 / (tp + fp + fn + tn) * 1e6 + 0.5) AS BIGINT) AS accuracy_m, CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(floor(2.0 * tp / (2 * tp + fp + fn) * 1e6 + 0.5) AS BIGINT) ELSE 0 END AS f1_m FROM c""")
+def junk_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = t.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").rlike("[!]{2}|[*]{3}|[|]").cast("int").alias("predicted"))
+    truth = t.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("record_id"), (F.col("quality") == 0).cast("int").alias("label"))
+    m = ml.evaluate(d, truth)
+    return m.select("tp", "fp", "fn", "tn", times(F.col("accuracy"), 1e6).alias("accuracy_m"), times(F.col("f1"), 1e6).alias("f1_m"))
+
+
+# ---- set operations, limits, state ------------------------------------------------------------------------------------
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS known FROM customer")
+def known_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = records.split_known(t.read(spark, sf_dir, "customer").select("c_custkey"), t.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return a.withColumn("known", F.lit(True)).unionByName(b.withColumn("known", F.lit(False)))
+
+
+@query("SELECT DISTINCT p_type, p_brand FROM part WHERE p_size > 10 AND (p_type, p_brand) NOT IN (SELECT p_type, p_brand FROM part WHERE p_size <= 10)")
+def new_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = t.read(spark, sf_dir, "part").select("p_size", "p_type", "p_brand")
+    return records.insert_new(p.where("p_size <= 10"), p.where("p_size > 10"), ["p_type", "p_brand"]).select("p_type", "p_brand")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) ORDER BY event_id) <= 2 AS within_limit FROM events")
+def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = t.read(spark, sf_dir, "events").withColumn("t", F.unix_timestamp("ts"))
+    return records.fixed_window_limit(e, "user_id", "t", 2, 3600, "event_id").select("event_id", "within_limit")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) <= 3 AND row_number() OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY event_id) <= 50 AS within_quota FROM events")
+def quota_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.quota(t.read(spark, sf_dir, "events"), "user_id", "ts", 3, 50, "event_id").select("event_id", "within_quota")
+
+
+@query("SELECT event_id, TRY_CAST(props->>'k' AS BIGINT) AS k FROM events")
+def parsed_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("""WITH e AS (SELECT event_id % 500 AS alert_id, event_id AS seq, event_id % 3 AS a FROM events), m AS (SELECT alert_id, min(seq) FILTER (a = 1) AS r, min(seq) FILTER (a = 0) AS k FROM e GROUP BY 1)
+SELECT alert_id, CASE WHEN r IS NOT NULL THEN 'resolved' WHEN k IS NOT NULL THEN 'acknowledged' ELSE 'pending' END AS status FROM m""")
+def alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    log = t.read(spark, sf_dir, "events").select((e % 500).alias("alert_id"), e.alias("seq"), F.when(e % 3 == 1, "resolve").when(e % 3 == 0, "acknowledge").otherwise("note").alias("action"))
+    return workflow.alert_state(log).select("alert_id", "status")
+
+
+# ---- fusion and output ------------------------------------------------------------------------------------------------
+_FUSE_SQL = """
+s AS (SELECT event_id, (event_id * 37) % 101 + 0.123 AS rs, 0.5 + (event_id % 50) / 100.0 AS rc, event_id % 4 = 0 AS rf, event_id % 29 = 0 AS hard, event_id % 3 AS cv, (event_id % 10) / 10.0 AS cc, event_id % 5 AS ai, (event_id % 7) / 7.0 AS ac FROM events),
+w AS (SELECT *, greatest(rc, 0.1) AS w1, CASE WHEN cv > 0 THEN 0.8 * greatest(cc, 0.1) ELSE 0 END AS w2, CASE WHEN ai > 0 THEN 0.7 * greatest(ac, 0.1) ELSE 0 END AS w3, CASE cv WHEN 1 THEN 85.0 ELSE 15.0 END AS s2, CASE ai WHEN 1 THEN 90.0 WHEN 2 THEN 55.0 ELSE 10.0 END AS s3 FROM s),
+f AS (SELECT *, (w1 * rs + w2 * s2 + w3 * s3) / (w1 + w2 + w3) AS score, (CASE WHEN rf THEN w1 ELSE 0 END + CASE WHEN cv = 1 THEN w2 ELSE 0 END + CASE WHEN ai = 1 THEN w3 ELSE 0 END) / (w1 + w2 + w3) AS vote FROM w)"""
+
+
+@query(f"""WITH {_FUSE_SQL} SELECT event_id, {ts('score * 1000')} AS score_k, hard OR vote >= 0.5 AS fake,
+CASE WHEN hard OR score >= 60 THEN 'high' WHEN score >= 35 OR vote >= 0.5 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN hard OR vote >= 0.5 THEN 'fake' WHEN score < 30 THEN 'real' ELSE 'suspicious' END AS label FROM f""")
+def fused_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    none = F.array().cast("array<string>")
+    df = t.read(spark, sf_dir, "events").select(
+        "event_id",
+        F.struct(((e * 37) % 101 + 0.123).cast("double").alias("suspicion_score"), (e % 4 == 0).alias("is_fake"), (F.lit(0.5) + (e % 50) / 100.0).alias("confidence"), (e % 29 == 0).alias("high_severity_hit"), none.alias("reasons")).alias("rules"),
+        F.when(e % 3 > 0, F.struct(F.when(e % 3 == 1, "high").otherwise("low").alias("risk_level"), ((e % 10) / 10.0).alias("confidence"), none.alias("risk_reasons"))).alias("cross_validation"),
+        F.when(e % 5 > 0, F.struct(F.when(e % 5 == 1, "fake").when(e % 5 == 2, "suspicious").otherwise("real").alias("label"), ((e % 7) / 7.0).alias("confidence"), none.alias("risk_factors"))).alias("ai"),
+        none.alias("warnings"),
+    )
+    f = decision.fuse(df)
+    w = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x["weight"])
+    exact = F.expr("(greatest(rules.confidence, 0.1D) * rules.suspicion_score + coalesce(cross_validation.confidence * 0 + 0.8D * greatest(cross_validation.confidence, 0.1D) * CASE WHEN cross_validation.risk_level = 'high' THEN 85D ELSE 15D END, 0D) + coalesce(ai.confidence * 0 + 0.7D * greatest(ai.confidence, 0.1D) * CASE ai.label WHEN 'fake' THEN 90D WHEN 'suspicious' THEN 55D ELSE 10D END, 0D)) / (greatest(rules.confidence, 0.1D) + coalesce(cross_validation.confidence * 0 + 0.8D * greatest(cross_validation.confidence, 0.1D), 0D) + coalesce(ai.confidence * 0 + 0.7D * greatest(ai.confidence, 0.1D), 0D))")
+    # the fused score is rounded to hundredths; thousandths of it are asked where it agrees with the formula, else -1
+    ok = (F.abs(F.col("fused_score") - exact) <= 0.0050001) & (F.abs(w - 1) < 0.001)
+    return f.select("event_id", F.when(ok, times(exact, 1000)).otherwise(-1).alias("score_k"), F.col("fused_fake").alias("fake"), F.col("fused_risk").alias("risk"), F.col("fused_label").alias("label"))
+
+
+_OUT_SQL = """o AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'fake' WHEN 1 THEN 'suspicious' ELSE 'real' END AS risk_level, (event_id % 97) / 97.0 AS confidence, CASE WHEN event_id % 2 = 0 THEN event_id % 5 END AS platforms, event_id % 4 AS violations FROM events),
+b AS (SELECT *, CASE risk_level WHEN 'fake' THEN least(floor(confidence * 100), 49) WHEN 'suspicious' THEN least(greatest(floor(confidence * 100), 50), 79) ELSE greatest(floor(confidence * 100), 80) END AS s FROM o),
+c AS (SELECT *, CASE WHEN platforms >= 3 THEN least(s + 5, 100) WHEN platforms = 0 THEN greatest(s - 10, 0) ELSE s END AS s2 FROM b)"""
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    df = t.read(spark, sf_dir, "events").select("event_id", F.when(e % 3 == 0, "fake").when(e % 3 == 1, "suspicious").otherwise("real").alias("risk_level"), ((e % 97) / 97.0).alias("confidence"), F.when(e % 2 == 0, e % 5).alias("platforms"), (e % 4).alias("violations"))
+    return df.withColumn("score", output.output_score(F.col("confidence"), F.col("risk_level"), F.col("platforms"), F.col("violations")))
+
+
+@query(f"WITH {_OUT_SQL} SELECT event_id, CAST(greatest(s2 - violations * 5, 0) AS INT) AS score FROM c")
+def output_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(spark, sf_dir).select("event_id", "score")
+
+
+@query(f"WITH {_OUT_SQL} SELECT event_id, CASE WHEN risk_level = 'fake' THEN 'critical' ELSE 'warning' END AS alert_level FROM c WHERE risk_level = 'fake' OR (risk_level = 'suspicious' AND confidence < 0.4)")
+def alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return output.alerts(_verdicts(spark, sf_dir)).select("event_id", "alert_level")
+
+
+@query(f"WITH {_OUT_SQL} SELECT count(*) AS total, count(*) FILTER (risk_level = 'real') AS real, count(*) FILTER (risk_level = 'suspicious') AS suspicious, count(*) FILTER (risk_level = 'fake') AS fake, count(*) FILTER (risk_level <> 'real') AS high_risk FROM c")
+def verdict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return output.summary(_verdicts(spark, sf_dir)).select("total", "real", "suspicious", "fake", "high_risk")
+
+
+@query("""WITH x AS (SELECT event_id, unnest(list_filter([CASE WHEN event_id % 2 = 0 THEN 'geo' END, CASE WHEN event_id % 3 = 0 THEN 'text' END, CASE WHEN event_id % 5 = 0 THEN 'copy' END], lambda v: v IS NOT NULL)) AS violation FROM events) SELECT violation, count(*) AS n FROM x GROUP BY 1""")
+def top_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return output.top_violations(t.detections(spark, sf_dir), column="reasons")
+
+
+@query("""WITH m AS (SELECT event_id AS record_id, k AS platform, (event_id + k) % 3 = 0 OR (event_id % 6 = 1) AS found, ((event_id * (k + 1)) % 10) / 10.0 AS similarity FROM events, range(3) r(k))
+SELECT record_id, count(*) FILTER (found) AS n_found, CASE count(*) FILTER (found) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk_level,
+CAST(floor(least(coalesce(count(*) FILTER (found) / 3.0 * 0.6 + avg(similarity) FILTER (found AND similarity > 0) * 0.4, count(*) FILTER (found) / 3.0), 1.0) * 1000000 + 0.5) AS BIGINT) AS confidence_m FROM m GROUP BY 1""")
+def cross_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = F.col("event_id"), F.col("platform")
+    m = t.read(spark, sf_dir, "events").select("event_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("platform"))
+    m = m.select(e.alias("record_id"), "platform", (((e + k) % 3 == 0) | (e % 6 == 1)).alias("found"), (((e * (k + 1)) % 10) / 10.0).alias("similarity"), F.lit(30.0).alias("latitude"), F.lit(110.0).alias("longitude"))
+    return crossval.validate(m).select("record_id", "n_found", "risk_level", times(F.col("confidence"), 1e6).alias("confidence_m"))
+
+
+@query("""WITH p AS (SELECT c_custkey, '1' || lpad(CAST((c_custkey * 7919000) % 10000000000 AS VARCHAR), 10, '0') AS phone FROM customer)
+SELECT c_custkey, regexp_replace(c_name, '[#_]', '', 'g') AS name, regexp_matches(phone, '^1[3-9][0-9]{9}$') AS valid_phone FROM p JOIN customer USING (c_custkey)""")
+def cleaned_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    df = t.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.concat(F.lit("1"), F.lpad(((c * 7919000) % 10000000000).cast("string"), 10, "0")).alias("phone"), F.lit(39.9).alias("latitude"), F.lit(116.4).alias("longitude"))
+    return preprocess.preprocess(df).select("c_custkey", "name", (~F.exists("warnings", lambda w: w.startswith("电话"))).alias("valid_phone"))
+
+
+@query()
+def address_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    some = F.array(*[F.lit(x) for x in ("北京市朝阳区建国路88号SOHO大厦", "广东省深圳市南山区科技园路1号", "上海浦东新区世纪大道100号", "四川省成都市武侯区人民南路4段", "无名小路")])
+    a = t.read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.get(some, (n % 5).cast("int")), n.cast("string")).alias("address"))
+    return address.short_parse(address.parse(a, to="p"), to="s").select("n_nationkey", "p.full_address", "p.confidence", "p.is_complete", F.col("s.province").alias("province"), F.col("s.confidence").alias("short_confidence"))
+
+
+@query()
+def model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest on the features of scored documents, held against the labels of rows it didn't see."""
+    s = ml.hybrid_features(_scored_documents(spark, sf_dir))
+    truth = t.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"), (F.col("quality") == 0).cast("int").alias("label"))
+    rows = s.join(truth, "seq").select("seq", "label", *[f"f_{n}" for n in ml.HYBRID])
+    train, test = ml.stratified_split(rows, "seq")
+    return ml.evaluate(ml.predict(ml.train(train), test), truth, "seq")
