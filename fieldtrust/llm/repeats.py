@@ -25,6 +25,7 @@ GRAM = 19
 SPAN = LENGTH - GRAM + 1  # a passage has this many places for its anchor
 LEFT, RIGHT = SPAN - 1, LENGTH
 BLOCK = 1 << 17
+BATCH = 8000
 CHUNK_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -214,11 +215,33 @@ def _members(iv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + iv[which, 0]
 
 
-def repeat_groups(ctx: np.ndarray, lens: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of contexts, which passages occur elsewhere: rows (context, first and last number of bytes before the anchor, least id of a text with the passage)."""
-    right, right_lcp = sorted_suffixes(ctx[:, LEFT:], lens[:, 1])
-    left, left_lcp = sorted_suffixes(ctx[:, LEFT - 1 :: -1] if LEFT else ctx[:, :0], lens[:, 0])
-    iv = lcp_intervals(right_lcp, GRAM)
+def repeat_groups(ctx: np.ndarray, lens: np.ndarray, low: np.ndarray, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts, which passages occur elsewhere: rows (context, first and last number of bytes before the anchor, least id of a text with the passage), by context.
+
+    With ``high``, the greatest id of each context's texts, only rows that concern one of them. Suffixes that share no
+    anchor are taken some thousands at a time.
+    """
+    right, lcp = sorted_suffixes(ctx[:, LEFT:], lens[:, 1])
+    high = np.full(len(ctx), LAST) if high is None else high
+    cuts = np.append(np.flatnonzero(lcp < GRAM), len(ctx))
+    rows, lo = [(np.empty(0, np.int64),) * 4], 0
+    while lo < len(ctx):
+        k = int(np.searchsorted(cuts, lo + BATCH, side="right")) - 1
+        hi = int(cuts[k] if cuts[k] > lo else cuts[k + 1])
+        part = right[lo:hi]
+        u, a, b, m = _groups_of(ctx[part], lens[part], low[part], np.concatenate([[0], lcp[lo + 1 : hi]]))
+        keep = m < high[part[u]]
+        rows.append((part[u[keep]], a[keep], b[keep], m[keep]))
+        lo = hi
+    u, a, b, m = (np.concatenate([r[k] for r in rows]) for k in range(4))
+    order = np.argsort(u, kind="stable")
+    return u[order], a[order], b[order], m[order]
+
+
+def _groups_of(ctx: np.ndarray, lens: np.ndarray, low: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for contexts in the order of their right sides, whose common prefixes are ``lcp``."""
+    left, left_lcp = sorted_suffixes(ctx[:, LEFT - 1 :: -1], lens[:, 0])
+    iv = lcp_intervals(lcp, GRAM)
     # a context stands for all its places in a chunk: it is a group by itself
     before, after = lens[:, 0].astype(np.int64), lens[:, 1].astype(np.int64)
     itself = np.flatnonzero((after >= LENGTH - LEFT) & (before + after >= LENGTH))
@@ -232,8 +255,7 @@ def repeat_groups(ctx: np.ndarray, lens: np.ndarray, low: np.ndarray) -> tuple[n
     diverse = iv
     if len(iv):
         whole = classes(LEFT)
-        which, at = _members(iv)
-        member = right[at]
+        which, member = _members(iv)
         heads = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
         plain = np.minimum.reduceat(whole[member], heads) == np.maximum.reduceat(whole[member], heads)
         # the same LEFT bytes stand before all of a plain group: it only goes on to the left
@@ -245,8 +267,7 @@ def repeat_groups(ctx: np.ndarray, lens: np.ndarray, low: np.ndarray) -> tuple[n
         some = diverse[(diverse[:, 3] < LENGTH - o) & (diverse[:, 2] >= LENGTH - o)]
         if not len(some):
             continue
-        which, at = _members(some)
-        member = right[at]
+        which, member = _members(some)
         inside = lens[member, 0] >= o
         which, member = which[inside], member[inside]
         if not len(member):
@@ -273,9 +294,7 @@ def _groups(contexts: DataFrame) -> DataFrame:
         ctx = np.concatenate([np.frombuffer(ch.unsqueeze(x), np.uint8).reshape(-1, LEFT + RIGHT) for x in pdf["a"]])
         lens = np.concatenate([np.frombuffer(ch.unsqueeze(x), np.uint8).reshape(-1, 2) for x in pdf["b"]])
         low, high = (np.concatenate([ch.got(x, np.int64) for x in pdf[c]]) for c in ("c", "d"))
-        u, a, b, m = repeat_groups(ctx, lens, low)
-        keep = m < high[u]
-        u, a, b, m = u[keep], a[keep], b[keep], m[keep]
+        u, a, b, m = repeat_groups(ctx, lens, low, high)
         sizes = np.array([len(ch.got(x, np.int64)) for x in pdf["c"]])
         ends = np.cumsum(sizes)
         edges = np.concatenate([[0], np.searchsorted(u, ends)])
