@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from fieldtrust.functions.text import text_of
 from fieldtrust.operators.spatial import platform_spread
@@ -15,7 +16,7 @@ COORDINATE_METRES = 500.0
 REASONS = {"none": "所有平台均未找到匹配POI，可能是虚构数据", "one": "仅单个平台存在记录，存在虚假风险"}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest-matching-blocks ratio; no built-in has it."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
