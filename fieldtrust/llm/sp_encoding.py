@@ -29,6 +29,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BATCH_CHARS = 1_000_000
 CACHE = 400_000
+LINE = 128
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -162,10 +163,12 @@ class _Encoder:
         self.tok, self.sp = build(self.spec), SentencePieceProcessor(model_proto=raw)
         self.plain = not (self.spec.charsmap or self.spec.squeeze_spaces)
         self.by_words = self.plain and self.spec.dummy_prefix and self.spec.escape_spaces and not crosses_words(self.spec)
+        self.marked = np.array([p.startswith(SPACE) for p, *_ in self.spec.pieces], bool)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.pending: list[list[np.ndarray]] = [[], [], [], []]
         self.table = [np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool), np.empty(0, bool)]
 
     def keep(self, words: list[str]) -> None:
@@ -188,6 +191,33 @@ class _Encoder:
         same = np.array([a == b.replace(SPACE, " ") for a, b in zip(back, whole, strict=True)], bool)
         return theirs, parity, same
 
+    def learn(self, words: list[str], line: int) -> None:
+        """Encode new words, ``line`` of them to a text: with one mark each, at its front, a word begins where a piece with the mark does."""
+        lines = [words[i : i + line] for i in range(0, len(words), line)]
+        # the first mark is the one that the model puts before a text
+        ids, parity, same = self.batch(["".join(x)[1:].replace(SPACE, " ") if x != [SPACE] else "" for x in lines])
+        for x, own, ok, back in zip(lines, ids, parity, same, strict=True):
+            own = np.array(own if x != [SPACE] else [self.sp.piece_to_id(SPACE)], np.int32)
+            starts = np.flatnonzero(self.marked[own]) if len(x) > 1 else np.zeros(1, np.int64)
+            if len(x) > 1 and not (ok and back and len(starts) == len(x)):
+                self.learn(x, 1)
+                continue
+            self.pending[0].append(own)
+            self.pending[1].append(np.diff(np.append(starts, len(own))))
+            self.pending[2].append(np.full(len(x), ok))
+            self.pending[3].append(np.full(len(x), back))
+            self.known.update(zip(x, range(len(self.known), len(self.known) + len(x)), strict=True))
+
+    def settle(self) -> None:
+        """Put what was learned into the table."""
+        if not self.pending[0]:
+            return
+        flat, ends, parity, same = self.table
+        lens = np.concatenate(self.pending[1])
+        new = (np.concatenate(self.pending[0]), ends[-1] + np.cumsum(lens), np.concatenate(self.pending[2]), np.concatenate(self.pending[3]))
+        self.table = [np.concatenate(p) for p in zip((flat, ends, parity, same), new, strict=True)]
+        self.pending = [[], [], [], []]
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, offsets, parity, round trip) of the texts."""
         if not self.by_words:
@@ -201,13 +231,9 @@ class _Encoder:
         if len(self.known) > CACHE:
             self.keep(words)
         if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            # the first mark is the one that the model puts before a text
-            ids, parity, same = self.batch([w[1:].replace(SPACE, " ") if w != SPACE else "" for w in new])
-            ids = [x if w != SPACE else [self.sp.piece_to_id(SPACE)] for x, w in zip(ids, new, strict=True)]
-            flat = np.fromiter(chain.from_iterable(ids), np.int32)
-            ends = self.table[1][-1] + np.cumsum([len(x) for x in ids])
-            self.table = [np.concatenate(p) for p in zip(self.table, (flat, ends, parity, same), strict=True)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.learn([w for w in new if w.count(SPACE) == 1 and w != SPACE], LINE)
+            self.learn([w for w in new if w.count(SPACE) != 1 or w == SPACE], 1)
+        self.settle()
         flat, ends, parity, same = self.table
         k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         lens = ends[k + 1] - ends[k]
