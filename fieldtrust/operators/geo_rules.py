@@ -51,17 +51,20 @@ def with_rates(df: DataFrame, device: str = "device_id", ts: str = "timestamp",
 def with_rates_by_arrival(df: DataFrame, device: str = "device_id", ts: str = "timestamp", seq: str = "seq") -> DataFrame:
     """As ``with_rates`` where times may fall: arrivals before a row that lie after its minute or hour began, at any later time too.
 
-    An arrival that an earlier row's hour has already dropped stays dropped. Each row is met by the earlier rows of its
-    device through a running array of times, cut at the hour of the row before.
+    A row drops all arrivals before its hour for good, so an arrival counts while no row since it, itself included, came an
+    hour or more later. Going back from the row, the greatest time so far says so. The device's times so far are one array.
     """
-    w = Window.partitionBy(device).orderBy(seq)
-    times = F.collect_list(F.col(ts)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # highest hour bound that any row up to here has applied
-    bound = F.max(F.col(ts) - 3600).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    kept = df.withColumns({"_times": times, "_bound": bound})
-    minute = F.size(F.filter("_times", lambda x: (x > F.col("_bound")) & (x > F.col(ts) - 60)))
-    hour = F.size(F.filter("_times", lambda x: x > F.col("_bound")))
-    return kept.withColumns({"minute_count": minute.cast("long"), "hour_count": hour.cast("long")}).drop("_times", "_bound")
+    w = Window.partitionBy(device).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    now = F.col(ts).cast("double")
+    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0).alias("m"), F.lit(0).alias("h"))
+
+    def step(a: Column, x: Column) -> Column:
+        top = F.greatest(a["top"], x)
+        kept = x > top - 3600
+        return F.struct(top.alias("top"), (a["m"] + (kept & (x > F.col("_now") - 60)).cast("int")).alias("m"), (a["h"] + kept.cast("int")).alias("h"))
+
+    df = df.withColumns({"_now": now, "_times": F.collect_list(now).over(w)}).withColumn("_c", F.aggregate(F.reverse("_times"), start, step))
+    return df.withColumns({"minute_count": F.col("_c.m").cast("long"), "hour_count": F.col("_c.h").cast("long")}).drop("_now", "_times", "_c")
 
 
 def frequency(p: Params = DEFAULT) -> Column:

@@ -85,10 +85,11 @@ def windowed(events: DataFrame, ts: str = "ts", width: str = "60 seconds", slide
     return events.withWatermark(ts, late).groupBy(w.alias("w"), "device_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "device_id", "n")
 
 
-def write_batches(df: DataFrame, path: str, checkpoint: str):
-    """Micro-batches to a folder each, overwritten when a batch is done again: rows arrive once."""
+def write_batches(df: DataFrame, path: str, checkpoint: str, **trigger):
+    """Micro-batches to a folder each, overwritten when a batch is done again: rows arrive once. State that times out by the clock keeps a query running: stop it, or give a trigger such as ``once=True``."""
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (out.trigger(**trigger) if trigger else out).start()
