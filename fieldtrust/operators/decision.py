@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldtrust.functions.scoring import max_or, round_half_even
 from fieldtrust.params import DEFAULT, Params
 
+# fixed values: scores by which other sources vote, and the advice by risk
 CV_SCORES = {"high": 85.0, "medium": 55.0, "low": 15.0}
 AI_SCORES = {"fake": 90.0, "suspicious": 55.0, "real": 10.0}
 OTHER_SCORE = 30.0

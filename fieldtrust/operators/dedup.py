@@ -18,13 +18,16 @@ from fieldtrust.params import DEFAULT, Params
 def with_fingerprint(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` reduced to ``(key, short, fp)``: the majority bits of the MD5 (low 64 bits) of the character pairs; ties leave a bit unset.
 
-    Pairs are exploded and their hashes summed by lanes (bits k and k + 32 in one long), all in generated code, with one
-    partial sum a text before the shuffle. ``short``: under twenty characters. ``key`` is unique.
+    Pairs are exploded and counted by text first, so that each distinct pair of a text is hashed once; hashes are summed by
+    lanes (bits k and k + 32 in one long). Both aggregations combine before their shuffles. ``short``: under twenty
+    characters. ``key`` is unique.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    h = df.select(key, t.alias("t")).select(key, F.length("t").alias("n"), F.explode_outer(grams(F.col("t"))).alias("g")).select(key, "n", md5_low(F.col("g")).alias("h"))
-    lanes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.expr("4294967297L"))).alias(f"s{k}") for k in range(32)]
-    sums = h.groupBy(key).agg(F.first("n").alias("n"), F.count("h").alias("m"), *lanes)
+    one = df.select(key, t.alias("t")).select(key, F.length("t").alias("n"), F.explode_outer(grams(F.col("t"))).alias("g")).groupBy(key, "n", "g").agg(F.count("g").alias("c"))
+    # a generator's output is computed once; a plain column would be put into each of the 32 sums
+    h = one.select(key, "n", "c", F.explode(F.array(md5_low(F.col("g")))).alias("h"))
+    lanes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.expr("4294967297L")) * F.col("c")).alias(f"s{k}") for k in range(32)]
+    sums = h.groupBy(key).agg(F.first("n").alias("n"), F.sum("c").alias("m"), *lanes)
     fp = F.lit(0).cast("long")
     for k in range(32):
         low, high = F.col(f"s{k}").bitwiseAND(F.expr("4294967295L")), F.shiftrightunsigned(f"s{k}", 32)
