@@ -134,6 +134,21 @@ def _split(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
     return np.concatenate(copies) if copies else np.empty(0, np.int64), pdf[pdf["range"] >= 0]
 
 
+def _surroundings(raw: np.ndarray, places: np.ndarray, hashes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A row of bytes for each place: its hash, LEFT bytes before and RIGHT bytes from it on (zero beyond the text), and how many of each lie in the text."""
+    k = np.arange(-LEFT, RIGHT)
+    padded = np.concatenate([np.zeros(LEFT, np.uint8), raw, np.zeros(RIGHT, np.uint8)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, LEFT + RIGHT)
+    out = np.empty((len(places), 8 + LEFT + RIGHT + 2), np.uint8)
+    for lo in range(0, len(places), BATCH):  # the index matrices stay small
+        s = slice(lo, lo + BATCH)
+        inside = (k >= -before[s, None]) & (k < after[s, None])
+        out[s, :8] = hashes[s, None].astype(">u8").view(np.uint8)
+        out[s, 8:-2] = windows[places[s]] * inside
+        out[s, -2], out[s, -1] = before[s], after[s]
+    return out
+
+
 def _contexts(chunks: DataFrame, told: DataFrame, ranges: int) -> DataFrame:
     """What surrounds the shared anchors, each distinct context of a chunk once.
 
@@ -159,13 +174,9 @@ def _contexts(chunks: DataFrame, told: DataFrame, ranges: int) -> DataFrame:
             if not len(places):
                 continue
             before, after = np.minimum(LEFT, places - (ends - sizes)[doc]), np.minimum(RIGHT, ends[doc] - places)
-            k = np.arange(-LEFT, RIGHT)
-            padded = np.concatenate([np.zeros(LEFT, np.uint8), raw, np.zeros(RIGHT, np.uint8)])
-            ctx = np.lib.stride_tricks.sliding_window_view(padded, LEFT + RIGHT)[places]
-            ctx[(k < -before[:, None]) | (k >= after[:, None])] = 0
-            lens = np.stack([before, after], axis=1).astype(np.uint8)
-            whole = np.concatenate([hashes[:, None].astype(">u8").view(np.uint8), ctx, lens], axis=1)
-            _, first, which = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            whole = _surroundings(raw, places, hashes, before, after)
+            ctx, lens = whole[:, 8:-2], whole[:, -2:]
+            _, first, which = np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
             ids = np.array([LAST if i is None or i != i else int(i) for i in row.ids], np.int64)[doc]
             low, high = np.full(len(first), LAST), np.full(len(first), np.iinfo(np.int64).min)
             np.minimum.at(low, which, ids)
@@ -328,7 +339,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     that repeat an id take nothing from each other. A passage that very many texts hold leaves each chunk once.
     """
     packed = ch.pack(docs, "repeat-chunks", CHUNK_BYTES)
-    ranges = ch.ranges_for(packed, 2)
+    ranges = ch.ranges_for(packed, 3)
     spark: SparkSession = docs.sparkSession
     copies = written(_copies(packed), "repeat-copies")
     told = written(_shared(_asked(packed, ranges)), "repeat-shared").unionAll(copies)
