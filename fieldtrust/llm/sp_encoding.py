@@ -27,8 +27,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-BATCH_CHARS = 1_000_000
-CACHE = 400_000
+BATCH_CHARS = 250_000
+CACHE = 120_000
 LINE = 128
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -257,6 +257,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, shipped: bool
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks left in a worker that Spark uses again
         with open(SparkFiles.get(model) if shipped else model, "rb") as f:
             encoder = _Encoder(f.read(), threads)
         for batch in batches:
