@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.llm import decontamination, quality, simhash, sp_encoding, surrogates
+from fieldtrust.llm import decontamination, quality, shingle_join, sp_encoding, surrogates
 from fieldtrust.llm.common import table, written
 
 
@@ -23,8 +23,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    """One document of each group that shares five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return shingle_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ STAGES = [
     ("encoding", encode),
 ]
 
-#: Neither training nor SimHash nor piece encoding can be said in SQL; the stages are tested against brute force.
+#: Neither training nor shingle sets nor piece encoding can be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -25,19 +25,25 @@ SMALL = 12
 TILE = 1024
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of the word shingles of ``text`` (A-Z lowered); no words give 0."""
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 of each word shingle of ``text`` (A-Z lowered) in turn; fewer words than ``width`` are one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) < width:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - width + 1
     pieces = [joined[a:b] for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, n)
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """Majority bits of the XXH64 of the word shingles of ``text`` (A-Z lowered); no words give 0."""
+    h = shingle_hashes(text, width, seed)
+    n = len(h)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
