@@ -17,6 +17,7 @@ from fieldtrust.llm.decontamination import text_key
 
 KEY = "fieldtrust"
 ROUNDS = 40
+WIDEN = 3  # a name gets one more syllable every so many draws, an e-mail address one more character after the first so many
 # fixed values: forms of address by gender
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "господин", "κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "госпожа", "κυρία")
@@ -82,6 +83,7 @@ def _name(script: str, family: bool) -> str:
     syl, male, female = SYLLABLES[script]
     one = lambda xs, i: f"element_at(array({', '.join(repr(x) for x in xs)}), 1 + {_byte(i)} % {len(xs)})"
     body = ", ".join(one(syl, str(k)) for k in range(4 if family else 3))
+    body += f", array_join(transform(slice(sequence(10, 62), 1, attempt div {WIDEN}), i -> {one(syl, 'i')}), '')"
     if family:
         return f"concat({body}, {one(male, '9')})"
     return f"concat({body}, CASE WHEN kind like '%female%' THEN {one(female, '9')} ELSE {one(male, '9')} END)"
@@ -97,7 +99,10 @@ def _draw() -> Column:
     ipv4 = f"concat_ws('.', 240 + {_byte('0')} % 15, {_byte('1')}, {_byte('2')}, {_byte('3')})"
     hexed = f"array_join(transform(split(norm, ''), (c, i) -> {_pick('0123456789abcdef', 'i')}), '')"
     secret = f"CASE WHEN norm rlike '^[0-9a-f]+$' THEN {hexed} ELSE {_by_class('4')} END"
-    email = f"""concat(substring_index({_by_class()}, '.', size(split(norm, '[.]')) - 1), '.', substring_index(norm, '.', -1))"""
+    # more characters of the first one's class and script go before it
+    wider = f"""array_join(transform(slice(sequence(62, 10, -1), 1, greatest(0, attempt div {WIDEN} - 1)), i -> CASE WHEN norm rlike '^[0-9]' THEN {_pick('0123456789', 'i')}
+        WHEN norm rlike '^\\\\p{{IsCyrillic}}' THEN {_pick(ALPHABETS['cyrillic'], 'i')} WHEN norm rlike '^\\\\p{{IsGreek}}' THEN {_pick(ALPHABETS['greek'], 'i')} ELSE {_pick(ALPHABETS['latin'], 'i')} END), '')"""
+    email = f"""concat({wider}, substring_index({_by_class()}, '.', size(split(norm, '[.]')) - 1), '.', substring_index(norm, '.', -1))"""
     plain = _by_class("4")
     as_digits = f"regexp_replace(concat(substring({plain}, 5), left(norm, 2), '00'), '[^0-9A-Z]', '')"
     mod = f"aggregate(split({as_digits}, ''), 0, (r, c) -> CASE WHEN c rlike '[0-9]' THEN (r * 10 + cast(c as int)) % 97 ELSE (r * 100 + ascii(c) - 55) % 97 END)"
@@ -107,7 +112,10 @@ def _draw() -> Column:
 
 
 def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """Distinct ``(kind, norm)`` to ``(kind, norm, surrogate)``: no two of a kind share one, and none is an entity of its kind."""
+    """Distinct ``(kind, norm)`` to ``(kind, norm, surrogate)``: no two of a kind share one, and none is an entity of its kind.
+
+    Names and e-mail addresses that keep meeting grow, so their room exceeds any number of them.
+    """
     stream = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), "kind", "norm", F.col("attempt").cast("string"), F.lit(str(k))), 256) for k in range(2)])
 
     def drawn(df: DataFrame) -> DataFrame:
@@ -149,7 +157,8 @@ def _rendered() -> Column:
     """The surrogate in the format of ``form``: its separators, its case, a person's form of address."""
     s = "s[0]"
     spaced = "array_join(transform(split(form, ''), (c, i) -> CASE WHEN c rlike '[0-9A-Z]' THEN substring(s[0], length(regexp_replace(substring(form, 1, i + 1), '[^0-9A-Z]', '')), 1) ELSE c END), '')"
-    cased = "array_join(transform(split(form, ''), (c, i) -> CASE WHEN c rlike '\\\\p{Lu}' THEN upper(substring(s[0], i + 1, 1)) ELSE substring(s[0], i + 1, 1) END), '')"
+    more = "(length(s[0]) - length(form))"  # a widened address is longer than its form
+    cased = f"concat(CASE WHEN form = upper(form) THEN upper(left(s[0], {more})) ELSE left(s[0], {more}) END, array_join(transform(split(form, ''), (c, i) -> CASE WHEN c rlike '\\\\p{{Lu}}' THEN upper(substring(s[0], {more} + i + 1, 1)) ELSE substring(s[0], {more} + i + 1, 1) END), ''))"
     capitals = "CASE WHEN form = upper(form) THEN upper(s[0]) ELSE s[0] END"
     person = "concat(substring_index(form, ' ', 1), ' ', array_join(transform(s, x -> concat(upper(left(x, 1)), substring(x, 2))), ' '))"
     return F.expr(f"CASE WHEN kind IN ('phone', 'card', 'ssn', 'iban') THEN {spaced} WHEN kind = 'email' THEN {cased} WHEN kind = 'secret' THEN {capitals} WHEN kind = 'person' THEN {person} ELSE {s} END")
