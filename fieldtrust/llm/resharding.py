@@ -9,16 +9,18 @@ parameter, not the data's), then every row finds its place from its position in
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fieldtrust.llm.common import written
+from fieldtrust.llm.common import scratch
 
 ROW_OVERHEAD = 16
 SIZE_CLASSES = 24
+FILE_ROWS = 5000
 
 
 class Flow:
@@ -128,10 +130,10 @@ PLAN = T.StructType([T.StructField(c, T.LongType()) for c in ("old_shard", "size
 
 
 def reshard(docs: DataFrame, old_shards: int = 32, new_shards: int = 40, old_shard: Column | None = None, salts: int = 64) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, size, text_crc32, old_shard, size_class, shard, slot, moved)``.
+    """``docs(doc_id, text)`` to ``(doc_id, size, text_crc32, old_shard, size_class, shard, slot, moved, touched, text)``.
 
-    The old layout is ``old_shard`` or, by default, a hash of id and text. Nothing but ids, sizes and checksums is
-    shuffled. Positions are counted in (block, salt) windows whose offsets come from a table of at most
+    The old layout is ``old_shard`` or, by default, a hash of id and text. ``touched`` are the rows of blocks that lose
+    some; only these carry their ``text`` along, of all others nothing but ids, sizes and checksums is shuffled. Positions are counted in (block, salt) windows whose offsets come from a table of at most
     ``old_shards * SIZE_CLASSES * salts`` counts, so no task numbers more than a sliver of the rows. A null text has the
     size 16 and checksum 0; rows with a null id or repeated ids are placed like any other; an empty table gives no rows.
     """
@@ -145,13 +147,16 @@ def reshard(docs: DataFrame, old_shards: int = 32, new_shards: int = 40, old_sha
         old.cast("long").alias("old_shard"),
         F.least(F.floor(F.log2(size.cast("double"))), F.lit(SIZE_CLASSES - 1)).cast("long").alias("size_class"),
         F.pmod(F.xxhash64("text", "doc_id", F.lit(7)), F.lit(salts)).alias("salt"),
+        "text",
     )
-    rows = written(rows, "reshard-rows")
     # what moves is taken from the end of a block, and blocks hold like sizes
     counts = rows.groupBy("old_shard", "size_class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     counts = counts.toPandas().sort_values(["old_shard", "size_class", "salt"]).reset_index(drop=True)
     per_block = counts.groupby(["old_shard", "size_class"], as_index=False)[["n", "bytes"]].sum()
     plan = solve_transfers([tuple(map(int, x)) for x in per_block.itertuples(index=False)], new_shards)
+    losing = sorted({a * SIZE_CLASSES + b for a, b, _, _, j in plan if j != a})
+    touched = (F.col("old_shard") * SIZE_CLASSES + F.col("size_class")).isin(losing) if losing else F.lit(False)
+    rows = rows.withColumn("touched", touched).withColumn("text", F.when(F.col("touched"), F.col("text")))
     counts["before"] = counts.groupby(["old_shard", "size_class"])["n"].cumsum() - counts["n"]
     ends, frames = [0] * new_shards, []
     for a, b, first, end, j in plan:
@@ -180,23 +185,33 @@ def reshard(docs: DataFrame, old_shards: int = 32, new_shards: int = 40, old_sha
             F.col("hit.shard").cast("int").alias("shard"),
             (F.col("hit.slot") + F.col("k") - F.col("hit.first")).alias("slot"),
             (F.col("hit.shard") != F.col("old_shard")).alias("moved"),
+            "touched", "text",
         )
     )
 
 
 def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> DataFrame:
-    """Write the rows of every (old shard, block) that loses or every shard that gains rows below ``path`` by shard; blocks that keep all their rows aren't rewritten.
+    """Write the rows of every block that loses rows below ``path`` by new shard, a shard in several files; returns them as read from there.
 
-    ``docs`` and ``placed`` meet on id and checksum, so the pair must be unique; returns the rows written.
+    Blocks that keep all their rows aren't rewritten. ``placed`` is what ``reshard(docs)`` returns: its touched rows bring
+    their own text, so rows without an id and repeated ones are written as often as they occur.
     """
-    touched = placed.groupBy("old_shard", "size_class").agg(F.max("moved").alias("touched")).where("touched").drop("touched")
-    moved = placed.join(F.broadcast(touched), ["old_shard", "size_class"])
-    key = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
-    out = docs.withColumn("text_crc32", key).join(moved.select("doc_id", "text_crc32", "shard", "slot"), ["doc_id", "text_crc32"])
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
-    return out
+    out = placed.where("touched").select(docs.columns[0], docs.columns[1], "slot", "old_shard", "size_class", "moved", "shard")
+    dealt = out.repartition("shard", F.floor(F.col("slot") / FILE_ROWS)).sortWithinPartitions("shard", "slot")
+    dealt.write.partitionBy("shard").mode("overwrite").parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def resharded(docs: DataFrame, old_shards: int = 32, new_shards: int = 40) -> DataFrame:
+    """The new layout, ``(doc_id, size, text_crc32, shard, slot, old_shard, moved)``: rewritten rows as their files hold them, then the untouched blocks."""
+    placed = reshard(docs, old_shards, new_shards)
+    files = rewrite_affected(docs, placed, f"{scratch(docs.sparkSession)}/reshard-files-{uuid.uuid4().hex}")
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32")
+    names = ["doc_id", "size", "text_crc32", "shard", "slot", "old_shard", "moved"]
+    new = files.select("doc_id", text_size(F.col("text")).alias("size"), crc, *names[3:])
+    return new.unionByName(placed.where("not touched").select(*names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return reshard(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+    return resharded(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
