@@ -91,25 +91,31 @@ def info(lat: Column, lon: Column, p: Params = DEFAULT) -> Column:
     )
 
 
-def neighbours(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, key: str = "record_id", lat_limit: float = 85.0) -> DataFrame:
+def neighbours(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, key: str = "record_id") -> DataFrame:
     """Pairs of a point and the other points within a radius: (key, other key, metres).
 
     Both sides are dealt to cells a radius wide; a point asks its own cell and the cells around it, so the join is on equal
-    cells. ``others`` needs ``other_id``, ``latitude``, ``longitude``. Cells are wide enough up to ``lat_limit`` degrees; points
-    beyond it share one polar band each.
+    cells. ``others`` needs ``other_id``, ``latitude``, ``longitude``. Cells span more degrees of longitude the nearer the pole;
+    the few rows of cells around it have one column each.
     """
     step = radius_m / 111_000.0
     row = lambda lat: F.floor(lat / step)
-    # the width of a degree at the row's edge that is nearer the pole, so that all points of a row have the same columns
-    width = lambda r: F.greatest(F.cos(F.radians(F.least((F.abs(r) + 2) * step, F.lit(lat_limit)))), F.lit(math.cos(math.radians(lat_limit))))
+
+    def width(r: Column) -> Column:
+        """Cells in a degree of longitude, the same for all points of a row: none is narrower than the radius where it or a row beside it is nearest the pole."""
+        low, high = (F.abs(r) - 1) * step, (F.abs(r) + 2) * step
+        least = F.when(high < 90, F.cos(F.radians(high))).when(low > 90, F.abs(F.cos(F.radians(low)))).otherwise(0.0)
+        half = math.sin(math.radians(min(step, 180.0)) / 2)
+        return F.when(least > half, 1 / F.degrees(2 * F.asin(half / least))).otherwise(1 / 360.0)
+
     around = F.explode(F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)]))
+    turn = F.greatest(F.floor(F.lit(360.0) * width(F.col("r"))), F.lit(1))
     a = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(key, F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
     a = a.select("*", around.alias("dr")).withColumn("r", row(F.col("la")) + F.col("dr"))
-    a = a.withColumn("c0", F.floor(F.col("lo") * width(F.col("r")) / step)).select("*", around.alias("dc")).withColumn("c", F.col("c0") + F.col("dc"))
-    turn = F.floor(F.lit(360.0) * width(F.col("r")) / step)
-    a = a.withColumn("c", F.pmod("c", F.greatest(turn, F.lit(1))))
+    a = a.withColumn("c0", F.floor(F.col("lo") * width(F.col("r")))).select("*", around.alias("dc"))
+    a = a.withColumn("c", F.pmod(F.col("c0") + F.col("dc"), turn))
     b = others.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select("other_id", F.col("latitude").alias("lb"), F.col("longitude").alias("lp")).withColumn("r", row(F.col("lb")))
-    b = b.withColumn("c", F.pmod(F.floor(F.col("lp") * width(F.col("r")) / step), F.greatest(F.floor(F.lit(360.0) * width(F.col("r")) / step), F.lit(1))))
+    b = b.withColumn("c", F.pmod(F.floor(F.col("lp") * width(F.col("r"))), turn))
     m = geo.haversine_m(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp"))
     return a.join(b, ["r", "c"]).withColumn("metres", m).where(F.col("metres") <= radius_m).select(key, "other_id", "metres").distinct()
 
