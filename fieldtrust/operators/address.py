@@ -114,16 +114,22 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(n > 0, total / n).otherwise(positional_similarity(a["prepared"], b["prepared"]) * 0.5)
 
 
-def similar_addresses(df: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
-    """The k likest of a short list of candidates for each address: ``df(record_id, address)``, ``candidates(candidate_id, address)``.
+def similar_addresses(df: DataFrame, candidates: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
+    """The k likest candidates for each address of a stated list: ``df(record_id, address)``, ``candidates(candidate_id, address)``; ties by ``candidate_id``.
 
-    Candidates are a stated query list; each task meets them through a join that Spark broadcasts when they are small.
+    The addresses asked are counted and go to the candidates in blocks of about ``block``, a broadcast each; candidates may be any number.
     """
     a = parse(df.select("record_id", "address"), to="a").select("record_id", "a")
     b = parse(candidates.select("candidate_id", "address"), to="b").select("candidate_id", "b")
-    scored = a.join(b, F.lit(True)).select("record_id", "candidate_id", similarity(F.col("a"), F.col("b")).alias("similarity"))
+    blocks = max(1, -(-df.count() // block))
     w = Window.partitionBy("record_id").orderBy(F.col("similarity").desc(), "candidate_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = None
+    for i in range(blocks):
+        asked = F.broadcast(a.where(F.pmod(F.xxhash64("record_id"), F.lit(blocks)) == i))
+        scored = b.join(asked, F.lit(True)).select("record_id", "candidate_id", similarity(F.col("a"), F.col("b")).alias("similarity"))
+        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionAll(best)
+    return out
 
 
 def short_parse(df: DataFrame, address: str = "address", to: str = "parsed") -> DataFrame:

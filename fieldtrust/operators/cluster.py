@@ -10,38 +10,75 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldtrust.operators.graph import components
 from fieldtrust.params import DEFAULT, Params
 
 BLOCK_ROWS = 2048
+TOP = 10
 
 
-def similar_pairs(df: DataFrame, threshold: float = DEFAULT.cosine, key: str = "seq", vector: str = "vector") -> DataFrame:
-    """``df(key, vector)`` to pairs ``(a, b, cosine)``, a < b, at or over the threshold; vectors without length link with nothing."""
+def _block_pairs(df: DataFrame, key: str, vector: str, found, kinds: str) -> DataFrame:
+    """What ``found(ids, other ids, cosines, own)`` returns for each pair of blocks; ``own`` says that a block meets itself."""
     v = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
     n = max(1, -(-v.count() // BLOCK_ROWS))
     v = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
-    grid = df.sparkSession.range(n * n).select((F.col("id") / n).cast("long").alias("i"), (F.col("id") % n).alias("j")).where("i <= j")
-    left = v.join(grid, v.block == grid.i).select("i", "j", "id", "v")
-    right = v.join(grid, v.block == grid.j).where("i <> j").select(F.col("i").alias("ri"), F.col("j").alias("rj"), F.col("id").alias("rid"), F.col("v").alias("rv"))
+    # a vector goes to the pairs that its block is in: (block, j >= block) as the left side, (i < block, block) as the right
+    left = v.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(n - 1))).alias("j"), "id", "v")
+    right = v.where("block > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("ri"), F.col("block").alias("rj"), F.col("id").alias("rid"), F.col("v").alias("rv"))
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
-        if not len(x):
-            return empty
-        y = y.set_axis(["i", "j", "id", "v"], axis=1) if len(y) else x
-        if x.i.iloc[0] != x.j.iloc[0] and y is x:
-            return empty
-        unit = lambda d: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.vstack(d.v.to_numpy()))
-        c = unit(x) @ unit(y).T
-        i, j = np.nonzero(c >= threshold)
-        a, b = x.id.to_numpy()[i], y.id.to_numpy()[j]
-        keep = a < b if y is x else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": c[i, j][keep]})
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(compare, "a long, b long, cosine double")
+        columns = [c.split()[0] for c in kinds.split(", ")]
+        own = len(x) > 0 and x.i.iloc[0] == x.j.iloc[0]
+        if not len(x) or not (own or len(y)):
+            return pd.DataFrame(columns=columns)
+        a = unit(np.vstack(x.v.to_numpy()))
+        b, other = (a, x.id) if own else (unit(np.vstack(y.rv.to_numpy())), y.rid)
+        return pd.DataFrame(found(x.id.to_numpy(), other.to_numpy(), a @ b.T, own), columns=columns)
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(compare, kinds)
+
+
+def _ordered(ids: np.ndarray, other: np.ndarray, c: np.ndarray, own: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, j = np.nonzero(c >= threshold)
+    a, b = ids[i], other[j]
+    keep = a < b if own else a != b
+    return np.minimum(a, b)[keep], np.maximum(a, b)[keep], c[i, j][keep]
+
+
+def similar_pairs(df: DataFrame, threshold: float = DEFAULT.cosine, key: str = "seq", vector: str = "vector") -> DataFrame:
+    """``df(key, vector)`` to pairs ``(a, b, cosine)``, a < b, at or over the threshold; vectors without length link with nothing."""
+
+    def found(ids, other, c, own):
+        a, b, c = _ordered(ids, other, c, own, threshold)
+        return {"a": a, "b": b, "cosine": c}
+
+    return _block_pairs(df, key, vector, found, "a long, b long, cosine double")
+
+
+def links(df: DataFrame, threshold: float = DEFAULT.cosine, key: str = "seq", vector: str = "vector") -> DataFrame:
+    """Of the pairs at or over the threshold, ``(a, b)`` for a spanning forest of each pair of blocks: as many rows as vectors, not as pairs."""
+
+    def found(ids, other, c, own):
+        a, b, _ = _ordered(ids, other, c, own, threshold)
+        order = np.lexsort((b, a))
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = x = root[y]
+            return x
+
+        tree = []
+        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            p, q = top(x), top(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                tree.append((x, y))
+        return np.array(tree, np.int64).reshape(-1, 2)
+
+    return _block_pairs(df, key, vector, found, "a long, b long")
 
 
 def batch_clusters(df: DataFrame, p: Params = DEFAULT, key: str = "seq", vector: str = "vector") -> DataFrame:
@@ -50,29 +87,40 @@ def batch_clusters(df: DataFrame, p: Params = DEFAULT, key: str = "seq", vector:
     Adds ``cluster_id`` (the least key; -1 alone), ``cluster_size`` (alone: the number of all that are alone),
     ``is_cluster_anomaly`` (a cluster of more than five) and ``semantic_score``.
     """
-    parts = components(similar_pairs(df, p.cosine, key, vector).select("a", "b"))
+    parts = components(links(df, p.cosine, key, vector))
     labelled = df.join(parts, df[key] == parts.node, "left").drop("node").withColumn("cluster_id", F.coalesce("component", F.lit(-1).cast("long"))).drop("component")
-    sizes = labelled.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
+    sizes = parts.groupBy(F.col("component").alias("cluster_id")).agg(F.count("*").alias("n"))
+    # all that are alone share one size: a row by itself, not a key of the join
+    alone = F.broadcast(labelled.agg(F.count_if(F.col("cluster_id") == -1).alias("n_alone")))
+    out = labelled.join(sizes, "cluster_id", "left").join(alone).withColumn("cluster_size", F.coalesce("n", "n_alone")).drop("n", "n_alone")
     odd = (F.col("cluster_id") != -1) & (F.col("cluster_size") > p.cluster_size)
-    out = labelled.join(sizes, "cluster_id")
     return out.withColumns({"is_cluster_anomaly": odd, "semantic_score": F.when(odd, F.least(F.col("cluster_size") / 20.0, F.lit(1.0)) * 100).otherwise(0.0)})
 
 
 def prior_clusters(df: DataFrame, p: Params = DEFAULT, key: str = "seq", vector: str = "vector") -> DataFrame:
     """Each row against the rows before it; the first row of all is never stored, so nothing is like it.
 
-    Adds ``cluster_size`` (like rows and itself), ``similar_ids`` (the ten likest, then by order), ``semantic_score``.
+    Adds ``cluster_size`` (like rows and itself), ``similar_ids`` (the ten likest, then by order), ``semantic_score``. A pair of
+    blocks gives a row's count and its ten likest, not all that are like it.
     """
     first = df.agg(F.min(key)).first()[0]
-    pairs = similar_pairs(df, p.cosine, key, vector).where(F.col("a") != F.lit(first))
-    best = F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("a"))))
-    top = _ten_likest(pairs)
-    found = pairs.groupBy("b").agg(F.count("*").alias("n")).join(top.groupBy("b").agg(best["a"].alias("similar_ids")), "b")
-    out = df.join(found, df[key] == found.b, "left").drop("b")
+
+    def found(ids, other, c, own):
+        a, b, c = _ordered(ids, other, c, own, p.cosine)
+        keep = a != first
+        order = np.lexsort((a[keep], -c[keep], b[keep]))
+        a, b, c = a[keep][order], b[keep][order], c[keep][order]
+        starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.empty(0, np.int64)
+        counts = np.diff(np.append(starts, len(b)))
+        rank = np.arange(len(b)) - np.repeat(starts, counts)
+        top = rank < TOP
+        return {"b": b[top], "n": np.where(rank == 0, np.repeat(counts, counts), 0)[top], "a": a[top], "cosine": c[top]}
+
+    near = _block_pairs(df, key, vector, found, "b long, n long, a long, cosine double")
+    # at most ten of a row from each pair of blocks
+    likest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("a")))), 1, TOP)
+    found_rows = near.groupBy("b").agg(F.sum("n").alias("n"), likest["a"].alias("similar_ids"))
+    out = df.join(found_rows, df[key] == found_rows.b, "left").drop("b")
     size = F.coalesce("n", F.lit(0)) + 1
     score = F.when(size > p.cluster_size, F.least(size / 20.0, F.lit(1.0)) * 100).otherwise(0.0)
     return out.withColumns({"cluster_size": size, "semantic_score": score, "similar_ids": F.coalesce("similar_ids", F.array().cast("array<long>"))}).drop("n")
-
-
-def _ten_likest(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.col("cosine").desc(), "a"))).where("r <= 10")

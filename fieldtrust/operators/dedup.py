@@ -6,33 +6,62 @@ compared exactly. Equal fingerprints are joined once: rows are first reduced to
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fieldtrust.functions.hashing import grams, hamming, md5_low
+from fieldtrust.functions.hashing import hamming
 from fieldtrust.operators.graph import checkpoint_dir, components
+from fieldtrust.operators.layout import SEQ_BLOCK, spread
 from fieldtrust.params import DEFAULT, Params
 
+GRAMS = 1 << 18  # hashed pairs that a task remembers
+
+
+class _PairHashes(dict):
+    """The low 64 bits of the MD5 of a gram, by its code points."""
+
+    def __missing__(self, code: int) -> int:
+        if len(self) >= GRAMS:
+            self.clear()
+        gram = chr(code >> 21) + chr((code & 0x1FFFFF) - 1) if code & 0x1FFFFF else chr(code >> 21)
+        h = self[code] = int.from_bytes(hashlib.md5(gram.encode("utf-8", "surrogatepass")).digest()[8:], "big")
+        return h
+
+
+def majority_bits(text: str, hashes: dict[int, int]) -> int:
+    """The bits that more than half of the character pairs' hashes have; a single character is its own pair, the empty text gives 0."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = (c[:-1] << np.uint64(21)) | (c[1:] + np.uint64(1)) if len(c) > 1 else c << np.uint64(21)
+    distinct, n = np.unique(codes, return_counts=True)
+    h = np.fromiter(map(hashes.__getitem__, distinct.tolist()), np.uint64, len(distinct))
+    ones = n @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(h) else np.zeros(64)
+    return int.from_bytes(np.packbits(2 * ones > n.sum(), bitorder="little").tobytes(), "little")
+
 
 def with_fingerprint(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` reduced to ``(key, short, fp)``: the majority bits of the MD5 (low 64 bits) of the character pairs; ties leave a bit unset.
 
-    Pairs are exploded and counted by text first, so that each distinct pair of a text is hashed once; hashes are summed by
-    lanes (bits k and k + 32 in one long). Both aggregations combine before their shuffles. ``short``: under twenty
-    characters. ``key`` is unique.
+    Pairs are counted within the row and each distinct pair of a task is hashed once, so nothing is shuffled and a row leaves
+    as one number. ``short``: under twenty characters. Null and empty texts have fingerprint 0.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    one = df.select(key, t.alias("t")).select(key, F.length("t").alias("n"), F.explode_outer(grams(F.col("t"))).alias("g")).groupBy(key, "n", "g").agg(F.count("g").alias("c"))
-    # a generator's output is computed once; a plain column would be put into each of the 32 sums
-    h = one.select(key, "n", "c", F.explode(F.array(md5_low(F.col("g")))).alias("h"))
-    lanes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.expr("4294967297L")) * F.col("c")).alias(f"s{k}") for k in range(32)]
-    sums = h.groupBy(key).agg(F.first("n").alias("n"), F.sum("c").alias("m"), *lanes)
-    fp = F.lit(0).cast("long")
-    for k in range(32):
-        low, high = F.col(f"s{k}").bitwiseAND(F.expr("4294967295L")), F.shiftrightunsigned(f"s{k}", 32)
-        fp = fp.bitwiseOR(F.shiftleft((low * 2 > F.col("m")).cast("long"), k)).bitwiseOR(F.shiftleft((high * 2 > F.col("m")).cast("long"), k + 32))
-    return sums.select(key, (F.col("n") < DEFAULT.simhash_short).alias("short"), fp.alias("fp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _PairHashes()
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            fps = np.fromiter((majority_bits(t, hashes) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) < DEFAULT.simhash_short for t in texts], pa.bool_()), pa.array(fps.view(np.int64))], [key, "short", "fp"])
+
+    rows = spread(df.select(key, text), key)
+    kinds = T.StructType([rows.schema[key], T.StructField("short", T.BooleanType()), T.StructField("fp", T.LongType())])
+    return rows.mapInArrow(run, kinds)
 
 
 def bands(fp: Column, k: int) -> Column:
@@ -51,24 +80,30 @@ def close_pairs(fps: DataFrame, k: int = 3) -> DataFrame:
     return out.where(F.col("distance") <= k).distinct()
 
 
-def check_prior(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def check_prior(df: DataFrame, p: Params = DEFAULT, block: int = SEQ_BLOCK) -> DataFrame:
     """Adds, of the rows with a smaller ``seq``, how many are near (``similar_records``), the least distance (64 for none), ``is_duplicate`` and ``simhash_score``.
 
-    Texts under twenty characters are near only when their fingerprints are equal. ``df(seq, text, ...)``; ``seq`` is
-    unique. Earlier rows of a pair of fingerprints are counted by a window over the pair's rows, never as pairs of rows.
+    Texts under twenty characters are near only when their fingerprints are equal. ``df(seq, text, ...)``; ``seq`` is a
+    unique long. Earlier rows of a fingerprint are counted by blocks of ``seq`` and only within its own block by rank, so
+    rows are never paired and a fingerprint that very many rows share is spread over its blocks.
     """
     k = p.simhash_distance
     checkpoint_dir(df.sparkSession)
-    fps = with_fingerprint(df, "seq").checkpoint()
+    fps = with_fingerprint(df, "seq").withColumn("block", F.floor(F.col("seq") / block)).checkpoint()
     pairs = close_pairs(fps.select("fp").distinct(), k)
     pairs = pairs.checkpoint()
     near = pairs.unionAll(pairs.select("b", "a", "distance"))
     near = near.unionAll(fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"), F.lit(0).alias("distance")).distinct())
-    # all rows of fingerprint b stand, in order of seq, among the rows of fingerprint a that ask for them
-    asks = fps.join(near, fps.fp == near.a).select("seq", "short", F.col("a").alias("asker"), F.col("b").alias("fp"), "distance", F.lit(1).alias("is_ask"))
-    rows = fps.join(near.select("a", "b"), fps.fp == near.b).select("seq", "short", F.col("a").alias("asker"), "fp", F.lit(None).cast("int").alias("distance"), F.lit(0).alias("is_ask"))
-    w = Window.partitionBy("asker", "fp").orderBy("seq", F.col("is_ask").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    counted = asks.unionByName(rows).withColumn("before", F.count(F.when(F.col("is_ask") == 0, 1)).over(w)).where("is_ask = 1 AND before > 0 AND (NOT short OR distance = 0)")
+    asks = fps.withColumnRenamed("fp", "a").join(near, "a").where("NOT short OR distance = 0").select("seq", "block", F.col("b").alias("fp"), "distance")
+    # rows of a fingerprint in its earlier blocks
+    cells = fps.groupBy("fp", "block").agg(F.count("*").alias("n")).unionByName(asks.select("fp", "block", F.lit(0).cast("long").alias("n")).distinct())
+    w = Window.partitionBy("fp").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.groupBy("fp", "block").agg(F.sum("n").alias("n")).select("fp", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("earlier"))
+    # and before it in the same block: those that ask stand among them in the order of seq
+    w = Window.partitionBy("fp", "block").orderBy("seq", F.col("distance").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    both = asks.unionByName(fps.select("seq", "block", "fp", F.lit(None).cast("int").alias("distance")))
+    ranked = both.withColumn("inside", F.count(F.when(F.col("distance").isNull(), 1)).over(w)).where("distance IS NOT NULL")
+    counted = ranked.join(cells, ["fp", "block"]).withColumn("before", F.col("inside") + F.col("earlier")).where("before > 0")
     found = counted.groupBy("seq").agg(F.sum("before").alias("n"), F.min("distance").alias("d"))
     out = df.join(found, "seq", "left")
     n, d = F.coalesce("n", F.lit(0)), F.coalesce("d", F.lit(64))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; one of our own only where none is set."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Use the shared folder that the cluster names. One of our own only on a ``local`` master: elsewhere other machines would not see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fieldtrust-"))
+        path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="fieldtrust-"))
+    return sc.getCheckpointDir()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldtrust.functions.text import shorten
+from fieldtrust.operators.layout import running_count
 
 
 def filtered(df: DataFrame, equal: dict | None = None, since: str | None = None, until: str | None = None, keyword: str | None = None, tenant: int | None = None, keyword_column: str = "text", time: str = "created_at") -> DataFrame:
@@ -106,10 +107,10 @@ def fixed_window_limit(df: DataFrame, key: str, ts: str, limit: int = 100, secon
 
 
 def quota(df: DataFrame, tenant: str, time: str, daily: int = 10_000, monthly: int = 300_000, order: str = "seq") -> DataFrame:
-    """Adds the tenant's running counts of the day and the month and whether both are within their quotas."""
-    day = F.row_number().over(Window.partitionBy(tenant, F.to_date(time)).orderBy(order))
-    month = F.row_number().over(Window.partitionBy(tenant, F.date_trunc("month", time)).orderBy(order))
-    return df.withColumns({"day_count": day, "month_count": month}).withColumn("within_quota", (F.col("day_count") <= daily) & (F.col("month_count") <= monthly))
+    """Adds the tenant's running counts of the day and the month and whether both are within their quotas; a large tenant's month is spread over many tasks."""
+    df = running_count(df, [F.col(tenant), F.to_date(time)], order, "day_count")
+    df = running_count(df, [F.col(tenant), F.date_trunc("month", time)], order, "month_count")
+    return df.withColumn("within_quota", (F.col("day_count") <= daily) & (F.col("month_count") <= monthly))
 
 
 def with_tenant_params(df: DataFrame, overrides: DataFrame, defaults: dict[str, float]) -> DataFrame:

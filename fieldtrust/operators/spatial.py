@@ -96,7 +96,7 @@ def neighbours(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, k
 
     Both sides are dealt to cells a radius wide; a point asks its own cell and the cells around it, so the join is on equal
     cells. ``others`` needs ``other_id``, ``latitude``, ``longitude``. Cells span more degrees of longitude the nearer the pole;
-    the few rows of cells around it have one column each.
+    the few rows of cells around it have one column each. Each pair of rows meets in one cell, so nothing is made distinct afterwards.
     """
     step = radius_m / 111_000.0
     row = lambda lat: F.floor(lat / step)
@@ -112,12 +112,13 @@ def neighbours(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, k
     turn = F.greatest(F.floor(F.lit(360.0) * width(F.col("r"))), F.lit(1))
     a = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(key, F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
     a = a.select("*", around.alias("dr")).withColumn("r", row(F.col("la")) + F.col("dr"))
-    a = a.withColumn("c0", F.floor(F.col("lo") * width(F.col("r")))).select("*", around.alias("dc"))
-    a = a.withColumn("c", F.pmod(F.col("c0") + F.col("dc"), turn))
+    a = a.withColumns({"c0": F.floor(F.col("lo") * width(F.col("r"))), "turn": turn})
+    # near a pole a row has so few cells that the three may be the same one
+    a = a.select(key, "la", "lo", "r", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("c0") + d, F.col("turn")) for d in (-1, 0, 1)]))).alias("c"))
     b = others.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select("other_id", F.col("latitude").alias("lb"), F.col("longitude").alias("lp")).withColumn("r", row(F.col("lb")))
     b = b.withColumn("c", F.pmod(F.floor(F.col("lp") * width(F.col("r"))), turn))
     m = geo.haversine_m(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp"))
-    return a.join(b, ["r", "c"]).withColumn("metres", m).where(F.col("metres") <= radius_m).select(key, "other_id", "metres").distinct()
+    return a.join(b, ["r", "c"]).withColumn("metres", m).where(F.col("metres") <= radius_m).select(key, "other_id", "metres")
 
 
 def spatial_density(points: DataFrame, others: DataFrame, key: str = "record_id") -> DataFrame:

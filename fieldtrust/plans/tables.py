@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtrust.operators.layout import spread
 from fieldtrust.params import Params
 
 #: Rules for the prose of the test tables: a lexicon in its languages, thresholds that sometimes hold.
@@ -31,7 +32,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("record_id"), "text")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("record_id"), "text")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
