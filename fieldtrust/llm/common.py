@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset (tests), a folder of our own."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset on a ``local`` master (tests)."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -19,6 +20,8 @@ def scratch(spark: SparkSession) -> str:
             sc.setCheckpointDir(path)
         return path
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldtrust-"))
     return sc.getCheckpointDir()
 

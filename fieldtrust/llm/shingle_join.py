@@ -1,9 +1,12 @@
-"""All pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, and one row of each group.
-
-Two such sets share a shingle among the first ``n - ceil(0.8 n) + 1`` of each in any order common to all, so texts that share
-none of these are never compared and no pair is lost (shingles are 64-bit hashes). Shingles that a sample finds in several texts
-come last in the order; that saves work and changes no result. Texts that share a first shingle are compared with one of them,
-twice; only those still in different groups are then compared one by one.
+"""Near-duplicate texts: SimHash links first, then every pair with a Jaccard similarity of 0.8 or more on word shingles.
+
+SimHash finds what is all but equal: fingerprints within two bits are linked through their pivot tables, and such a link counts
+where the texts' sets of shingles are alike. At a similarity of 0.8 fingerprints differ by some ten bits of 64, which no search by
+bits can afford, so what is left is found by the sets: two sets that alike share a shingle among the first ``n - ceil(0.8 n) + 1`` of
+each in any order common to all, so texts that share none of these are never compared and no pair is lost (shingles are 64-bit
+hashes). Shingles that a sample finds in several texts come last in the order; that saves work and changes no result. Groups whose
+texts are all linked already are dropped, of groups with the same members one is kept, and the rest are compared tile by tile with
+products of 0/1 matrices. Of a pair of tiles only a spanning forest of its links leaves the task, never its pairs.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ from pyspark.sql import functions as F
 
 from fieldtrust.llm.common import short_batches, written
 from fieldtrust.llm.components import connected_components
-from fieldtrust.llm.simhash import shingle_hashes
+from fieldtrust.llm.simhash import _Forest, links, majority, shingle_hashes
 
 WIDTH = 5
 SAMPLE = 4000
-STARS = 2
-SALTS = 32
+LEADING = 2
+TILE_SHINGLES = 250_000
+TILE_ROWS = 1024
+COLUMNS = 4096
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -50,6 +55,11 @@ def first_shingles(x: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.
     return x[:size]
 
 
+def band(n: int) -> int:
+    """Sizes that sets of a similarity of 0.8 can have lie in one band or in two that follow each other."""
+    return int(np.floor(np.log(max(n, 1)) / np.log(1.26)))
+
+
 def _node(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -70,28 +80,34 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _groups(docs: DataFrame, width: int) -> DataFrame:
-    """(gid, members (node, n)): the sets of texts that share a first shingle, each set once."""
+def _prints(docs: DataFrame, width: int) -> DataFrame:
+    """``(node, fp, n, firsts)`` by row: fingerprint, number of distinct shingles and the first of them, from one reading of the texts."""
     common, counts = _common(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, width) for t in b.column(1).to_pylist()]
+            hashes = [shingle_hashes(t, width) for t in b.column(1).to_pylist()]
+            fps = np.fromiter(map(majority, hashes), np.uint64, len(hashes))
+            sets = [np.unique(h) for h in hashes]
             firsts = [first_shingles(x, common, counts) for x in sets]
-            sizes = np.fromiter(map(len, firsts), np.int64, len(firsts))
+            offsets = np.cumsum([0, *map(len, firsts)])
             flat = np.concatenate(firsts) if firsts else np.empty(0, np.uint64)
-            node = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-            n = np.repeat(np.fromiter(map(len, sets), np.int64, len(sets)), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(node), pa.array(n)], ["first", "node", "n"])
-
-    firsts = docs.select("node", "text").mapInArrow(run, "first long, node long, n long")
-    g = firsts.groupBy("first").agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("members")).where(F.size("members") > 1)
-    return written(g.groupBy(F.xxhash64("members").alias("gid"), F.size("members").alias("size")).agg(F.first("members").alias("members")), "shingle-groups")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts are similar."""
-    pairs = written(pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))), "shingle-pairs")
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), lists], ["node", "fp", "n", "firsts"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, fp long, n long, firsts array<long>")
+
+
+def _fingerprint_links(prints: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Edges ``(a, b)`` between texts whose fingerprints are linked and whose sets are alike: a forest's number of candidates, each verified."""
+    nodes = prints.groupBy("fp", "node").agg(F.max("n").alias("n"))
+    reps = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("r")).select("fp", F.col("r.node").alias("node"), F.col("r.n").alias("n")), "shingle-fps")
+    fits = F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 4
+    same = nodes.join(reps.select("fp", F.col("node").alias("a"), F.col("n").alias("na")), "fp").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
+    end = lambda c: reps.select(F.col("fp").alias(f"f{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    near = links(reps.select("fp")).toDF("fa", "fb").join(end("a"), "fa").join(end("b"), "fb").select("a", "b", "na", "nb")
+    pairs = same.where("a <> b").unionAll(near).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(32))), "shingle-pairs")
     touched = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     texts = written(docs.join(touched, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "shingle-texts")
     # a text that very many are compared with is dealt to several tasks
@@ -111,30 +127,108 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "shingle-links")
 
 
+def tile_links(left: list, right: list | None) -> tuple[list[int], list[int]]:
+    """A spanning forest of the alike pairs between two tiles, or within one; members are ``(node, label, low, set)``.
+
+    Members of one label are linked already, and pairs of two ``low`` members are another group's work.
+    """
+    own = right is None
+    right = left if own else right
+    flat = np.concatenate([m[3] for m in left] + ([] if own else [m[3] for m in right]) or [np.empty(0, np.uint64)])
+    values, n = np.unique(flat, return_counts=True)
+    values = values[n > 1]
+
+    def places(side: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(m[3]) for m in side], np.int64)
+        whole = np.concatenate([m[3] for m in side])
+        at = np.minimum(np.searchsorted(values, whole), max(len(values) - 1, 0))
+        here = values[at] == whole if len(values) else np.zeros(len(whole), bool)
+        return sizes, np.repeat(np.arange(len(side)), sizes)[here], at[here]
+
+    sa, ra, ca = places(left)
+    sb, rb, cb = (sa, ra, ca) if own else places(right)
+    both = np.zeros((len(left), len(right)), np.float32)
+    oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
+    ra, ca, rb, cb = ra[oa], ca[oa], rb[ob], cb[ob]
+    for lo in range(0, len(values), COLUMNS):  # the 0/1 matrices stay a few megabytes
+        parts = []
+        for r, c, rows in ((ra, ca, len(left)), (rb, cb, len(right))):
+            s = slice(*np.searchsorted(c, [lo, lo + COLUMNS]))
+            m = np.zeros((rows, min(COLUMNS, len(values) - lo)), np.float32)
+            m[r[s], c[s] - lo] = 1
+            parts.append(m)
+        both += parts[0] @ parts[1].T
+    total = sa[:, None] + sb[None, :]
+    alike = 9 * both >= 4 * total  # both / (total - both) >= 4/5
+    label = lambda side: np.array([m[1] for m in side], np.int64)
+    low = lambda side: np.array([m[2] for m in side], bool)
+    alike &= (label(left)[:, None] != label(right)[None, :]) & ~(low(left)[:, None] & low(right)[None, :])
+    i, j = np.nonzero(alike)
+    forest, nodes, other = _Forest(), np.array([m[0] for m in left], np.int64), np.array([m[0] for m in right], np.int64)
+    forest.add(nodes[i], other[j])
+    return forest.a, forest.b
+
+
+def _compared(firsts: DataFrame, labels: DataFrame | None, docs: DataFrame, width: int, name: str) -> DataFrame:
+    """``firsts(first, node, n)`` to edges that connect all alike texts of different labels that share a first shingle."""
+    rows = firsts.withColumn("band", F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1.26))))
+    if labels is not None:
+        rows = rows.join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    else:
+        rows = rows.withColumn("label", F.col("node"))
+    # a text stands in its own band and, marked low, in the next: texts of two low marks meet in their own band
+    rows = rows.select("first", "node", "n", "label", F.explode(F.array(F.struct("band", F.lit(False).alias("low")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("low")))).alias("b"))
+    rows = rows.select("first", "b.band", "b.low", "node", "n", "label")
+    mark = lambda k: F.bit_xor(F.xxhash64("node", "low", F.lit(k)))
+    groups = rows.groupBy("first", "band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows"), F.sum("n").alias("shingles"), mark(0).alias("m0"), mark(1).alias("m1"), F.min("low").alias("all_low"))
+    groups = groups.where("x <> y AND NOT all_low").groupBy("band", "rows", "m0", "m1").agg(F.min("first").alias("first"), F.max("shingles").alias("shingles"))
+    tiles = F.greatest(F.ceil(F.col("shingles") / TILE_SHINGLES), F.ceil(F.col("rows") / TILE_ROWS)).cast("int")
+    groups = written(groups.select("first", "band", tiles.alias("tiles")), f"{name}-groups")
+    rows = rows.join(groups, ["first", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("tile")).alias("i"), F.greatest(k, F.col("tile")).alias("j")))
+    rows = rows.select("first", "band", "node", "label", "low", "tile", F.explode(met).alias("t")).select("first", "band", "t.i", "t.j", "tile", "node", "label", "low")
+    rows = written(rows, f"{name}-rows")
+    touched = rows.select("node").distinct()
+    texts = written(docs.join(touched, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), f"{name}-texts")
+    whole = rows.join(texts, "node").select("first", "band", "i", "j", "tile", "node", "label", "low", "text")
+    key = ["first", "band", "i", "j"]
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    whole = whole.repartition(parts, *key).sortWithinPartitions(*key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, right = None, [], []
+
+        def done() -> pa.RecordBatch:
+            left.sort(key=lambda m: m[0])
+            right.sort(key=lambda m: m[0])
+            a, b = tile_links(left, right if now[2] != now[3] else None) if left and (right or now[2] == now[3]) else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for first, band_, i, j, tile, node, label, low, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (first, band_, i, j) != now:
+                    if now:
+                        yield done()
+                    now, left, right = (first, band_, i, j), [], []
+                (left if tile == i else right).append((node, label, low, shingles(text, width)))
+        if now:
+            yield done()
+
+    return written(whole.mapInArrow(run, "a long, b long"), f"{name}-links")
+
+
 def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs(node, text)`` to ``(node, component)`` of the nodes that have a similar one; nodes are hashes of their texts."""
     short_batches(docs.sparkSession)
-    groups = _groups(docs, width)
-    links, labels = None, None
-    fits = lambda x, y: (x["label"] != y["label"]) & (F.least(x["n"], y["n"]) * 5 >= F.greatest(x["n"], y["n"]) * 4)
-    for k in range(STARS + 1):
-        rows = groups.select("gid", "size", F.explode("members").alias("m")).select("gid", "size", "m.node", "m.n")
-        if labels is None:
-            rows = rows.withColumn("label", F.col("node"))
-        else:
-            rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        mixed = rows.groupBy("gid", "size").agg(F.collect_list(F.struct("node", "n", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        if k < STARS:
-            hub = F.array_min(F.transform("m", lambda x: F.struct(F.xxhash64(x["node"], F.lit(k)).alias("o"), x["node"].alias("node"), x["n"].alias("n"), x["label"].alias("label"))))
-            mixed = mixed.withColumn("x", hub)
-            near = F.filter("m", lambda y: fits(F.col("x"), y))
-        else:
-            mixed = mixed.select("m", F.explode("m").alias("x"))
-            near = F.filter("m", lambda y: fits(F.col("x"), y) & (F.col("x.node") < y["node"]))
-        pairs = mixed.select(F.col("x.node").alias("a"), F.explode(near).alias("y")).select("a", F.col("y.node").alias("b"))
-        found = _verified(pairs, docs, width)
-        links = found if links is None else links.unionAll(found)
-        labels = written(connected_components(links).select("node", "component"), "shingle-labels")
+    prints = written(_prints(docs, width), "shingle-prints")
+    edges = _fingerprint_links(prints, docs, width)
+    labels = written(connected_components(edges), "shingle-labels")
+    # first by the leading shingles alone, which most of the alike texts share; then by all, where some are still apart
+    for name, some in (("shingle-leading", F.slice("firsts", 1, LEADING)), ("shingle-all", F.col("firsts"))):
+        firsts = prints.select(F.explode(some).alias("first"), "node", "n").groupBy("first", "node").agg(F.max("n").alias("n"))
+        shared = firsts.groupBy("first").agg(F.count("*").alias("rows")).where("rows > 1").select("first")
+        edges = edges.unionAll(_compared(firsts.join(shared, "first", "left_semi"), labels, docs, width, name))
+        labels = written(connected_components(edges), "shingle-labels")
     return labels
 
 

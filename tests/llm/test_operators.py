@@ -87,6 +87,18 @@ def test_simhash_links_all_pairs(spark):
         return out
 
     assert groups(find) == groups(lambda x: got.get(signed(x), signed(x)))
+    # slices that many share are cut into tiles along the first pivot's distance
+    tiles = {r.node: r.component for r in components.connected_components(simhash.links(df, most=16)).collect()}
+    assert tiles == got
+
+
+def test_pivot_pairs_are_all_near_pairs():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    y = np.concatenate([x[:200] ^ np.uint64(5), x[200:] ^ np.uint64(7), x[:50]])
+    p, q = simhash.by_first_coordinate(x), simhash.by_first_coordinate(y)
+    got = {(int(p[i]), int(q[j])) for a, b in simhash.pivot_pairs(p, q) for i, j in zip(a, b, strict=True)}
+    assert got == {(int(a), int(b)) for a in x for b in y if bin(int(a) ^ int(b)).count("1") <= 2} and len(got) == 250
 
 
 def test_simhash_rows(spark, texts):
@@ -97,11 +109,6 @@ def test_simhash_rows(spark, texts):
     assert by[24].fingerprint == by[25].fingerprint == by[30].fingerprint == "0" * 16
     assert by[24].component_id == 24
     assert next(r for r in rows if r.doc_id is None).component_id == 1
-    kept = simhash.keep_one(spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, fp string")).collect()
-    ids = [r.doc_id for r in kept]
-    assert len(ids) == len(set(ids)) and 20 not in ids and 3 in ids and None not in ids and ids.count(27) == 1
-    nameless = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "e f g h")], DOCS)
-    assert sorted(r.text for r in simhash.keep_one(nameless).collect()) == ["a b c d", "e f g h"]
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
