@@ -2,8 +2,8 @@
 
 The model protobuf is read field by field, and its normaliser, space mark, piece scores (as a unigram model, or as merge
 ranks where the model is BPE) and byte fallback are rebuilt as a ``tokenizers`` pipeline that encodes batches on several
-threads. Every text is held against the SentencePiece runtime; where the rebuilt pipeline differs (ties between merges
-that give the same piece), the runtime's ids are returned and ``parity`` is false.
+threads. Its ids are the result. They are held against the SentencePiece runtime, and where the two differ (ties between merges
+that give the same piece, which ranks cannot express) ``parity`` is false and that word or text takes the runtime's ids.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BATCH_CHARS = 250_000
 CACHE = 120_000
+CACHE_CHARS = 4_000_000
 LINE = 128
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -153,14 +154,16 @@ def build(model: Model):
 class _Encoder:
     """Ids, parity and round trip of texts; ids and offsets come as arrays."""
 
-    def __init__(self, raw: bytes, threads: int):
+    def __init__(self, raw: bytes, threads: int, verify: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        from sentencepiece import SentencePieceProcessor
-
         self.threads = threads
         self.spec = parse_model(raw)
-        self.tok, self.sp = build(self.spec), SentencePieceProcessor(model_proto=raw)
+        self.tok, self.sp = build(self.spec), None
+        if verify:
+            from sentencepiece import SentencePieceProcessor
+
+            self.sp = SentencePieceProcessor(model_proto=raw)
         self.plain = not (self.spec.charsmap or self.spec.squeeze_spaces)
         self.by_words = self.plain and self.spec.dummy_prefix and self.spec.escape_spaces and not crosses_words(self.spec)
         self.marked = np.array([p.startswith(SPACE) for p, *_ in self.spec.pieces], bool)
@@ -168,6 +171,7 @@ class _Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.pending: list[list[np.ndarray]] = [[], [], [], []]
         self.table = [np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool), np.empty(0, bool)]
 
@@ -180,16 +184,20 @@ class _Encoder:
         upto = np.concatenate([[0], np.cumsum(lens)])
         self.table = [flat[np.arange(upto[-1]) + np.repeat(ends[k] - upto[:-1], lens)], upto, parity[k], same[k]]
         self.known = dict(zip(old, range(len(old)), strict=True))
-
-    def batch(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Ids by the rebuilt pipeline, held against the runtime and decoded again."""
-        mine = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        theirs = self.sp.encode(texts, num_threads=self.threads)
-        parity = np.array([a == b for a, b in zip(mine, theirs, strict=True)], bool)
-        back = self.tok.decode_batch(theirs, skip_special_tokens=False)
-        whole = texts if self.plain else self.sp.decode(theirs)
+        self.chars = sum(map(len, old))
+
+    def batch(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """Ids by the rebuilt pipeline, held against the runtime where there is one, and decoded again."""
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        parity = np.ones(len(ids), bool)
+        if self.sp:
+            for k, theirs in enumerate(self.sp.encode(texts, num_threads=self.threads)):
+                if ids[k] != theirs:
+                    ids[k], parity[k] = theirs, False
+        back = self.tok.decode_batch(ids, skip_special_tokens=False)
+        whole = texts if self.plain else [self.tok.normalizer.normalize_str(t).replace(SPACE, " ").removeprefix(" " * self.spec.dummy_prefix) for t in texts]
         same = np.array([a == b.replace(SPACE, " ") for a, b in zip(back, whole, strict=True)], bool)
-        return theirs, parity, same
+        return ids, parity, same
 
     def learn(self, words: list[str], line: int) -> None:
         """Encode new words, ``line`` of them to a text: with one mark each, at its front, a word begins where a piece with the mark does."""
@@ -197,7 +205,7 @@ class _Encoder:
         # the first mark is the one that the model puts before a text
         ids, parity, same = self.batch(["".join(x)[1:].replace(SPACE, " ") if x != [SPACE] else "" for x in lines])
         for x, own, ok, back in zip(lines, ids, parity, same, strict=True):
-            own = np.array(own if x != [SPACE] else [self.sp.piece_to_id(SPACE)], np.int32)
+            own = np.array(own if x != [SPACE] else [self.tok.token_to_id(SPACE)], np.int32)
             starts = np.flatnonzero(self.marked[own]) if len(x) > 1 else np.zeros(1, np.int64)
             if len(x) > 1 and not (ok and back and len(starts) == len(x)):
                 self.learn(x, 1)
@@ -207,6 +215,7 @@ class _Encoder:
             self.pending[2].append(np.full(len(x), ok))
             self.pending[3].append(np.full(len(x), back))
             self.known.update(zip(x, range(len(self.known), len(self.known) + len(x)), strict=True))
+            self.chars += sum(map(len, x))
 
     def settle(self) -> None:
         """Put what was learned into the table."""
@@ -228,7 +237,7 @@ class _Encoder:
             own = WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else []
             words += own
             counts.append(len(own))
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or self.chars > CACHE_CHARS:
             self.keep(words)
         if new := [w for w in dict.fromkeys(words) if w not in self.known]:
             self.learn([w for w in new if w.count(SPACE) == 1 and w != SPACE], LINE)
@@ -244,14 +253,16 @@ class _Encoder:
         return ids, upto[at], good(parity), good(same)
 
 
-def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, shipped: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, shipped: bool = False, verify: bool = True) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_tokens, ids, parity, round_trip)``, one row for each input row.
 
     ``ids`` are the model's ids of the whole text, without begin and end marks. ``round_trip``: decoding gives back the
-    normalised text. ``parity``: the rebuilt pipeline gave the runtime's ids by itself. Null and empty texts have no ids
-    and are true in both. ``model`` is a path that every executor has, or with ``shipped`` a name sent by ``addFile``.
-    Batches are bounded by their characters, so very long texts do not pile up in memory. Where no piece of the model
-    reaches over a word's beginning, ids of a text are those of its words, and each word is encoded and checked once a task.
+    normalised text. ``parity``: the rebuilt pipeline gave the runtime's ids by itself; null without ``verify``, when no
+    runtime is loaded. Null and empty texts have no ids and are true in both; ids may be null or repeat, an empty table gives
+    none, and columns other than the two are not looked at. ``model`` is a path that every executor has, or with ``shipped``
+    a name sent by ``addFile``. Batches are bounded by their characters, so very long texts do not pile up in memory. Where no
+    piece of the model reaches over a word's beginning, a text's ids are those of its words: each word is encoded and checked
+    once a task, and a text's flags are true where those of all its words are.
     """
     kinds = "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean"
     short_batches(docs.sparkSession)
@@ -259,7 +270,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, shipped: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # what earlier tasks left in a worker that Spark uses again
         with open(SparkFiles.get(model) if shipped else model, "rb") as f:
-            encoder = _Encoder(f.read(), threads)
+            encoder = _Encoder(f.read(), threads, verify)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             at = 0
@@ -270,7 +281,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, shipped: bool
                     to += 1
                 ids, offsets, parity, same = encoder(texts[at:to])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                columns = [batch.column(0).slice(at, to - at), pa.array(np.diff(offsets), pa.int64()), lists, pa.array(parity), pa.array(same)]
+                columns = [batch.column(0).slice(at, to - at), pa.array(np.diff(offsets), pa.int64()), lists, pa.array(parity) if verify else pa.nulls(to - at, pa.bool_()), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "parity", "round_trip"])
                 at = to
 

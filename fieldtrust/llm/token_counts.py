@@ -1,7 +1,8 @@
 """Greedy word-piece lengths from a linear longest-match automaton.
 
-The vocabulary's trie gets failure links: where no longer match exists, the link says how many pieces the text matched so far
-falls into and in which state matching goes on. Each character is read once, and only counts are kept, never pieces.
+The vocabulary's trie gets failure links: where no longer match exists, the link says how many pieces (and unknown characters)
+the text matched so far falls into and in which state matching goes on. Each character is read once, and only counts are kept,
+never pieces.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from fieldtrust.llm.common import short_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CACHE = 400_000
+LONG = 64
 
 
 class LongestMatch:
@@ -36,61 +38,38 @@ class LongestMatch:
                     final.append(False)
                 at = self.next[at][c]
             final[at] = bool(at)
-        # fail[v]: the state after popped[v] pieces have been taken off; None where even the first character can't be matched
-        self.fail: list[int | None] = [None] * len(self.next)
+        # fail[v]: the state after popped[v] pieces (and unknown characters) have been taken off the text that leads to v
+        self.fail = [0] * len(self.next)
         self.popped = [0] * len(self.next)
         queue = deque([0])
         while queue:
             u = queue.popleft()
             for c, v in self.next[u].items():
+                queue.append(v)
                 if final[v]:
-                    self.fail[v], self.popped[v] = 0, 1
+                    self.popped[v] = 1
+                elif u == 0:
+                    self.popped[v] = unknown(c)
                 else:
-                    z, n = self.fail[u], self.popped[u]
-                    while z is not None and c not in self.next[z]:
-                        n += self.popped[z]
-                        z = self.fail[z]
-                    if z is not None:
-                        self.fail[v], self.popped[v] = self.next[z][c], n
-                queue.append(v)
-        self.final = final
+                    self.fail[v], self.popped[v] = self._step(self.fail[u], c, self.popped[u])
+
+    def _step(self, at: int, c: str, n: int) -> tuple[int, int]:
+        """Where reading ``c`` leads from a state, with the count ``n`` and what is taken off on the way."""
+        while c not in self.next[at]:
+            if at == 0:
+                return 0, n + self.unknown(c)
+            n += self.popped[at]
+            at = self.fail[at]
+        return self.next[at][c], n
 
     def count(self, word: str) -> int:
-        total, at, i, start = 0, 0, 0, 0
-        n = len(word)
-        while True:
-            c = word[i] if i < n else None
-            while c is None or c not in self.next[at]:
-                if at == 0:
-                    if c is None:
-                        return total
-                    total += self.unknown(c)
-                    i += 1
-                    c = word[i] if i < n else None
-                    continue
-                if self.fail[at] is None:
-                    # text in hand that no piece covers from its first character on: that character is unknown
-                    depth = self._depth(at)
-                    held = word[i - depth : i]
-                    total += self.unknown(held[0])
-                    i, at = i - depth + 1, 0
-                    c = word[i] if i < n else None
-                    continue
-                total += self.popped[at]
-                at = self.fail[at]
-            at = self.next[at][c]
-            i += 1
-
-    def _depth(self, v: int) -> int:
-        if not hasattr(self, "depths"):
-            self.depths = [0] * len(self.next)
-            queue = deque([0])
-            while queue:
-                u = queue.popleft()
-                for x in self.next[u].values():
-                    self.depths[x] = self.depths[u] + 1
-                    queue.append(x)
-        return self.depths[v]
+        at, total = 0, 0
+        for c in word:
+            at, total = self._step(at, c, total)
+        while at:
+            total += self.popped[at]
+            at = self.fail[at]
+        return total
 
 
 def greedy_count(word: str, pieces: set[str], longest: int) -> int:
@@ -117,16 +96,19 @@ class _Cache(dict):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        n = self[word] = self.automaton.count(SPACE + word.decode("utf-8", "surrogatepass"))
+        n = self.automaton.count(SPACE + word.decode("utf-8", "surrogatepass"))
+        if len(word) <= LONG:  # a longer word is counted each time, so the memory is bounded in bytes too
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = n
         return n
 
 
 def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_words, n_tokens, n_bytes)``, one row for each input row, whole texts.
 
-    Words are runs without ASCII white space. Null and empty texts have no words. Ids may be null or repeat.
+    Words are runs without ASCII white space. Null and empty texts have no words. Ids may be null or repeat; an empty table
+    gives no rows; columns other than the two are not looked at.
     """
 
     short_batches(docs.sparkSession)
