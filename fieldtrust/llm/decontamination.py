@@ -2,7 +2,8 @@
 
 A mask fixes which tokens of a window count; the others are ignored, so a window still matches where a token that the mask
 skips was changed. Hashes of all windows of the texts meet those of the benchmark; around each hit the two are laid on each
-other and a stretch of tokens must agree up to a share of substitutions. DataFrame functions only.
+other and a stretch of tokens must agree up to a share of substitutions. Items too short for a mask are sought as they stand.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from fieldtrust.llm.common import written
 MASKS = ("1101001011", "1011100101", "1100110101")
 WINDOW = 13
 AGREE = 0.8
+#: Items of fewer tokens than this are common phrases; only a text that consists of one is a leak of it.
+PHRASE = 5
 #: Seed rows of the benchmark up to which its table is broadcast (about 32 bytes each); beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -50,25 +53,35 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
     A text overlaps an item where some ``min(window, item's tokens)`` tokens in a row, laid on the item at a seed hit,
     agree in at least the share ``agree``; ``matched`` counts the tokens that agree over the whole item at its best place.
-    Items with fewer tokens than a mask has places give no seeds and match nothing. Null texts are empty.
+    An item with fewer tokens than a mask has places must occur token for token, one under ``PHRASE`` tokens as the whole
+    text; an item without tokens matches nothing. Items that repeat an id or a text each count once. Null texts are empty.
     """
     span = len(masks[0])
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") >= span).dropDuplicates(["item_id", "item"])
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") > 0).dropDuplicates(["item_id", "item"])
     items = written(items.withColumn("item_no", F.xxhash64("item_id", "item")), "benchmark-items")
-    seeds = written(_seeds(items, F.col("item"), ["item_no"], masks).withColumnRenamed("at", "item_at").distinct(), "benchmark-seeds")
+    seeds = written(_seeds(items.where(F.size("item") >= span), F.col("item"), ["item_no"], masks).withColumnRenamed("at", "item_at").distinct(), "benchmark-seeds")
     if seeds.count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
     texts = docs.select(*text_key(F.col("text")), "text")
-    hits = _seeds(texts, tokens(F.col("text")), ["k1", "k2"], masks).join(seeds, "seed").select("k1", "k2", "item_no", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    hits = written(hits, "benchmark-hits")  # its size on disk decides how it is joined
+    hits = _seeds(texts, tokens(F.col("text")), ["k1", "k2"], masks).join(seeds, "seed").select("k1", "k2", "item_no", (F.col("at") - F.col("item_at")).alias("shift"))
+    for n in sorted(r[0] for r in items.select(F.size("item")).where(F.size("item") < span).distinct().collect()):  # fewer lengths than a mask has places
+        short = items.where(F.size("item") == n)
+        if n < PHRASE:
+            whole = texts.select("k1", "k2", F.xxhash64(tokens(F.col("text"))).alias("seed"))
+            hits = hits.unionAll(whole.join(short.select(F.xxhash64("item").alias("seed"), "item_no"), "seed").select("k1", "k2", "item_no", F.lit(0).alias("shift")))
+        else:
+            exact = ("1" * n,)
+            mine = _seeds(short, F.col("item"), ["item_no"], exact).select("seed", "item_no")
+            hits = hits.unionAll(_seeds(texts, tokens(F.col("text")), ["k1", "k2"], exact).join(mine, "seed").select("k1", "k2", "item_no", F.col("at").alias("shift")))
+    hits = written(hits.distinct(), "benchmark-hits")  # its size on disk decides how it is joined
     there = texts.join(hits.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", tokens(F.col("text")).alias("toks"))
     both = there.join(hits, ["k1", "k2"]).join(items, "item_no")
     n = F.size("item")
     same = F.transform("item", lambda t, i: (F.coalesce(F.get(F.col("toks"), i + F.col("shift")), F.lit("")) == t).cast("int"))
     run = F.least(n, F.lit(window))
-    need = F.ceil(run * F.lit(agree))
+    need = F.when(n < span, n).otherwise(F.ceil(run * F.lit(agree)))
     held = F.exists(F.sequence(F.lit(1), n - run + 1), lambda s: F.aggregate(F.slice("same", s, run), F.lit(0), lambda a, x: a + x) >= need)
-    found = both.select("k1", "k2", "item_id", "item", same.alias("same")).where(held)
+    found = both.where((n >= PHRASE) | (n == F.size("toks"))).select("k1", "k2", "item_id", "item", "toks", same.alias("same")).where(held)
     matched = F.aggregate("same", F.lit(0), lambda a, x: a + x)
     return found.groupBy("k1", "k2", "item_id").agg(F.max(matched).alias("matched"), F.max(F.size("item")).alias("item_tokens"))
 
@@ -108,7 +121,7 @@ def _sql_seed(mask: str) -> str:
     return " || ' ' || ".join(f"t[i + {k + 1}]" for k, c in enumerate(mask) if c == "1")
 
 
-#: The same seeds as strings: hits, diagonals and the check around them.
+#: The same seeds as strings: hits, diagonals and the check around them; short items by their words.
 ORACLE_SQL = f"""
 WITH d AS (SELECT DISTINCT text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM benchmark),
@@ -120,7 +133,9 @@ h AS (SELECT DISTINCT ds.text, bs.item_id, ds.i - bs.i AS shift FROM ds JOIN bs
 p AS (SELECT h.text, h.item_id, h.shift, unnest(range(1, len(b.t) + 1)) AS i, b.t AS item, d.t AS toks FROM h JOIN b USING (item_id) JOIN d ON d.text IS NOT DISTINCT FROM h.text),
 e AS (SELECT text, item_id, shift, i, len(item) AS n, CASE WHEN i + shift BETWEEN 1 AND len(toks) AND toks[CASE WHEN i + shift BETWEEN 1 AND len(toks) THEN i + shift ELSE 1 END] = item[i] THEN 1 ELSE 0 END AS same FROM p),
 w AS (SELECT *, sum(same) OVER (PARTITION BY text, item_id, shift ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS run, sum(same) OVER (PARTITION BY text, item_id, shift) AS matched FROM e),
-v AS (SELECT text, item_id, max(matched) AS matched FROM w WHERE run >= ceil(least(n, {WINDOW}) * {AGREE}) AND i <= n - least(n, {WINDOW}) + 1 GROUP BY text, item_id),
+short AS (SELECT item_id, t FROM b WHERE len(t) BETWEEN 1 AND {len(MASKS[0]) - 1}),
+v AS (SELECT text, item_id, max(matched) AS matched FROM w WHERE run >= ceil(least(n, {WINDOW}) * {AGREE}) AND i <= n - least(n, {WINDOW}) + 1 GROUP BY text, item_id
+  UNION ALL SELECT DISTINCT d.text, short.item_id, len(short.t) FROM d JOIN short ON CASE WHEN len(short.t) < {PHRASE} THEN d.t = short.t ELSE contains(' ' || array_to_string(d.t, ' ') || ' ', ' ' || array_to_string(short.t, ' ') || ' ') END),
 f AS (SELECT text, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(matched) AS best_matched FROM v GROUP BY text)
 SELECT x.doc_id, f.text IS NOT NULL AS contaminated, CAST(coalesce(f.n_items, 0) AS BIGINT) AS n_items, coalesce(f.item_ids, '') AS item_ids, CAST(coalesce(f.best_matched, 0) AS BIGINT) AS best_matched
 FROM documents x LEFT JOIN f ON f.text = x.text

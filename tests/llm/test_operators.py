@@ -335,13 +335,47 @@ def test_decontamination(spark, texts):
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, k1 int, new int")
     bm = spark.createDataFrame(bench, "item_id long, text string")
     flags = decontamination.flagged(docs.select("doc_id", "text"), bm).collect()
-    assert len(flags) == len(rows) and {r.doc_id for r in flags if r.contaminated} == {50, 51, 52, 55}
+    assert len(flags) == len(rows) and {r.doc_id for r in flags if r.contaminated} == {50, 51, 52, 54, 55}
     left = decontamination.decontaminate(docs, bm)
-    assert left.columns == docs.columns and left.count() == len(rows) - 4
+    assert left.columns == docs.columns and left.count() == len(rows) - 5
     assert decontamination.decontaminate(docs, bm.where("false")).count() == len(rows)
     assert decontamination.flagged(docs.where("false").select("doc_id", "text"), bm).count() == 0
 
 
+def test_short_items_and_repeated_items(spark):
+    bench = [(1, "Who wrote The Silent River?"), (1, "Who wrote The Silent River?"), (2, "who wrote the silent river"), (3, "Yes."), (3, "another text of the third"), (4, "")]
+    rows = [(1, "Say: who WROTE the silent river, then?"), (2, "who wrote the loud river"), (3, "yes"), (4, "yes indeed"), (5, "now another text of the third item"), (6, ""), (7, None)]
+    got = decontamination.flagged(spark.createDataFrame(rows, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.item_ids, r.best_matched) for r in got if r.contaminated} == {1: ("1,2", 5), 3: ("3", 1), 5: ("3", 5)}
+
+
+def test_seeds_against_a_search_without_seeds(spark):
+    """Passages of 13 tokens with up to two substitutions, laid at every place: what the masks find of all that verify."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    bench = [(i, [rng.choice(words) for _ in range(40)]) for i in range(20)]
+    rows = []
+    for k in range(400):
+        item = rng.choice(bench)[1]
+        at = rng.randrange(len(item) - 12)
+        part = item[at : at + 13]
+        for _ in range(k % 3):
+            part[rng.randrange(13)] = rng.choice(words)
+        rows.append((k, " ".join([rng.choice(words) for _ in range(rng.randrange(30))] + part + [rng.choice(words) for _ in range(9)])))
+
+    def overlaps(t, item):
+        for shift in range(-len(item) + 1, len(t)):
+            same = [0 <= i + shift < len(t) and t[i + shift] == x for i, x in enumerate(item)]
+            if any(sum(same[s : s + 13]) >= 11 for s in range(len(item) - 12)):
+                return True
+        return False
+
+    want = {k for k, t in rows if any(overlaps(t.split(), b) for _, b in bench)}
+    docs, bm = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, " ".join(b)) for i, b in bench], "item_id long, text string")
+    got = {r.doc_id for r in decontamination.flagged(docs, bm).collect() if r.contaminated}
+    assert got <= want and len(want) > 390 and len(got) >= 0.97 * len(want), len(got) / len(want)
+
+
 def luhn(s):
     return sum(d if k % 2 == 0 else (2 * d - 9 * (d > 4)) for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
 
