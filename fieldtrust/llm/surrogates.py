@@ -15,12 +15,16 @@ from pyspark.sql.window import Window
 from fieldtrust.llm.common import checkpointed, written
 from fieldtrust.llm.decontamination import text_key
 
-KEY = "fieldtrust"
+#: Where the key of the registered query and the pipeline is set; without it the test tables get a key that protects nothing.
+KEY_SETTING = "spark.fieldtrust.surrogateKey"
+TEST_KEY = "test tables only"
 ROUNDS = 40
 WIDEN = 3  # a name gets one more syllable every so many draws, an e-mail address one more character after the first so many
 # fixed values: forms of address by gender
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "господин", "κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "госпожа", "κυρία")
+NEUTRAL = ("Dr", "Prof", "Professor")
+BARE, CAPITALS = "\x01", "\x02"  # before the form of a name that a text also has with a form of address: as it is, in capitals
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 WORD = r"\p{L}\p{N}._%+\-"
 PATTERNS = {
@@ -31,18 +35,18 @@ PATTERNS = {
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4})(?!\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?=[^\d\s]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})(?![\p{L}\p{N}])",
-    "person": rf"(?<!\p{{L}})(?:{'|'.join(sorted((*MALE, *FEMALE), key=len, reverse=True))})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
+    "person": rf"(?<!\p{{L}})(?:{'|'.join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?(?!\p{{L}})",
 }
 KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ipv4", "person")
 PATTERN = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
 #: What every text with a mention has; cheap to look for, and all others pass by untouched and unshuffled.
 DIGIT_OR_AT = "[0-9@]"
-TITLE = r"[MHFSгκ](?:rs?|s|iss|onsieur|adame|err|rau|eñora?|осподин|оспожа|ύριος|υρία)\.? \p{Lu}"
+TITLE = r"[MHFSDPгκ](?:rs?|s|iss|onsieur|adame|err|rau|eñora?|rof|rofessor|осподин|оспожа|ύριος|υρία)\.? \p{Lu}"
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 SYLLABLES = {
-    "latin": (("ba", "de", "fi", "ga", "ho", "ju", "ka", "le", "mi", "no", "pa", "ro", "sa", "te", "vi", "zu"), ("n", "r", "s", "l"), ("a", "ia", "ina", "ella")),
-    "cyrillic": (("ба", "ве", "ги", "да", "жо", "ку", "ла", "ме", "ни", "по", "ра", "со", "та", "фе", "ви", "зу"), ("н", "р", "с", "л"), ("а", "ия", "ина", "елла")),
-    "greek": (("βα", "γε", "δι", "θα", "κο", "λυ", "μα", "νε", "πι", "ρο", "σα", "τε", "φι", "χα", "ζε", "λο"), ("ς", "νος", "ρος", "λης"), ("α", "ια", "ινα", "ελλα")),
+    "latin": (("ba", "de", "fi", "ga", "ho", "ju", "ka", "le", "mi", "no", "pa", "ro", "sa", "te", "vi", "zu"), ("n", "r", "s", "l"), ("a", "ia", "ina", "ella"), ("e", "y", "is", "en")),
+    "cyrillic": (("ба", "ве", "ги", "да", "жо", "ку", "ла", "ме", "ни", "по", "ра", "со", "та", "фе", "ви", "зу"), ("н", "р", "с", "л"), ("а", "ия", "ина", "елла"), ("о", "и", "ин", "ер")),
+    "greek": (("βα", "γε", "δι", "θα", "κο", "λυ", "μα", "νε", "πι", "ρο", "σα", "τε", "φι", "χα", "ζε", "λο"), ("ς", "νος", "ρος", "λης"), ("α", "ια", "ινα", "ελλα"), ("ι", "ο", "υς", "ων")),
 }
 
 
@@ -80,13 +84,13 @@ def _by_class(start: str = "0") -> str:
 
 
 def _name(script: str, family: bool) -> str:
-    syl, male, female = SYLLABLES[script]
+    syl, male, female, either = SYLLABLES[script]
     one = lambda xs, i: f"element_at(array({', '.join(repr(x) for x in xs)}), 1 + {_byte(i)} % {len(xs)})"
     body = ", ".join(one(syl, str(k)) for k in range(4 if family else 3))
     body += f", array_join(transform(slice(sequence(10, 62), 1, attempt div {WIDEN}), i -> {one(syl, 'i')}), '')"
     if family:
         return f"concat({body}, {one(male, '9')})"
-    return f"concat({body}, CASE WHEN kind like '%female%' THEN {one(female, '9')} ELSE {one(male, '9')} END)"
+    return f"concat({body}, CASE WHEN kind like '%female%' THEN {one(female, '9')} WHEN kind like '%any%' THEN {one(either, '9')} ELSE {one(male, '9')} END)"
 
 
 def _draw() -> Column:
@@ -111,7 +115,7 @@ def _draw() -> Column:
     return F.expr(f"CASE kind WHEN 'phone' THEN {phone} WHEN 'card' THEN {card} WHEN 'ssn' THEN {ssn} WHEN 'ipv4' THEN {ipv4} WHEN 'secret' THEN {secret} WHEN 'email' THEN {email} WHEN 'iban' THEN {iban} ELSE CASE{names} END END")
 
 
-def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
+def assign(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """Distinct ``(kind, norm)`` to ``(kind, norm, surrogate)``: no two of a kind share one, and none is an entity of its kind.
 
     Names and e-mail addresses that keep meeting grow, so their room exceeds any number of them.
@@ -135,40 +139,74 @@ def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFra
     raise RuntimeError("surrogates still collide; the formats leave too little room")
 
 
+def _names_again(forms: Column, text: Column) -> tuple[Column, Column]:
+    """(forms, pattern): where a text names persons with a form of address, their names without one are mentions of them too.
+
+    ``pattern`` is null for a text without such names. A bare name's form is that of the titled one behind a mark.
+    """
+    titled = F.filter(forms, lambda f: f.rlike(f"^(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})\\.? "))
+
+    def named(p: Column) -> Column:
+        title, rest, family = F.substring_index(p, " ", 1), F.substring(p, F.instr(p, " ") + 1, F.length(p)), F.substring_index(p, " ", -1)
+        one = lambda mark, name, shown: F.struct(shown.alias("name"), F.concat(F.lit(mark), title, F.lit(" "), name).alias("form"))
+        return F.array(one(BARE, rest, rest), one(BARE, family, family), one(CAPITALS, rest, F.upper(rest)), one(CAPITALS, family, F.upper(family)))
+
+    known = F.flatten(F.transform(titled, named))
+    names = F.reverse(F.array_sort(F.transform(F.array_distinct(F.transform(known, lambda e: e["name"])), lambda n: F.struct(F.length(n).alias("n"), n.alias("name")))))
+    pattern = F.when(F.size(titled) > 0, F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(F.transform(names, lambda n: n["name"]), "|"), F.lit(r")(?!\p{L})")))
+    again = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.coalesce(F.get(F.filter(known, lambda e: e["name"] == m), F.lit(0))["form"], m))
+    return F.when(pattern.isNotNull(), again).otherwise(forms), pattern
+
+
 def _forms(mentions: DataFrame) -> DataFrame:
-    """Distinct ``(form)`` with its kind and its parts (kind, norm): one, or a person's given and family names."""
-    f = mentions.select("form").distinct().withColumn("kind", _kind("form")).where("kind <> 'none'")
-    female = F.col("form").rlike(f"^(?:{'|'.join(FEMALE)})\\.? ")
-    script = F.when(F.col("form").rlike(r" \p{IsCyrillic}"), "cyrillic").when(F.col("form").rlike(r" \p{IsGreek}"), "greek").otherwise("latin")
-    words = F.split("form", " ")
-    given = F.struct(F.concat(F.when(female, "given-female-").otherwise("given-male-"), script).alias("kind"), F.lower(F.get(words, F.lit(1))).alias("norm"))
-    family = F.struct(F.concat(F.lit("family-"), script).alias("kind"), F.lower(F.element_at(words, -1)).alias("norm"))
+    """Distinct ``(form)`` with its kind and its parts (kind, norm): one, or a person's given and family names.
+
+    A form of address that leaves the gender open takes that of the corpus's other persons of the same given name.
+    """
+    f = mentions.select("form").distinct().withColumn("bare", F.regexp_replace("form", f"^[{BARE}{CAPITALS}]", "")).withColumn("kind", _kind("bare")).where("kind <> 'none'")
+    said = lambda titles: F.col("bare").rlike(f"^(?:{'|'.join(titles)})\\.? ")
+    script = F.when(F.col("bare").rlike(r" \p{IsCyrillic}"), "cyrillic").when(F.col("bare").rlike(r" \p{IsGreek}"), "greek").otherwise("latin")
+    words = F.split("bare", " ")
+    f = f.withColumns({"script": script, "gender": F.when(said(FEMALE), "female").when(said(MALE), "male"), "given": F.when((F.col("kind") == "person") & (F.size(words) > 2), F.lower(F.get(words, F.lit(1))))})
+    seen = f.where("gender IS NOT NULL AND given IS NOT NULL").groupBy("script", "given").agg(F.when(F.count_if(F.col("gender") == "female") * 2 >= F.count("*"), "female").otherwise("male").alias("known"))
+    f = f.join(seen, ["script", "given"], "left").withColumn("gender", F.coalesce("gender", "known", F.lit("any")))
+    given = F.struct(F.concat(F.lit("given-"), F.col("gender"), F.lit("-"), F.col("script")).alias("kind"), F.col("given").alias("norm"))
+    family = F.struct(F.concat(F.lit("family-"), F.col("script")).alias("kind"), F.lower(F.element_at(words, -1)).alias("norm"))
+    digits = F.regexp_replace("bare", "[^0-9]", "")
     norm = (
-        F.when(F.col("kind").isin("phone", "card", "ssn"), F.regexp_replace("form", "[^0-9]", ""))
-        .when(F.col("kind") == "iban", F.regexp_replace("form", " ", ""))
-        .when(F.col("kind") == "secret", F.when(F.col("form").rlike("^[0-9A-Fa-f]+$"), F.lower("form")).otherwise(F.col("form")))
-        .otherwise(F.lower("form"))
+        # with and without the country code 1 it is one number
+        F.when(F.col("kind") == "phone", F.when(digits.rlike("^1[0-9]{10}$"), F.substring(digits, 2, 10)).otherwise(digits))
+        .when(F.col("kind").isin("card", "ssn"), digits)
+        .when(F.col("kind") == "iban", F.regexp_replace("bare", " ", ""))
+        .when(F.col("kind") == "secret", F.when(F.col("bare").rlike("^[0-9A-Fa-f]+$"), F.lower("bare")).otherwise(F.col("bare")))
+        .otherwise(F.lower("bare"))
     )
-    parts = F.when(F.col("kind") != "person", F.array(F.struct(F.col("kind").alias("kind"), norm.alias("norm")))).when(F.size(words) > 2, F.array(given, family)).otherwise(F.array(family))
-    return f.withColumn("parts", parts)
+    parts = F.when(F.col("kind") != "person", F.array(F.struct(F.col("kind").alias("kind"), norm.alias("norm")))).when(F.col("given").isNotNull(), F.array(given, family)).otherwise(F.array(family))
+    return f.select("form", "kind", parts.alias("parts"))
 
 
 def _rendered() -> Column:
     """The surrogate in the format of ``form``: its separators, its case, a person's form of address."""
     s = "s[0]"
-    spaced = "array_join(transform(split(form, ''), (c, i) -> CASE WHEN c rlike '[0-9A-Z]' THEN substring(s[0], length(regexp_replace(substring(form, 1, i + 1), '[^0-9A-Z]', '')), 1) ELSE c END), '')"
+    # digits before the number itself, a country code, stay
+    place = "length(regexp_replace(substring(form, 1, i + 1), '[^0-9A-Z]', '')) - length(regexp_replace(form, '[^0-9A-Z]', '')) + length(s[0])"
+    spaced = f"array_join(transform(split(form, ''), (c, i) -> CASE WHEN c rlike '[0-9A-Z]' AND {place} > 0 THEN substring(s[0], {place}, 1) ELSE c END), '')"
     more = "(length(s[0]) - length(form))"  # a widened address is longer than its form
     cased = f"concat(CASE WHEN form = upper(form) THEN upper(left(s[0], {more})) ELSE left(s[0], {more}) END, array_join(transform(split(form, ''), (c, i) -> CASE WHEN c rlike '\\\\p{{Lu}}' THEN upper(substring(s[0], {more} + i + 1, 1)) ELSE substring(s[0], {more} + i + 1, 1) END), ''))"
     capitals = "CASE WHEN form = upper(form) THEN upper(s[0]) ELSE s[0] END"
-    person = "concat(substring_index(form, ' ', 1), ' ', array_join(transform(s, x -> concat(upper(left(x, 1)), substring(x, 2))), ' '))"
+    names = "array_join(transform(s, x -> concat(upper(left(x, 1)), substring(x, 2))), ' ')"
+    own = "substring(form, instr(form, ' ') + 1, length(form))"
+    loud = f"(left(form, 1) = '{CAPITALS}' OR {own} = upper({own}))"
+    person = f"concat(CASE WHEN left(form, 1) IN ('{BARE}', '{CAPITALS}') THEN '' ELSE concat(substring_index(form, ' ', 1), ' ') END, CASE WHEN {loud} THEN upper({names}) ELSE {names} END)"
     return F.expr(f"CASE WHEN kind IN ('phone', 'card', 'ssn', 'iban') THEN {spaced} WHEN kind = 'email' THEN {cased} WHEN kind = 'secret' THEN {capitals} WHEN kind = 'person' THEN {person} ELSE {s} END")
 
 
-def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and ``n_replaced``; other columns stay, a column ``n_replaced`` is replaced.
 
     One row for each input row. A text without personal data, an empty or null one comes back unchanged with 0. The same
-    entity gets the same surrogate in every text, for the same ``key``. What is joined back to the texts is a table of the
+    entity gets the same surrogate in every text, for the same ``key``, which has to be kept secret: who knows it can try numbers.
+    Persons are found by a form of address, and then by their names alone in the same text. What is joined back to the texts is a table of the
     distinct texts that hold personal data; mentions of a text that thousands of rows share are handled once.
     """
     names = [c for c in docs.columns if c != "n_replaced"]
@@ -176,9 +214,10 @@ def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     others = docs.where(~maybe).select(*names, F.lit(0).cast("long").alias("n_replaced"))
     docs = written(docs.where(maybe), "pii-suspects")
     k1, k2 = text_key(F.col("text"))
-    hit = docs.select(k1, k2, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("forms")).where(F.size("forms") > 0)
-    hit = written(hit.dropDuplicates(["k1", "k2"]), "pii-mentions")
-    mentions = hit.select("k1", "k2", F.posexplode("forms").alias("at", "form"))
+    hit = docs.select(k1, k2, "text", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("forms")).where(F.size("forms") > 0)
+    forms, pattern = _names_again(F.col("forms"), F.col("text"))
+    hit = written(hit.select("k1", "k2", forms.alias("forms"), pattern.alias("pattern")).dropDuplicates(["k1", "k2"]), "pii-mentions")
+    mentions = hit.select("k1", "k2", "pattern", F.posexplode("forms").alias("at", "form"))
     forms = written(_forms(mentions), "pii-forms")
     parts = forms.select("form", "kind", F.posexplode("parts").alias("n", "part")).select("form", F.col("kind").alias("form_kind"), "n", "part.kind", "part.norm")
     given = assign(checkpointed(parts.select("kind", "norm").distinct()), key)
@@ -186,15 +225,20 @@ def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     drawn = drawn.withColumn("s", F.col("s.surrogate")).select("form", _rendered().alias("new"))
     # a mention that is no entity after all keeps its form
     fixed = mentions.join(drawn, "form", "left").groupBy("k1", "k2")
-    fixed = fixed.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("new", "form").alias("new")))).alias("new"), F.count("new").alias("n_replaced"))
-    fixed = written(fixed.where("n_replaced > 0").select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("new.new").alias("new"), "n_replaced"), "pii-fixed")
+    fixed = fixed.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("new", F.col("form")).alias("new")))).alias("new"), F.count("new").alias("n_replaced"), F.first("pattern").alias("pattern"))
+    fixed = written(fixed.where("n_replaced > 0").select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("new.new").alias("new"), "n_replaced", "pattern"), "pii-fixed")
     # the row travels as one struct, so its columns may have any names
     rows = docs.select(F.struct(*names).alias("row"), k1.alias("f1"), k2.alias("f2")).join(fixed, ["f1", "f2"], "left")
-    pieces = F.zip_with(F.split("row.text", PATTERN), F.concat("new", F.array(F.lit(""))), lambda p, r: F.concat(p, r))
+    between = F.when(F.col("pattern").isNull(), F.split("row.text", PATTERN)).otherwise(F.split("row.text", F.col("pattern")))
+    pieces = F.zip_with(between, F.concat("new", F.array(F.lit(""))), lambda p, r: F.concat(p, r))
     text = F.when(F.col("new").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("row.text"))
     done = rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names], F.coalesce("n_replaced", F.lit(0)).cast("long").alias("n_replaced"))
     return done.unionAll(others)
 
 
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key_of(spark))

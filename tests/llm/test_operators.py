@@ -391,7 +391,7 @@ def test_surrogates(spark):
         (7, None, 0), (8, "", 0), (9, "plain words only", 0), (9, "plain words only", 0), (None, "mail x.y@z.example.com", 0),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, new int")
-    out = surrogates.surrogates(docs).collect()
+    out = surrogates.surrogates(docs, "a key").collect()
     assert len(out) == len(rows)
     t = {r.doc_id: r.text for r in out}
     n = {r.doc_id: r.n_replaced for r in out}
@@ -407,17 +407,40 @@ def test_surrogates(spark):
     assert t[5].split()[5] == smith and jane[-1] == "a" and "Smith" not in t[5] and any("а" <= c <= "я" for c in t[5].split()[-1])
     bban = t[6].split("iban ")[1].replace(" ", "")
     assert bban[:2] == "DE" and int("".join(str(int(c, 36)) for c in bban[4:] + bban[:4])) % 97 == 1 and "123-45" not in t[6]
-    again = {r.doc_id: r.text for r in surrogates.surrogates(docs).collect()}
+    again = {r.doc_id: r.text for r in surrogates.surrogates(docs, "a key").collect()}
     other = {r.doc_id: r.text for r in surrogates.surrogates(docs, key="another").collect()}
     assert again == t and other[4] != t[4]
-    assert surrogates.surrogates(docs.where("false")).count() == 0
+    assert surrogates.surrogates(docs.where("false"), "a key").count() == 0
+
+
+def test_surrogates_keep_coreference(spark):
+    rows = [
+        (1, "John Smith wrote. Mr. John Smith replied, JOHN SMITH agreed; Smith left with Dr. Jane Roe, not Smithers."),
+        (2, "Mrs. Jane Roe called 437-555-0689, 1-437-555-0689 and +1 (437) 555-0689; Dr ANNA LEE did not."),
+        (3, "John Smith is named here without a form of address; and so is Jane."),
+        (4, "Dr. Kim Park"),
+    ]
+    docs = spark.createDataFrame(rows, DOCS)
+    t = {r.doc_id: r.text for r in surrogates.surrogates(docs, "a key").collect()}
+    given, family = t[1].split()[:2]
+    assert f"{given} {family} wrote. Mr. {given} {family} replied, {given.upper()} {family.upper()} agreed; {family} left with Dr. " in t[1] and t[1].endswith("not Smithers.")
+    assert "Smith " not in t[1] and "Jane" not in t[1]
+    jane = t[1].split("Dr. ")[1].split(",")[0]
+    assert t[2].startswith(f"Mrs. {jane} called ") and jane.split()[0].endswith("a")  # the gender of Dr. Jane is that of Mrs. Jane
+    a, b, c = (x for x in t[2].split(" called ")[1].split(";")[0].replace(" and ", ", ").split(", "))
+    digits = lambda x: "".join(ch for ch in x if ch.isdigit())
+    assert digits(b) == digits(c) == "1" + digits(a) and digits(a) != "4375550689" and c[:4] == "+1 (" and b[:2] == "1-"
+    loud = t[2].split("Dr ")[1].split(" did")[0]
+    assert loud == loud.upper() and "ANNA" not in loud and t[3] == rows[2][1] and "Kim" not in t[4]
+    with pytest.raises(TypeError):
+        surrogates.surrogates(docs)
 
 
 def test_surrogates_stay_distinct(spark):
     # ten-digit numbers of one shape: more than enough of them to meet by chance in the small room of four-letter hosts
     ents = spark.range(4000).select(F.lit("ssn").alias("kind"), F.format_string("%09d", F.col("id") * 211).alias("norm"))
     short = spark.range(150).select(F.lit("card").alias("kind"), F.format_string("4%03d", F.col("id")).alias("norm"))
-    rows = surrogates.assign(ents.unionAll(short.limit(30))).collect()
+    rows = surrogates.assign(ents.unionAll(short.limit(30)), "a key").collect()
     for kind in ("ssn", "card"):
         mine = [r for r in rows if r.kind == kind]
         assert len({r.surrogate for r in mine}) == len(mine) and not {r.surrogate for r in mine} & {r.norm for r in mine}

@@ -9,7 +9,7 @@ from fieldtrust.llm import surrogates
 
 def test_names_beyond_the_room(spark):
     names = spark.range(17000).select(F.lit("given-male-latin").alias("kind"), F.concat(F.lit("x"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("norm"))
-    rows = surrogates.assign(names).collect()
+    rows = surrogates.assign(names, "a key").collect()
     assert len({r.norm for r in rows}) == len(rows) == 17000
     assert len({r.surrogate for r in rows}) == 17000 and not {r.surrogate for r in rows} & {r.norm for r in rows}
 
