@@ -23,7 +23,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """One document of each near-duplicate group: SimHash links, then all pairs of a Jaccard similarity of 0.8 or more on five-word shingles."""
     return shingle_join.keep_one(docs)
 
 
@@ -36,7 +36,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """All documents, personal data replaced by surrogates; ``n_chars`` follows the text."""
     names = docs.columns
     own = {"n_replaced": "__n_replaced"} if "n_replaced" in names else {}
-    out = surrogates.surrogates(docs.withColumnsRenamed(own))
+    out = surrogates.surrogates(docs.withColumnsRenamed(own), surrogates.key_of(spark))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(own.get(c, c)).alias(c) for c in names])
