@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from fieldtrust.llm.common import written
 from fieldtrust.llm.components import connected_components
+from fieldtrust.llm.tiling import tile_pairs, tiled
 
 THRESHOLD = 0.93
 TILE = 1024
@@ -35,13 +35,13 @@ def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
+            by_size: dict[int, list] = {}
             for v in b.column(0).to_pylist():
-                x = np.asarray(v, np.float64)
-                x /= np.linalg.norm(x)
-                d = len(x)
-                if d not in sums:
-                    sums[d] = np.zeros((d, d))
-                sums[d] += np.outer(x, x)
+                by_size.setdefault(len(v), []).append(v)
+            for d, vs in by_size.items():
+                x = np.array(vs, np.float64)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                sums[d] = sums.get(d, 0) + x.T @ x
         for d, m in sums.items():
             i, j = np.indices((d, d))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d)), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(m.ravel())], ["d", "i", "j", "s"])
@@ -121,14 +121,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     Only vectors of equal, non-null label and equal length are compared. Null and zero vectors and those with null or
     non-finite components, null labels or null ids link with nothing. Equal vectors are compared once: the smallest id
     stands for all. Of a tile pair only link counts and a spanning forest leave the task, so a group of near copies costs
-    rows in proportion to its size. Rows that repeat an id count as vectors of their own.
+    rows in proportion to its size. Rows that repeat an id count as vectors of their own, and a component bears the least id of its
+    rows. A bin of the angle with more than ``tile`` vectors is dealt to several tiles, so a task holds two tiles at most.
     """
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & (norm > 0) & (norm < float("inf")), F.lit(False))
     v = written(v.withColumn("ok", ok), "vectors")
-    groups = written(v.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-groups")
+    groups = v.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # an id may have several vectors, so each distinct vector gets a number of its own, which stands once written
+    groups = written(groups.withColumn("rep", F.monotonically_increasing_id()), "vector-groups")
     basis = axes(groups)
     lead = {d: m[:, 0] for d, m in basis.items()}
 
@@ -145,16 +148,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
 
     kinds = (("label", groups.schema["label"].dataType), ("d", T.IntegerType()), ("rep", T.LongType()), ("copies", T.LongType()), ("vector", T.BinaryType()), ("theta", T.DoubleType()))
     g = written(groups.mapInArrow(angles, T.StructType([T.StructField(*k) for k in kinds])), "vector-angles")
-    # rows of a label are counted by fine bins of the angle (at most BINS rows a label); about `tile` rows make a tile
-    binned = g.withColumn("bin", F.floor(F.col("theta") / F.lit(np.pi) * BINS))
-    before = F.sum("n").over(Window.partitionBy("label", "d").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = binned.groupBy("label", "d", "bin").agg(F.count("*").alias("n")).select("label", "d", "bin", F.floor(F.coalesce(before, F.lit(0)) / tile).alias("tile"))
-    g = written(binned.join(bins, ["label", "d", "bin"]).drop("bin"), "vector-tiled")
-    spans = g.groupBy("label", "d", "tile").agg(F.min("theta").alias("lo"), F.max("theta").alias("hi"))
-    a, b = spans.alias("a"), spans.alias("b")
+    binned = g.withColumn("bin", F.floor(F.col("theta") / F.lit(np.pi) * BINS))  # at most BINS counts a label
+    g = written(tiled(binned, ["label", "d"], "bin", F.col("rep"), tile).drop("bin"), "vector-tiled")
     reach = float(np.arccos(min(1.0, max(-1.0, threshold)))) + 1e-6
-    meets = (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.tile") <= F.col("b.tile")) & (F.col("b.lo") - F.col("a.hi") <= reach)
-    pairs = written(a.join(b, meets).select("a.label", "a.d", F.col("a.tile").alias("ta"), F.col("b.tile").alias("tb")), "vector-tile-pairs")
+    pairs = written(tile_pairs(g, ["label", "d"], "theta", reach), "vector-tile-pairs")
     side = ["label", "d", "ta", "tb", "rep", "copies", "vector"]
     left = g.withColumnRenamed("tile", "ta").join(pairs, ["label", "d", "ta"]).select(*side)
     right = g.withColumnRenamed("tile", "tb").join(pairs, ["label", "d", "tb"]).where("ta <> tb").select(*[F.col(c).alias(f"r_{c}") for c in side])
@@ -181,11 +178,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     found = written(left.groupBy(*key).cogroup(right.groupBy(*[f"r_{c}" for c in key])).applyInPandas(compare, "a long, b long, n long"), "vector-links")
     parts = connected_components(found.where("a <> b").select("a", "b"))
     counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    known = (
-        groups.join(counts, "rep", "left")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    known = groups.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    known = known.join(known.groupBy("part").agg(F.min("least").alias("component_id")), "part")
+    known = known.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = v.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = v.where("ok").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id").unionAll(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -261,6 +261,22 @@ def test_vectors_by_brute_force(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_one_id_with_several_vectors(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = [0.99, 0.05, 0.0]
+    kinds = "vec_id long, embedding array<double>, label int"
+    rows = vectors.near_duplicates(spark.createDataFrame([(1, a, 1), (1, b, 1), (2, a, 1), (3, near, 1), (4, b, 2)], kinds)).collect()
+    assert Counter(tuple(r) for r in rows) == Counter({(1, 2, 1, True): 1, (1, 0, 1, True): 1, (2, 2, 1, False): 1, (3, 2, 1, False): 1, (4, 0, 4, True): 1})
+
+
+def test_a_narrow_label_is_dealt_to_tiles(spark):
+    rng = np.random.default_rng(6)
+    vs = np.array([1.0, 0, 0, 0]) + np.concatenate([np.zeros((400, 1)), rng.normal(size=(400, 3)) * 1e-7], axis=1)
+    kinds = "vec_id long, embedding array<double>, label int"
+    rows = vectors.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vs)], kinds), tile=50).collect()
+    assert {(r.n_links, r.component_id) for r in rows} == {(399, 0)} and len(rows) == 400
+
+
 def plain_repeats(rows, k=50):
     docs = [(2**63 - 1 if i is None else i, (t or "").encode()) for i, t in rows]
     first = {}

@@ -17,7 +17,7 @@ def test_names_beyond_the_room(spark):
 def test_all_addresses_of_a_short_format(spark):
     mails = [f"{a}@{b}.io" for a in string.ascii_lowercase for b in string.ascii_lowercase]
     rows = [(i, f"mail {m} now") for i, m in enumerate(mails)] + [(-1, "mail A@b.io now"), (-2, "mail A@B.IO now"), (-3, "mail Ann@b.io now")]
-    got = {r.doc_id: r.text.split()[1] for r in surrogates.surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text.split()[1] for r in surrogates.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "a key").collect()}
     new = [got[i] for i in range(len(mails))]
     assert len(set(new)) == len(mails) and not set(new) & set(mails)
     assert all(a.endswith(".io") and a.count("@") == 1 and a == a.lower() for a in new)
