@@ -86,12 +86,15 @@ def ranges_for(chunks: DataFrame, per_byte: float = 1.0) -> int:
     return max(1, int(-(-raw * per_byte // RANGE_BYTES)))
 
 
-def cut(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where sorted keys pass from one range to the next: ``ranges + 1`` positions."""
-    edges = [-(-(r << 64) // ranges) for r in range(1, ranges)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]])
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each key; in the order of the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
-def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    edges = [-(-(r << 64) // ranges) for r in range(1, ranges)]
-    return np.searchsorted(np.array(edges, np.uint64), keys, side="right")
+def runs(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, first, end) of the ranges that sorted keys lie in; ranges without a key cost nothing."""
+    if not len(keys):
+        return []
+    own = range_of(keys, ranges)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return list(zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))

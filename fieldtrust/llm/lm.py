@@ -25,6 +25,7 @@ BUCKETS = 24
 STEPS_PER_DECADE = 12
 NONE = -999
 CACHE = 600_000
+LONG = 64
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -33,9 +34,11 @@ def fold_of(doc_id: int | None) -> int:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        h = xxhash.xxh64_intdigest(word, SEED)
+        if len(word) <= LONG:  # so the memory is bounded in bytes too
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -77,8 +80,7 @@ def _asked(chunks: DataFrame, ranges: int) -> DataFrame:
                 train = np.array([fold_of(i) != HELD_OUT for i in _ids(r.ids)])[t.doc]
                 for base, keys, place in ((0, t.words, t.w), (ranges, t.pairs, t.p)):
                     n = np.bincount(place[train], minlength=len(keys)).astype(np.uint64)
-                    edges = ch.cut(keys, ranges)
-                    out = [(r.chunk, base + k, ch.put_sorted(keys[a:b]), ch.put(n[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                    out = [(r.chunk, base + k, ch.put_sorted(keys[a:b]), ch.put(n[a:b])) for k, a, b in ch.runs(keys, ranges)]
                     yield pd.DataFrame(out, columns=["chunk", "range", "keys", "counts"])
 
     return chunks.select("chunk", "ids", "sizes", "data").mapInPandas(run, "chunk long, range long, keys binary, counts binary")
@@ -89,7 +91,7 @@ def _ids(ids) -> list:
 
 
 def _answered(asked: DataFrame, ranges: int) -> DataFrame:
-    """Rows (chunk, range, counts): the corpus counts of the keys asked; chunk -1 has a word range's number of types and tokens."""
+    """Rows (chunk, range, counts): the corpus counts of the keys asked; chunk -1 has a word range's number of ``types`` and ``tokens``."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [ch.got_sorted(k) for k in pdf["keys"]]
@@ -97,12 +99,12 @@ def _answered(asked: DataFrame, ranges: int) -> DataFrame:
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.uint64)
         ends = np.cumsum([len(k) for k in keys])
-        out = [(c, key[0], ch.put(total[place[e - len(k) : e]])) for c, k, e in zip(pdf["chunk"], keys, ends, strict=True)]
+        out = [(c, key[0], ch.put(total[place[e - len(k) : e]]), 0, 0) for c, k, e in zip(pdf["chunk"], keys, ends, strict=True)]
         if key[0] < ranges:
-            out.append((-1, key[0], ch.put(np.array([(total > 0).sum(), total.sum()], np.uint64))))
-        return pd.DataFrame(out, columns=["chunk", "range", "counts"])
+            out.append((-1, key[0], None, int((total > 0).sum()), int(total.sum())))
+        return pd.DataFrame(out, columns=["chunk", "range", "counts", "types", "tokens"])
 
-    return asked.groupBy("range").applyInPandas(run, "chunk long, range long, counts binary")
+    return asked.groupBy("range").applyInPandas(run, "chunk long, range long, counts binary, types long, tokens long")
 
 
 class _Counted(_Tokens):
@@ -190,9 +192,18 @@ def learn_weights(cells: list[tuple[int, int]], uniform: float, rounds: int = 30
     return out
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def mixture(weights: np.ndarray, ctx: np.ndarray, pair: np.ndarray, word: np.ndarray, n: int, types: int) -> np.ndarray:
+    """Probabilities from the counts of the context, of the pair and of the word."""
+    lam = weights[_bucket(ctx)]
+    return lam[:, 0] * (pair / np.maximum(ctx, 1)) + lam[:, 1] * (word / max(n, 1)) + lam[:, 2] / (types + 1)
+
+
+def scores(docs: DataFrame, learned: list | None = None) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row for each input row.
 
+    ``learned``, where given, receives the learned weights (bucket; pair, word, uniform). Repeated rows count as often as
+    they occur; columns other than the two are not looked at; an empty table gives no rows.
+
     Texts of fold 2 (crc32 of the id, modulo 7) are not learned from; null ids are learned from. A null or empty text is
     its end token. Where nothing was learned the uniform law over one type is left, which gives every token probability 1.
     """
@@ -201,19 +212,19 @@ def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     answers = written(_answered(_asked(packed, ranges), ranges), "lm-counts")
     release(spark)
-    sums = [ch.got(bytes(r["counts"])) for r in answers.where("chunk = -1").select("counts").collect()]
-    types, n = (int(sum(int(s[k]) for s in sums)) for k in (0, 1))
-    answers = answers.where("chunk >= 0")
+    types, n = answers.where("chunk = -1").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    answers = answers.where("chunk >= 0").select("chunk", "range", "counts")
     cells = _held_out_counts(packed, answers, ranges, n).collect()  # at most buckets * steps * steps rows
     release(spark)
     weights = learn_weights([(r["cell"], r["n"]) for r in sorted(cells)], 1 / (types + 1))
+    if learned is not None:
+        learned.append(weights)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.itertuples(index=False):
             t = _Counted(row, right, ranges)
-            lam = weights[_bucket(t.ctx)]
-            p = lam[:, 0] * (t.c2 / np.maximum(t.ctx, 1)) + lam[:, 1] * (t.c1 / max(n, 1)) + lam[:, 2] / (types + 1)
+            p = mixture(weights, t.ctx, t.c2, t.c1, n, types)
             add = lambda x, t=t: np.add.reduceat(x, t.starts)
             ids = _ids(row.ids)
             out.append(

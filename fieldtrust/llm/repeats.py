@@ -91,8 +91,7 @@ def _asked(chunks: DataFrame, ranges: int) -> DataFrame:
                 last = np.concatenate([first[1:], [len(h)]]) - 1 if len(h) else first
                 many = doc[first] != doc[last]
                 h = h[first]
-                edges = ch.cut(h, ranges)
-                out = [(r.chunk, k, ch.put_sorted(h[a:b]), np.packbits(many[a:b]).tobytes()) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                out = [(r.chunk, k, ch.put_sorted(h[a:b]), np.packbits(many[a:b]).tobytes()) for k, a, b in ch.runs(h, ranges)]
                 yield pd.DataFrame(out, columns=["chunk", "range", "keys", "many"])
 
     return chunks.select("chunk", "sizes", "data").mapInPandas(run, "chunk long, range long, keys binary, many binary")
@@ -122,7 +121,8 @@ def _copies(chunks: DataFrame) -> DataFrame:
     ids = chunks.select("chunk", F.posexplode("ids").alias("doc", "id"), "digests")
     digest = F.substring("digests", F.col("doc") * 32 + 1, F.lit(32))
     ids = ids.select("chunk", "doc", F.coalesce("id", F.lit(int(LAST))).alias("id"), digest.alias("digest"))
-    least = ids.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least")
+    least = ids.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least")
+    least = written(least, "repeat-first-copies")  # a plain table on this side lets Spark split the join where very many texts are equal
     late = ids.join(least, "digest").where("id > least").groupBy("chunk").agg(F.collect_list(F.col("doc").cast("long")).alias("docs"))
     pack = lambda frames: (pd.DataFrame({"chunk": p["chunk"], "range": -1, "payload": [ch.put(np.sort(np.asarray(x, np.int64))) for x in p["docs"]]}) for p in frames)
     return late.mapInPandas(pack, "chunk long, range long, payload binary")
@@ -164,9 +164,8 @@ def _contexts(chunks: DataFrame, told: DataFrame, ranges: int) -> DataFrame:
             raw = np.frombuffer(ch.unsqueeze(row.data), np.uint8)
             places, hashes = anchors(raw, sizes)
             distinct, at = np.unique(hashes, return_inverse=True)
-            edges = ch.cut(distinct, ranges)
             bits = dict(zip(answers["range"], answers["payload"], strict=True))
-            shared = np.concatenate([_bits(bits[k], b - a) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a] or [np.empty(0, bool)])
+            shared = np.concatenate([_bits(bits[k], b - a) for k, a, b in ch.runs(distinct, ranges)] or [np.empty(0, bool)])
             ends = np.cumsum(sizes)
             doc = np.searchsorted(ends, places, side="right")
             keep = shared[at] & ~np.isin(doc, copies) if len(at) else np.empty(0, bool)
@@ -181,11 +180,9 @@ def _contexts(chunks: DataFrame, told: DataFrame, ranges: int) -> DataFrame:
             low, high = np.full(len(first), LAST), np.full(len(first), np.iinfo(np.int64).min)
             np.minimum.at(low, which, ids)
             np.maximum.at(high, which, ids)
-            edges = ch.cut(hashes[first], ranges)  # distinct contexts come in the order of their hashes
-            for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                if b > a:
-                    f = first[a:b]
-                    out.append((row.chunk, r, int(a), ch.squeeze(ctx[f].tobytes()), ch.squeeze(lens[f].tobytes()), ch.put(low[a:b]), ch.put(high[a:b])))
+            for r, a, b in ch.runs(hashes[first], ranges):  # distinct contexts come in the order of their hashes
+                f = first[a:b]
+                out.append((row.chunk, r, a, ch.squeeze(ctx[f].tobytes()), ch.squeeze(lens[f].tobytes()), ch.put(low[a:b]), ch.put(high[a:b])))
             out.append((row.chunk, -2, 0, ch.put(doc.astype(np.int64)), ch.put(places - (ends - sizes)[doc]), ch.put(which.astype(np.int64)), None))
         return pd.DataFrame(out, columns=["chunk", "range", "first", "a", "b", "c", "d"])
 

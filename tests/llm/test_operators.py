@@ -237,6 +237,41 @@ def test_quality_learns_from_positives(spark):
     assert {r.score for r in none.select("score").collect()} == {0.5}
 
 
+def test_prior_and_risk_of_the_output_layer(spark):
+    rng = np.random.default_rng(7)
+    good, bad = (lambda n: rng.normal(1.5, 1, (n, 6))), (lambda n: rng.normal(-1.5, 1, (n, 6)))
+    p, u = good(3000), np.vstack([good(2100), bad(900)])
+    prior = quality.estimate_prior(p, u)
+    assert abs(prior - 0.7) < 0.04
+    model = quality.fit(p, u, prior, steps=60)
+    hidden = model.hide(u).astype(np.float32)
+    table = spark.createDataFrame([(hidden[:1000].tobytes(),), (hidden[1000:].tobytes(),)], "h binary").repartition(2)
+    new = quality.refine(table, p, model, ridge=0.01)
+
+    def risk(m):  # by definition, with the logistic loss
+        f = lambda x: m.hide(x) @ m.out + m.out_bias
+        plus, minus = (lambda x: np.logaddexp(0, -f(x)).mean()), (lambda x: np.logaddexp(0, f(x)).mean())
+        return prior * plus(p) + minus(u) - prior * minus(p)
+
+    held = 0.01 / 2 * (((new.out - model.out) ** 2).sum() + (new.out_bias - model.out_bias) ** 2)
+    assert risk(new) + held < risk(model) and not np.allclose(new.out, model.out)
+    for _ in range(50):  # no near output layer is better
+        other = quality.replace(new, out=new.out + rng.normal(0, 0.02, len(new.out)), out_bias=new.out_bias + rng.normal(0, 0.02))
+        held_too = 0.01 / 2 * (((other.out - model.out) ** 2).sum() + (other.out_bias - model.out_bias) ** 2)
+        assert risk(other) + held_too > risk(new) + held - 1e-4
+
+
+def test_quality_edge_cases(spark):
+    docs = spark.createDataFrame([(i % 7, prose(i % 9, 30), 5, "x") for i in range(60)] + [(None, None, 5, "y"), (1, "", 6, "z")], "doc_id long, text string, score int, predicted string")
+    labels = spark.createDataFrame([(i, 1) for i in range(7)] * 2, "doc_id long, quality int")
+    model = quality.train(docs.select("doc_id", "text"), labels)
+    rows = quality.scored(docs, model).collect()  # columns of these names are replaced
+    assert len(rows) == 62 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
+    assert len({r.score for r in rows if not r.text}) == 1
+    assert quality.train(docs.where("false").select("doc_id", "text"), labels) is None
+    assert quality.scored(docs.where("false"), model).count() == 0
+
+
 def test_vectors_by_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
@@ -307,6 +342,17 @@ def test_repeats_by_brute_force(spark, texts, monkeypatch):
     assert repeats.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_runs_visit_only_ranges_with_keys():
+    from fieldtrust.llm import chunks
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64))
+    for ranges in (1, 7, 3000, 2**31):
+        runs = chunks.runs(keys, ranges)
+        assert [a for _, a, _ in runs] == [0, *(b for *_, b in runs[:-1])] and runs[-1][2] == 500 and len(runs) <= min(500, ranges)
+        assert all(r < ranges and (chunks.range_of(keys[a:b], ranges) == r).all() for r, a, b in runs)
+    assert chunks.runs(keys[:0], 5) == []
+
+
 def test_interval_tree():
     strings = [b"banana", b"bananb", b"bandit", b"can", b"cane"]
     m = np.zeros((5, 6), np.uint8)
@@ -318,7 +364,8 @@ def test_interval_tree():
 
 
 def test_lm_by_brute_force(spark, texts):
-    rows = lm.scores(spark.createDataFrame(texts, DOCS)).collect()
+    learned: list = []
+    rows = lm.scores(spark.createDataFrame(texts, DOCS), learned).collect()
     toks = {}
     count, pairs, n = Counter(), Counter(), 0
     for k, (i, t) in enumerate(texts):
@@ -331,7 +378,18 @@ def test_lm_by_brute_force(spark, texts):
     v = len(count)
     want = Counter((i, fold_mod(i, 7) == 2, len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)) for (i, _), w in zip(texts, toks.values(), strict=True))
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == want
-    assert all(r.score < 0 for r in rows)
+    lam = learned[0]
+    assert lam.shape == (lm.BUCKETS, 3) and np.allclose(lam.sum(axis=1), 1)
+
+    def by_hand(w):
+        total = 0.0
+        for before, x in zip(["", *w[:-1]], w, strict=True):
+            c = count[before]
+            a, b, u = lam[min(math.ceil(math.log2(c + 1)), lm.BUCKETS - 1)]
+            total += math.log10(a * (pairs[before, x] / max(c, 1)) + b * count[x] / n + u / (v + 1))
+        return round(total, 6)
+
+    assert Counter((r.doc_id, round(r.score, 6)) for r in rows) == Counter((i, by_hand(w)) for (i, _), w in zip(texts, toks.values(), strict=True))
     assert lm.scores(spark.createDataFrame([], DOCS)).count() == 0
     one = lm.scores(spark.createDataFrame([(1, "")], DOCS)).collect()
     assert len(one) == 1 and math.isfinite(one[0].score)
