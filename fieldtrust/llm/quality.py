@@ -142,7 +142,7 @@ def estimate_prior(positives: np.ndarray, unlabelled: np.ndarray, steps: int = 8
         w -= np.linalg.solve(h, x.T @ (s - y) + ridge * w)
     sp, su = np.sort((p[1::2] if len(p) > 1 else p) @ w), np.sort((u[1::2] if len(u) > 1 else u) @ w)
     best = 1.0
-    for t in np.quantile(sp, np.linspace(0.02, 0.7, 35)):
+    for t in np.quantile(sp, np.linspace(0.02, 0.5, 25)):
         a, b = 1 - np.searchsorted(sp, t) / len(sp), 1 - np.searchsorted(su, t) / len(su)
         best = min(best, b / max(a, 1e-9))
     return min(0.99, max(0.01, best))
