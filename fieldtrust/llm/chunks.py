@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -98,3 +99,22 @@ def runs(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     own = range_of(keys, ranges)
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     return list(zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+
+
+def bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
+def held_by_several(asked: DataFrame) -> DataFrame:
+    """``asked(chunk, range, keys, many)`` to ``(chunk, range, payload)``: a bit for each key, whether another chunk asks for it too or ``many`` says that several texts of its own do."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [got_sorted(k) for k in pdf["keys"]]
+        distinct, place, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        many = np.concatenate([bits(m, len(k)) for m, k in zip(pdf["many"], keys, strict=True)])
+        shared = (n > 1) | (np.bincount(place, weights=many, minlength=len(distinct)) > 0)
+        ends = np.cumsum([len(k) for k in keys])
+        packed = [np.packbits(shared[place[e - len(k) : e]]).tobytes() for k, e in zip(keys, ends, strict=True)]
+        return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "payload": packed})
+
+    return asked.groupBy("range").applyInPandas(run, "chunk long, range long, payload binary")

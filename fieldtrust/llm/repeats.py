@@ -97,25 +97,6 @@ def _asked(chunks: DataFrame, ranges: int) -> DataFrame:
     return chunks.select("chunk", "sizes", "data").mapInPandas(run, "chunk long, range long, keys binary, many binary")
 
 
-def _bits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
-
-
-def _shared(asked: DataFrame) -> DataFrame:
-    """Rows (chunk, range, shared): of each hash asked, whether more than one text of the corpus holds it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [ch.got_sorted(k) for k in pdf["keys"]]
-        distinct, place, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        many = np.concatenate([_bits(m, len(k)) for m, k in zip(pdf["many"], keys, strict=True)])
-        shared = (n > 1) | (np.bincount(place, weights=many, minlength=len(distinct)) > 0)
-        ends = np.cumsum([len(k) for k in keys])
-        bits = [np.packbits(shared[place[e - len(k) : e]]).tobytes() for k, e in zip(keys, ends, strict=True)]
-        return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "payload": bits})
-
-    return asked.groupBy("range").applyInPandas(run, "chunk long, range long, payload binary")
-
-
 def _copies(chunks: DataFrame) -> DataFrame:
     """Rows (chunk, range -1, payload): the texts of a chunk that equal a text with a smaller id."""
     ids = chunks.select("chunk", F.posexplode("ids").alias("doc", "id"), "digests")
@@ -165,7 +146,7 @@ def _contexts(chunks: DataFrame, told: DataFrame, ranges: int) -> DataFrame:
             places, hashes = anchors(raw, sizes)
             distinct, at = np.unique(hashes, return_inverse=True)
             bits = dict(zip(answers["range"], answers["payload"], strict=True))
-            shared = np.concatenate([_bits(bits[k], b - a) for k, a, b in ch.runs(distinct, ranges)] or [np.empty(0, bool)])
+            shared = np.concatenate([ch.bits(bits[k], b - a) for k, a, b in ch.runs(distinct, ranges)] or [np.empty(0, bool)])
             ends = np.cumsum(sizes)
             doc = np.searchsorted(ends, places, side="right")
             keep = shared[at] & ~np.isin(doc, copies) if len(at) else np.empty(0, bool)
@@ -339,7 +320,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     ranges = ch.ranges_for(packed, 3)
     spark: SparkSession = docs.sparkSession
     copies = written(_copies(packed), "repeat-copies")
-    told = written(_shared(_asked(packed, ranges)), "repeat-shared").unionAll(copies)
+    told = written(ch.held_by_several(_asked(packed, ranges)), "repeat-shared").unionAll(copies)
     release(spark)
     found = written(_contexts(packed, told, ranges), "repeat-contexts")
     release(spark)

@@ -14,17 +14,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import short_batches, written
+from fieldtrust.llm import chunks as ch
+from fieldtrust.llm.common import release, short_batches, written
 from fieldtrust.llm.components import connected_components
 from fieldtrust.llm.simhash import _Forest, links, majority, shingle_hashes
 
 WIDTH = 5
 SAMPLE = 4000
 LEADING = 2
+CHUNK_SHINGLES = 500_000
 TILE_SHINGLES = 250_000
 TILE_ROWS = 1024
 COLUMNS = 4096
@@ -81,26 +85,90 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
-    """``(node, fp, n, firsts)`` by row: fingerprint, number of distinct shingles and the first of them, from one reading of the texts."""
-    common, counts = _common(docs, width)
+    """Chunks of some thousand texts ``(chunk, nodes, fps, sizes, counts, firsts)``: hashes, fingerprints, numbers of distinct shingles, and how many first shingles and which."""
+    common, known = _common(docs, width)
+    kinds = "chunk long, nodes binary, fps binary, sizes binary, counts binary, firsts binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 24, []
+
+        def full() -> pa.RecordBatch:
+            node, fp, size, firsts = zip(*held, strict=True)
+            row = [np.array(node, np.int64), np.array(fp, np.uint64), np.array(size, np.int64), np.array(list(map(len, firsts)), np.int64), np.concatenate(firsts)]
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([x.tobytes()], pa.binary()) for x in row)], [c.split()[0] for c in kinds.split(", ")])
+
+        n = 0
+        for b in batches:
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = shingle_hashes(t, width)
+                x = np.unique(h)
+                held.append((node, majority(h), len(x), first_shingles(x, common, known)))
+                n += len(held[-1][3])
+                if n >= CHUNK_SHINGLES:
+                    yield full()
+                    chunk, held, n = chunk + 1, [], 0
+        if held:
+            yield full()
+
+    return docs.select("node", "text").mapInArrow(run, kinds)
+
+
+def _unpacked(r) -> tuple[np.ndarray, ...]:
+    return (*(np.frombuffer(r[c], np.int64) for c in ("nodes", "fps", "sizes", "counts")), np.frombuffer(r["firsts"], np.uint64))
+
+
+def _nodes(prints: DataFrame) -> DataFrame:
+    """``(node, fp, n)`` by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [shingle_hashes(t, width) for t in b.column(1).to_pylist()]
-            fps = np.fromiter(map(majority, hashes), np.uint64, len(hashes))
-            sets = [np.unique(h) for h in hashes]
-            firsts = [first_shingles(x, common, counts) for x in sets]
-            offsets = np.cumsum([0, *map(len, firsts)])
-            flat = np.concatenate(firsts) if firsts else np.empty(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), lists], ["node", "fp", "n", "firsts"])
+            for r in b.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[c], np.int64)) for c in ("nodes", "fps", "sizes")], ["node", "fp", "n"])
+
+    return prints.select("nodes", "fps", "sizes").mapInArrow(run, "node long, fp long, n long")
 
-    return docs.select("node", "text").mapInArrow(run, "node long, fp long, n long, firsts array<long>")
+
+def _shared_firsts(prints: DataFrame) -> DataFrame:
+    """``(first, node, n, place)`` of the first shingles that more than one text of the corpus has among its first.
+
+    Nearly all are one text's alone. Chunks ask for their distinct ones, sorted and packed, and get a bit back for each.
+    """
+    total = prints.agg(F.sum(F.length("firsts"))).first()[0] or 0
+    ranges = max(1, -(-total // ch.RANGE_BYTES))
+
+    def ask(frames):
+        for pdf in frames:
+            for r in pdf.to_dict("records"):
+                nodes, _, _, counts, firsts = _unpacked(r)
+                order = np.argsort(firsts, kind="stable")
+                h, node = firsts[order], np.repeat(nodes, counts)[order]
+                at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                many = np.minimum.reduceat(node, at) != np.maximum.reduceat(node, at)
+                h = h[at]
+                out = [(r["chunk"], k, ch.put_sorted(h[a:b]), np.packbits(many[a:b]).tobytes()) for k, a, b in ch.runs(h, ranges)]
+                yield pd.DataFrame(out, columns=["chunk", "range", "keys", "many"])
+
+    asked = prints.select("chunk", "nodes", "fps", "sizes", "counts", "firsts").mapInPandas(ask, "chunk long, range long, keys binary, many binary")
+    told = written(ch.held_by_several(asked), "shingle-told")
+
+    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        bits = dict(zip(right["range"], right["payload"], strict=True))
+        out = []
+        for r in left.to_dict("records"):
+            nodes, _, sizes, counts, firsts = _unpacked(r)
+            h, place = np.unique(firsts, return_inverse=True)
+            shared = np.concatenate([ch.bits(bits[k], b - a) for k, a, b in ch.runs(h, ranges)])[place]
+            rank = np.arange(len(firsts)) - np.repeat(np.cumsum(counts) - counts, counts)
+            out.append(pd.DataFrame({"first": firsts.view(np.int64)[shared], "node": np.repeat(nodes, counts)[shared], "n": np.repeat(sizes, counts)[shared], "place": rank[shared]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["first", "node", "n", "place"])
+
+    rows = prints.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(answer, "first long, node long, n long, place long")
+    return rows.groupBy("first", "node").agg(F.max("n").alias("n"), F.min("place").alias("place"))
 
 
 def _fingerprint_links(prints: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Edges ``(a, b)`` between texts whose fingerprints are linked and whose sets are alike: a forest's number of candidates, each verified."""
-    nodes = prints.groupBy("fp", "node").agg(F.max("n").alias("n"))
+    nodes = _nodes(prints).groupBy("fp", "node").agg(F.max("n").alias("n"))
     reps = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("r")).select("fp", F.col("r.node").alias("node"), F.col("r.n").alias("n")), "shingle-fps")
     fits = F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 4
     same = nodes.join(reps.select("fp", F.col("node").alias("a"), F.col("n").alias("na")), "fp").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
@@ -224,11 +292,12 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     edges = _fingerprint_links(prints, docs, width)
     labels = written(connected_components(edges), "shingle-labels")
     # first by the leading shingles alone, which most of the alike texts share; then by all, where some are still apart
-    for name, some in (("shingle-leading", F.slice("firsts", 1, LEADING)), ("shingle-all", F.col("firsts"))):
-        firsts = prints.select(F.explode(some).alias("first"), "node", "n").groupBy("first", "node").agg(F.max("n").alias("n"))
-        shared = firsts.groupBy("first").agg(F.count("*").alias("rows")).where("rows > 1").select("first")
-        edges = edges.unionAll(_compared(firsts.join(shared, "first", "left_semi"), labels, docs, width, name))
+    firsts = written(_shared_firsts(prints), "shingle-firsts")
+    release(docs.sparkSession)
+    for name, some in (("shingle-leading", firsts.where(F.col("place") < LEADING)), ("shingle-all", firsts)):
+        edges = edges.unionAll(_compared(some.select("first", "node", "n"), labels, docs, width, name))
         labels = written(connected_components(edges), "shingle-labels")
+        release(docs.sparkSession)
     return labels
 
 
