@@ -5,8 +5,9 @@ where the texts' sets of shingles are alike. At a similarity of 0.8 fingerprints
 bits can afford, so what is left is found by the sets: two sets that alike share a shingle among the first ``n - ceil(0.8 n) + 1`` of
 each in any order common to all, so texts that share none of these are never compared and no pair is lost (shingles are 64-bit
 hashes). Shingles that a sample finds in several texts come last in the order; that saves work and changes no result. Groups whose
-texts are all linked already are dropped, of groups with the same members one is kept, and the rest are compared tile by tile with
-products of 0/1 matrices. Of a pair of tiles only a spanning forest of its links leaves the task, never its pairs.
+texts are all linked already are dropped, of groups with the same members one is kept, and the rest are compared tile by tile: by
+parity sketches first, which differ in no more bits than the sets do in shingles, and those texts that have a partner left by their
+sets, with products of 0/1 matrices. Of a pair of tiles only a spanning forest of its links leaves the task, never its pairs.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from fieldtrust.llm.simhash import _Forest, links, majority, shingle_hashes
 WIDTH = 5
 SAMPLE = 4000
 LEADING = 2
-CHUNK_SHINGLES = 500_000
+CHUNK_SHINGLES = 100_000
 TILE_SHINGLES = 250_000
 TILE_ROWS = 1024
 COLUMNS = 4096
+KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -64,6 +66,32 @@ def band(n: int) -> int:
     return int(np.floor(np.log(max(n, 1)) / np.log(1.26)))
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """A bit for each of some four places a shingle, set where an odd number of shingles fall; so two sketches of one length differ in no more bits than their sets in shingles."""
+    m = max(512, 1 << (4 * len(x)).bit_length())
+    return np.packbits(np.bincount((x & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
+
+
+def _folded(marks: list[bytes], size: int) -> np.ndarray:
+    """Sketches cut down to ``size`` bytes, as rows of 1 and -1: a place of the shorter one takes all places that agree with it modulo its length."""
+    rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, size), axis=0) for m in marks])
+    return 1 - 2 * np.unpackbits(rows, axis=1).astype(np.float32)
+
+
+def partners(left: list, right: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of two tiles, or of one, which members (``node, label, low, n, sketch``) may have an alike member of another label."""
+    own = right is None
+    right = left if own else right
+    size = min(len(m[4]) for m in (*left, *right))
+    a = _folded([m[4] for m in left], size)
+    b = a if own else _folded([m[4] for m in right], size)
+    apart = (8 * size - a @ b.T) / 2
+    col = lambda side, k, kind: np.array([m[k] for m in side], kind)
+    may = 9 * apart <= col(left, 3, np.int64)[:, None] + col(right, 3, np.int64)[None, :]
+    may &= (col(left, 1, np.int64)[:, None] != col(right, 1, np.int64)[None, :]) & ~(col(left, 2, bool)[:, None] & col(right, 2, bool)[None, :])
+    return may.any(axis=1), may.any(axis=0)
+
+
 def _node(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -85,24 +113,24 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
-    """Chunks of some thousand texts ``(chunk, nodes, fps, sizes, counts, firsts)``: hashes, fingerprints, numbers of distinct shingles, and how many first shingles and which."""
+    """Chunks of some hundred texts ``(chunk, nodes, fps, sizes, counts, firsts, marks)``: hashes, fingerprints, numbers of distinct shingles, how many first shingles and which, and sketches."""
     common, known = _common(docs, width)
-    kinds = "chunk long, nodes binary, fps binary, sizes binary, counts binary, firsts binary"
+    kinds = "chunk long, nodes binary, fps binary, sizes binary, counts binary, firsts binary, marks array<binary>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = TaskContext.get().partitionId() << 24, []
 
         def full() -> pa.RecordBatch:
-            node, fp, size, firsts = zip(*held, strict=True)
+            node, fp, size, firsts, marks = zip(*held, strict=True)
             row = [np.array(node, np.int64), np.array(fp, np.uint64), np.array(size, np.int64), np.array(list(map(len, firsts)), np.int64), np.concatenate(firsts)]
-            return pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([x.tobytes()], pa.binary()) for x in row)], [c.split()[0] for c in kinds.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([x.tobytes()], pa.binary()) for x in row), pa.array([marks], pa.list_(pa.binary()))], [c.split()[0] for c in kinds.split(", ")])
 
         n = 0
         for b in batches:
             for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = shingle_hashes(t, width)
                 x = np.unique(h)
-                held.append((node, majority(h), len(x), first_shingles(x, common, known)))
+                held.append((node, majority(h), len(x), first_shingles(x, common, known), sketch(x)))
                 n += len(held[-1][3])
                 if n >= CHUNK_SHINGLES:
                     yield full()
@@ -128,6 +156,17 @@ def _nodes(prints: DataFrame) -> DataFrame:
     return prints.select("nodes", "fps", "sizes").mapInArrow(run, "node long, fp long, n long")
 
 
+def _marks(prints: DataFrame) -> DataFrame:
+    """``(node, mark)`` by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for nodes, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(nodes, np.int64)), pa.array(marks, pa.binary())], ["node", "mark"])
+
+    return prints.select("nodes", "marks").mapInArrow(run, "node long, mark binary")
+
+
 def _shared_firsts(prints: DataFrame) -> DataFrame:
     """``(first, node, n, place)`` of the first shingles that more than one text of the corpus has among its first.
 
@@ -162,7 +201,7 @@ def _shared_firsts(prints: DataFrame) -> DataFrame:
             out.append(pd.DataFrame({"first": firsts.view(np.int64)[shared], "node": np.repeat(nodes, counts)[shared], "n": np.repeat(sizes, counts)[shared], "place": rank[shared]}))
         return pd.concat(out) if out else pd.DataFrame(columns=["first", "node", "n", "place"])
 
-    rows = prints.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(answer, "first long, node long, n long, place long")
+    rows = prints.drop("marks").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(answer, "first long, node long, n long, place long")
     return rows.groupBy("first", "node").agg(F.max("n").alias("n"), F.min("place").alias("place"))
 
 
@@ -237,7 +276,38 @@ def tile_links(left: list, right: list | None) -> tuple[list[int], list[int]]:
     return forest.a, forest.b
 
 
-def _compared(firsts: DataFrame, labels: DataFrame | None, docs: DataFrame, width: int, name: str) -> DataFrame:
+KEY = ["first", "band", "i", "j"]
+
+
+def _tile_by_tile(rows: DataFrame, work, kinds: str) -> DataFrame:
+    """``rows(KEY..., tile, ...)`` dealt by their pair of tiles; ``work(now, left, right)`` gets the rows of each, ``right`` None where a tile meets itself, and returns columns."""
+    columns = [c.split()[0] for c in kinds.split(", ")]
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(parts, *KEY).sortWithinPartitions(*KEY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            left, right = (sorted(x, key=lambda m: m[0]) for x in sides)
+            own = now[2] == now[3]
+            out = work(now, left, None if own else right) if left and (own or right) else [[]] * len(columns)
+            return pa.RecordBatch.from_arrays([pa.array(x, KINDS[c.split()[1]]) for x, c in zip(out, kinds.split(", "), strict=True)], columns)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:4] != now:
+                    if now:
+                        yield done()
+                    now, sides = row[:4], ([], [])
+                sides[row[4] != now[2]].append(row[5:])
+        if now:
+            yield done()
+
+    return dealt.mapInArrow(run, kinds)
+
+
+def _compared(firsts: DataFrame, labels: DataFrame | None, docs: DataFrame, marks: DataFrame, width: int, name: str) -> DataFrame:
     """``firsts(first, node, n)`` to edges that connect all alike texts of different labels that share a first shingle."""
     rows = firsts.withColumn("band", F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1.26))))
     if labels is not None:
@@ -254,35 +324,25 @@ def _compared(firsts: DataFrame, labels: DataFrame | None, docs: DataFrame, widt
     groups = written(groups.select("first", "band", tiles.alias("tiles")), f"{name}-groups")
     rows = rows.join(groups, ["first", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("tile")).alias("i"), F.greatest(k, F.col("tile")).alias("j")))
-    rows = rows.select("first", "band", "node", "label", "low", "tile", F.explode(met).alias("t")).select("first", "band", "t.i", "t.j", "tile", "node", "label", "low")
-    rows = written(rows, f"{name}-rows")
-    touched = rows.select("node").distinct()
-    texts = written(docs.join(touched, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), f"{name}-texts")
-    whole = rows.join(texts, "node").select("first", "band", "i", "j", "tile", "node", "label", "low", "text")
-    key = ["first", "band", "i", "j"]
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    whole = whole.repartition(parts, *key).sortWithinPartitions(*key)
+    rows = rows.select("first", "band", "node", "label", "low", "n", "tile", F.explode(met).alias("t"))
+    rows = written(rows.select("first", "band", "t.i", "t.j", "tile", "node", "label", "low", "n"), f"{name}-rows")
+    there = marks.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, left, right = None, [], []
+    def maybe(now, left, right):
+        a, b = partners(left, right)
+        kept = [(now[2], m) for m, k in zip(left, a, strict=True) if k] + ([(now[3], m) for m, k in zip(right, b, strict=True) if k] if right is not None else [])
+        return [[x] * len(kept) for x in now] + [[t for t, _ in kept], *([m[k] for _, m in kept] for k in range(3))]
 
-        def done() -> pa.RecordBatch:
-            left.sort(key=lambda m: m[0])
-            right.sort(key=lambda m: m[0])
-            a, b = tile_links(left, right if now[2] != now[3] else None) if left and (right or now[2] == now[3]) else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    rows = _tile_by_tile(rows.join(there, "node").select(*KEY, "tile", "node", "label", "low", "n", "mark"), maybe, "first long, band long, i int, j int, tile int, node long, label long, low boolean")
+    rows = written(rows, f"{name}-partners")
+    texts = docs.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
+    texts = written(texts, f"{name}-texts")
 
-        for batch in batches:
-            for first, band_, i, j, tile, node, label, low, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (first, band_, i, j) != now:
-                    if now:
-                        yield done()
-                    now, left, right = (first, band_, i, j), [], []
-                (left if tile == i else right).append((node, label, low, shingles(text, width)))
-        if now:
-            yield done()
+    def linked(now, left, right):
+        sets = lambda side: side if side is None else [(*m[:3], shingles(m[3], width)) for m in side]
+        return tile_links(sets(left), sets(right))
 
-    return written(whole.mapInArrow(run, "a long, b long"), f"{name}-links")
+    return written(_tile_by_tile(rows.join(texts, "node").select(*KEY, "tile", "node", "label", "low", "text"), linked, "a long, b long"), f"{name}-links")
 
 
 def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -295,7 +355,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     firsts = written(_shared_firsts(prints), "shingle-firsts")
     release(docs.sparkSession)
     for name, some in (("shingle-leading", firsts.where(F.col("place") < LEADING)), ("shingle-all", firsts)):
-        edges = edges.unionAll(_compared(some.select("first", "node", "n"), labels, docs, width, name))
+        edges = edges.unionAll(_compared(some.select("first", "node", "n"), labels, docs, _marks(prints), width, name))
         labels = written(connected_components(edges), "shingle-labels")
         release(docs.sparkSession)
     return labels

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 
 from fieldtrust.llm import shingle_join
 
@@ -48,3 +49,26 @@ def test_edited_copies_are_found(spark, sf_dir):
     assert groups == sorted({find(i) for i in range(len(texts))})
     nameless = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "e f g h")], "doc_id long, text string")
     assert sorted(r.text for r in shingle_join.keep_one(nameless).collect()) == ["a b c d", "e f g h"]
+
+
+def test_sketches_lose_no_alike_pair():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 3, 40, 129, 700, 2600):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for share in (0, 0.02, 0.05, 0.1, 0.2, 0.6):
+            other = base.copy()
+            k = int(n * share)
+            other[:k] = rng.integers(0, 2**64, k, dtype=np.uint64)
+            sets.append(np.unique(other[: n - int(rng.integers(0, n // 8 + 1))]))
+    members = [(i, i, False, len(x), shingle_join.sketch(x)) for i, x in enumerate(sets)]
+    alike = np.array([[i != j and shingle_join.similar(x, y) for j, y in enumerate(sets)] for i, x in enumerate(sets)])
+    for i, row in enumerate(alike):
+        for j in np.flatnonzero(row):
+            a, b = shingle_join.partners([members[i]], [members[j]])
+            assert a[0] and b[0]
+    a, _ = shingle_join.partners([members[18]], [members[24]])  # 129 and 700 other shingles
+    assert not a[0] and alike.sum() > 30
+    apart, _ = shingle_join.partners(members[12:18], None)
+    linked = shingle_join.tile_links([(i, i, False, x) for i, x in enumerate(sets[12:18])], None)
+    assert set(linked[0]) | set(linked[1]) <= set(np.flatnonzero(apart).tolist())
