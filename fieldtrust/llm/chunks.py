@@ -109,12 +109,17 @@ def held_by_several(asked: DataFrame) -> DataFrame:
     """``asked(chunk, range, keys, many)`` to ``(chunk, range, payload)``: a bit for each key, whether another chunk asks for it too or ``many`` says that several texts of its own do."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pa.default_memory_pool().release_unused()
         keys = [got_sorted(k) for k in pdf["keys"]]
-        distinct, place, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        many = np.concatenate([bits(m, len(k)) for m, k in zip(pdf["many"], keys, strict=True)])
-        shared = (n > 1) | (np.bincount(place, weights=many, minlength=len(distinct)) > 0)
-        ends = np.cumsum([len(k) for k in keys])
-        packed = [np.packbits(shared[place[e - len(k) : e]]).tobytes() for k, e in zip(keys, ends, strict=True)]
+        every = np.concatenate(keys)
+        every.sort()
+        twice = every[1:][every[1:] == every[:-1]]
+        del every
+        shared = np.unique(np.concatenate([twice, *(k[bits(m, len(k))] for m, k in zip(pdf["many"], keys, strict=True))]))
+        packed = []
+        for k in keys:
+            at = np.minimum(np.searchsorted(shared, k), max(len(shared) - 1, 0))
+            packed.append(np.packbits(shared[at] == k if len(shared) else np.zeros(len(k), bool)).tobytes())
         return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "payload": packed})
 
     return asked.groupBy("range").applyInPandas(run, "chunk long, range long, payload binary")

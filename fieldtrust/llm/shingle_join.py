@@ -30,6 +30,7 @@ WIDTH = 5
 SAMPLE = 4000
 LEADING = 2
 CHUNK_SHINGLES = 100_000
+RANGE_BYTES = 4 << 20
 TILE_SHINGLES = 250_000
 TILE_ROWS = 1024
 COLUMNS = 4096
@@ -118,6 +119,7 @@ def _prints(docs: DataFrame, width: int) -> DataFrame:
     kinds = "chunk long, nodes binary, fps binary, sizes binary, counts binary, firsts binary, marks array<binary>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks left in a worker that Spark uses again
         chunk, held = TaskContext.get().partitionId() << 24, []
 
         def full() -> pa.RecordBatch:
@@ -173,7 +175,7 @@ def _shared_firsts(prints: DataFrame) -> DataFrame:
     Nearly all are one text's alone. Chunks ask for their distinct ones, sorted and packed, and get a bit back for each.
     """
     total = prints.agg(F.sum(F.length("firsts"))).first()[0] or 0
-    ranges = max(1, -(-total // ch.RANGE_BYTES))
+    ranges = max(1, -(-total // RANGE_BYTES))
 
     def ask(frames):
         for pdf in frames:
