@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.operators.graph import components
+from fieldtrust.operators.graph import checkpoint_dir, components
 from fieldtrust.params import DEFAULT, Params
 
 BLOCK_ROWS = 2048
@@ -124,3 +124,23 @@ def prior_clusters(df: DataFrame, p: Params = DEFAULT, key: str = "seq", vector:
     size = F.coalesce("n", F.lit(0)) + 1
     score = F.when(size > p.cluster_size, F.least(size / 20.0, F.lit(1.0)) * 100).otherwise(0.0)
     return out.withColumns({"cluster_size": size, "semantic_score": score, "similar_ids": F.coalesce("similar_ids", F.array().cast("array<long>"))}).drop("n")
+
+
+def leaders(df: DataFrame, threshold: float = DEFAULT.cosine, key: str = "seq", vector: str = "vector", rounds: int = 60) -> DataFrame:
+    """Leader clustering in the order of ``key``: ``(key, leader)``. A row that is like no earlier leader leads; others follow the first leader they are like.
+
+    A row can be told once all earlier rows like it are; each round tells all that can be, and is checkpointed. The rounds
+    needed are the longest chain of rows that wait for each other.
+    """
+    checkpoint_dir(df.sparkSession)
+    pairs = similar_pairs(df, threshold, key, vector).select("a", "b").checkpoint()
+    state = df.select(F.col(key).cast("long").alias("id")).distinct().withColumn("leads", F.lit(None).cast("boolean")).checkpoint()
+    for _ in range(rounds):
+        before = pairs.join(state.select(F.col("id").alias("a"), F.col("leads").alias("led")), "a")
+        seen = before.groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("led", F.lit(False))).alias("follows"), F.count_if(F.col("led").isNull()).alias("open"))
+        told = F.when(F.coalesce("follows", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        state = state.join(seen, "id", "left").select("id", F.coalesce("leads", told).alias("leads")).checkpoint()
+        if not state.where("leads IS NULL").limit(1).count():
+            led = pairs.join(state.where("leads").select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min("a").alias("first"))
+            return state.join(led, state.id == led.b, "left").select(F.col("id").alias(key), F.when(F.col("leads"), F.col("id")).otherwise(F.col("first")).alias("leader"))
+    raise RuntimeError("leaders were not settled")

@@ -113,3 +113,13 @@ def fuse(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
         "recommendation": F.coalesce(*[F.when(risk == k, v) for k, v in RECOMMENDATIONS.items()]),
         "weights": F.transform(s, lambda x: F.struct(x["name"].alias("name"), round_half_even(x["raw"] / w, 4).alias("weight"), x["score"].alias("score"))),
     }).drop("_s", "_w", "_score", "_fake", "_sure")
+
+
+def invalid_first(df: DataFrame, errors: str = "errors") -> DataFrame:
+    """Scored rows with those whose input failed its checks replaced: 100, high, fake, 0.95 sure, and the errors as the reason. Sub-scores are 100 for the place and 0 else."""
+    bad = F.size(F.coalesce(F.col(errors), F.array().cast("array<string>"))) > 0
+    fixed = {
+        "suspicion_score": F.lit(100.0), "total_score": F.lit(100.0), "risk_level": F.lit("high"), "is_fake": F.lit(True), "confidence": F.lit(0.95), "geo_score": F.lit(100.0),
+        "text_score": F.lit(0.0), "simhash_score": F.lit(0.0), "semantic_score": F.lit(0.0), "reasons": F.array(F.concat(F.lit("数据格式无效: "), F.array_join(errors, ", "))),
+    }
+    return df.withColumns({c: F.when(bad, v).otherwise(F.col(c)) for c, v in fixed.items() if c in df.columns} | {"recommendation": F.when(bad, "数据格式错误，请检查输入").otherwise(F.coalesce(*[F.when(F.col("risk_level") == k, v) for k, v in RECOMMENDATIONS.items()]))})

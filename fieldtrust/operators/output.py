@@ -60,3 +60,18 @@ def top_violations(df: DataFrame, n: int = 10, column: str = "violations", order
 def map_points(df: DataFrame) -> DataFrame:
     """Marker and heat projections."""
     return df.select("record_id", "latitude", "longitude", lookup(F.col("risk_level"), COLOURS, "gray").alias("color"), lookup(F.col("risk_level"), INTENSITY, 0.2).alias("intensity"))
+
+
+def display_confidence(score: Column, risk: Column) -> Column:
+    """The confidence of a result table, from score and risk."""
+    return F.when(risk == "low", F.least(F.lit(95.0), (100 - score) / 2 + 50)).when(risk == "medium", F.abs(50 - score) / 4 + 50).otherwise(F.least(F.lit(95.0), score / 2 + 50))
+
+
+def card_confidence(score: Column, risk: Column) -> Column:
+    """The confidence of a result card: the score's distance from what the risk would have it, kept within 50 and 99."""
+    return F.greatest(F.lit(50.0), F.least(F.lit(99.0), 100 - F.abs(score - F.when(risk == "low", 100.0).otherwise(0.0))))
+
+
+def with_places(results: DataFrame, records: DataFrame, order: str = "seq") -> DataFrame:
+    """Results with the place of the record at the same position; null where there is none."""
+    return results.join(records.select(order, "latitude", "longitude"), order, "left")

@@ -141,3 +141,35 @@ def by_category(df: DataFrame, category: str, key: str, value: str) -> DataFrame
 
 def hit_rate(hits: Column, misses: Column) -> Column:
     return F.when(hits + misses > 0, hits / (hits + misses)).otherwise(0.0)
+
+
+def daily_rollup(df: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """The rollup table: a row for each tenant and day with its eighteen measures; ``calls(tenant_id, created_at, status)`` gives the last but the reviews'."""
+    day = F.to_date("created_at").alias("stat_date")
+    risk = lambda k: F.count_if(F.col("risk_level") == k)
+    hit = lambda k: F.count_if(F.col(f"{k}_score") > 0)
+    review = lambda *k: F.count_if(F.col("review_status").isin(*k))
+    g = df.groupBy("tenant_id", day).agg(
+        F.count("*").alias("total_records"), F.count_if("is_fake").alias("fake_records"), F.count_if(~F.col("is_fake")).alias("normal_records"), review("pending").alias("pending_records"),
+        risk("high").alias("high_risk_count"), risk("medium").alias("medium_risk_count"), risk("low").alias("low_risk_count"), F.avg("suspicion_score").alias("avg_suspicion_score"),
+        F.avg("processing_time_ms").alias("avg_processing_time_ms"), hit("geo").alias("geo_anomaly_count"), hit("text").alias("text_anomaly_count"), hit("simhash").alias("duplicate_count"),
+        hit("semantic").alias("cluster_anomaly_count"), review("approved", "rejected").alias("review_count"), review("approved").alias("review_approved"), review("rejected").alias("review_rejected"),
+    )
+    if calls is None:
+        return g.withColumns({"api_calls": F.lit(0).cast("long"), "api_errors": F.lit(0).cast("long")})
+    c = calls.groupBy("tenant_id", day).agg(F.count("*").alias("api_calls"), F.count_if(F.col("status") >= 400).alias("api_errors"))
+    out = g.join(c, ["tenant_id", "stat_date"], "full")
+    measures = [x for x in out.columns if x not in ("tenant_id", "stat_date", "avg_suspicion_score", "avg_processing_time_ms")]
+    return out.withColumns({x: F.coalesce(x, F.lit(0).cast("long")) for x in measures})
+
+
+def feature_overview(features: DataFrame) -> DataFrame:
+    """Features by type and in all (type null)."""
+    return features.rollup("feature_type").agg(F.count("*").alias("n"))
+
+
+def metrics_line(name: Column | str, metrics: DataFrame) -> DataFrame:
+    """``line``: a model's metrics as one row of a comparison; without samples it says so."""
+    n = name if isinstance(name, Column) else F.lit(name)
+    said = F.format_string("%-24s 样本=%-6d Acc=%.4f  P=%.4f  R=%.4f  F1=%.4f", n, "sample_count", "accuracy", "precision", "recall", "f1")
+    return metrics.withColumn("line", F.when(F.coalesce("sample_count", F.lit(0)) > 0, said).otherwise(F.format_string("%-24s 样本不足，无法评估", n)))

@@ -150,16 +150,51 @@ def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("seq").agg(F.count("*").alias("n"))
 
 
-@query()
+def _waves_sql(*terms: tuple[float, str]) -> str:
+    return "(" + " + ".join(f"{size} * sin(({angle}) * pi())" for size, angle in terms) + ") * 2.0 / 3.0"
+
+
+def _shift_sql(lat: str, lon: str) -> tuple[str, str]:
+    """The published formula of the shifted datum's offset in degrees, as SQL."""
+    x, y = f"({lon} - 105.0)", f"({lat} - 35.0)"
+    ripple = ((20.0, f"6.0 * {x}"), (20.0, f"2.0 * {x}"))
+    north = f"(-100.0 + 2.0 * {x} + 3.0 * {y} + 0.2 * {y} * {y} + 0.1 * {x} * {y} + 0.2 * sqrt(abs({x})) + {_waves_sql(*ripple, (20.0, y), (40.0, f'{y} / 3.0'), (160.0, f'{y} / 12.0'), (320.0, f'{y} / 30.0'))})"
+    east = f"(300.0 + {x} + 2.0 * {y} + 0.1 * {x} * {x} + 0.1 * {x} * {y} + 0.1 * sqrt(abs({x})) + {_waves_sql(*ripple, (20.0, x), (40.0, f'{x} / 3.0'), (150.0, f'{x} / 12.0'), (300.0, f'{x} / 30.0'))})"
+    w = f"(1 - {geo.ECCENTRICITY!r} * pow(sin(radians({lat})), 2))"
+    inside = f"({lat} BETWEEN 0.8293 AND 55.8271 AND {lon} BETWEEN 72.004 AND 137.8347)"
+    dlat = f"degrees({north} / ({geo.AXIS!r} * (1 - {geo.ECCENTRICITY!r}) / ({w} * sqrt({w}))))"
+    dlon = f"degrees({east} / ({geo.AXIS!r} / sqrt({w}) * cos(radians({lat}))))"
+    return f"CASE WHEN {inside} THEN {dlat} ELSE 0 END", f"CASE WHEN {inside} THEN {dlon} ELSE 0 END"
+
+
+_OUT, _BACK = _shift_sql("lat", "lon"), _shift_sql("glat", "glon")
+
+
+@query(f"""WITH g AS (SELECT seq, lat, lon, lat + {_OUT[0]} AS glat, lon + {_OUT[1]} AS glon FROM {REPORTS_SQL}), b AS (SELECT *, glat - ({_BACK[0]}) AS blat, glon - ({_BACK[1]}) AS blon,
+sqrt(glon * glon + glat * glat) + 0.00002 * sin(glat * pi() * 3000.0 / 180.0) AS radius, atan2(glat, glon) + 0.000003 * cos(glon * pi() * 3000.0 / 180.0) AS angle FROM g)
+SELECT seq, {ts('glat * 1000000')} AS gcj_lat_m, {ts('glon * 1000000')} AS gcj_lon_m, {ts('blat * 1000000')} AS back_lat_m, {ts('blon * 1000000')} AS back_lon_m,
+{ts('(radius * sin(angle) + 0.006) * 1000000')} AS bd_lat_m, {ts('(radius * cos(angle) + 0.0065) * 1000000')} AS bd_lon_m FROM b""")
 def datum_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat, lon = F.col("latitude"), F.col("longitude")
     g = geo.wgs84_to_gcj02(lat, lon)
-    back = geo.gcj02_to_wgs84(*g)
     b = geo.convert(lat, lon, "wgs84", "bd09")
-    return t.reports(spark, sf_dir).select("seq", g[0].alias("gcj_lat"), g[1].alias("gcj_lon"), back[0].alias("back_lat"), back[1].alias("back_lon"), b[0].alias("bd_lat"), b[1].alias("bd_lon"))
+    r = t.reports(spark, sf_dir).select("seq", g[0].alias("glat"), g[1].alias("glon"), b[0].alias("bd_lat"), b[1].alias("bd_lon"))
+    back = geo.gcj02_to_wgs84(F.col("glat"), F.col("glon"))
+    out = {"gcj_lat_m": F.col("glat"), "gcj_lon_m": F.col("glon"), "back_lat_m": back[0], "back_lon_m": back[1], "bd_lat_m": F.col("bd_lat"), "bd_lon_m": F.col("bd_lon")}
+    return r.select("seq", *[times(c, 1e6).alias(k) for k, c in out.items()])
 
 
-@query()
+def _near_sql(points: tuple, km: float) -> str:
+    """Whether a point of a list is nearer than so many kilometres."""
+    listed = ", ".join(f"{{'a': {a}, 'b': {b}}}" for a, b in points)
+    d = "2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(q.a - lat) / 2), 2) + cos(radians(lat)) * cos(radians(q.a)) * pow(sin(radians(q.b - lon) / 2), 2))))"
+    return f"len(list_filter([{listed}], lambda q: {d} < {km})) > 0"
+
+
+@query(f"""WITH c(n, city, clat, clon, r) AS (VALUES {_POINTS}), d AS (SELECT seq, city, n, r, {_CITY_KM} AS km FROM {REPORTS_SQL} JOIN c ON true),
+m AS (SELECT seq, CASE WHEN min(km) < 100 THEN arg_min(city, km) END AS nearest, arg_min(city, n) FILTER (km <= r) AS holds FROM d GROUP BY seq),
+p AS (SELECT seq, lat BETWEEN 18 AND 54 AND lon BETWEEN 73 AND 135 AS inside, CASE WHEN {_near_sql(spatial.WATER, 1.0)} THEN 'water' WHEN {_near_sql(spatial.CLOSED, 0.5)} THEN 'forbidden' ELSE 'normal' END AS kind, {_near_sql(spatial.WATER, 2.0)} AS wet FROM {REPORTS_SQL})
+SELECT seq, inside AND kind <> 'forbidden' AS valid, CASE WHEN inside THEN kind ELSE 'normal' END AS type, CASE WHEN inside THEN holds END AS city, nearest AS nearest_city, wet AS water_nearby FROM p JOIN m USING (seq)""")
 def coordinate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.reports(spark, sf_dir).select("seq", spatial.verdict(F.col("latitude"), F.col("longitude")).alias("v"), spatial.info(F.col("latitude"), F.col("longitude")).alias("i")).select("seq", "v.valid", "v.type", "v.city", "i.nearest_city", "i.water_nearby")
 
@@ -439,3 +474,6 @@ def model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.join(truth, "seq").select("seq", "label", *[f"f_{n}" for n in ml.HYBRID])
     train, test = ml.stratified_split(rows, "seq")
     return ml.evaluate(ml.predict(ml.train(train), test), truth, "seq")
+
+
+from fieldtrust.plans import scenarios  # noqa: E402,F401  registers more queries

@@ -66,3 +66,27 @@ def training(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     text = F.when(hype, pick(HYPE, unit(seed, "hype"))).when(F.col("stratum") == "boundary", F.concat(F.col("text"), F.lit("打卡"))).otherwise(F.col("text"))
     out = s.withColumns({"text": text, "latitude": F.when(place, F.lit(45.0)).otherwise(F.col("latitude")), "longitude": F.when(place, F.lit(-100.0)).otherwise(F.col("longitude"))})
     return out.withColumn("label", F.when(hype | place, "fake").otherwise("normal")).drop("id")
+
+
+# fixed values: sample places, plain and made up
+PLACES = (("星巴克(三里屯店)", "北京市朝阳区三里屯路19号", "餐饮"), ("麦当劳(国贸店)", "北京市朝阳区建国门外大街1号", "餐饮"), ("肯德基(王府井店)", "北京市东城区王府井大街138号", "餐饮"), ("全聚德(前门店)", "北京市东城区前门大街30号", "餐饮"), ("海底捞(望京店)", "北京市朝阳区望京西路甲50号", "餐饮"))
+FAKE_PLACES = (("全网第一网红奶茶店", "北京市朝阳区某某路123号", "餐饮"), ("顶级spa会所", "北京市海淀区某某街456号", "休闲"), ("免费体验中心", "北京市西城区某某巷789号", "服务"))
+
+
+def places(spark: SparkSession, n: int = 10, include_fake: bool = True, seed: int = 42, start: int = 1_700_000_000) -> DataFrame:
+    """Sample places around one centre; the first three are made up where fakes are asked for."""
+    fake = (F.col("id") < 3) & F.lit(include_fake)
+    u = unit(seed, "place")
+    part = lambda k: F.when(fake, pick(tuple(p[k] for p in FAKE_PLACES), u)).otherwise(pick(tuple(p[k] for p in PLACES), u))
+    text = F.concat(F.lit("这是"), part(0), F.lit("的描述信息"))
+    return spark.range(n).select(
+        F.format_string("P%08d", "id").alias("record_id"), F.format_string("D_SAMPLE_%d", "id").alias("device_id"), F.format_string("U_SAMPLE_%d", "id").alias("user_id"), (F.lit(start) + F.col("id")).cast("double").alias("timestamp"),
+        part(0).alias("name"), part(1).alias("address"), part(2).alias("category"), F.round(39.9 + (unit(seed, "lat") - 0.5) / 5, 6).alias("latitude"), F.round(116.4 + (unit(seed, "lon") - 0.5) / 5, 6).alias("longitude"),
+        text.alias("description"), text.alias("text"), F.format_string("010-%d", F.floor(unit(seed, "phone") * 89999999).cast("long") + 10000000).alias("phone"), F.when(fake, "fake").otherwise("normal").alias("label"), F.col("id").alias("seq"),
+    )
+
+
+def random_matrix(spark: SparkSession, n: int = 1000, width: int = 10, seed: int = 42) -> DataFrame:
+    """``(id, x, y)``: rows of uniform numbers; y is 1 where one of the first three is over 0.6."""
+    x = F.array(*[unit(seed, f"x{k}") for k in range(width)])
+    return spark.range(n).select("id", x.alias("x")).withColumn("y", F.exists(F.slice("x", 1, 3), lambda v: v > 0.6).cast("int"))

@@ -120,3 +120,10 @@ def platform_table(matches: DataFrame, platforms: tuple[str, ...] = ("osm", "ama
     ids = matches.select("record_id").distinct()
     every = ids.select("record_id", F.explode(F.array(*map(F.lit, platforms))).alias("platform"))
     return every.join(matches, ["record_id", "platform"], "left").withColumns({"found": F.coalesce("found", F.lit(False)), "similarity": F.coalesce("similarity", F.lit(0.0))})
+
+
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """System settings of a JSON file ``{"configs": [...]}``; absent fields take their defaults."""
+    item = "config_key string, config_value string, description string, category string, is_editable boolean, updated_at string, updated_by string"
+    rows = spark.read.schema(f"configs array<struct<{item.replace(' string', ':string').replace(' boolean', ':boolean')}>>").option("multiLine", True).json(path).select(F.explode("configs").alias("c")).select("c.*")
+    return rows.na.fill({"description": "", "category": "general", "is_editable": True, "updated_at": "", "updated_by": ""})
