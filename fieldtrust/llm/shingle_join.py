@@ -29,7 +29,7 @@ from fieldtrust.llm.simhash import _Forest, links, majority, shingle_hashes
 WIDTH = 5
 SAMPLE = 4000
 LEADING = 2
-CHUNK_SHINGLES = 100_000
+CHUNK_SHINGLES = 25_000  # a row of some 200 KB: the JVM moves larger arrays badly
 RANGE_BYTES = 4 << 20
 TILE_SHINGLES = 250_000
 TILE_ROWS = 1024
@@ -68,8 +68,8 @@ def band(n: int) -> int:
 
 
 def sketch(x: np.ndarray) -> bytes:
-    """A bit for each of some four places a shingle, set where an odd number of shingles fall; so two sketches of one length differ in no more bits than their sets in shingles."""
-    m = max(512, 1 << (4 * len(x)).bit_length())
+    """A bit for each of one to two places a shingle, set where an odd number of shingles fall; so two sketches of one length differ in no more bits than their sets in shingles."""
+    m = max(256, 1 << len(x).bit_length())
     return np.packbits(np.bincount((x & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
 
 
@@ -316,6 +316,8 @@ def _compared(firsts: DataFrame, labels: DataFrame | None, docs: DataFrame, mark
         rows = rows.join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
         rows = rows.withColumn("label", F.col("node"))
+    mixed = rows.groupBy("first").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("first")
+    rows = rows.join(mixed, "first", "left_semi")
     # a text stands in its own band and, marked low, in the next: texts of two low marks meet in their own band
     rows = rows.select("first", "node", "n", "label", F.explode(F.array(F.struct("band", F.lit(False).alias("low")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("low")))).alias("b"))
     rows = rows.select("first", "b.band", "b.low", "node", "n", "label")
@@ -372,9 +374,12 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     keyed = docs.select(F.struct(*names).alias("row"), _node(F.col("text")).alias("node"))
     labels = similar_groups(keyed.select("node", F.coalesce("row.text", F.lit("")).alias("text")), width)
     # nothing but ids and hashes is shuffled to find the first row of each text, then of each group
-    first = keyed.groupBy("node").agg(F.min("row.doc_id").alias("doc_id")).join(labels, "node", "left")
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("doc_id"), F.col("node").alias("node"))
-    chosen = first.groupBy(F.coalesce("component", "node").alias("part")).agg(F.min(order).alias("c")).select("c.doc_id", "c.node")
-    same = keyed["node"].eqNullSafe(chosen["node"]) & keyed["row.doc_id"].eqNullSafe(chosen["doc_id"])
-    kept = keyed.join(chosen, same, "left_semi").dropDuplicates(["node"])
+    rows = keyed.groupBy("node", F.col("row.doc_id").alias("doc_id")).agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node", "n")
+    first = rows.groupBy("node").agg(F.min(order).alias("c")).join(labels, "node", "left")
+    chosen = written(first.groupBy(F.coalesce("component", "node").alias("part")).agg(F.min("c").alias("c")).select("c.doc_id", "c.node", "c.n"), "shingle-chosen")
+    same = lambda some: keyed["node"].eqNullSafe(some["node"]) & keyed["row.doc_id"].eqNullSafe(some["doc_id"])
+    # a row is chosen by its id and text; only where several rows have both is one of them to be taken
+    one, several = chosen.where("n = 1"), chosen.where("n > 1")
+    kept = keyed.join(one, same(one), "left_semi").unionAll(keyed.join(several, same(several), "left_semi").dropDuplicates(["node"]))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])

@@ -69,6 +69,14 @@ def test_sketches_lose_no_alike_pair():
             assert a[0] and b[0]
     a, _ = shingle_join.partners([members[18]], [members[24]])  # 129 and 700 other shingles
     assert not a[0] and alike.sum() > 30
+    same = shingle_join._folded([shingle_join.sketch(sets[24])], 32)
+    assert same.shape == (1, 256) and set(np.unique(same)) == {-1.0, 1.0}
     apart, _ = shingle_join.partners(members[12:18], None)
     linked = shingle_join.tile_links([(i, i, False, x) for i, x in enumerate(sets[12:18])], None)
     assert set(linked[0]) | set(linked[1]) <= set(np.flatnonzero(apart).tolist())
+
+
+def test_equal_rows_are_kept_once(spark):
+    rows = [(5, "a b c d e f", 1)] * 3 + [(6, "a b c d e f", 1), (5, "g h i j k l", 2), (None, "", 3), (None, None, 3)]
+    got = shingle_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, at int")).collect()
+    assert sorted((r.doc_id or 0, r.at) for r in got) == [(0, 3), (5, 1), (5, 2)]
