@@ -28,12 +28,13 @@ from fieldtrust.llm.simhash import _Forest, links, majority, shingle_hashes
 
 WIDTH = 5
 SAMPLE = 4000
-LEADING = 2
 CHUNK_SHINGLES = 25_000  # a row of some 200 KB: the JVM moves larger arrays badly
 RANGE_BYTES = 4 << 20
 TILE_SHINGLES = 250_000
 TILE_ROWS = 1024
 COLUMNS = 4096
+#: Rows of keys (some 40 bytes each) up to which a list of texts is broadcast rather than the texts shuffled.
+BROADCAST_ROWS = 250_000
 KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
@@ -93,6 +94,11 @@ def partners(left: list, right: list | None) -> tuple[np.ndarray, np.ndarray]:
     return may.any(axis=1), may.any(axis=0)
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """A written list of keys, marked for broadcast where it is small: then the texts that it is joined with stay where they are."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def _node(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -170,7 +176,7 @@ def _marks(prints: DataFrame) -> DataFrame:
 
 
 def _shared_firsts(prints: DataFrame) -> DataFrame:
-    """``(first, node, n, place)`` of the first shingles that more than one text of the corpus has among its first.
+    """``(first, node, n)`` of the first shingles that more than one text of the corpus has among its first.
 
     Nearly all are one text's alone. Chunks ask for their distinct ones, sorted and packed, and get a bit back for each.
     """
@@ -199,12 +205,11 @@ def _shared_firsts(prints: DataFrame) -> DataFrame:
             nodes, _, sizes, counts, firsts = _unpacked(r)
             h, place = np.unique(firsts, return_inverse=True)
             shared = np.concatenate([ch.bits(bits[k], b - a) for k, a, b in ch.runs(h, ranges)])[place]
-            rank = np.arange(len(firsts)) - np.repeat(np.cumsum(counts) - counts, counts)
-            out.append(pd.DataFrame({"first": firsts.view(np.int64)[shared], "node": np.repeat(nodes, counts)[shared], "n": np.repeat(sizes, counts)[shared], "place": rank[shared]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["first", "node", "n", "place"])
+            out.append(pd.DataFrame({"first": firsts.view(np.int64)[shared], "node": np.repeat(nodes, counts)[shared], "n": np.repeat(sizes, counts)[shared]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["first", "node", "n"])
 
-    rows = prints.drop("marks").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(answer, "first long, node long, n long, place long")
-    return rows.groupBy("first", "node").agg(F.max("n").alias("n"), F.min("place").alias("place"))
+    rows = prints.drop("marks").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(answer, "first long, node long, n long")
+    return rows.groupBy("first", "node").agg(F.max("n").alias("n"))
 
 
 def _fingerprint_links(prints: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -217,8 +222,8 @@ def _fingerprint_links(prints: DataFrame, docs: DataFrame, width: int) -> DataFr
     near = links(reps.select("fp")).toDF("fa", "fb").join(end("a"), "fa").join(end("b"), "fb").select("a", "b", "na", "nb")
     pairs = same.where("a <> b").unionAll(near).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(32))), "shingle-pairs")
-    touched = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = written(docs.join(touched, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "shingle-texts")
+    touched = written(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct(), "shingle-touched")
+    texts = written(docs.join(_small(touched), "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "shingle-texts")
     # a text that very many are compared with is dealt to several tasks
     left = pairs.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(left, ["a", "salt"])
@@ -339,8 +344,8 @@ def _compared(firsts: DataFrame, labels: DataFrame | None, docs: DataFrame, mark
 
     rows = _tile_by_tile(rows.join(there, "node").select(*KEY, "tile", "node", "label", "low", "n", "mark"), maybe, "first long, band long, i int, j int, tile int, node long, label long, low boolean")
     rows = written(rows, f"{name}-partners")
-    texts = docs.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
-    texts = written(texts, f"{name}-texts")
+    touched = written(rows.select("node").distinct(), f"{name}-touched")
+    texts = written(docs.join(_small(touched), "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), f"{name}-texts")
 
     def linked(now, left, right):
         sets = lambda side: side if side is None else [(*m[:3], shingles(m[3], width)) for m in side]
@@ -355,13 +360,11 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     prints = written(_prints(docs, width), "shingle-prints")
     edges = _fingerprint_links(prints, docs, width)
     labels = written(connected_components(edges), "shingle-labels")
-    # first by the leading shingles alone, which most of the alike texts share; then by all, where some are still apart
     firsts = written(_shared_firsts(prints), "shingle-firsts")
     release(docs.sparkSession)
-    for name, some in (("shingle-leading", firsts.where(F.col("place") < LEADING)), ("shingle-all", firsts)):
-        edges = edges.unionAll(_compared(some.select("first", "node", "n"), labels, docs, _marks(prints), width, name))
-        labels = written(connected_components(edges), "shingle-labels")
-        release(docs.sparkSession)
+    edges = edges.unionAll(_compared(firsts, labels, docs, _marks(prints), width, "shingle"))
+    labels = written(connected_components(edges), "shingle-labels")
+    release(docs.sparkSession)
     return labels
 
 
@@ -374,12 +377,16 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     keyed = docs.select(F.struct(*names).alias("row"), _node(F.col("text")).alias("node"))
     labels = similar_groups(keyed.select("node", F.coalesce("row.text", F.lit("")).alias("text")), width)
     # nothing but ids and hashes is shuffled to find the first row of each text, then of each group
-    rows = keyed.groupBy("node", F.col("row.doc_id").alias("doc_id")).agg(F.count("*").alias("n"))
+    rows = written(keyed.groupBy("node", F.col("row.doc_id").alias("doc_id")).agg(F.count("*").alias("n")), "shingle-ids")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node", "n")
     first = rows.groupBy("node").agg(F.min(order).alias("c")).join(labels, "node", "left")
     chosen = written(first.groupBy(F.coalesce("component", "node").alias("part")).agg(F.min("c").alias("c")).select("c.doc_id", "c.node", "c.n"), "shingle-chosen")
-    same = lambda some: keyed["node"].eqNullSafe(some["node"]) & keyed["row.doc_id"].eqNullSafe(some["doc_id"])
-    # a row is chosen by its id and text; only where several rows have both is one of them to be taken
-    one, several = chosen.where("n = 1"), chosen.where("n > 1")
-    kept = keyed.join(one, same(one), "left_semi").unionAll(keyed.join(several, same(several), "left_semi").dropDuplicates(["node"]))
+    same = lambda left, doc_id, some: left["node"].eqNullSafe(some["node"]) & left[doc_id].eqNullSafe(some["doc_id"])
+    # rows are named by id and text; where several chosen ones have both, one of them is taken
+    several = chosen.where("n > 1").select("node", "doc_id")
+    once = chosen.where("n = 1")
+    gone = _small(written(rows.join(once, same(rows, "doc_id", once), "left_anti").select("node", "doc_id"), "shingle-gone"))
+    again = _small(written(several, "shingle-again"))
+    kept = keyed.join(gone, same(keyed, "row.doc_id", gone), "left_anti")
+    kept = kept.unionAll(keyed.join(again, same(keyed, "row.doc_id", again), "left_semi").dropDuplicates(["node"]))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
