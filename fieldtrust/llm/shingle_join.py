@@ -6,8 +6,10 @@ bits can afford, so what is left is found by the sets: two sets that alike share
 each in any order common to all, so texts that share none of these are never compared and no pair is lost (shingles are 64-bit
 hashes). Shingles that a sample finds in several texts come last in the order; that saves work and changes no result. Groups whose
 texts are all linked already are dropped, of groups with the same members one is kept, and the rest are compared tile by tile: by
-parity sketches first, which differ in no more bits than the sets do in shingles, and those texts that have a partner left by their
-sets, with products of 0/1 matrices. Of a pair of tiles only a spanning forest of its links leaves the task, never its pairs.
+parity sketches first, which differ in no more bits than the sets do in shingles. The pairs that these leave make clusters; as two
+texts meet once for each first shingle that they share, of clusters with the same members one is kept, and only there the texts are
+sent and compared by their sets, with products of 0/1 matrices. Of a pair of tiles only a spanning forest of its links leaves the
+task, never its pairs.
 """
 
 from __future__ import annotations
@@ -80,8 +82,8 @@ def _folded(marks: list[bytes], size: int) -> np.ndarray:
     return 1 - 2 * np.unpackbits(rows, axis=1).astype(np.float32)
 
 
-def partners(left: list, right: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """Of two tiles, or of one, which members (``node, label, low, n, sketch``) may have an alike member of another label."""
+def candidates(left: list, right: list | None) -> np.ndarray:
+    """Which members (``node, label, low, n, sketch``) of two tiles, or of one, may be alike and have other labels, as a matrix."""
     own = right is None
     right = left if own else right
     size = min(len(m[4]) for m in (*left, *right))
@@ -91,9 +93,29 @@ def partners(left: list, right: list | None) -> tuple[np.ndarray, np.ndarray]:
     col = lambda side, k, kind: np.array([m[k] for m in side], kind)
     may = 9 * apart <= col(left, 3, np.int64)[:, None] + col(right, 3, np.int64)[None, :]
     may &= (col(left, 1, np.int64)[:, None] != col(right, 1, np.int64)[None, :]) & ~(col(left, 2, bool)[:, None] & col(right, 2, bool)[None, :])
+    return may
+
+
+def partners(left: list, right: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of two tiles, or of one, which members may have an alike member of another label."""
+    may = candidates(left, right)
     return may.any(axis=1), may.any(axis=0)
 
 
+def clusters(may: np.ndarray, own: bool) -> np.ndarray:
+    """The clusters that a matrix of pairs connects, as the least place of each; the columns' places follow the rows' unless both are one tile's (``own``)."""
+    rows, columns = may.shape
+    names = np.arange(rows if own else rows + columns)
+    while True:
+        a, b = names[:rows], names[-columns:]
+        near = np.where(may, b[None, :], len(names)).min(axis=1), np.where(may, a[:, None], len(names)).min(axis=0)
+        new = np.minimum(names, np.minimum(*near) if own else np.concatenate(near))
+        new = new[new]
+        if (new == names).all():
+            return names
+        names = new
+
+
 def _small(keys: DataFrame) -> DataFrame:
     """A written list of keys, marked for broadcast where it is small: then the texts that it is joined with stay where they are."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
@@ -286,11 +308,11 @@ def tile_links(left: list, right: list | None) -> tuple[list[int], list[int]]:
 KEY = ["first", "band", "i", "j"]
 
 
-def _tile_by_tile(rows: DataFrame, work, kinds: str) -> DataFrame:
-    """``rows(KEY..., tile, ...)`` dealt by their pair of tiles; ``work(now, left, right)`` gets the rows of each, ``right`` None where a tile meets itself, and returns columns."""
+def _tile_by_tile(rows: DataFrame, key: list[str], work, kinds: str) -> DataFrame:
+    """``rows(key..., tile, ...)``, the key KEY or longer, dealt by it; ``work(now, left, right)`` gets the rows of each pair of tiles, ``right`` None where a tile meets itself, and returns columns."""
     columns = [c.split()[0] for c in kinds.split(", ")]
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(parts, *KEY).sortWithinPartitions(*KEY)
+    dealt, tile = rows.repartition(parts, *key).sortWithinPartitions(*key), len(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides = None, ([], [])
@@ -303,11 +325,11 @@ def _tile_by_tile(rows: DataFrame, work, kinds: str) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:4] != now:
+                if row[:tile] != now:
                     if now:
                         yield done()
-                    now, sides = row[:4], ([], [])
-                sides[row[4] != now[2]].append(row[5:])
+                    now, sides = row[:tile], ([], [])
+                sides[row[tile] != now[2]].append(row[tile + 1 :])
         if now:
             yield done()
 
@@ -338,12 +360,21 @@ def _compared(firsts: DataFrame, labels: DataFrame | None, docs: DataFrame, mark
     there = marks.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
     def maybe(now, left, right):
-        a, b = partners(left, right)
-        kept = [(now[2], m) for m, k in zip(left, a, strict=True) if k] + ([(now[3], m) for m, k in zip(right, b, strict=True) if k] if right is not None else [])
-        return [[x] * len(kept) for x in now] + [[t for t, _ in kept], *([m[k] for _, m in kept] for k in range(3))]
-
-    rows = _tile_by_tile(rows.join(there, "node").select(*KEY, "tile", "node", "label", "low", "n", "mark"), maybe, "first long, band long, i int, j int, tile int, node long, label long, low boolean")
+        may = candidates(left, right)
+        parts = clusters(may, right is None).tolist()
+        members = [(now[2], m) for m in left] + [(now[3], m) for m in right or ()]
+        some = may.any(axis=1).tolist() + ([] if right is None else may.any(axis=0).tolist())
+        kept = [(part, t, m) for part, (t, m), k in zip(parts, members, some, strict=True) if k]
+        return [[x] * len(kept) for x in now] + [[part for part, _, _ in kept], [t for _, t, _ in kept], *([m[k] for _, _, m in kept] for k in range(3))]
+
+    key = [*KEY, "part"]
+    rows = _tile_by_tile(rows.join(there, "node").select(*KEY, "tile", "node", "label", "low", "n", "mark"), KEY, maybe, "first long, band long, i int, j int, part int, tile int, node long, label long, low boolean")
     rows = written(rows, f"{name}-partners")
+    # the same cluster is found under each first shingle that its texts share; once is enough
+    side = lambda k: F.bit_xor(F.xxhash64("node", "low", F.col("tile") == F.col("i"), F.lit(k)))
+    found = rows.groupBy(*key).agg(F.count("*").alias("rows"), side(0).alias("m0"), side(1).alias("m1"))
+    found = found.groupBy((F.col("i") == F.col("j")).alias("own"), "rows", "m0", "m1").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    rows = written(rows.join(found, key, "left_semi"), f"{name}-clusters")
     touched = written(rows.select("node").distinct(), f"{name}-touched")
     texts = written(docs.join(_small(touched), "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), f"{name}-texts")
 
@@ -351,7 +382,7 @@ def _compared(firsts: DataFrame, labels: DataFrame | None, docs: DataFrame, mark
         sets = lambda side: side if side is None else [(*m[:3], shingles(m[3], width)) for m in side]
         return tile_links(sets(left), sets(right))
 
-    return written(_tile_by_tile(rows.join(texts, "node").select(*KEY, "tile", "node", "label", "low", "text"), linked, "a long, b long"), f"{name}-links")
+    return written(_tile_by_tile(rows.join(texts, "node").select(*key, "tile", "node", "label", "low", "text"), key, linked, "a long, b long"), f"{name}-links")
 
 
 def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:

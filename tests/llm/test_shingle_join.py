@@ -80,3 +80,18 @@ def test_equal_rows_are_kept_once(spark):
     rows = [(5, "a b c d e f", 1)] * 3 + [(6, "a b c d e f", 1), (5, "g h i j k l", 2), (None, "", 3), (None, None, 3)]
     got = shingle_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, at int")).collect()
     assert sorted((r.doc_id or 0, r.at) for r in got) == [(0, 3), (5, 1), (5, 2)]
+
+
+def test_clusters_are_the_components_of_the_pairs():
+    rng = np.random.default_rng(5)
+    for p, q, own in ((9, 9, True), (60, 60, True), (1, 7, False), (40, 70, False)):
+        may = rng.random((p, q)) < 1.2 / max(p, q)
+        may = may | may.T if own else may
+        got = shingle_join.clusters(may, own)
+        root = list(range(len(got)))
+        for _ in root:
+            for i, j in zip(*np.nonzero(may), strict=True):
+                root[i] = root[j if own else p + j] = min(root[i], root[j if own else p + j])
+        assert got.tolist() == root
+    path = np.eye(300, k=1, dtype=bool)
+    assert not shingle_join.clusters(path | path.T, True).any()
