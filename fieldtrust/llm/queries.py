@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldtrust.llm import decontamination, lm, quality, repeats, resharding, simhash, sp_encoding, surrogates, token_counts, vectors
+from fieldtrust.llm import decontamination, language_id, lm, quality, repeats, resharding, simhash, sp_encoding, surrogates, token_counts, vector_codes, vectors, yinyang
 
 QUERIES = {
     "op1_surrogates": surrogates.query,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_suffix_repeats": repeats.query,
     "op9_interpolation": lm.query,
     "op10_token_counts": token_counts.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_language_id": language_id.query,
+    "op13_yinyang": yinyang.query,
 }
 
 ORACLE: dict[str, str] = {
     "op2_decontamination": decontamination.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_yinyang": yinyang.ORACLE_SQL,
 }
