@@ -98,13 +98,19 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return t, float(np.quantile(right, REJECTED)) if len(right) else 0.0
 
 
-def fit(counts: np.ndarray, y: np.ndarray, langs: list[str], calibration: np.ndarray, width: int = WIDTH, epochs: int = 12, batch: int = 32, rate: float = 40.0, seed: int = 12) -> Model:
-    """SGD over texts: ``counts`` (texts, buckets), ``y`` the index of the language, ``calibration`` true for rows held back. Languages weigh alike."""
+def dense(texts: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> np.ndarray:
+    """Rows of shares of the buckets from (buckets hit, how often)."""
+    out = np.zeros((len(texts), buckets), np.float32)
+    for row, (at, n) in zip(out, texts, strict=True):
+        row[at] = n / max(1, n.sum())
+    return out
+
+
+def fit(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str], calibration: np.ndarray, buckets: int = BUCKETS, width: int = WIDTH, epochs: int = 12, batch: int = 32, rate: float = 40.0, seed: int = 12) -> Model:
+    """SGD over ``texts`` (buckets hit, how often), ``y`` the index of the language, ``calibration`` true for rows held back. Languages weigh alike."""
     rng = np.random.default_rng(seed)
-    total = np.maximum(1, counts.sum(axis=1, keepdims=True))
-    mean = (counts / total).astype(np.float32)
     k = len(langs)
-    vectors = rng.uniform(-1 / width, 1 / width, (counts.shape[1], width)).astype(np.float32)
+    vectors = rng.uniform(-1 / width, 1 / width, (buckets, width)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (width, k)).astype(np.float32), np.zeros(k, np.float32)
     rows = np.flatnonzero(~calibration)
     weight = (len(rows) / k / np.maximum(1, np.bincount(y[rows], minlength=k)))[y].astype(np.float32)
@@ -113,7 +119,7 @@ def fit(counts: np.ndarray, y: np.ndarray, langs: list[str], calibration: np.nda
         rng.shuffle(rows)
         for at in range(0, len(rows), batch):
             r = rows[at : at + batch]
-            x = mean[r]
+            x = dense([texts[i] for i in r], buckets)
             hit = np.flatnonzero(x.any(axis=0))
             x = x[:, hit]
             h = x @ vectors[hit]
@@ -128,7 +134,8 @@ def fit(counts: np.ndarray, y: np.ndarray, langs: list[str], calibration: np.nda
             done += 1
     folded = vectors @ out
     held = np.flatnonzero(calibration)
-    t, reject = calibrate(mean[held] @ folded + bias, y[held])
+    logits = [dense([texts[i] for i in held[at : at + batch]], buckets) @ folded + bias for at in range(0, len(held), batch)]
+    t, reject = calibrate(np.concatenate(logits), y[held]) if logits else (1.0, 0.0)
     return Model(langs, folded.astype(np.float64), bias.astype(np.float64), t, reject)
 
 
@@ -157,19 +164,17 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         for b in batches:
             found = [subwords(t) for t in b.column(2).to_pylist()]
             at = [np.flatnonzero(c) for c in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([c[a].astype("<i8").tobytes() for c, a in zip(found, at, strict=True)], pa.binary())], ["doc_id", "lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([c[a].astype("<i4").tobytes() for c, a in zip(found, at, strict=True)], pa.binary())], ["doc_id", "lang", "at", "n"])
 
     kinds = T.StructType([picked.schema["doc_id"], picked.schema["lang"], T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
     rows = [r for r in picked.select("doc_id", "lang", "text").mapInArrow(run, kinds).orderBy("doc_id", "lang").collect() if len(r["at"])]
     if not rows:
         return None
     langs = sorted({r.lang for r in rows})
-    counts = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        counts[i, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i8")
+    texts = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in rows]
     y = np.array([langs.index(r.lang) for r in rows])
     calibration = np.arange(len(rows)) % 5 == 0 if len(rows) >= 20 * len(langs) else np.zeros(len(rows), bool)
-    return fit(counts, y, langs, calibration)
+    return fit(texts, y, langs, calibration)
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
