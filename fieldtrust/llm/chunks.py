@@ -22,11 +22,13 @@ from fieldtrust.llm.common import short_batches, written
 
 CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 12 << 20
-KINDS = "chunk long, raw long, ids array<long>, sizes array<long>, digests binary, data binary"
+KINDS = "chunk long, raw long, ids array<long>, known binary, sizes array<long>, digests binary, data binary"
+#: What stands for a null id in ``ids``, which so holds no nulls (pandas would make doubles of it); ``known`` tells it from a real one.
+NO_ID = np.iinfo(np.int64).max
 
 
 def pack(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``docs(doc_id, text)`` as a written table of chunks; null texts are empty. ``digests`` holds the SHA-256 of each text."""
+    """``docs(doc_id, text)`` as a written table of chunks; null texts are empty. ``known`` has a byte for each id, 0 where it is null; ``digests`` the SHA-256 of each text."""
 
     short_batches(docs.sparkSession)
 
@@ -35,8 +37,8 @@ def pack(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFram
         ids, parts, size, n = [], [], 0, 0
 
         def full() -> pa.RecordBatch:
-            row = [first + n, size, ids, [len(p) for p in parts], b"".join(hashlib.sha256(p).digest() for p in parts), squeeze(b"".join(parts))]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            row = [first + n, size, [NO_ID if i is None else i for i in ids], bytes(i is not None for i in ids), [len(p) for p in parts], b"".join(hashlib.sha256(p).digest() for p in parts), squeeze(b"".join(parts))]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in KINDS.split(", ")])
 
         for b in batches:
@@ -54,6 +56,11 @@ def pack(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, KINDS), name)
 
 
+def ids_of(row) -> list[int | None]:
+    """The ids of a chunk's texts, None for null."""
+    return [int(i) if k else None for i, k in zip(row.ids, row.known, strict=True)]
+
+
 def squeeze(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 

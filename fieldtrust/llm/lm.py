@@ -77,17 +77,13 @@ def _asked(chunks: DataFrame, ranges: int) -> DataFrame:
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 t = _Tokens(np.asarray(r.sizes), r.data)
-                train = np.array([fold_of(i) != HELD_OUT for i in _ids(r.ids)])[t.doc]
+                train = np.array([fold_of(i) != HELD_OUT for i in ch.ids_of(r)])[t.doc]
                 for base, keys, place in ((0, t.words, t.w), (ranges, t.pairs, t.p)):
                     n = np.bincount(place[train], minlength=len(keys)).astype(np.uint64)
                     out = [(r.chunk, base + k, ch.put_sorted(keys[a:b]), ch.put(n[a:b])) for k, a, b in ch.runs(keys, ranges)]
                     yield pd.DataFrame(out, columns=["chunk", "range", "keys", "counts"])
 
-    return chunks.select("chunk", "ids", "sizes", "data").mapInPandas(run, "chunk long, range long, keys binary, counts binary")
-
-
-def _ids(ids) -> list:
-    return [None if i is None or i != i else int(i) for i in ids]
+    return chunks.select("chunk", "ids", "known", "sizes", "data").mapInPandas(run, "chunk long, range long, keys binary, counts binary")
 
 
 def _answered(asked: DataFrame, ranges: int) -> DataFrame:
@@ -139,7 +135,7 @@ def _held_out_counts(chunks: DataFrame, answers: DataFrame, ranges: int, n: int)
         cells: dict = {}
         for row in left.itertuples(index=False):
             t = _Counted(row, right, ranges)
-            docs = np.flatnonzero([fold_of(i) == TUNED for i in _ids(row.ids)])
+            docs = np.flatnonzero([fold_of(i) == TUNED for i in ch.ids_of(row)])
             for d in docs:
                 s = slice(t.starts[d], t.starts[d] + t.lengths[d])
                 _, w, own_w = np.unique(t.w[s], return_inverse=True, return_counts=True)
@@ -153,7 +149,7 @@ def _held_out_counts(chunks: DataFrame, answers: DataFrame, ranges: int, n: int)
                     cells[int(k)] = cells.get(int(k), 0) + int(v)
         return pd.DataFrame({"cell": list(cells), "n": list(cells.values())}, dtype="int64")
 
-    cols = chunks.select("chunk", "ids", "sizes", "data").groupBy("chunk")
+    cols = chunks.select("chunk", "ids", "known", "sizes", "data").groupBy("chunk")
     return cols.cogroup(answers.groupBy("chunk")).applyInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
@@ -226,7 +222,7 @@ def scores(docs: DataFrame, learned: list | None = None) -> DataFrame:
             t = _Counted(row, right, ranges)
             p = mixture(weights, t.ctx, t.c2, t.c1, n, types)
             add = lambda x, t=t: np.add.reduceat(x, t.starts)
-            ids = _ids(row.ids)
+            ids = ch.ids_of(row)
             out.append(
                 pd.DataFrame(
                     {
@@ -243,7 +239,7 @@ def scores(docs: DataFrame, learned: list | None = None) -> DataFrame:
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.select("chunk", "ids", "sizes", "data").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, kinds)
+    return packed.select("chunk", "ids", "known", "sizes", "data").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, kinds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

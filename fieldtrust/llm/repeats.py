@@ -101,7 +101,7 @@ def _copies(chunks: DataFrame) -> DataFrame:
     """Rows (chunk, range -1, payload): the texts of a chunk that equal a text with a smaller id."""
     ids = chunks.select("chunk", F.posexplode("ids").alias("doc", "id"), "digests")
     digest = F.substring("digests", F.col("doc") * 32 + 1, F.lit(32))
-    ids = ids.select("chunk", "doc", F.coalesce("id", F.lit(int(LAST))).alias("id"), digest.alias("digest"))
+    ids = ids.select("chunk", "doc", "id", digest.alias("digest"))
     least = ids.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("digest", "least")
     least = written(least, "repeat-first-copies")  # a plain table on this side lets Spark split the join where very many texts are equal
     late = ids.join(least, "digest").where("id > least").groupBy("chunk").agg(F.collect_list(F.col("doc").cast("long")).alias("docs"))
@@ -157,7 +157,7 @@ def _contexts(chunks: DataFrame, told: DataFrame, ranges: int) -> DataFrame:
             whole = _surroundings(raw, places, hashes, before, after)
             ctx, lens = whole[:, 8:-2], whole[:, -2:]
             _, first, which = np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
-            ids = np.array([LAST if i is None or i != i else int(i) for i in row.ids], np.int64)[doc]
+            ids = np.asarray(row.ids, np.int64)[doc]
             low, high = np.full(len(first), LAST), np.full(len(first), np.iinfo(np.int64).min)
             np.minimum.at(low, which, ids)
             np.maximum.at(high, which, ids)
@@ -313,7 +313,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` and, with ``texts``, the ``kept`` bytes.
 
     Removed is each byte in a run of 50 that also starts in a text with a smaller id; matches stay within texts and are
-    judged on the input. Null texts are empty; texts under 50 bytes lose nothing; a null id counts as the greatest. Rows
+    judged on the input. Null texts are empty; texts under 50 bytes lose nothing; a null id counts as the greatest, 2^63 - 1. Rows
     that repeat an id take nothing from each other. A passage that very many texts hold leaves each chunk once.
     """
     packed = ch.pack(docs, "repeat-chunks", CHUNK_BYTES)
@@ -335,7 +335,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         for row in left.itertuples(index=False):
             sizes, raw = np.asarray(row.sizes), ch.unsqueeze(row.data)
             copied, answers = _split(right)
-            ids = np.array([LAST if i is None or i != i else int(i) for i in row.ids], np.int64)
+            ids = np.asarray(row.ids, np.int64)
             occ = right[right["range"] == -2]
             if len(occ) and len(answers):
                 doc, start, end = _spans(occ, answers, ids)
@@ -361,12 +361,12 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
                     sha = hashlib.sha256(kept).hexdigest()
                 else:
                     gone, spans, sha, kept = 0, 0, row.digests[32 * i : 32 * i + 32].hex(), text
-                out.append((None if ids[i] == LAST else int(ids[i]), n, gone, spans, sha, *([kept] if texts else [])))
+                out.append((int(ids[i]) if row.known[i] else None, n, gone, spans, sha, *([kept] if texts else [])))
         frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
         return frame.astype({"doc_id": "Int64"})
 
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return packed.select("chunk", "ids", "sizes", "digests", "data").groupBy("chunk").cogroup(last.groupBy("chunk")).applyInPandas(run, kinds)
+    return packed.select("chunk", "ids", "known", "sizes", "digests", "data").groupBy("chunk").cogroup(last.groupBy("chunk")).applyInPandas(run, kinds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

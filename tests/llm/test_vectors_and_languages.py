@@ -198,3 +198,19 @@ def test_subwords_by_a_plain_loop():
     grams = [w[i : i + n] for w in words for n in language_id.LENGTHS for i in range(len(w) - n + 1) if w[i : i + n].strip()]
     assert got.sum() == len(grams)
     assert (got == language_id.subwords("x été maß über")).all() and not language_id.subwords("12 !").any()
+
+
+def test_large_ids_beside_a_null_id(spark):
+    """A null id in a chunk leaves its other ids as they are (pandas would make doubles of such a list)."""
+    from fieldtrust.llm import lm, repeats
+    from fieldtrust.llm.common import fold
+
+    ids = [2**60 + 1, None, 2**60 + 2, 2**63 - 1]
+    text = "a passage that is well over fifty bytes long and stands in every one of them"
+    docs = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string").coalesce(1)
+    want = {r.doc_id: r.h for r in docs.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("h")).collect()}
+    got = lm.scores(docs).collect()
+    assert {r.doc_id: r.held_out for r in got} == want and len(got) == 4
+    assert got[0].train_tokens == sum(not h for h in want.values()) * (len(text.split()) + 1)
+    gone = {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs).collect()}
+    assert gone == {2**60 + 1: 0, None: len(text), 2**60 + 2: len(text), 2**63 - 1: len(text)}
