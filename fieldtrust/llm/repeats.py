@@ -362,8 +362,9 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
                 else:
                     gone, spans, sha, kept = 0, 0, row.digests[32 * i : 32 * i + 32].hex(), text
                 out.append((int(ids[i]) if row.known[i] else None, n, gone, spans, sha, *([kept] if texts else [])))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
-        return frame.astype({"doc_id": "Int64"})
+        frame = pd.DataFrame([r[1:] for r in out], columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
+        frame.insert(0, "doc_id", pd.array([r[0] for r in out], "Int64"))  # by itself: beside a None pandas makes doubles of ids
+        return frame
 
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     return packed.select("chunk", "ids", "known", "sizes", "digests", "data").groupBy("chunk").cogroup(last.groupBy("chunk")).applyInPandas(run, kinds)
