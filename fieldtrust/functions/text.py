@@ -40,6 +40,17 @@ def features(text: Column) -> Column:
     )
 
 
+def marks_in(text: Column, marks: str) -> Column:
+    """How many characters of a text are of a few literal ones, each looked for by its bytes."""
+    return sum((F.length(text) - F.length(F.replace(text, F.lit(m), F.lit(""))) for m in marks), F.lit(0))
+
+
+def mark_counts(text: Column) -> Column:
+    """The parts of ``features`` that the punctuation rule asks for."""
+    t = text_of(text)
+    return F.struct(F.length(t).alias("length"), marks_in(t, MARKS[1:-1]).alias("punctuation_count"), marks_in(t, "!！").alias("exclamation_count"))
+
+
 def is_stuffed(text: Column, max_repeat: int = 3) -> Column:
     """A character three (or ``max_repeat``) times in a row, or a phrase of Han characters said twice."""
     t = text_of(text)

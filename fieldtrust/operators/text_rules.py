@@ -1,4 +1,4 @@
-"""Text rules: one projection, no shuffle."""
+"""Text rules: projections over one scan for keywords, no shuffle."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldtrust.functions import scoring
 from fieldtrust.functions import text as tx
+from fieldtrust.operators import keywords
 from fieldtrust.operators.geo_rules import anomaly
 from fieldtrust.params import DEFAULT, Params
 
@@ -24,13 +25,15 @@ def stuffing_rule(text: Column) -> Column:
     return F.when(tx.is_stuffed(text), anomaly("keyword_stuffing", F.lit("检测到关键词堆砌"), 0.8))
 
 
-def marketing_stats(text: Column, p: Params = DEFAULT) -> Column:
-    """Struct (density, count, keywords): share of characters in marketing words (overlapping words each count), how many words, and the first five."""
-    words = tx.ordered_union(p.keywords, p.default_keywords)
-    t = tx.text_of(text)
-    found = tx.matched(t, words)
-    density = F.when(F.length(t) > 0, tx.covered_chars(t, words) / F.length(t)).otherwise(0.0)
-    return F.struct(density.alias("density"), F.size(found).alias("count"), F.slice(found, 1, 5).alias("keywords"))
+def marketing_words(p: Params = DEFAULT) -> tuple[str, ...]:
+    return tx.ordered_union(p.keywords, p.default_keywords)
+
+
+def marketing_stats(text: Column, found: Column, p: Params = DEFAULT) -> Column:
+    """Struct (density, count, keywords) of what ``keywords.matches`` found: share of characters in marketing words (overlapping words each count), how many words, and the first five."""
+    words, n = marketing_words(p), F.length(tx.text_of(text))
+    density = F.when(n > 0, keywords.covered(found, words) / n).otherwise(0.0)
+    return F.struct(density.alias("density"), F.size(found).alias("count"), keywords.words_of(F.slice(found, 1, 5), words).alias("keywords"))
 
 
 def marketing_rule(stats: Column) -> Column:
@@ -54,8 +57,8 @@ def template_rule(matches: Column, marketing: Column) -> Column:
     return F.when(F.size(matches) > 0, anomaly("template_content", said, severity, matches=F.array_join(matches, "|"), stacked=marketing.isNotNull()))
 
 
-def punctuation_rule(text: Column) -> Column:
-    f = tx.features(text)
+def punctuation_rule(f: Column) -> Column:
+    """Of ``text.mark_counts``."""
     share = f["punctuation_count"] / f["length"]
     loud = anomaly("excessive_exclamation", F.format_string("感叹号过多: %d个", f["exclamation_count"]), 0.4, count=f["exclamation_count"])
     much = anomaly("excessive_punctuation", F.format_string("标点符号比例异常: %.1f%%", share * 100), 0.3, ratio=share)
@@ -65,20 +68,10 @@ def punctuation_rule(text: Column) -> Column:
 def analyze(df: DataFrame, p: Params = DEFAULT, text: str = "text") -> DataFrame:
     """Adds ``text_anomalies``, ``text_score`` and ``marketing_count``."""
     t = F.col(text)
-    df = df.withColumns({"_stats": marketing_stats(t, p), "_matches": template_matches(t, p)})
+    df = df.withColumn("_found", keywords.matches(t, marketing_words(p)))
+    df = df.withColumns({"_stats": marketing_stats(t, F.col("_found"), p), "_matches": template_matches(t, p), "_marks": tx.mark_counts(t)})
     df = df.withColumn("_marketing", marketing_rule(F.col("_stats")))
     m = F.col("_marketing")
-    found = F.array_compact(F.array(length_rule(t, p), stuffing_rule(t), m, template_rule(F.col("_matches"), m), punctuation_rule(t)))
+    found = F.array_compact(F.array(length_rule(t, p), stuffing_rule(t), m, template_rule(F.col("_matches"), m), punctuation_rule(F.col("_marks"))))
     df = df.withColumns({"text_anomalies": found, "marketing_count": F.when(m.isNotNull(), F.col("_stats.count")).otherwise(0)})
-    return df.withColumn("text_score", scoring.union(F.transform("text_anomalies", lambda a: a["severity"]))).drop("_stats", "_matches", "_marketing")
-
-
-def match_features(texts: DataFrame, features: DataFrame, text: str = "text") -> DataFrame:
-    """Texts and the active features of which some pattern occurs in them, case aside: (texts' columns, feature_id, n_patterns).
-
-    ``features(feature_id, patterns, is_active)`` is a small library kept by people; its patterns are broadcast only below
-    ``spark.sql.autoBroadcastJoinThreshold``, as Spark decides from its size.
-    """
-    pats = features.where("is_active").select("feature_id", F.explode("patterns").alias("pattern")).where("pattern <> ''")
-    hit = F.instr(F.lower(F.col(text)), F.lower(F.col("pattern"))) > 0
-    return texts.join(pats, hit).groupBy(*texts.columns, "feature_id").agg(F.count("*").alias("n_patterns"))
+    return df.withColumn("text_score", scoring.union(F.transform("text_anomalies", lambda a: a["severity"]))).drop("_found", "_stats", "_matches", "_marks", "_marketing")

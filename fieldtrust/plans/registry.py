@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrust.functions import geo, hashing
-from fieldtrust.operators import address, cluster, crossval, decision, dedup, geo_rules, ml, output, preprocess, records, reports, spatial, text_rules, workflow
+from fieldtrust.operators import address, cluster, crossval, decision, dedup, geo_rules, keywords, ml, output, preprocess, records, reports, spatial, text_rules, workflow
 from fieldtrust.plans import tables as t
 from fieldtrust.plans.tables import DETECTIONS_SQL, PROSE, REPORTS_SQL, SPARSE
 
@@ -85,7 +85,7 @@ _LIBRARY = (("insult", ("IDIOT", "moron")), ("licence", ("licensed under", "apac
 @query(f"""WITH l(feature_id, pattern) AS (VALUES {", ".join(f"('{k}', '{p}')" for k, ps in _LIBRARY for p in ps)}) SELECT doc_id, feature_id, count(*) AS n_patterns FROM documents JOIN l ON contains(lower(text), lower(pattern)) GROUP BY ALL""")
 def feature_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = spark.createDataFrame([(k, list(p), True) for k, p in _LIBRARY] + [("off", ["the"], False)], "feature_id string, patterns array<string>, is_active boolean")
-    out = text_rules.match_features(t.read(spark, sf_dir, "documents").select("doc_id", "text"), lib)
+    out = keywords.match_features(t.read(spark, sf_dir, "documents").select("doc_id", "text"), lib)
     return out.select("doc_id", "feature_id", "n_patterns")
 
 
@@ -477,3 +477,4 @@ def model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from fieldtrust.plans import scenarios  # noqa: E402,F401  registers more queries
+from fieldtrust.plans import joins  # noqa: E402,F401  registers more queries

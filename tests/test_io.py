@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtrust.operators import decision, geo_rules, ml, text_rules
+from fieldtrust.operators import decision, geo_rules, keywords, ml, text_rules
 from fieldtrust.sources import generators, readers, writers
 from fieldtrust.streaming import detect
 
@@ -33,7 +33,7 @@ def test_features_and_logs(spark, tmp_path):
     (tmp_path / "f.json").write_text(json.dumps({"features": [{"feature_id": "x", "patterns": ["a", "b"], "is_active": True}]}))
     f = readers.read_features(spark, str(tmp_path / "f.json"))
     assert f.first().patterns == ["a", "b"]
-    got = text_rules.match_features(spark.createDataFrame([(1, "A b"), (2, "z")], "id int, text string"), f).collect()
+    got = keywords.match_features(spark.createDataFrame([(1, "A b"), (2, "z")], "id int, text string"), f).collect()
     assert [(r.id, r.n_patterns) for r in got] == [(1, 2)]
     (tmp_path / "x.log").write_text("".join(f"{'ERROR' if i % 2 else 'INFO'} {i}\n" for i in range(10)))
     assert [r.value for r in readers.log_tail(spark, str(tmp_path / "x.log"), 3, "ERROR").collect()] == ["ERROR 7", "ERROR 9"]
