@@ -1,26 +1,20 @@
-"""Detection over streams: messages to scored rows, with each device's rate and last place as keyed state.
+"""Detection over streams: messages to scored rows, with devices, copies and like texts as keyed state of event time.
 
-State is kept by device and let go by time; a store bounded by eviction would depend on the order of unrelated devices.
+State is let go by time; a store bounded by eviction would depend on the order of unrelated rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fieldtrust import schemas
 from fieldtrust.functions import geo, scoring
 from fieldtrust.operators import decision, geo_rules, text_rules
 from fieldtrust.params import DEFAULT, Params
+from fieldtrust.streaming.state import BLOCKS, with_copies, with_device_state
 
-KEPT_STAMPS = 200
-STATE_MS = 2 * 3600 * 1000
-FLAT = "request_id string, device_id string, user_id string, timestamp double, latitude double, longitude double, text string"
-STATE = "stamps array<double>, latitude double, longitude double, timestamp double"
+LATE = "10 minutes"
 
 
 def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,31 +30,13 @@ def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, m.where(~ok).select("value")
 
 
-def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    stamps, lat, lon, ts = state.get if state.exists else ([], None, None, None)
-    stamps = list(stamps)
-    if state.hasTimedOut:
-        state.remove()
-        return
-    for f in frames:
-        rows = []
-        for r in f.itertuples(index=False):
-            now = r.timestamp
-            stamps = [t for t in stamps if t > now - 3600][-(KEPT_STAMPS - 1) :] + [now]
-            valid = -90 <= r.latitude <= 90 and -180 <= r.longitude <= 180
-            before = (lat, lon, ts) if valid and r.device_id else (None, None, None)
-            rows.append((*r, sum(t > now - 60 for t in stamps), len(stamps), *before))
-            if valid and r.device_id:
-                lat, lon, ts = r.latitude, r.longitude, now
-        yield pd.DataFrame(rows, columns=[*f.columns, "minute_count", "hour_count", "prev_lat", "prev_lon", "prev_ts"])
-    state.update((stamps, lat, lon, ts))
-    state.setTimeoutDuration(STATE_MS)
-
-
-def with_device_state(requests: DataFrame) -> DataFrame:
-    """Adds the device's arrivals of the last minute and hour (of at most 200 kept) and its previous place."""
-    out = f"{FLAT}, minute_count long, hour_count long, prev_lat double, prev_lon double, prev_ts double"
-    return requests.groupBy("device_id").applyInPandasWithState(_track, out, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def once(requests: DataFrame, late: str = LATE) -> DataFrame:
+    """Each request once: one sent again within the watermark's reach is dropped. Adds ``ts``, the event time, with its watermark; rows later than it are dropped by Spark.
+
+    A request without a time (0 or less) has the time at which it is read.
+    """
+    ts = F.when(F.col("timestamp") > 0, F.timestamp_millis((F.col("timestamp") * 1000).cast("long"))).otherwise(F.current_timestamp())
+    return requests.withColumn("ts", ts).withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_id"])
 
 
 def scored(requests: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -74,9 +50,16 @@ def scored(requests: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return decision.score(text_rules.analyze(df, p), p).select("request_id", "device_id", "suspicion_score", "is_fake", "risk_level", "confidence", "reasons")
 
 
-def detect(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def detect(lines: DataFrame, p: Params = DEFAULT, late: str = LATE, blocks: int = BLOCKS) -> DataFrame:
+    """Messages to results: each request once, with its device's state and what came before it."""
     good, _ = parsed(lines)
-    return scored(with_device_state(good), p)
+    return scored(with_copies(with_device_state(once(good, late)), p, blocks=blocks), p)
+
+
+def detect_with_dead_letters(lines: DataFrame, p: Params = DEFAULT, late: str = LATE, blocks: int = BLOCKS) -> DataFrame:
+    """As ``detect``, with messages that cannot be read as rows that only have ``dead``: one query feeds both sinks (``write_both``)."""
+    _, bad = parsed(lines)
+    return detect(lines, p, late, blocks).withColumn("dead", F.lit(None).cast("string")).unionByName(bad.select(F.col("value").alias("dead")), allowMissingColumns=True)
 
 
 def windowed(events: DataFrame, ts: str = "ts", width: str = "60 seconds", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -85,11 +68,31 @@ def windowed(events: DataFrame, ts: str = "ts", width: str = "60 seconds", slide
     return events.withWatermark(ts, late).groupBy(w.alias("w"), "device_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "device_id", "n")
 
 
+def sessions(events: DataFrame, ts: str = "ts", gap: str = "5 minutes", late: str = LATE) -> DataFrame:
+    """Sessions of a device: rows less than ``gap`` apart, given out once the watermark has passed their end; later rows are dropped by Spark."""
+    w = F.session_window(ts, gap)
+    s = events.withWatermark(ts, late).groupBy(w.alias("w"), "device_id").agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+    return s.select("device_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "first", "last")
+
+
 def write_batches(df: DataFrame, path: str, checkpoint: str, **trigger):
-    """Micro-batches to a folder each, overwritten when a batch is done again: rows arrive once. State that times out by the clock keeps a query running: stop it, or give a trigger such as ``once=True``."""
+    """Micro-batches to a folder each, overwritten when a batch is done again: rows arrive once."""
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     out = df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (out.trigger(**trigger) if trigger else out).start()
+
+
+def write_both(df: DataFrame, path: str, dead_path: str, checkpoint: str, **trigger):
+    """Results and dead letters of one query to two folders, a batch to a folder each; a batch done again overwrites both."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        batch.where("dead IS NULL").drop("dead").write.mode("overwrite").parquet(f"{path}/batch={n}")
+        batch.where("dead IS NOT NULL").select("dead").write.mode("overwrite").parquet(f"{dead_path}/batch={n}")
+        batch.unpersist()
+
+    out = df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (out.trigger(**trigger) if trigger else out).start()

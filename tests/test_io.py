@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldtrust.operators import decision, geo_rules, keywords, ml, text_rules
 from fieldtrust.sources import generators, readers, writers
-from fieldtrust.streaming import detect
+from fieldtrust.streaming import detect, state
 
 
 def test_csv_encodings(spark, tmp_path):
@@ -54,16 +54,19 @@ def test_sinks(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
+    for k, v in state.CONF.items():
+        spark.conf.set(k, v)
+
     def message(i, device, t, lat, lon, text="今天和朋友过来吃饭，味道不错。"):
         return json.dumps({"request_id": f"q{i}", "timestamp": "", "data": {"device_id": device, "user_id": "u", "timestamp": t, "geo": {"latitude": lat, "longitude": lon}, "content": {"text": text}}})
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.txt").write_text("\n".join([message(1, "a", 0, 39.9, 116.4), "not json", message(2, "b", 0, 200.0, 10.0)]))
+    (tmp_path / "in/a.txt").write_text("\n".join([message(1, "a", 1000, 39.9, 116.4), "not json", message(2, "b", 1000, 200.0, 10.0)]))
     lines = spark.readStream.schema("value string").text(str(tmp_path / "in"))
     for part in ("a", "b"):
         if part == "b":
-            (tmp_path / "in/b.txt").write_text(message(3, "a", 30, 31.2, 121.4))
-        assert detect.write_batches(detect.detect(lines), str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination(60)
+            (tmp_path / "in/b.txt").write_text(message(3, "a", 1030, 31.2, 121.4))
+        assert detect.write_batches(detect.detect(lines), str(tmp_path / "out"), str(tmp_path / "ck"), availableNow=True).awaitTermination(60)
     got = {r.request_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert set(got) == {"q1", "q2", "q3"} and not got["q1"].is_fake and got["q2"].is_fake
     assert got["q3"].is_fake and "瞬移" in got["q3"].reasons[0]
