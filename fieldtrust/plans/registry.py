@@ -478,3 +478,4 @@ def model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from fieldtrust.plans import scenarios  # noqa: E402,F401  registers more queries
 from fieldtrust.plans import joins  # noqa: E402,F401  registers more queries
+from fieldtrust.plans import upkeep  # noqa: E402,F401
