@@ -1,7 +1,7 @@
 """Coordinate and movement rules over records.
 
 State that a row loop would keep (earlier positions, arrival times) is windows over the device's rows in the order of
-``seq``; the only shuffle is by device.
+``seq``, by slices of time and blocks of arrivals that carry over what the next ones need.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldtrust.functions import geo, scoring
+from fieldtrust.operators.layout import SEQ_BLOCK, running_count
 from fieldtrust.params import DEFAULT, Params
 
 
@@ -35,17 +36,29 @@ def out_of_range(lat: Column, lon: Column, p: Params = DEFAULT) -> Column:
     return F.when(~geo.in_country(lat, lon, p) & far_lat & far_lon, anomaly("out_of_range", text, 0.8, latitude=lat, longitude=lon))
 
 
+#: Seconds of a time slice, and arrivals of a block: what one task holds of a device at most, with what it carries over.
+SLICE, HOUR = 6 * 3600, 3600
+
+
 def with_rates(df: DataFrame, device: str = "device_id", ts: str = "timestamp", seq: str = "seq") -> DataFrame:
     """Adds ``minute_count`` and ``hour_count``: arrivals of the device so far in the last 60 and 3600 seconds.
 
-    For rows whose times do not fall as ``seq`` rises; the lower bound is exclusive, the row itself counts, and rows of
-    the same instant that come later do not (they are taken off the RANGE frame). Times are whole seconds.
+    For rows whose times do not fall as ``seq`` (a unique long) rises; the lower bound is exclusive, the row itself counts, and rows of
+    the same instant that come later do not. Times are whole seconds. Arrivals are first counted by device and second; the
+    seconds of a device are cut into slices, each with the last hour of the slice before, so that no task has more than a
+    slice's seconds of a device however many rows it has. Rows of one second are ranked by blocks of ``seq``.
     """
-    t = F.col(ts).cast("long")
-    by = Window.partitionBy(device).orderBy(t)
-    later = F.count("*").over(Window.partitionBy(device, t).orderBy(F.col(seq).desc())) - 1
-    count = lambda seconds: F.count("*").over(by.rangeBetween(-(seconds - 1), 0)) - later
-    return df.withColumns({"minute_count": count(60), "hour_count": count(3600)})
+    rows = df.withColumn("_at", F.struct(F.col(device).alias("d"), F.col(ts).cast("long").alias("t")))
+    rows = running_count(rows, [F.col("_at")], seq, "_nth")
+    seconds = rows.groupBy("_at").agg(F.count("*").alias("_n"))
+    own = F.floor(F.col("_at.t") / SLICE)
+    next_too = F.when(F.pmod(F.col("_at.t"), F.lit(SLICE)) > SLICE - HOUR, F.array(own, own + 1)).otherwise(F.array(own))
+    cut = seconds.select("*", own.alias("_own"), F.explode(next_too).alias("_slice"))
+    w = Window.partitionBy("_at.d", "_slice").orderBy("_at.t")
+    before = lambda s: F.coalesce(F.sum("_n").over(w.rangeBetween(-(s - 1), -1)), F.lit(0))
+    counts = cut.withColumns({"_minute": before(60), "_hour": before(HOUR)}).where("_own <=> _slice").select("_at", "_minute", "_hour")
+    out = rows.join(counts, "_at", "left")
+    return out.withColumns({"minute_count": F.col("_minute") + F.col("_nth"), "hour_count": F.col("_hour") + F.col("_nth")}).select(*df.columns, "minute_count", "hour_count")
 
 
 def with_rates_by_arrival(df: DataFrame, device: str = "device_id", ts: str = "timestamp", seq: str = "seq") -> DataFrame:
@@ -74,15 +87,29 @@ def frequency(p: Params = DEFAULT) -> Column:
     return F.when(m > p.per_minute, by_minute).when(h > p.per_hour, by_hour)
 
 
-def with_previous(df: DataFrame, device: str = "device_id", ts: str = "timestamp", order: tuple[str, ...] = ("seq",)) -> DataFrame:
+def with_previous(df: DataFrame, device: str = "device_id", ts: str = "timestamp", order: tuple[str, ...] = ("seq",), block: int | None = None) -> DataFrame:
     """Adds the device's previous valid position (``prev_lat``, ``prev_lon``, ``prev_ts``) and ``step_km``, ``step_seconds``, ``step_kmh``.
 
-    Only valid positions count and get steps; rows without a device get none.
+    Only valid positions count and get steps; rows without a device get none. A device's rows are taken in blocks of the first
+    order column (of ``block`` units: arrivals, or seconds of time); a block gives on its last valid position, which the next
+    ones with rows carry over, so a device with very many rows is spread over its blocks.
     """
+    block = block or (SEQ_BLOCK if order[0] == "seq" else SLICE)
     ok = geo.is_valid(F.col("latitude"), F.col("longitude")) & (F.coalesce(F.col(device).cast("string"), F.lit("")) != "")
-    w = Window.partitionBy(device).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(ok, F.struct("latitude", "longitude", F.col(ts).cast("double").alias("ts"))), ignorenulls=True).over(w)
-    df = df.withColumn("_p", F.when(ok, before)).withColumns({"prev_lat": F.col("_p.latitude"), "prev_lon": F.col("_p.longitude"), "prev_ts": F.col("_p.ts")}).drop("_p")
+    place = F.struct("latitude", "longitude", F.col(ts).cast("double").alias("ts"))
+    rows = df.withColumns({"_d": F.when(ok, F.col(device)), "_b": F.floor(F.col(order[0]).cast("double") / block), "_ok": ok})
+    # rows that neither get nor give a position need not meet the others: they are dealt by their order
+    apart = F.when(F.col("_ok"), F.lit(-1)).otherwise(F.pmod(F.xxhash64(*order), F.lit(1024)).cast("int"))
+    rows = rows.withColumn("_apart", apart)
+    inside = F.last(F.when(F.col("_ok"), place), ignorenulls=True).over(Window.partitionBy("_d", "_apart", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_p", F.when(F.col("_ok"), inside))
+    ends = rows.where("_ok").groupBy("_d", "_b").agg(F.max_by(place, F.struct(*order)).alias("_end"))
+    carried = F.last("_end").over(Window.partitionBy("_d").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.struct("_d", "_b").alias("_key"), carried.alias("_carried"))
+    rows = rows.withColumn("_key", F.struct("_d", "_b")).join(ends, "_key", "left")
+    rows = rows.withColumn("_p", F.when(F.col("_ok"), F.coalesce("_p", "_carried")))
+    rows = rows.withColumns({"prev_lat": F.col("_p.latitude"), "prev_lon": F.col("_p.longitude"), "prev_ts": F.col("_p.ts")})
+    df = rows.select(*df.columns, "prev_lat", "prev_lon", "prev_ts")
     km = geo.haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("latitude"), F.col("longitude"))
     df = df.withColumns({"step_km": km, "step_seconds": F.abs(F.col(ts).cast("double") - F.col("prev_ts"))})
     return df.withColumn("step_kmh", F.when(F.col("prev_ts").isNotNull(), geo.speed_kmh(F.col("step_km"), F.col("step_seconds"))))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.functions import geo
+from fieldtrust.operators.graph import checkpoint_dir
 from fieldtrust.params import DEFAULT, Params
 
 # fixed values: centre and radius (km) of the cities, and the water and closed points
@@ -121,10 +123,87 @@ def neighbours(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, k
     return a.join(b, ["r", "c"]).withColumn("metres", m).where(F.col("metres") <= radius_m).select(key, "other_id", "metres")
 
 
-def spatial_density(points: DataFrame, others: DataFrame, key: str = "record_id") -> DataFrame:
-    """(key, density): others within a kilometre by square kilometre, by a hundred, 1 at most; 0 for (0, 0) and none."""
-    n = neighbours(points.where("NOT (latitude = 0 AND longitude = 0)"), others.where("latitude <> 0 AND longitude <> 0"), 1000.0, key).groupBy(key).agg(F.count("*").alias("n"))
-    return points.select(key).join(n, key, "left").select(key, F.least(F.coalesce("n", F.lit(0)) / math.pi / 100, F.lit(1.0)).alias("density"))
+#: A pair of cells with so many pairs of places, at most, is compared place by place; others are cut further.
+COMPARED = 4096
+#: The finest cells are so many halvings under the radius.
+DEPTH = 16
+
+
+def counts_within(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, key: str = "record_id", by: str | None = None) -> DataFrame:
+    """(key, n): how many of ``others(latitude, longitude)`` lie within the radius of each of ``points(key, latitude, longitude)``; with ``by`` only those of an equal value (0 for a null one).
+
+    Nothing is paired that need not be: equal places are counted once, places lie in cubes around the earth's centre (so poles and
+    the date line are no borders), and pairs of cubes go down from the radius's size. A pair wholly within the radius adds its
+    count to the cube, one wholly outside goes, and of the rest those with many places are halved; only pairs with few are
+    compared place by place, by the great circle. Points without a coordinate have no row; a key with several points has one.
+    """
+    spark = points.sparkSession
+    checkpoint_dir(spark)
+    chord = 2 * math.sin(min(radius_m / (2 * geo.EARTH_KM * 1000), math.pi / 2))
+    fine = chord / (1 << DEPTH)
+    group = F.lit("") if by is None else F.col(by).cast("string")
+    lat, lon = F.radians("la"), F.radians("lo")
+    axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+
+    def placed(df: DataFrame, n: Column) -> DataFrame:
+        d = df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(group.alias("g"), F.col("latitude").alias("la"), F.col("longitude").alias("lo")).where("g IS NOT NULL")
+        d = d.groupBy("g", "la", "lo").agg(n.alias("w"))
+        return d.select("*", *[F.floor((v + 1) / fine).alias(k) for k, v in axes.items()]).checkpoint()
+
+    a, b = placed(points, F.lit(1).cast("long")), placed(others, F.count("*"))
+    cell = lambda level: F.struct(*[F.shiftright(k, DEPTH - level).alias(k) for k in axes])
+
+    def cells(df: DataFrame, level: int, to: str) -> DataFrame:
+        """Cells of a level with their places, how many rows these are, and the cell they lie in."""
+        up = cell(max(0, level - 1)).alias(f"{to}_up")
+        return df.groupBy("g", cell(level).alias(to), up).agg(F.count("*").alias(f"{to}_n"), F.sum("w").alias(f"{to}_w"))
+
+    step = F.explode(F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)]))
+    around = cells(a, 0, "a").select("g", "a", "a_n", step.alias("dx")).select("*", step.alias("dy")).select("*", step.alias("dz"))
+    near = around.withColumn("b", F.struct((F.col("a.x") + F.col("dx")).alias("x"), (F.col("a.y") + F.col("dy")).alias("y"), (F.col("a.z") + F.col("dz")).alias("z")))
+    pairs = near.join(cells(b, 0, "b"), ["g", "b"]).select("g", "a", "a_n", "b", "b_n", "b_w")
+    whole, few = [], []
+    for level in range(DEPTH + 1):
+        gaps = [F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")) for k in axes]
+        unit = float((1 << level) ** 2)
+        least = sum((F.pow(F.greatest(d - 1, F.lit(0)), 2) for d in gaps), F.lit(0.0)) / unit
+        most = sum((F.pow(d + 1, 2) for d in gaps), F.lit(0.0)) / unit
+        pairs = pairs.withColumn("_kind", F.when(most < 1 - 1e-6, "whole").when(least > 1 + 1e-6, "none").when(F.lit(level == DEPTH) | (F.col("a_n") * F.col("b_n") <= COMPARED), "few").otherwise("many"))
+        pairs = pairs.where("_kind <> 'none'").checkpoint()
+        whole.append(pairs.where("_kind = 'whole'").groupBy("g", F.lit(level).alias("level"), "a").agg(F.sum("b_w").alias("n")))
+        few.append(pairs.where("_kind = 'few'").select("g", F.lit(level).alias("level"), "a", "b"))
+        many = pairs.where("_kind = 'many'")
+        if level == DEPTH or not many.limit(1).count():
+            break
+        down = many.select("g", F.col("a").alias("a_up"), F.col("b").alias("b_up"))
+        down = down.join(cells(a, level + 1, "a"), ["g", "a_up"]).join(cells(b, level + 1, "b"), ["g", "b_up"])
+        pairs = down.select("g", "a", "a_n", "b", "b_n", "b_w")
+    union = lambda parts: functools.reduce(DataFrame.unionAll, parts)
+    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), cell(i).alias("c")) for i in range(len(whole))])).alias("at")
+    asks = a.select("g", "la", "lo", levels).select("g", "la", "lo", F.col("at.level").alias("level"), F.col("at.c").alias("a"))
+    held = b.select("g", F.col("la").alias("lb"), F.col("lo").alias("lp"), "w", levels).select("g", "lb", "lp", "w", F.col("at.level").alias("level"), F.col("at.c").alias("b"))
+    inside = asks.join(union(whole), ["g", "level", "a"]).select("g", "la", "lo", "n")
+    close = asks.join(union(few), ["g", "level", "a"]).join(held, ["g", "level", "b"])
+    close = close.where(geo.haversine_m(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp")) <= radius_m).select("g", "la", "lo", F.col("w").alias("n"))
+    found = inside.unionAll(close).groupBy("g", "la", "lo").agg(F.sum("n").alias("n"))
+    rows = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(key, group.alias("g"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
+    out = rows.join(found, ["g", "la", "lo"], "left")
+    return out.groupBy(key).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def spatial_density(points: DataFrame, others: DataFrame, key: str = "record_id", radius_m: float = 1000.0) -> DataFrame:
+    """(key, density): others within the radius by square kilometre of its circle, by a hundred, 1 at most; 0 for (0, 0) and none. Others on the equator or the first meridian do not count."""
+    n = counts_within(points.where("NOT (latitude = 0 AND longitude = 0)"), others.where("latitude <> 0 AND longitude <> 0"), radius_m, key)
+    area = math.pi * (radius_m / 1000) ** 2
+    return points.select(key).distinct().join(n, key, "left").select(key, F.least(F.coalesce("n", F.lit(0)) / area / 100, F.lit(1.0)).alias("density"))
+
+
+def neighbour_category_share(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, category: str = "category", key: str = "record_id") -> DataFrame:
+    """(key, category_share): of the others within the radius the share with the point's category; 0 where there are none or the point has none."""
+    every = counts_within(points, others, radius_m, key)
+    own = counts_within(points.where(F.coalesce(category, F.lit("")) != ""), others, radius_m, key, category).withColumnRenamed("n", "same")
+    share = F.when(F.col("n") > 0, F.coalesce("same", F.lit(0)) / F.col("n")).otherwise(0.0)
+    return points.select(key).distinct().join(every, key, "left").join(own, key, "left").select(key, F.coalesce(share, F.lit(0.0)).alias("category_share"))
 
 
 def category_share(near: DataFrame, category: str = "category", other: str = "other_category", key: str = "record_id") -> DataFrame:

@@ -34,9 +34,11 @@ def alert_state(events: DataFrame) -> DataFrame:
 
 
 def merged(existing: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of ``changes(key, ..., op)`` put in place of existing ones; ``op`` is upsert or delete."""
-    kept = existing.join(changes.select(key), key, "left_anti")
-    return kept.unionByName(changes.where("op <> 'delete'").select(*existing.columns))
+    """Existing rows with ``changes(key, ..., seq, op)`` applied; ``op`` is upsert or delete, and of a key's changes the one with the greatest ``seq`` holds. Changes without a key are left out."""
+    last = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct("op", *[c for c in existing.columns if c != key]), F.col("seq")).alias("_c"))
+    last = last.select(key, "_c.*")
+    kept = existing.join(last.select(key), key, "left_anti")
+    return kept.unionByName(last.where("op <> 'delete'").select(*existing.columns))
 
 
 def triggered(metrics: DataFrame, rules: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.operators import keywords
+from fieldtrust.operators import keywords, spatial
 from fieldtrust.plans import tables as t
 from fieldtrust.plans.registry import query, times, ts
 
@@ -34,3 +34,26 @@ def keyword_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t.read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("tenant", F.col("doc_id") % 3)
     s = keywords.marketing_stats(d, page_words(spark, sf_dir), "doc_id", tenant="tenant")
     return s.select("doc_id", "keyword_count", "keyword_chars", times(F.col("density"), 1e6).alias("density_m"))
+
+
+# ---- places near each other -------------------------------------------------------------------------------------------
+#: Every fourth report stands within some metres of one spot; of two categories.
+_CROWD_SQL = f"""r AS (SELECT event_id AS seq, event_type AS category, CASE WHEN event_id % 4 = 0 THEN 31.2 + (event_id % 1000) / 10000000.0 ELSE CAST({t.LAT} AS DOUBLE) END AS lat,
+CASE WHEN event_id % 4 = 0 THEN 121.4 + (event_id % 777) / 10000000.0 ELSE CAST({t.LON} AS DOUBLE) END AS lon FROM events)"""
+_METRES = "2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) * 1000"
+
+
+def crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, spot = F.col("event_id"), F.col("event_id") % 4 == 0
+    lat = F.when(spot, F.lit(31.2) + (e % 1000) / 10000000.0).otherwise(F.expr(f"cast({t.LAT} as double)"))
+    lon = F.when(spot, F.lit(121.4) + (e % 777) / 10000000.0).otherwise(F.expr(f"cast({t.LON} as double)"))
+    return t.read(spark, sf_dir, "events").select(e.alias("seq"), F.col("event_type").alias("category"), lat.alias("latitude"), lon.alias("longitude"))
+
+
+@query(f"""WITH {_CROWD_SQL}, n AS (SELECT a.seq, count(*) AS n, count(*) FILTER (a.category = b.category) AS same FROM r a JOIN r b ON abs(a.lat - b.lat) < 0.02 AND b.lat <> 0 AND b.lon <> 0 AND {_METRES} <= 1000 GROUP BY a.seq)
+SELECT seq, CASE WHEN a.lat = 0 AND a.lon = 0 THEN 0 ELSE {ts('least(coalesce(n, 0) / pi() / 100, 1.0) * 1000000')} END AS density_m, {ts('coalesce(same * 1.0 / n, 0) * 1000000')} AS share_m FROM r a LEFT JOIN n USING (seq)""")
+def report_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = crowd(spark, sf_dir)
+    others = r.where("latitude <> 0 AND longitude <> 0")
+    d = spatial.spatial_density(r, r, "seq").join(spatial.neighbour_category_share(r, others, key="seq"), "seq")
+    return d.select("seq", times(F.col("density"), 1e6).alias("density_m"), times(F.col("category_share"), 1e6).alias("share_m"))
