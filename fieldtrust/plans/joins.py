@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.operators import keywords, spatial
+from fieldtrust.operators import keywords, names, spatial
 from fieldtrust.plans import tables as t
 from fieldtrust.plans.registry import query, times, ts
 
@@ -57,3 +57,12 @@ def report_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     others = r.where("latitude <> 0 AND longitude <> 0")
     d = spatial.spatial_density(r, r, "seq").join(spatial.neighbour_category_share(r, others, key="seq"), "seq")
     return d.select("seq", times(F.col("density"), 1e6).alias("density_m"), times(F.col("category_share"), 1e6).alias("share_m"))
+
+
+# ---- names and addresses ----------------------------------------------------------------------------------------------
+@query()
+def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part the likest other name within its brand; a name is the part's, its kind and its size. No SQL has the ratio: ``tests/test_names.py`` has all pairs."""
+    p = t.read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", F.lower("p_type"), F.col("p_size").cast("string")).alias("name"))
+    m = names.best_name_match(p, key="p_partkey", group="p_brand")
+    return m.select("p_partkey", times(F.col("text_similarity"), 1e6).alias("similarity_m"), "match")
