@@ -7,11 +7,17 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from fieldtrust.functions.text import positional_similarity, text_of
+from fieldtrust.operators.graph import checkpoint_dir
 
 # fixed values: divisions, and the endings of streets and buildings
 MUNICIPALITIES = ("北京", "上海", "天津", "重庆")
@@ -38,6 +44,9 @@ ALIASES = {
 }
 
 FULL = {n: n + "市" for n in (*MUNICIPALITIES, *CITIES)} | {n: n + "省" for n in PROVINCES} | REGIONS
+#: The parts of an address, and the surest that each can be (see ``parse``).
+KINDS = ("province", "city", "district", "street", "number", "building")
+SUREST = {"province": 1.0, "city": 0.9, "district": 0.8, "street": 0.8, "number": 0.9, "building": 0.8}
 NAMES = tuple(sorted({*FULL, *DISTRICTS}, key=lambda n: (-len(n), n)))
 
 
@@ -107,29 +116,124 @@ def _by_list(text: Column, words: tuple[str, ...]) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Likeness of two parsed addresses: over the parts both have, positional likeness by the smaller confidence; without any, half that of the whole."""
-    kinds = ("province", "city", "district", "street", "number", "building")
-    both = [a[k].isNotNull() & b[k].isNotNull() for k in kinds]
+    both = [a[k].isNotNull() & b[k].isNotNull() for k in KINDS]
     n = sum((x.cast("int") for x in both), F.lit(0))
-    total = sum((F.when(x, positional_similarity(a[k]["value"], b[k]["value"]) * F.least(a[k]["confidence"], b[k]["confidence"])).otherwise(0.0) for x, k in zip(both, kinds, strict=True)), F.lit(0.0))
+    total = sum((F.when(x, positional_similarity(a[k]["value"], b[k]["value"]) * F.least(a[k]["confidence"], b[k]["confidence"])).otherwise(0.0) for x, k in zip(both, KINDS, strict=True)), F.lit(0.0))
     return F.when(n > 0, total / n).otherwise(positional_similarity(a["prepared"], b["prepared"]) * 0.5)
 
 
-def similar_addresses(df: DataFrame, candidates: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
-    """The k likest candidates for each address of a stated list: ``df(record_id, address)``, ``candidates(candidate_id, address)``; ties by ``candidate_id``.
+def _values(structs: pa.ChunkedArray, kind: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of a column of parsed addresses the distinct values of a part (None: of the whole text), which of them each row has (-1: none) and how sure it is of it."""
+    rows = structs.to_pylist()
+    got = [(r["prepared"], 1.0) if kind is None else (r[kind]["value"], r[kind]["confidence"]) if r[kind] else (None, 0.0) for r in rows]
+    place: dict[str, int] = {}
+    which = np.array([-1 if v is None else place.setdefault(v, len(place)) for v, _ in got], np.int64)
+    return list(place), which, np.array([c for _, c in got], np.float64)
 
-    The addresses asked are counted and go to the candidates in blocks of about ``block``, a broadcast each; candidates may be any number.
+
+def likenesses(a: list[str], b: list[str]) -> np.ndarray:
+    """``positional_similarity`` of every text of ``a`` with every one of ``b``, place by place of the texts."""
+    la, lb = (np.array([len(v) for v in x], np.int64) for x in (a, b))
+    same = np.zeros((len(a), len(b)), np.int64)
+    width = int(min(la.max(initial=0), lb.max(initial=0)))
+    ca, cb = (np.array([[ord(c) for c in v[:width].ljust(width, "\0")] for v in x], np.int32).reshape(len(x), width) for x in (a, b))
+    for i in range(width):
+        same += (ca[:, i, None] == cb[None, :, i]) & (i < la)[:, None] & (i < lb)[None]
+    short, long_ = np.minimum(la[:, None], lb[None]), np.maximum(la[:, None], lb[None])
+    return np.where(short == 0, 0.0, 1.0 - (short - same) / np.maximum(long_, 1))
+
+
+def tile_similarity(x: pa.ChunkedArray, y: pa.ChunkedArray) -> np.ndarray:
+    """``similarity`` of every parsed address of ``x`` with every one of ``y``; a distinct value of a part is compared once."""
+    n, total = np.zeros((len(x), len(y)), np.int64), np.zeros((len(x), len(y)))
+    for kind in KINDS:
+        (va, ia, ca), (vb, ib, cb) = _values(x, kind), _values(y, kind)
+        both = (ia >= 0)[:, None] & (ib >= 0)[None]
+        if both.any():
+            n += both
+            total += np.where(both, likenesses(va, vb)[ia[:, None], ib[None]] * np.minimum(ca[:, None], cb[None]), 0.0)
+    if (n == 0).any():
+        (va, ia, _), (vb, ib, _) = _values(x, None), _values(y, None)
+        return np.where(n > 0, total / np.maximum(n, 1), likenesses(va, vb)[ia[:, None], ib[None]] * 0.5)
+    return total / n
+
+
+def _distinct_tiles(df: DataFrame, tile: int) -> DataFrame:
+    """``df(p, ...)``, a row for each distinct parsed address, with its tile: which parts it has, province and city, and a share of those where they are more than a tile's."""
+    has = F.concat(*[F.when(F.col(f"p.{k}").isNotNull(), "1").otherwise("0") for k in KINDS])
+    d = df.withColumn("area", F.struct(has.alias("has"), F.col("p.province.value").alias("province"), F.col("p.city.value").alias("city")))
+    parts = d.groupBy("area").agg(F.ceil(F.count("*") / tile).alias("_parts"))
+    d = d.join(parts, "area").withColumn("tile", F.struct("area", F.pmod(F.xxhash64("p"), F.col("_parts")).alias("part"))).drop("area", "_parts")
+    return d.withColumn("n", F.monotonically_increasing_id()).checkpoint()
+
+
+def _bound(a: Column, b: Column) -> Column:
+    """The greatest likeness that addresses of two tiles can have: provinces and cities are those of the tiles, other shared parts may be the same, all by the surest a part can be. A city guessed from a district is as sure as one named."""
+    n, total = F.lit(0), F.lit(0.0)
+    for i, kind in enumerate(KINDS):
+        both = (F.substring(a["has"], i + 1, 1) == "1") & (F.substring(b["has"], i + 1, 1) == "1")
+        like = positional_similarity(a[kind], b[kind]) if kind in ("province", "city") else F.lit(1.0)
+        n = n + both.cast("int")
+        total = total + F.when(both, like * SUREST[kind]).otherwise(0.0)
+    return F.when(n > 0, total / n).otherwise(0.5)
+
+
+def similar_addresses(df: DataFrame, candidates: DataFrame, k: int = 5, tile: int = 512, report: dict | None = None) -> DataFrame:
+    """The k likest candidates for each address asked: ``df(record_id, address)``, ``candidates(candidate_id, address)`` to ``(record_id, candidate_id, similarity, rank)``; ties by ``candidate_id``.
+
+    Equal parsed addresses are compared once, however many rows have them, and of a candidate address its k smallest ids are kept.
+    Addresses lie in tiles by the parts they have, province and city. A tile first meets those of its own province and city; the
+    k-th likeness found is what others have to reach, and only tiles whose bound reaches the least of a tile's meet it. A task holds
+    two tiles and gives k candidates an address. Null candidate ids are left out. ``report`` receives how many pairs were
+    ``compared`` of how many there are (``pairs``).
     """
-    a = parse(df.select("record_id", "address"), to="a").select("record_id", "a")
-    b = parse(candidates.select("candidate_id", "address"), to="b").select("candidate_id", "b")
-    blocks = max(1, -(-df.count() // block))
-    w = Window.partitionBy("record_id").orderBy(F.col("similarity").desc(), "candidate_id")
-    out = None
-    for i in range(blocks):
-        asked = F.broadcast(a.where(F.pmod(F.xxhash64("record_id"), F.lit(blocks)) == i))
-        scored = b.join(asked, F.lit(True)).select("record_id", "candidate_id", similarity(F.col("a"), F.col("b")).alias("similarity"))
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionAll(best)
-    return out
+    checkpoint_dir(df.sparkSession)
+    # parsed once: what follows would copy the parser's expressions into each of its own
+    asked = parse(df.select("record_id", "address"), to="p").select("record_id", "p").checkpoint()
+    rows = parse(candidates.where("candidate_id IS NOT NULL").select("candidate_id", "address"), to="p").select("candidate_id", "p").checkpoint()
+    # the k smallest ids of an address: of each of some shares of its rows first, so that no address has all its rows in one task
+    share = F.pmod(F.xxhash64("candidate_id"), F.lit(64))
+    for by in ([F.col("p"), share], [F.col("p")]):
+        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("candidate_id"))).where(F.col("_r") <= k).drop("_r")
+    others = _distinct_tiles(rows.groupBy("p").agg(F.sort_array(F.collect_list("candidate_id")).alias("ids")), tile)
+    mine = _distinct_tiles(asked.select("p").distinct(), tile)
+    a_tiles = mine.groupBy(F.col("tile").alias("ta")).agg(F.count("*").alias("na"))
+    b_tiles = others.groupBy(F.col("tile").alias("tb")).agg(F.count("*").alias("nb")).checkpoint()
+    id_kind = candidates.schema["candidate_id"].dataType
+    kinds = T.StructType([T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(id_kind)), T.StructField("similarity", T.DoubleType())])
+    arrow = to_arrow_schema(kinds)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        ids = right.column("r_ids").combine_chunks()
+        first = pc.list_element(ids, 0)
+        rank = np.empty(len(first), np.int64)
+        rank[pc.sort_indices(first).to_numpy()] = np.arange(len(first))
+        s = tile_similarity(left.column("p"), right.column("r_p"))
+        best = np.stack([np.lexsort((rank, -row))[:k] for row in s])
+        return pa.Table.from_arrays([pa.array(np.repeat(left.column("n").to_numpy(), best.shape[1])), ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(s, best, axis=1).ravel())], schema=arrow)
+
+    def met(pairs: DataFrame) -> DataFrame:
+        a = mine.select("n", "p", F.col("tile").alias("ta")).join(pairs.select("ta", "tb"), "ta")
+        b = others.select(F.col("p").alias("r_p"), F.col("ids").alias("r_ids"), F.col("tile").alias("tb")).join(pairs.select("ta", "tb"), "tb")
+        a, b = a.select("n", "p", "ta", "tb"), b.select("r_p", "r_ids", F.col("ta").alias("r_ta"), F.col("tb").alias("r_tb"))
+        return a.groupBy("ta", "tb").cogroup(b.groupBy("r_ta", "r_tb")).applyInArrow(compare, kinds).checkpoint()
+
+    place = lambda c: F.struct(F.col(f"{c}.area.province"), F.col(f"{c}.area.city"))
+    # tiles of one area: a struct without nulls, so that absent parts are equal
+    home = a_tiles.withColumn("at", place("ta")).join(b_tiles.withColumn("at", place("tb")), "at").select("ta", "tb", "na", "nb").checkpoint()
+    found = met(home)
+    kth = found.select("n", F.explode("ids").alias("id"), "similarity").withColumn("_r", F.row_number().over(Window.partitionBy("n").orderBy(F.col("similarity").desc()))).where(F.col("_r") == k)
+    least = mine.join(kth.select("n", F.col("similarity").alias("kth")), "n", "left").groupBy(F.col("tile").alias("ta")).agg(F.count("*").alias("na"), F.min(F.coalesce("kth", F.lit(-1.0))).alias("least"))
+    # tiles are as few as there are provinces, cities and sets of parts, times how full they are; only their names meet here
+    rest = least.join(b_tiles, _bound(F.col("ta.area"), F.col("tb.area")) >= F.col("least") - 1e-9).join(home.select("ta", "tb"), ["ta", "tb"], "left_anti").select("ta", "tb", "na", "nb").checkpoint()
+    if report is not None:
+        met_pairs = home.unionAll(rest).agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0))).first()[0]
+        report.update(compared=met_pairs, pairs=df.count() * candidates.count())
+    every = found.unionAll(met(rest)).select("n", F.explode("ids").alias("candidate_id"), "similarity")
+    best = every.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(F.col("similarity").desc(), "candidate_id"))).where(F.col("rank") <= k)
+    return asked.join(mine.select("p", "n"), "p").join(best, "n").select("record_id", "candidate_id", "similarity", "rank")
 
 
 def short_parse(df: DataFrame, address: str = "address", to: str = "parsed") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from fieldtrust.operators.graph import checkpoint_dir
 
 #: Names of a tile, lengths of a band, and bins that characters are counted in.
-TILE, BAND, BINS = 512, 4, 64
+TILE, BAND, BINS = 512, 16, 64
 
 
 def counted(names: list[str]) -> np.ndarray:

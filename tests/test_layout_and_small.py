@@ -57,11 +57,11 @@ def test_leaders_in_order(spark):
     assert got == want and len(set(want.values())) < 40
 
 
-def test_similar_addresses_in_blocks(spark):
+def test_similar_addresses_in_tiles(spark):
     df = spark.createDataFrame([(i, "北京市朝阳区建国路%d号" % i) for i in range(9)], "record_id long, address string")
     c = spark.createDataFrame([(i, "北京市朝阳区建国路%d号" % i) for i in range(30)], "candidate_id long, address string")
     whole = address.similar_addresses(df, c, 2).orderBy("record_id", "rank").collect()
-    assert whole == address.similar_addresses(df, c, 2, block=2).orderBy("record_id", "rank").collect() and len(whole) == 18
+    assert whole == address.similar_addresses(df, c, 2, tile=2).orderBy("record_id", "rank").collect() and len(whole) == 18
     assert {r.record_id for r in whole if r["rank"] == 1 and r.candidate_id == r.record_id} == set(range(9))
 
 
