@@ -19,13 +19,13 @@ TOP = 10
 
 
 def _block_pairs(df: DataFrame, key: str, vector: str, found, kinds: str) -> DataFrame:
-    """What ``found(ids, other ids, cosines, own)`` returns for each pair of blocks; ``own`` says that a block meets itself."""
+    """What ``found(ids, other ids, cosines, own)`` returns for each pair of blocks; ``own`` says that a block meets itself. Vectors of other lengths never meet."""
     v = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
     n = max(1, -(-v.count() // BLOCK_ROWS))
-    v = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+    v = v.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(n)), "d": F.size("v")})
     # a vector goes to the pairs that its block is in: (block, j >= block) as the left side, (i < block, block) as the right
-    left = v.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(n - 1))).alias("j"), "id", "v")
-    right = v.where("block > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("ri"), F.col("block").alias("rj"), F.col("id").alias("rid"), F.col("v").alias("rv"))
+    left = v.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(n - 1))).alias("j"), "d", "id", "v")
+    right = v.where("block > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("ri"), F.col("block").alias("rj"), F.col("d").alias("rd"), F.col("id").alias("rid"), F.col("v").alias("rv"))
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -37,7 +37,7 @@ def _block_pairs(df: DataFrame, key: str, vector: str, found, kinds: str) -> Dat
         b, other = (a, x.id) if own else (unit(np.vstack(y.rv.to_numpy())), y.rid)
         return pd.DataFrame(found(x.id.to_numpy(), other.to_numpy(), a @ b.T, own), columns=columns)
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(compare, kinds)
+    return left.groupBy("i", "j", "d").cogroup(right.groupBy("ri", "rj", "rd")).applyInPandas(compare, kinds)
 
 
 def _ordered(ids: np.ndarray, other: np.ndarray, c: np.ndarray, own: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

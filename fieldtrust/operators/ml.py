@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtrust.functions import geo, hashing
 from fieldtrust.functions import text as tx
@@ -141,18 +144,73 @@ class Registry:
         return predict(self.models[self.active], df)
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _code_bins(texts: pa.Array) -> pa.Array:
+    """Shares of a text's code points modulo 64; zeros for the empty text."""
+    out = []
+    for t in texts.to_pylist():
+        c = np.bincount(np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+        out.append(c / max(1, c.sum()))
+    return pa.array(out, pa.list_(pa.float64()))
+
+
 def neural_features(df: DataFrame) -> DataFrame:
     """Adds ``neural_vector`` (64 bins of code points by length, ten of place and device) for the small network."""
     t = tx.text_of(F.col("text"))
-    codes = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c) % 64)
-    n = F.greatest(F.length(t), F.lit(1))
-    bins = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.size(F.filter(codes, lambda c: c == k)) / n)
+    bins = _code_bins(t)
     lat, lon = F.coalesce("latitude", F.lit(0.0)), F.coalesce("longitude", F.lit(0.0))
     place = [lat / 90, lon / 180, geo.in_country(lat, lon).cast("double"), geo.is_valid(lat, lon).cast("double"), hashing.device_bucket(F.col("device_id")), (F.col("timestamp") % 24) / 24]
     place += [F.coalesce(F.col("geo_score"), F.lit(0.0)) / 100, F.length(t) / 500.0, F.size("geo_anomalies") / 4.0, F.lit(0.0)]
     return df.withColumn("neural_vector", F.concat(bins, F.array(*[x.cast("double") for x in place])))
 
 
+#: The small network: what it is fed, its hidden layers and its two classes.
+NETWORK = (74, 256, 128, 2)
+
+
+def _usable() -> Column:
+    v = F.col("neural_vector")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(v) == NETWORK[0]) & ~bad, F.lit(False))
+
+
+def train_network(df: DataFrame, iterations: int = 60, seed: int = 42) -> MultilayerPerceptronClassificationModel:
+    """Fit the network on rows with ``neural_vector`` and a 0/1 ``label``; rows without a usable vector are left out. MLlib's hidden layers are sigmoid ones."""
+    rows = df.where(_usable()).select(array_to_vector("neural_vector").alias("features"), F.col("label").cast("double").alias("label"))
+    return MultilayerPerceptronClassifier(layers=list(NETWORK), seed=seed, maxIter=iterations).fit(rows)
+
+
+def neural_scores(df: DataFrame, model: MultilayerPerceptronClassificationModel | None) -> DataFrame:
+    """Adds ``neural_score``, the network's chance of a fake in percent; null without a network and for rows without a usable vector, which so weigh nothing in the total."""
+    if model is None:
+        return df.withColumn("neural_score", F.lit(None).cast("double"))
+    ok = _usable()
+    # rows that cannot be scored go through with zeros and lose their score afterwards
+    v = F.when(ok, F.col("neural_vector")).otherwise(F.array_repeat(F.lit(0.0), NETWORK[0]))
+    out = model.transform(df.withColumns({"_ok": ok, "_v": v}).withColumn(model.getFeaturesCol(), array_to_vector("_v")))
+    return out.withColumn("neural_score", F.when(F.col("_ok"), vector_to_array(model.getProbabilityCol())[1] * 100)).select(*[c for c in df.columns if c != "neural_score"], "neural_score")
+
+
+def save_network(model: MultilayerPerceptronClassificationModel | None, path: str) -> None:
+    """The network and what it is for; None leaves a note that there is no trained one."""
+    from pyspark.sql import SparkSession
+
+    if model is not None:
+        model.write().overwrite().save(f"{path}/model")
+    note = SparkSession.active().createDataFrame([(model is not None, list(NETWORK))], "is_trained boolean, layers array<int>")
+    note.coalesce(1).write.mode("overwrite").json(f"{path}/contract")
+
+
+def load_network(spark, path: str) -> MultilayerPerceptronClassificationModel | None:
+    """The network saved under ``path``; None where none was trained. One of other layers is refused."""
+    note = spark.read.schema("is_trained boolean, layers array<int>").json(f"{path}/contract").first()
+    if note is None or not note.is_trained:
+        return None
+    if list(note.layers) != list(NETWORK):
+        raise ValueError(f"network has layers {list(note.layers)}, not {list(NETWORK)}")
+    return MultilayerPerceptronClassificationModel.load(f"{path}/model")
+
+
 def neural_fallback(df: DataFrame) -> DataFrame:
     """Where no network is: three tenths place, seven tenths text; fake from 35, risk at 70 and 40."""
     s = F.col("geo_score") * 0.3 + F.col("text_score") * 0.7

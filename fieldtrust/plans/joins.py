@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.operators import keywords, names, spatial
+from fieldtrust.operators import address, keywords, names, spatial
 from fieldtrust.plans import tables as t
 from fieldtrust.plans.registry import query, times, ts
 
@@ -66,3 +66,50 @@ def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t.read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", F.lower("p_type"), F.col("p_size").cast("string")).alias("name"))
     m = names.best_name_match(p, key="p_partkey", group="p_brand")
     return m.select("p_partkey", times(F.col("text_similarity"), 1e6).alias("similarity_m"), "match")
+
+
+def made_address(key: str) -> Column:
+    """An address of known divisions for each key: of a province's city, of a municipality, of a city without a district, and of none."""
+    k = F.col(key)
+    pick = lambda by, *of: F.get(F.array(*[F.lit(x) for x in of]), (F.floor(k / by) % len(of)).cast("int"))
+    number = (k % 50 + 1).cast("string")
+    district, street = pick(4, "朝阳区", "海淀区", "静安区"), pick(12, "建国路", "人民路", "世纪大道")
+    with_district = [F.concat(F.lit(head), district, street, number, F.lit("号")) for head in ("广东省深圳市", "北京市")]
+    return F.when(k % 4 == 0, with_district[0]).when(k % 4 == 1, with_district[1]).when(k % 4 == 2, F.concat(F.lit("江苏省苏州市"), street, number, F.lit("号"))).otherwise(F.concat(F.lit("无名小路"), number))
+
+
+def _address_sql(key: str, table: str) -> str:
+    """The parts of ``made_address``, each with how sure it is: the first known name is province and, if no municipality, city too; what is left before the street belongs to it."""
+    pick = lambda by, *of: "CASE " + " ".join(f"WHEN ({key} // {by}) % {len(of)} = {i} THEN '{x}'" for i, x in enumerate(of)) + " END"
+    return f"""(SELECT {key}, f, CASE f WHEN 0 THEN '广东' WHEN 1 THEN '北京' WHEN 2 THEN '江苏' END AS province, CASE f WHEN 0 THEN '广东' WHEN 1 THEN d WHEN 2 THEN '江苏' END AS city, CASE WHEN f < 2 THEN d END AS district,
+CASE f WHEN 0 THEN '深圳' || s WHEN 1 THEN s WHEN 2 THEN '苏州' || s END AS street, CASE WHEN f < 3 THEN n || '号' END AS number, CASE WHEN f = 3 THEN '无名小路' || n ELSE CASE f WHEN 0 THEN '广东深圳' || d WHEN 1 THEN '北京' || d ELSE '江苏苏州' END || s || n || '号' END AS whole
+FROM (SELECT {key}, {key} % 4 AS f, {pick(4, "朝阳区", "海淀区", "静安区")} AS d, {pick(12, "建国路", "人民路", "世纪大道")} AS s, CAST({key} % 50 + 1 AS VARCHAR) AS n FROM {table}))"""
+
+
+@query(f"""SELECT c_custkey, province, city, district, street, number, concat(province, city, district, street, number) AS full_address, CASE WHEN f < 3 THEN 1000 ELSE 0 END AS confidence_k, f < 3 AS is_complete,
+CASE f WHEN 2 THEN '缺少区县信息' WHEN 3 THEN '缺少省份信息|缺少城市信息|缺少区县信息|缺少街道和门牌号信息' ELSE '' END AS warnings FROM {_address_sql("c_custkey", "customer")}""")
+def customer_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = address.parse(t.read(spark, sf_dir, "customer").select("c_custkey", made_address("c_custkey").alias("address")), to="p")
+    parts = [F.col(f"p.{k}.value").alias(k) for k in address.KINDS if k != "building"]
+    return a.select("c_custkey", *parts, "p.full_address", times(F.col("p.confidence"), 1000).alias("confidence_k"), "p.is_complete", F.array_join("p.warnings", "|").alias("warnings"))
+
+
+def _like(a: str, b: str) -> str:
+    n = f"least(length({a}), length({b}))"
+    return f"(CASE WHEN {n} = 0 THEN 0 ELSE 1.0 - CAST(len(list_filter(range(1, {n} + 1), lambda i: substring({a}, i, 1) <> substring({b}, i, 1))) AS DOUBLE) / greatest(length({a}), length({b})) END)"
+
+
+_SURE = {"province": "least(CASE WHEN a.f = 1 THEN 1.0 ELSE 0.9 END, CASE WHEN b.f = 1 THEN 1.0 ELSE 0.9 END)", "city": "0.9", "district": "0.8", "street": "0.8", "number": "0.9"}
+_BOTH = {k: f"(a.{k} IS NOT NULL AND b.{k} IS NOT NULL)" for k in _SURE}
+
+
+@query(f"""WITH a AS {_address_sql("s_suppkey", "supplier")}, b AS {_address_sql("c_custkey", "customer")},
+s AS (SELECT s_suppkey AS record_id, c_custkey AS candidate_id, {" + ".join(f"CAST({v} AS INT)" for v in _BOTH.values())} AS n, {" + ".join(f"CASE WHEN {_BOTH[k]} THEN {_like(f'a.{k}', f'b.{k}')} * {v} ELSE 0 END" for k, v in _SURE.items())} AS total, {_like("a.whole", "b.whole")} * 0.5 AS whole FROM a, b),
+m AS (SELECT record_id, candidate_id, {ts('CASE WHEN n > 0 THEN total / n ELSE whole END * 1000000')} AS similarity_m FROM s)
+SELECT *, CAST(row_number() OVER (PARTITION BY record_id ORDER BY similarity_m DESC, candidate_id) AS INT) AS rank FROM m QUALIFY rank <= 3""")
+def supplier_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three customers' addresses that are likest to each supplier's."""
+    asked = t.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id"), made_address("s_suppkey").alias("address"))
+    some = t.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate_id"), made_address("c_custkey").alias("address"))
+    out = address.similar_addresses(asked, some, 3)
+    return out.select("record_id", "candidate_id", times(F.col("similarity"), 1e6).alias("similarity_m"), F.col("rank").cast("int").alias("rank"))
