@@ -86,7 +86,7 @@ CASE f WHEN 0 THEN '深圳' || s WHEN 1 THEN s WHEN 2 THEN '苏州' || s END AS
 FROM (SELECT {key}, {key} % 4 AS f, {pick(4, "朝阳区", "海淀区", "静安区")} AS d, {pick(12, "建国路", "人民路", "世纪大道")} AS s, CAST({key} % 50 + 1 AS VARCHAR) AS n FROM {table}))"""
 
 
-@query(f"""SELECT c_custkey, province, city, district, street, number, concat(province, city, district, street, number) AS full_address, CASE WHEN f < 3 THEN 1000 ELSE 0 END AS confidence_k, f < 3 AS is_complete,
+@query(f"""SELECT c_custkey, province, city, district, street, number, concat(province, city, district, street, number) AS full_address, CAST(CASE WHEN f < 3 THEN 1000 ELSE 0 END AS BIGINT) AS confidence_k, f < 3 AS is_complete,
 CASE f WHEN 2 THEN '缺少区县信息' WHEN 3 THEN '缺少省份信息|缺少城市信息|缺少区县信息|缺少街道和门牌号信息' ELSE '' END AS warnings FROM {_address_sql("c_custkey", "customer")}""")
 def customer_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = address.parse(t.read(spark, sf_dir, "customer").select("c_custkey", made_address("c_custkey").alias("address")), to="p")
