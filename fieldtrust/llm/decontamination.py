@@ -2,20 +2,28 @@
 
 A mask fixes which tokens of a window count; the others are ignored, so a window still matches where a token that the mask
 skips was changed. Hashes of all windows of the texts meet those of the benchmark; around each hit the two are laid on each
-other and a stretch of tokens must agree up to a share of substitutions. Items too short for a mask are sought as they stand.
+other and a stretch of tokens must agree up to a share of substitutions. Items shorter than that stretch have masks of their
+length. Every set of masks here leaves out, by one mask at least, any places that may differ: no overlap is missed.
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrust.llm.common import written
 
-MASKS = ("1101001011", "1011100101", "1100110101")
+#: Of the 13 places of a stretch any two may differ: one of these, laid somewhere on the stretch, ignores both.
+MASKS = ("1010111001", "1100010111")
 WINDOW = 13
 AGREE = 0.8
+#: Places that a mask of a short item keeps at least, where the item has as many beside those that may differ.
+KEEP = 5
 #: Items of fewer tokens than this are common phrases; only a text that consists of one is a leak of it.
 PHRASE = 5
 #: Seed rows of the benchmark up to which its table is broadcast (about 32 bytes each); beyond, the join is shuffled.
@@ -26,20 +34,34 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _seeds(df: DataFrame, toks: Column, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """Rows (keep..., at, seed): every masked window's hash and the token where it starts."""
-    span = len(masks[0])
-    if any(len(m) != span for m in masks):
-        raise ValueError("masks must have one length")
-    h, n = F.col("_h"), F.size("_h") - span + 1
-    df = df.select(*keep, F.transform(toks, lambda t: F.xxhash64(t)).alias("_h"))
+def short_masks(n: int, misses: int) -> list[str]:
+    """Masks of ``n`` places of which one ignores any given ``misses`` places.
+
+    The places are dealt to groups, and each mask ignores ``misses`` whole groups; the fewest groups that leave ``KEEP`` places.
+    """
+    for groups in range(misses + 1, n + 1):
+        ignored = [set(c) for c in combinations(range(groups), misses)]
+        masks = ["".join("0" if i % groups in c else "1" for i in range(n)) for c in ignored]
+        if min(m.count("1") for m in masks) >= min(KEEP, n - misses):
+            return masks
+    raise ValueError(f"{misses} of {n} places cannot be ignored")
+
+
+def _seeds(df: DataFrame, toks: Column, keep: list[str], masks: dict[str, int], starts: list[tuple[str, int | None]]) -> DataFrame:
+    """Rows (keep..., at, seed): hashes of windows under the named masks, at one given place or (None) at every place.
 
-    def of(k: int, mask: str) -> Column:
+    ``masks`` numbers the masks, so that windows under different masks do not meet.
+    """
+    h = F.col("_h")
+
+    def of(mask: str, start: int | None) -> Column:
         at = [i for i, c in enumerate(mask) if c == "1"]
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.lit(k), *[F.get(h, i + a) for a in at]))
+        last = F.size(h) - len(mask)
+        places = F.array(F.lit(start)) if start is not None else F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(masks[mask]), *[F.get(h, i + a) for a in at]).alias("seed")))
 
-    all_seeds = F.when(n > 0, F.concat(*[of(k, m) for k, m in enumerate(masks)]))
-    return df.select(*keep, n.alias("_n"), F.posexplode(all_seeds).alias("_p", "seed")).select(*keep, (F.col("_p") % F.col("_n")).alias("at"), "seed")
+    df = df.select(*keep, F.transform(toks, lambda t: F.xxhash64(t)).alias("_h"))
+    return df.select(*keep, F.explode(F.concat(*[of(m, start) for m, start in starts])).alias("_w")).select(*keep, "_w.at", "_w.seed")
 
 
 def text_key(text: Column) -> list[Column]:
@@ -53,33 +75,34 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
     A text overlaps an item where some ``min(window, item's tokens)`` tokens in a row, laid on the item at a seed hit,
     agree in at least the share ``agree``; ``matched`` counts the tokens that agree over the whole item at its best place.
-    An item with fewer tokens than a mask has places must occur token for token, one under ``PHRASE`` tokens as the whole
-    text; an item without tokens matches nothing. Items that repeat an id or a text each count once. Null texts are empty.
+    Items of fewer tokens than ``window`` are sought under ``short_masks``; one under ``PHRASE`` tokens must be the whole text,
+    token for token; an item without tokens matches nothing. Items that repeat an id or a text each count once. Null texts are empty.
     """
-    span = len(masks[0])
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") > 0).dropDuplicates(["item_id", "item"])
     items = written(items.withColumn("item_no", F.xxhash64("item_id", "item")), "benchmark-items")
-    seeds = written(_seeds(items.where(F.size("item") >= span), F.col("item"), ["item_no"], masks).withColumnRenamed("at", "item_at").distinct(), "benchmark-seeds")
+    size = F.size("item")
+    # (items, the windows sought in them): a mask of a short item lies on the item at one place, without the zeros at its ends
+    sought = [(size >= window, [(m, None) for m in masks])]
+    for n in sorted(r[0] for r in items.select(size).where((size >= PHRASE) & (size < window)).distinct().collect()):  # fewer lengths than a window has places
+        sought.append((size == n, [(m.strip("0"), m.index("1")) for m in short_masks(n, n - math.ceil(n * agree))]))
+    number = {m: k for k, m in enumerate(dict.fromkeys(m for _, starts in sought for m, _ in starts))}
+    parts = [_seeds(items.where(which), F.col("item"), ["item_no"], number, starts) for which, starts in sought]
+    seeds = written(reduce(DataFrame.unionAll, parts).withColumnRenamed("at", "item_at").distinct(), "benchmark-seeds")
     if seeds.count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
     texts = docs.select(*text_key(F.col("text")), "text")
-    hits = _seeds(texts, tokens(F.col("text")), ["k1", "k2"], masks).join(seeds, "seed").select("k1", "k2", "item_no", (F.col("at") - F.col("item_at")).alias("shift"))
-    for n in sorted(r[0] for r in items.select(F.size("item")).where(F.size("item") < span).distinct().collect()):  # fewer lengths than a mask has places
-        short = items.where(F.size("item") == n)
-        if n < PHRASE:
-            whole = texts.select("k1", "k2", F.xxhash64(tokens(F.col("text"))).alias("seed"))
-            hits = hits.unionAll(whole.join(short.select(F.xxhash64("item").alias("seed"), "item_no"), "seed").select("k1", "k2", "item_no", F.lit(0).alias("shift")))
-        else:
-            exact = ("1" * n,)
-            mine = _seeds(short, F.col("item"), ["item_no"], exact).select("seed", "item_no")
-            hits = hits.unionAll(_seeds(texts, tokens(F.col("text")), ["k1", "k2"], exact).join(mine, "seed").select("k1", "k2", "item_no", F.col("at").alias("shift")))
+    of_texts = _seeds(texts, tokens(F.col("text")), ["k1", "k2"], number, [(m, None) for m in number])
+    hits = of_texts.join(seeds, "seed").select("k1", "k2", "item_no", (F.col("at") - F.col("item_at")).alias("shift"))
+    phrases = items.where(size < PHRASE).select(F.xxhash64("item").alias("seed"), "item_no")
+    whole = texts.select("k1", "k2", F.xxhash64(tokens(F.col("text"))).alias("seed")).join(phrases, "seed")
+    hits = hits.unionAll(whole.select("k1", "k2", "item_no", F.lit(0).alias("shift")))
     hits = written(hits.distinct(), "benchmark-hits")  # its size on disk decides how it is joined
     there = texts.join(hits.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", tokens(F.col("text")).alias("toks"))
     both = there.join(hits, ["k1", "k2"]).join(items, "item_no")
     n = F.size("item")
     same = F.transform("item", lambda t, i: (F.coalesce(F.get(F.col("toks"), i + F.col("shift")), F.lit("")) == t).cast("int"))
     run = F.least(n, F.lit(window))
-    need = F.when(n < span, n).otherwise(F.ceil(run * F.lit(agree)))
+    need = F.when(n < PHRASE, n).otherwise(F.ceil(run * F.lit(agree)))
     held = F.exists(F.sequence(F.lit(1), n - run + 1), lambda s: F.aggregate(F.slice("same", s, run), F.lit(0), lambda a, x: a + x) >= need)
     found = both.where((n >= PHRASE) | (n == F.size("toks"))).select("k1", "k2", "item_id", "item", "toks", same.alias("same")).where(held)
     matched = F.aggregate("same", F.lit(0), lambda a, x: a + x)
@@ -117,26 +140,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged(read("documents").select("doc_id", "text"), read("benchmark").select("item_id", "text"))
 
 
-def _sql_seed(mask: str) -> str:
-    return " || ' ' || ".join(f"t[i + {k + 1}]" for k, c in enumerate(mask) if c == "1")
-
-
-#: The same seeds as strings: hits, diagonals and the check around them; short items by their words.
+#: No seeds: equal tokens of texts and items, counted by diagonal; short phrases as whole texts.
 ORACLE_SQL = f"""
-WITH d AS (SELECT DISTINCT text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM benchmark),
-dw AS (SELECT text, t, unnest(range(0, len(t) - {len(MASKS[0]) - 1})) AS i FROM d WHERE len(t) >= {len(MASKS[0])}),
-bw AS (SELECT item_id, t, unnest(range(0, len(t) - {len(MASKS[0]) - 1})) AS i FROM b WHERE len(t) >= {len(MASKS[0])}),
-ds AS ({" UNION ALL ".join(f"SELECT text, i, {k} AS m, {_sql_seed(m)} AS s FROM dw" for k, m in enumerate(MASKS))}),
-bs AS ({" UNION ALL ".join(f"SELECT item_id, i, {k} AS m, {_sql_seed(m)} AS s FROM bw" for k, m in enumerate(MASKS))}),
-h AS (SELECT DISTINCT ds.text, bs.item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.m = bs.m AND ds.s = bs.s),
-p AS (SELECT h.text, h.item_id, h.shift, unnest(range(1, len(b.t) + 1)) AS i, b.t AS item, d.t AS toks FROM h JOIN b USING (item_id) JOIN d ON d.text IS NOT DISTINCT FROM h.text),
-e AS (SELECT text, item_id, shift, i, len(item) AS n, CASE WHEN i + shift BETWEEN 1 AND len(toks) AND toks[CASE WHEN i + shift BETWEEN 1 AND len(toks) THEN i + shift ELSE 1 END] = item[i] THEN 1 ELSE 0 END AS same FROM p),
-w AS (SELECT *, sum(same) OVER (PARTITION BY text, item_id, shift ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS run, sum(same) OVER (PARTITION BY text, item_id, shift) AS matched FROM e),
-short AS (SELECT item_id, t FROM b WHERE len(t) BETWEEN 1 AND {len(MASKS[0]) - 1}),
-v AS (SELECT text, item_id, max(matched) AS matched FROM w WHERE run >= ceil(least(n, {WINDOW}) * {AGREE}) AND i <= n - least(n, {WINDOW}) + 1 GROUP BY text, item_id
-  UNION ALL SELECT DISTINCT d.text, short.item_id, len(short.t) FROM d JOIN short ON CASE WHEN len(short.t) < {PHRASE} THEN d.t = short.t ELSE contains(' ' || array_to_string(d.t, ' ') || ' ', ' ' || array_to_string(short.t, ' ') || ' ') END),
-f AS (SELECT text, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(matched) AS best_matched FROM v GROUP BY text)
+WITH d AS (SELECT text, t, row_number() OVER () AS dn FROM (SELECT DISTINCT text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents)),
+b AS (SELECT item_id, t, len(t) AS n, row_number() OVER () AS bn FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM benchmark)),
+dt AS (SELECT dn, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM d),
+bt AS (SELECT bn, n, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM b WHERE n >= {PHRASE}),
+e AS (SELECT dn, bn, n, dt.i - bt.i AS shift, bt.i FROM dt JOIN bt USING (tok)),
+g AS (SELECT *, count(*) OVER (PARTITION BY dn, bn, shift) AS matched FROM e QUALIFY matched >= ceil(least(n, {WINDOW}) * {AGREE})),
+w AS (SELECT *, count(*) OVER (PARTITION BY dn, bn, shift ORDER BY i RANGE BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS run FROM g),
+v AS (SELECT dn, bn, matched FROM w WHERE run >= ceil(least(n, {WINDOW}) * {AGREE})
+  UNION ALL SELECT d.dn, b.bn, b.n FROM d JOIN b ON d.t = b.t WHERE b.n BETWEEN 1 AND {PHRASE - 1}),
+i AS (SELECT dn, item_id, max(matched) AS matched FROM v JOIN b USING (bn) GROUP BY dn, item_id),
+f AS (SELECT text, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(matched) AS best_matched FROM i JOIN d USING (dn) GROUP BY text)
 SELECT x.doc_id, f.text IS NOT NULL AS contaminated, CAST(coalesce(f.n_items, 0) AS BIGINT) AS n_items, coalesce(f.item_ids, '') AS item_ids, CAST(coalesce(f.best_matched, 0) AS BIGINT) AS best_matched
 FROM documents x LEFT JOIN f ON f.text = x.text
 """

@@ -1,6 +1,7 @@
 """Operators against brute force, and on nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -420,7 +421,23 @@ def test_short_items_and_repeated_items(spark):
     bench = [(1, "Who wrote The Silent River?"), (1, "Who wrote The Silent River?"), (2, "who wrote the silent river"), (3, "Yes."), (3, "another text of the third"), (4, "")]
     rows = [(1, "Say: who WROTE the silent river, then?"), (2, "who wrote the loud river"), (3, "yes"), (4, "yes indeed"), (5, "now another text of the third item"), (6, ""), (7, None)]
     got = decontamination.flagged(spark.createDataFrame(rows, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()
-    assert {r.doc_id: (r.item_ids, r.best_matched) for r in got if r.contaminated} == {1: ("1,2", 5), 3: ("3", 1), 5: ("3", 5)}
+    assert {r.doc_id: (r.item_ids, r.best_matched) for r in got if r.contaminated} == {1: ("1,2", 5), 2: ("1,2", 4), 3: ("3", 1), 5: ("3", 5)}
+
+
+@pytest.mark.parametrize("n", range(5, 21))
+def test_items_of_every_length_with_any_tokens_changed(spark, n):
+    """Every choice of as many changed tokens as may differ is found, one more is not; also where the text ends within the item."""
+    item = [f"w{i}" for i in range(n)]
+    run = min(n, 13)
+    misses = run - -(-4 * run // 5)
+    rows, want = [(1, "a b c " + " ".join(item[: n - misses])), (2, " ".join(item[misses:]) + " z")], {1, 2}
+    for k in (misses, misses + 1):
+        for c in itertools.combinations(range(n), k):
+            rows.append((len(rows) + 1, "x y " + " ".join("other" if i in c else t for i, t in enumerate(item)) + " z"))
+            if any(sum(i in range(s, s + run) for i in c) <= misses for s in range(n - run + 1)):
+                want.add(rows[-1][0])
+    got = decontamination.flagged(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.contaminated} == want
 
 
 def test_seeds_against_a_search_without_seeds(spark):
@@ -447,7 +464,7 @@ def test_seeds_against_a_search_without_seeds(spark):
     want = {k for k, t in rows if any(overlaps(t.split(), b) for _, b in bench)}
     docs, bm = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, " ".join(b)) for i, b in bench], "item_id long, text string")
     got = {r.doc_id for r in decontamination.flagged(docs, bm).collect() if r.contaminated}
-    assert got <= want and len(want) > 390 and len(got) >= 0.97 * len(want), len(got) / len(want)
+    assert got == want and len(want) > 390
 
 
 def luhn(s):
