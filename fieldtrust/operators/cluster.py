@@ -1,43 +1,113 @@
 """Clusters of like vectors: links at a cosine, components, and the earlier rows a row is like.
 
-Pairs are found block against block: vectors are dealt to blocks and each pair of blocks is one task with a matrix product,
-so no row is joined to all others in one plan node and no task holds more than two blocks.
+Pairs are found block against block with a matrix product. Vectors are blocked by their nearest pivot and the angle to it.
+Angles obey the triangle inequality: blocks whose angles to some pivot are further apart than the threshold allows hold no link
+and never meet. No task holds more than two blocks.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldtrust.operators.graph import checkpoint_dir, components
 from fieldtrust.params import DEFAULT, Params
 
 BLOCK_ROWS = 2048
+PIVOTS = 32
+BIN = 0.02  # radians; block bounds are looked up by bins of this width
+SLACK = 1e-6  # of angles, for rounding
 TOP = 10
 
 
-def _block_pairs(df: DataFrame, key: str, vector: str, found, kinds: str) -> DataFrame:
-    """What ``found(ids, other ids, cosines, own)`` returns for each pair of blocks; ``own`` says that a block meets itself. Vectors of other lengths never meet."""
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows at length 1, scaled by their largest component first so that no square overflows; rows without a length or with a component that is no number become NaN."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        m = m / np.abs(m).max(axis=1, keepdims=True, initial=0)
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _matrix(lists, d: int) -> np.ndarray:
+    return np.array([[math.nan if x is None else x for x in v] for v in lists], np.float64).reshape(len(lists), d)
+
+
+def blocked(df: DataFrame, key: str, vector: str, rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """``(block, d, cell, angles, id, v)``: unit vectors of ``d`` components, their nearest pivot and the angles to all, in blocks of about ``rows``.
+
+    Pivots are at most ``pivots`` vectors, drawn by a hash of their key; a vector whose length none of them has lies in cell -1.
+    Vectors that are null, have no length or hold a component that is null or not finite are left out: they are like nothing.
+    """
+    checkpoint_dir(df.sparkSession)
     v = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    n = max(1, -(-v.count() // BLOCK_ROWS))
-    v = v.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(n)), "d": F.size("v")})
-    # a vector goes to the pairs that its block is in: (block, j >= block) as the left side, (i < block, block) as the right
-    left = v.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(n - 1))).alias("j"), "d", "id", "v")
-    right = v.where("block > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("ri"), F.col("block").alias("rj"), F.col("d").alias("rd"), F.col("id").alias("rid"), F.col("v").alias("rv"))
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    drawn: dict[int, list[list[float]]] = {}
+    for r in v.orderBy(F.xxhash64("id"), "id", "v").limit(pivots).collect():  # so many rows
+        drawn.setdefault(len(r.v), []).append(r.v)
+    at: dict[int, np.ndarray] = {}
+    for d, some in drawn.items():
+        m = _unit(_matrix(some, d))
+        m = m[np.isfinite(m).all(axis=1)]
+        if len(m):
+            at[d] = m
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d, part in batch.groupby(batch.v.map(len)):
+                m = _unit(_matrix(part.v, d))
+                good = np.isfinite(m).all(axis=1) & (d > 0)
+                if not good.any():
+                    continue
+                m, ids = m[good], part.id.to_numpy()[good]
+                angles = np.arccos(np.clip(m @ at[d].T, -1, 1)) if d in at else np.zeros((len(m), 1))
+                cell = angles.argmin(axis=1) if d in at else np.full(len(m), -1)
+                yield pd.DataFrame({"d": d, "cell": cell, "bin": (angles.min(axis=1) / BIN).astype(int), "angles": list(angles), "id": ids, "v": list(m)})
+
+    v = v.mapInPandas(place, "d int, cell int, bin int, angles array<double>, id long, v array<double>").checkpoint()
+    before = F.sum("n").over(Window.partitionBy("d", "cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    counts = v.groupBy("d", "cell", "bin").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    # bins follow each other in blocks; one that is larger than a block by itself is dealt to several
+    wide = F.col("n") > rows
+    name = F.concat_ws(":", "d", "cell", F.floor(F.col("before") / rows), F.when(wide, F.concat_ws("/", "bin", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / rows)))))
+    return v.join(counts, ["d", "cell", "bin"]).select(name.alias("block"), "d", "cell", "angles", "id", "v").checkpoint()
+
+
+def meeting_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
+    """``(i, j)``, i <= j: the blocks that can hold vectors at a cosine of ``threshold`` or more."""
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+    spans = blocks.select("block", "d", "cell", F.posexplode("angles").alias("q", "angle")).groupBy("block", "d", "cell", "q").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    every = spans.groupBy("block", "d", "cell").agg(F.array_sort(F.collect_list(F.struct("q", "lo", "hi"))).alias("s")).checkpoint()  # as many as pivots
+    own = F.get("s", F.greatest("cell", F.lit(0)))
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / BIN), F.floor(hi / BIN)))
+    # a block asks at its own pivot, for the angles within reach of its own
+    asks = every.select(F.col("block").alias("i"), "d", F.greatest("cell", F.lit(0)).alias("q"), F.col("s").alias("x"), bins(own["lo"] - reach, own["hi"] + reach).alias("bin"))
+    has = every.select(F.col("block").alias("j"), "d", F.col("s").alias("y"), F.explode("s").alias("o")).select("j", "d", "y", F.col("o.q").alias("q"), bins(F.col("o.lo"), F.col("o.hi")).alias("bin"))
+    both = asks.join(has, ["d", "q", "bin"]).where(F.col("i") <= F.col("j"))
+    near = F.forall(F.zip_with("x", "y", lambda x, y: (x["lo"] - y["hi"] <= reach) & (y["lo"] - x["hi"] <= reach)), lambda ok: ok)
+    return both.where(near).select("i", "j").distinct()
+
+
+def _block_pairs(df: DataFrame, key: str, vector: str, threshold: float, found, kinds: str) -> DataFrame:
+    """What ``found(ids, other ids, cosines, own)`` returns for each pair of blocks that can meet; ``own`` says that a block meets itself. Vectors of other lengths never meet."""
+    v = blocked(df, key, vector)
+    meet = meeting_blocks(v, threshold).checkpoint()
+    left = v.select(F.col("block").alias("i"), "id", "v").join(meet, "i")
+    right = v.select(F.col("block").alias("rj"), F.col("id").alias("rid"), F.col("v").alias("rv")).join(meet.where("i <> j").toDF("ri", "rj"), "rj")
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         columns = [c.split()[0] for c in kinds.split(", ")]
         own = len(x) > 0 and x.i.iloc[0] == x.j.iloc[0]
         if not len(x) or not (own or len(y)):
             return pd.DataFrame(columns=columns)
-        a = unit(np.vstack(x.v.to_numpy()))
-        b, other = (a, x.id) if own else (unit(np.vstack(y.rv.to_numpy())), y.rid)
+        a = np.vstack(x.v.to_numpy())
+        b, other = (a, x.id) if own else (np.vstack(y.rv.to_numpy()), y.rid)
         return pd.DataFrame(found(x.id.to_numpy(), other.to_numpy(), a @ b.T, own), columns=columns)
 
-    return left.groupBy("i", "j", "d").cogroup(right.groupBy("ri", "rj", "rd")).applyInPandas(compare, kinds)
+    return left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(compare, kinds)
 
 
 def _ordered(ids: np.ndarray, other: np.ndarray, c: np.ndarray, own: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +124,7 @@ def similar_pairs(df: DataFrame, threshold: float = DEFAULT.cosine, key: str = "
         a, b, c = _ordered(ids, other, c, own, threshold)
         return {"a": a, "b": b, "cosine": c}
 
-    return _block_pairs(df, key, vector, found, "a long, b long, cosine double")
+    return _block_pairs(df, key, vector, threshold, found, "a long, b long, cosine double")
 
 
 def links(df: DataFrame, threshold: float = DEFAULT.cosine, key: str = "seq", vector: str = "vector") -> DataFrame:
@@ -78,7 +148,7 @@ def links(df: DataFrame, threshold: float = DEFAULT.cosine, key: str = "seq", ve
                 tree.append((x, y))
         return np.array(tree, np.int64).reshape(-1, 2)
 
-    return _block_pairs(df, key, vector, found, "a long, b long")
+    return _block_pairs(df, key, vector, threshold, found, "a long, b long")
 
 
 def batch_clusters(df: DataFrame, p: Params = DEFAULT, key: str = "seq", vector: str = "vector") -> DataFrame:
@@ -116,7 +186,7 @@ def prior_clusters(df: DataFrame, p: Params = DEFAULT, key: str = "seq", vector:
         top = rank < TOP
         return {"b": b[top], "n": np.where(rank == 0, np.repeat(counts, counts), 0)[top], "a": a[top], "cosine": c[top]}
 
-    near = _block_pairs(df, key, vector, found, "b long, n long, a long, cosine double")
+    near = _block_pairs(df, key, vector, p.cosine, found, "b long, n long, a long, cosine double")
     # at most ten of a row from each pair of blocks
     likest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("a")))), 1, TOP)
     found_rows = near.groupBy("b").agg(F.sum("n").alias("n"), likest["a"].alias("similar_ids"))

@@ -1,13 +1,15 @@
 """Near-duplicate texts by 64-bit fingerprints.
 
-Fingerprints within k bits agree on one of k + 1 bands, so candidates come from an equi-join on (band, value) and are then
-compared exactly. Equal fingerprints are joined once: rows are first reduced to distinct fingerprints.
+Fingerprints within k bits agree on three of k + 3 slices, so candidates come from an equi-join on (three slices, value), of
+about 32 bits for three bits, and are then compared exactly. Equal fingerprints are joined once: rows are first reduced to
+distinct fingerprints. Streams, where each key is a state of its own, take one of k + 1 slices (``bands``).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -71,13 +73,24 @@ def bands(fp: Column, k: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("band"), cut(a, b).alias("value")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
 
 
+def slice_masks(k: int) -> list[int]:
+    """The bits, as a signed long, of each choice of three of the k + 3 slices of 64 bits."""
+    edges = [64 * i // (k + 3) for i in range(k + 4)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(parts, 3))]
+
+
 def close_pairs(fps: DataFrame, k: int = 3) -> DataFrame:
-    """Distinct ``fp`` to pairs ``(a, b, distance)``, a < b, within k bits, each once."""
-    keyed = fps.select("fp", F.explode(bands(F.col("fp"), k)).alias("key"))
+    """Distinct ``fp`` to pairs ``(a, b, distance)``, a < b, within k bits, each once: a pair counts under the first slices that it agrees on."""
+    masks = slice_masks(k)
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(masks)])
+    keyed = fps.select("fp", F.explode(keys).alias("key")).select("fp", "key.choice", "key.value")
     a, b = keyed.alias("a"), keyed.alias("b")
-    both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
-    out = both.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), hamming(F.col("a.fp"), F.col("b.fp")).alias("distance"))
-    return out.where(F.col("distance") <= k).distinct()
+    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(masks)])
+    both = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.fp") < F.col("b.fp")))
+    near = both.where((hamming(F.col("a.fp"), F.col("b.fp")) <= k) & (first == F.col("a.choice")))
+    return near.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), hamming(F.col("a.fp"), F.col("b.fp")).alias("distance"))
 
 
 def check_prior(df: DataFrame, p: Params = DEFAULT, block: int = SEQ_BLOCK) -> DataFrame:
