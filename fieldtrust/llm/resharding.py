@@ -196,7 +196,7 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> DataFrame
     Blocks that keep all their rows aren't rewritten. ``placed`` is what ``reshard(docs)`` returns: its touched rows bring
     their own text, so rows without an id and repeated ones are written as often as they occur.
     """
-    out = placed.where("touched").select(docs.columns[0], docs.columns[1], "slot", "old_shard", "size_class", "moved", "shard")
+    out = placed.where("touched").select("doc_id", "text", "slot", "old_shard", "size_class", "moved", "shard")
     dealt = out.repartition("shard", F.floor(F.col("slot") / FILE_ROWS)).sortWithinPartitions("shard", "slot")
     dealt.write.partitionBy("shard").mode("overwrite").parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)

@@ -27,3 +27,6 @@ def test_files_hold_all_affected_rows(spark, tmp_path, monkeypatch):
         slots = sorted(r.slot for r in got if r.shard == j)
         assert slots == list(range(len(slots))) and len(slots) in (len(texts) // 5, len(texts) // 5 + 1)
     assert resharding.resharded(docs.where("false")).count() == 0
+    # columns by name, wherever they stand
+    turned = docs.selectExpr("'en' AS lang", "text", "1 AS slot", "doc_id")
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in resharding.resharded(turned, 3, 5).collect()) == want
