@@ -47,13 +47,22 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def histogram(text: Column, bins: int = 256) -> Column:
-    """Code points modulo ``bins``, as a vector of length 1; all zero for the empty text."""
-    t = F.coalesce(text, F.lit(""))
-    codes = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c) % bins)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(codes, lambda c: c == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    """Code points modulo ``bins``, as a vector of length 1; all zero for the empty text.
+
+    The codes are sorted among one mark of each bin, so a bin's count is the distance between two marks.
+    """
+    codes = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.ascii(c) % bins)
+    marks = F.sequence(F.lit(0), F.lit(bins))
+    places = _with(F.array_sort(F.concat(codes, marks)), lambda xs: F.transform(marks, lambda k: F.array_position(xs, k)))
+    counts = _with(places, lambda at: F.zip_with(F.slice(at, 1, bins), F.slice(at, 2, bins), lambda a, b: (b - a - 1).cast("double")))
+    scaled = _with(counts, lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))
+    return _with(scaled, lambda r: F.transform(r["v"], lambda x: F.when(r["norm"] > 0, x / r["norm"]).otherwise(0.0)))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -480,3 +480,4 @@ from fieldtrust.plans import scenarios  # noqa: E402,F401  registers more querie
 from fieldtrust.plans import joins  # noqa: E402,F401  registers more queries
 from fieldtrust.plans import upkeep  # noqa: E402,F401
 from fieldtrust.plans import evidence  # noqa: E402,F401
+from fieldtrust.plans import exchange  # noqa: E402,F401

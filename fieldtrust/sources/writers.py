@@ -25,11 +25,12 @@ def append_detections(df: DataFrame, path: str) -> None:
 def export_records(df: DataFrame, path: str, rows: int = EXPORT_ROWS) -> None:
     """The newest rows, as many as an export holds (a limit that is the feature), with texts of reasons."""
     flat = df.withColumn("reasons", F.array_join("reasons", "; ")) if "reasons" in df.columns else df
-    flat.orderBy(F.col("created_at").desc(), "id").limit(rows).write.mode("overwrite").option("header", True).csv(path)
+    flat.orderBy(F.col("created_at").desc(), "id").limit(rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Quotes within a value are doubled, as ``readers.read_csv`` and spreadsheets take them."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def export_report_csv(df: DataFrame, path: str) -> None:
