@@ -24,24 +24,45 @@ WIDEN = 3  # a name gets one more syllable every so many draws, an e-mail addres
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "господин", "κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "госпожа", "κυρία")
 NEUTRAL = ("Dr", "Prof", "Professor")
+PARTICLES = ("van", "von", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "ten", "ter", "bin", "al")
+#: Words after which ten digits in a row are a phone number.
+CUES = ("phone", "tel", "telephone", "call", "mobile", "cell", "fax", "whatsapp")
 BARE, CAPITALS = "\x01", "\x02"  # before the form of a name that a text also has with a form of address: as it is, in capitals
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 WORD = r"\p{L}\p{N}._%+\-"
+HEX = "[0-9A-Fa-f]{1,4}"
+PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}"
+#: One word of a name: Smith, Jean-Luc, O'Brien. A possessive's end is no part of it.
+NAME = r"(?:\p{Lu}\p{L}+(?:['’\-]\p{Lu}\p{L}+)*|\p{Lu}(?:['’]\p{Lu}\p{L}+)+)"
+#: What of a name is replaced; particles, single letters and the marks between stay.
+PIECE = r"(?<!\p{L})\p{Lu}\p{L}+"
+BARE_PHONE = r"[2-9]\d{2}[2-9]\d{6}"
+PHONES = (
+    r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)",
+    r"(?<![\d+])\+\d{1,3}[ .\-]\d{2,4}[ .\-]\d{3,4}[ .\-]\d{3,4}(?!\d)",
+    r"(?<![\d+])\+\d{8,15}(?!\d)",
+    r"(?<![\d+.\-])00\d{1,3}[ .\-]\d{2,4}[ .\-]\d{3,4}[ .\-]\d{3,4}(?!\d)",
+    r"(?<![\d+.,\-])0\d{2,4}[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\d\-]|[.,]\d)",
+    r"(?<![\d\-])(?:1-)?\d{3}-\d{3}-\d{4}(?![\d\-])",
+    r"(?<![\d+.,\-])[2-9]\d{2}(?:\.[2-9]\d{2}\.| [2-9]\d{2} )\d{4}(?![\d\-]|[.,]\d)",
+    rf"(?<!\d){BARE_PHONE}(?!\d)(?<=(?i:{'|'.join(CUES)})[.: ]{{1,3}}\d{{10}})",
+)
 PATTERNS = {
     "email": rf"(?<![{WORD}])[{WORD}]++@[\p{{L}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{N}}\-]++)+",
     "ipv4": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}[ .\-]\d{2,4}[ .\-]\d{3,4}[ .\-]\d{3,4}(?!\d)|(?<![\d\-])(?:1-)?\d{3}-\d{3}-\d{4}(?![\d\-])",
+    "phone": "|".join(PHONES),
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4})(?!\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?=[^\d\s]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})(?![\p{L}\p{N}])",
-    "person": rf"(?<!\p{{L}})(?:{'|'.join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?(?!\p{{L}})",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*[0-9])(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])",
+    "person": rf"(?<!\p{{L}})(?:{'|'.join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))})\.? {PARTICLE}{NAME}(?: {PARTICLE}{NAME}){{0,3}}(?!\p{{L}})",
 }
-KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ipv4", "person")
+KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ipv4", "ipv6", "person")
 PATTERN = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
 #: What every text with a mention has; cheap to look for, and all others pass by untouched and unshuffled.
 DIGIT_OR_AT = "[0-9@]"
-TITLE = r"[MHFSDPгκ](?:rs?|s|iss|onsieur|adame|err|rau|eñora?|rof|rofessor|осподин|оспожа|ύριος|υρία)\.? \p{Lu}"
+TITLE = r"[MHFSDPгκ](?:rs?|s|iss|onsieur|adame|err|rau|eñora?|rof|rofessor|осподин|оспожа|ύριος|υρία)\.? " + PARTICLE + r"\p{Lu}"
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 SYLLABLES = {
     "latin": (("ba", "de", "fi", "ga", "ho", "ju", "ka", "le", "mi", "no", "pa", "ro", "sa", "te", "vi", "zu"), ("n", "r", "s", "l"), ("a", "ia", "ina", "ella"), ("e", "y", "is", "en")),
@@ -60,8 +81,9 @@ def _kind(form: str) -> Column:
     digits = f"regexp_replace({form}, '[^0-9]', '')"
     card = f"({_luhn_sum(digits, f'(length({digits}) - 1)')} + cast(right({digits}, 1) as int)) % 10 = 0"
     k = F.when(F.expr(f"instr({form}, '@') > 0"), "email")
-    for kind in ("secret", "iban", "card", "ssn", "phone", "ipv4", "person"):
-        hit = F.expr(form).rlike(f"^(?:{PATTERNS[kind]})$")
+    for kind in ("secret", "iban", "card", "ssn", "phone", "ipv4", "ipv6", "person"):
+        # the word that made ten digits a phone number is not in the form
+        hit = F.expr(form).rlike(f"^(?:{PATTERNS[kind]}{'|' + BARE_PHONE if kind == 'phone' else ''})$")
         # a long number that fails its check digit is not a card, and a hash made of digits only is one of those numbers
         k = k.when(hit, F.when(F.expr(card), "card").otherwise("none")) if kind == "card" else k.when(hit, kind)
     return k.otherwise("none")
@@ -101,6 +123,8 @@ def _draw() -> Column:
     card = f"concat({body}, cast((10 - {_luhn_sum(body, '(length(norm) - 1)')} % 10) % 10 as string))"
     ssn = digits("0", "'9'")
     ipv4 = f"concat_ws('.', 240 + {_byte('0')} % 15, {_byte('1')}, {_byte('2')}, {_byte('3')})"
+    groups = ", ".join(f"concat({', '.join(_pick('0123456789abcdef', str(4 * g + k)) for k in range(4))})" for g in range(1, 8))
+    ipv6 = f"concat_ws(':', concat('fd', {_pick('0123456789abcdef', '2')}, {_pick('0123456789abcdef', '3')}), {groups})"
     hexed = f"array_join(transform(split(norm, ''), (c, i) -> {_pick('0123456789abcdef', 'i')}), '')"
     secret = f"CASE WHEN norm rlike '^[0-9a-f]+$' THEN {hexed} ELSE {_by_class('4')} END"
     # more characters of the first one's class and script go before it
@@ -112,7 +136,7 @@ def _draw() -> Column:
     mod = f"aggregate(split({as_digits}, ''), 0, (r, c) -> CASE WHEN c rlike '[0-9]' THEN (r * 10 + cast(c as int)) % 97 ELSE (r * 100 + ascii(c) - 55) % 97 END)"
     iban = f"concat(left(norm, 2), lpad(cast(98 - {mod} as string), 2, '0'), substring({plain}, 5))"
     names = "".join(f" WHEN kind like 'given%{s}' THEN {_name(s, False)} WHEN kind like 'family%{s}' THEN {_name(s, True)}" for s in SYLLABLES)
-    return F.expr(f"CASE kind WHEN 'phone' THEN {phone} WHEN 'card' THEN {card} WHEN 'ssn' THEN {ssn} WHEN 'ipv4' THEN {ipv4} WHEN 'secret' THEN {secret} WHEN 'email' THEN {email} WHEN 'iban' THEN {iban} ELSE CASE{names} END END")
+    return F.expr(f"CASE kind WHEN 'phone' THEN {phone} WHEN 'card' THEN {card} WHEN 'ssn' THEN {ssn} WHEN 'ipv4' THEN {ipv4} WHEN 'ipv6' THEN {ipv6} WHEN 'secret' THEN {secret} WHEN 'email' THEN {email} WHEN 'iban' THEN {iban} ELSE CASE{names} END END")
 
 
 def assign(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
@@ -149,7 +173,8 @@ def _names_again(forms: Column, text: Column) -> tuple[Column, Column]:
     def named(p: Column) -> Column:
         title, rest, family = F.substring_index(p, " ", 1), F.substring(p, F.instr(p, " ") + 1, F.length(p)), F.substring_index(p, " ", -1)
         one = lambda mark, name, shown: F.struct(shown.alias("name"), F.concat(F.lit(mark), title, F.lit(" "), name).alias("form"))
-        return F.array(one(BARE, rest, rest), one(BARE, family, family), one(CAPITALS, rest, F.upper(rest)), one(CAPITALS, family, F.upper(family)))
+        short = F.concat(F.substring_index(rest, " ", 1), F.lit(" "), family)  # of three names the first and the last
+        return F.array(*[one(mark, x, said(x)) for x in (rest, short, family) for mark, said in ((BARE, lambda y: y), (CAPITALS, F.upper))])
 
     known = F.flatten(F.transform(titled, named))
     names = F.reverse(F.array_sort(F.transform(F.array_distinct(F.transform(known, lambda e: e["name"])), lambda n: F.struct(F.length(n).alias("n"), n.alias("name")))))
@@ -166,22 +191,25 @@ def _forms(mentions: DataFrame) -> DataFrame:
     f = mentions.select("form").distinct().withColumn("bare", F.regexp_replace("form", f"^[{BARE}{CAPITALS}]", "")).withColumn("kind", _kind("bare")).where("kind <> 'none'")
     said = lambda titles: F.col("bare").rlike(f"^(?:{'|'.join(titles)})\\.? ")
     script = F.when(F.col("bare").rlike(r" \p{IsCyrillic}"), "cyrillic").when(F.col("bare").rlike(r" \p{IsGreek}"), "greek").otherwise("latin")
-    words = F.split("bare", " ")
-    f = f.withColumns({"script": script, "gender": F.when(said(FEMALE), "female").when(said(MALE), "male"), "given": F.when((F.col("kind") == "person") & (F.size(words) > 2), F.lower(F.get(words, F.lit(1))))})
+    own = F.expr("substring(bare, instr(bare, ' ') + 1, length(bare))")
+    last = F.substring_index(own, " ", -1)
+    found = lambda c: F.transform(F.regexp_extract_all(c, F.lit(PIECE), F.lit(0)), F.lower)
+    before = F.when(F.col("kind") == "person", found(F.substring(own, F.lit(1), F.length(own) - F.length(last))))
+    f = f.withColumns({"script": script, "gender": F.when(said(FEMALE), "female").when(said(MALE), "male"), "givens": before, "families": found(last)}).withColumn("given", F.get("givens", F.lit(0)))
     seen = f.where("gender IS NOT NULL AND given IS NOT NULL").groupBy("script", "given").agg(F.when(F.count_if(F.col("gender") == "female") * 2 >= F.count("*"), "female").otherwise("male").alias("known"))
     f = f.join(seen, ["script", "given"], "left").withColumn("gender", F.coalesce("gender", "known", F.lit("any")))
-    given = F.struct(F.concat(F.lit("given-"), F.col("gender"), F.lit("-"), F.col("script")).alias("kind"), F.col("given").alias("norm"))
-    family = F.struct(F.concat(F.lit("family-"), F.col("script")).alias("kind"), F.lower(F.element_at(words, -1)).alias("norm"))
+    named = lambda xs, kind: F.transform(xs, lambda x: F.struct(kind.alias("kind"), x.alias("norm")))
+    person = F.concat(named(F.col("givens"), F.concat(F.lit("given-"), F.col("gender"), F.lit("-"), F.col("script"))), named(F.col("families"), F.concat(F.lit("family-"), F.col("script"))))
     digits = F.regexp_replace("bare", "[^0-9]", "")
     norm = (
-        # with and without the country code 1 it is one number
-        F.when(F.col("kind") == "phone", F.when(digits.rlike("^1[0-9]{10}$"), F.substring(digits, 2, 10)).otherwise(digits))
+        # with and without the country code 1 it is one number, and 00 says what + does
+        F.when(F.col("kind") == "phone", F.regexp_replace(F.regexp_replace(digits, "^00", ""), "^1([0-9]{10})$", "$1"))
         .when(F.col("kind").isin("card", "ssn"), digits)
         .when(F.col("kind") == "iban", F.regexp_replace("bare", " ", ""))
         .when(F.col("kind") == "secret", F.when(F.col("bare").rlike("^[0-9A-Fa-f]+$"), F.lower("bare")).otherwise(F.col("bare")))
         .otherwise(F.lower("bare"))
     )
-    parts = F.when(F.col("kind") != "person", F.array(F.struct(F.col("kind").alias("kind"), norm.alias("norm")))).when(F.col("given").isNotNull(), F.array(given, family)).otherwise(F.array(family))
+    parts = F.when(F.col("kind") != "person", F.array(F.struct(F.col("kind").alias("kind"), norm.alias("norm")))).otherwise(person)
     return f.select("form", "kind", parts.alias("parts"))
 
 
@@ -194,11 +222,12 @@ def _rendered() -> Column:
     more = "(length(s[0]) - length(form))"  # a widened address is longer than its form
     cased = f"concat(CASE WHEN form = upper(form) THEN upper(left(s[0], {more})) ELSE left(s[0], {more}) END, array_join(transform(split(form, ''), (c, i) -> CASE WHEN c rlike '\\\\p{{Lu}}' THEN upper(substring(s[0], {more} + i + 1, 1)) ELSE substring(s[0], {more} + i + 1, 1) END), ''))"
     capitals = "CASE WHEN form = upper(form) THEN upper(s[0]) ELSE s[0] END"
-    names = "array_join(transform(s, x -> concat(upper(left(x, 1)), substring(x, 2))), ' ')"
     own = "substring(form, instr(form, ' ') + 1, length(form))"
-    loud = f"(left(form, 1) = '{CAPITALS}' OR {own} = upper({own}))"
-    person = f"concat(CASE WHEN left(form, 1) IN ('{BARE}', '{CAPITALS}') THEN '' ELSE concat(substring_index(form, ' ', 1), ' ') END, CASE WHEN {loud} THEN upper({names}) ELSE {names} END)"
-    return F.expr(f"CASE WHEN kind IN ('phone', 'card', 'ssn', 'iban') THEN {spaced} WHEN kind = 'email' THEN {cased} WHEN kind = 'secret' THEN {capitals} WHEN kind = 'person' THEN {person} ELSE {s} END")
+    piece = PIECE.replace("\\", "\\\\")
+    shown = f"zip_with(s, regexp_extract_all({own}, '{piece}', 0), (x, p) -> CASE WHEN p = upper(p) THEN upper(x) ELSE concat(upper(left(x, 1)), substring(x, 2)) END)"
+    names = f"array_join(zip_with(split({own}, '{piece}'), concat({shown}, array('')), (a, b) -> concat(a, b)), '')"
+    person = f"CASE WHEN left(form, 1) = '{CAPITALS}' THEN upper({names}) WHEN left(form, 1) = '{BARE}' THEN {names} ELSE concat(substring_index(form, ' ', 1), ' ', {names}) END"
+    return F.expr(f"CASE WHEN kind IN ('phone', 'card', 'ssn', 'iban') THEN {spaced} WHEN kind = 'email' THEN {cased} WHEN kind IN ('secret', 'ipv6') THEN {capitals} WHEN kind = 'person' THEN {person} ELSE {s} END")
 
 
 def surrogates(docs: DataFrame, key: str) -> DataFrame:
@@ -206,7 +235,9 @@ def surrogates(docs: DataFrame, key: str) -> DataFrame:
 
     One row for each input row. A text without personal data, an empty or null one comes back unchanged with 0. The same
     entity gets the same surrogate in every text, for the same ``key``, which has to be kept secret: who knows it can try numbers.
-    Persons are found by a form of address, and then by their names alone in the same text. What is joined back to the texts is a table of the
+    Persons are found by a form of address (up to four names with hyphens, apostrophes and particles; particles and single letters stay),
+    and then by their names alone in the same text. Ten digits in a row are a phone number behind a word that says so. An IPv6 address gets a
+    full one of the private range; its spellings are different entities. What is joined back to the texts is a table of the
     distinct texts that hold personal data; mentions of a text that thousands of rows share are handled once.
     """
     names = [c for c in docs.columns if c != "n_replaced"]
