@@ -54,7 +54,7 @@ def mark_counts(text: Column) -> Column:
 def is_stuffed(text: Column, max_repeat: int = 3) -> Column:
     """A character three (or ``max_repeat``) times in a row, or a phrase of Han characters said twice."""
     t = text_of(text)
-    return t.rlike(r"(?<!\n)([^\n])\1{%d,}" % max(2, max_repeat - 1)) | t.rlike(rf"({HAN}{{2,}})\1")
+    return t.rlike(r"([^\n])\1{%d,}" % max(2, max_repeat - 1)) | t.rlike(rf"({HAN}{{2,}})\1")
 
 
 def matched(text: Column, words: tuple[str, ...]) -> Column:
