@@ -127,6 +127,13 @@ def neighbours(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, k
 COMPARED = 4096
 #: The finest cells are so many halvings under the radius.
 DEPTH = 16
+#: Cells of the radius's size meet in cubes of so many doublings more.
+MEETING = 2
+
+
+def shuffled(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the input. Their sizes are guessed from compressed files, so that the smaller one would be broadcast, through the driver, at many times the limit."""
+    return a.join(b.hint("merge"), on, how)
 
 
 def counts_within(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, key: str = "record_id", by: str | None = None) -> DataFrame:
@@ -158,10 +165,12 @@ def counts_within(points: DataFrame, others: DataFrame, radius_m: float = 1000.0
         up = cell(max(0, level - 1)).alias(f"{to}_up")
         return df.groupBy("g", cell(level).alias(to), up).agg(F.count("*").alias(f"{to}_n"), F.sum("w").alias(f"{to}_w"))
 
-    step = F.explode(F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)]))
-    around = cells(a, 0, "a").select("g", "a", "a_n", step.alias("dx")).select("*", step.alias("dy")).select("*", step.alias("dz"))
-    near = around.withColumn("b", F.struct((F.col("a.x") + F.col("dx")).alias("x"), (F.col("a.y") + F.col("dy")).alias("y"), (F.col("a.z") + F.col("dz")).alias("z")))
-    pairs = near.join(cells(b, 0, "b"), ["g", "b"]).select("g", "a", "a_n", "b", "b_n", "b_w")
+    # cells and those beside them meet in larger ones, of which a cell with its neighbours touches one or two along each axis
+    touched = lambda k: F.explode(F.array_distinct(F.array(F.shiftright(F.col(f"a.{k}") - 1, MEETING), F.shiftright(F.col(f"a.{k}") + 1, MEETING)))).alias(f"c{k}")
+    around = cells(a, 0, "a").select("g", "a", "a_n", touched("x")).select("*", touched("y")).select("*", touched("z"))
+    held = cells(b, 0, "b").select("g", "b", "b_n", "b_w", *[F.shiftright(F.col(f"b.{k}"), MEETING).alias(f"c{k}") for k in axes])
+    beside = functools.reduce(Column.__and__, [F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")) <= 1 for k in axes])
+    pairs = shuffled(around, held, ["g", "cx", "cy", "cz"]).where(beside).select("g", "a", "a_n", "b", "b_n", "b_w")
     whole, few = [], []
     for level in range(DEPTH + 1):
         gaps = [F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")) for k in axes]
@@ -176,18 +185,23 @@ def counts_within(points: DataFrame, others: DataFrame, radius_m: float = 1000.0
         if level == DEPTH or not many.limit(1).count():
             break
         down = many.select("g", F.col("a").alias("a_up"), F.col("b").alias("b_up"))
-        down = down.join(cells(a, level + 1, "a"), ["g", "a_up"]).join(cells(b, level + 1, "b"), ["g", "b_up"])
+        down = shuffled(shuffled(down, cells(a, level + 1, "a"), ["g", "a_up"]), cells(b, level + 1, "b"), ["g", "b_up"])
         pairs = down.select("g", "a", "a_n", "b", "b_n", "b_w")
     union = lambda parts: functools.reduce(DataFrame.unionAll, parts)
     levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), cell(i).alias("c")) for i in range(len(whole))])).alias("at")
-    asks = a.select("g", "la", "lo", levels).select("g", "la", "lo", F.col("at.level").alias("level"), F.col("at.c").alias("a"))
-    held = b.select("g", F.col("la").alias("lb"), F.col("lo").alias("lp"), "w", levels).select("g", "lb", "lp", "w", F.col("at.level").alias("level"), F.col("at.c").alias("b"))
-    inside = asks.join(union(whole), ["g", "level", "a"]).select("g", "la", "lo", "n")
-    close = asks.join(union(few), ["g", "level", "a"]).join(held, ["g", "level", "b"])
-    close = close.where(geo.haversine_m(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp")) <= radius_m).select("g", "la", "lo", F.col("w").alias("n"))
+    asks = a.select("g", "la", "lo", *axes, levels).select("g", "la", "lo", *axes, F.col("at.level").alias("level"), F.col("at.c").alias("a"))
+    held = b.select("g", F.col("la").alias("lb"), F.col("lo").alias("lp"), *[F.col(k).alias(f"p{k}") for k in axes], "w", levels)
+    held = held.select("g", "lb", "lp", *[f"p{k}" for k in axes], "w", F.col("at.level").alias("level"), F.col("at.c").alias("b"))
+    inside = shuffled(asks, union(whole), ["g", "level", "a"]).select("g", "la", "lo", "n")
+    close = shuffled(shuffled(asks, union(few), ["g", "level", "a"]), held, ["g", "level", "b"])
+    # by whole steps of the finest cells; the great circle is worked out only where these cannot tell
+    steps = sum((F.pow((F.col(k) - F.col(f"p{k}")).cast("double"), 2) for k in axes), F.lit(0.0))
+    reach, blur = float(1 << DEPTH), 4.0
+    near = (steps <= (reach - blur) ** 2) | ((steps <= (reach + blur) ** 2) & (geo.haversine_m(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp")) <= radius_m))
+    close = close.where(near).select("g", "la", "lo", F.col("w").alias("n"))
     found = inside.unionAll(close).groupBy("g", "la", "lo").agg(F.sum("n").alias("n"))
     rows = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(key, group.alias("g"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
-    out = rows.join(found, ["g", "la", "lo"], "left")
+    out = shuffled(rows, found, ["g", "la", "lo"], "left")
     return out.groupBy(key).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
@@ -195,7 +209,7 @@ def spatial_density(points: DataFrame, others: DataFrame, key: str = "record_id"
     """(key, density): others within the radius by square kilometre of its circle, by a hundred, 1 at most; 0 for (0, 0) and none. Others on the equator or the first meridian do not count."""
     n = counts_within(points.where("NOT (latitude = 0 AND longitude = 0)"), others.where("latitude <> 0 AND longitude <> 0"), radius_m, key)
     area = math.pi * (radius_m / 1000) ** 2
-    return points.select(key).distinct().join(n, key, "left").select(key, F.least(F.coalesce("n", F.lit(0)) / area / 100, F.lit(1.0)).alias("density"))
+    return shuffled(points.select(key).distinct(), n, key, "left").select(key, F.least(F.coalesce("n", F.lit(0)) / area / 100, F.lit(1.0)).alias("density"))
 
 
 def neighbour_category_share(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, category: str = "category", key: str = "record_id") -> DataFrame:
@@ -203,7 +217,7 @@ def neighbour_category_share(points: DataFrame, others: DataFrame, radius_m: flo
     every = counts_within(points, others, radius_m, key)
     own = counts_within(points.where(F.coalesce(category, F.lit("")) != ""), others, radius_m, key, category).withColumnRenamed("n", "same")
     share = F.when(F.col("n") > 0, F.coalesce("same", F.lit(0)) / F.col("n")).otherwise(0.0)
-    return points.select(key).distinct().join(every, key, "left").join(own, key, "left").select(key, F.coalesce(share, F.lit(0.0)).alias("category_share"))
+    return shuffled(shuffled(points.select(key).distinct(), every, key, "left"), own, key, "left").select(key, F.coalesce(share, F.lit(0.0)).alias("category_share"))
 
 
 def category_share(near: DataFrame, category: str = "category", other: str = "other_category", key: str = "record_id") -> DataFrame:
