@@ -17,8 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldtrust.functions import text as tx
+
 #: The largest keyword table that tasks hold as an automaton.
 WORDS, CHARS = 200_000, 8_000_000
+#: So many words are looked for one by one, by their bytes, rather than in an automaton.
+FEW = 32
 #: Leading characters by which a larger table is joined.
 LEAD = 6
 HITS = "array<struct<w:int,n:int>>"
@@ -50,6 +54,10 @@ def matches(text: Column, words: tuple[str, ...]) -> Column:
     words = tuple(words)
     if not words:
         return F.array().cast(HITS)
+    if len(words) <= FEW:
+        t = F.coalesce(text, F.lit(""))
+        places = [F.struct(F.lit(i).alias("w"), F.when(t.contains(w), tx.occurrences(t, w)).otherwise(0).alias("n")) for i, w in enumerate(words)]
+        return F.filter(F.array(*places), lambda x: x["n"] > 0).cast(HITS)
 
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("w", T.IntegerType()), T.StructField("n", T.IntegerType())])))
     def scan(texts: pa.Array) -> pa.Array:
