@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Texts whose code points are counted at once.
+HISTOGRAM_ROWS = 1024
 
 
 def grams(text: Column, n: int = 2) -> Column:
@@ -47,22 +53,22 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _with(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once a row, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def histogram(text: Column, bins: int = 256) -> Column:
-    """Code points modulo ``bins``, as a vector of length 1; all zero for the empty text.
-
-    The codes are sorted among one mark of each bin, so a bin's count is the distance between two marks.
-    """
-    codes = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.ascii(c) % bins)
-    marks = F.sequence(F.lit(0), F.lit(bins))
-    places = _with(F.array_sort(F.concat(codes, marks)), lambda xs: F.transform(marks, lambda k: F.array_position(xs, k)))
-    counts = _with(places, lambda at: F.zip_with(F.slice(at, 1, bins), F.slice(at, 2, bins), lambda a, b: (b - a - 1).cast("double")))
-    scaled = _with(counts, lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))
-    return _with(scaled, lambda r: F.transform(r["v"], lambda x: F.when(r["norm"] > 0, x / r["norm"]).otherwise(0.0)))
+    """Code points modulo ``bins``, as a vector of length 1; all zero for the empty text. All code points of a batch are counted at once, by the text they are of."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def counted(texts: pa.Array) -> pa.Array:
+        vectors = []
+        for at in range(0, len(texts), HISTOGRAM_ROWS):
+            codes = [(t or "").encode("utf-32-le", "surrogatepass") for t in texts.slice(at, HISTOGRAM_ROWS).to_pylist()]
+            of = np.repeat(np.arange(len(codes)), [len(c) // 4 for c in codes])
+            n = np.bincount(of * bins + np.frombuffer(b"".join(codes), np.uint32) % bins, minlength=len(codes) * bins).reshape(-1, bins).astype(np.float64)
+            length = np.sqrt((n * n).sum(axis=1, keepdims=True))
+            vectors.append(np.divide(n, length, out=np.zeros_like(n), where=length > 0).ravel())
+        flat = np.concatenate(vectors) if vectors else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bins), pa.array(flat))
+
+    return counted(F.coalesce(text, F.lit("")))
 
 
 def dot(a: Column, b: Column) -> Column:

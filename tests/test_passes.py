@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fieldtrust.functions import hashing
 from fieldtrust.operators import keywords, text_rules
 from fieldtrust.plans import registry
 from fieldtrust.plans.tables import PROSE
@@ -19,3 +20,12 @@ def test_few_words_are_found_natively(spark):
     more = (*words, *[f"other{i}" for i in range(keywords.FEW)])
     got = df.select(keywords.matches(F.col("text"), words).alias("few"), keywords.matches(F.col("text"), more).alias("many")).collect()
     assert [r.few for r in got] == [r.many for r in got] and [(x.w, x.n) for x in got[0].few] == [(0, 2), (1, 1), (2, 3), (3, 1)]
+
+
+def test_codes_are_counted_not_sorted(spark):
+    df = spark.createDataFrame([("abca",), ("",), (None,), ("😀é" * 40,)], "text string").repartition(1).select("text", hashing.histogram(F.col("text"), 8).alias("v"))
+    assert "sort" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    for r in df.collect():
+        n = [sum(ord(c) % 8 == b for c in r.text or "") for b in range(8)]
+        size = sum(x * x for x in n) ** 0.5
+        assert all(abs(x - (m / size if size else 0)) < 1e-12 for x, m in zip(r.v, n, strict=True))
