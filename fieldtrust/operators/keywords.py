@@ -8,6 +8,7 @@ is joined on the words' leading characters, so that nothing of it passes the dri
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,6 +50,18 @@ def hits(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int]]:
     return sorted(count.items())
 
 
+def scanned(texts: pa.Array, automaton: ahocorasick.Automaton) -> pa.Array:
+    """``hits`` of each text. Of a batch's texts one at a time is a Python string, and what is found is held as plain numbers of eight bytes a hit."""
+    ends, w, n = array("i", [0]), array("i"), array("i")
+    for t in texts:
+        found = hits(t.as_py(), automaton) if t.is_valid else []
+        w.extend(i for i, _ in found)
+        n.extend(k for _, k in found)
+        ends.append(len(w))
+    kinds = [pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)]) for x in (ends, w, n)]
+    return pa.ListArray.from_arrays(kinds[0], pa.StructArray.from_arrays(kinds[1:], ["w", "n"]))
+
+
 def matches(text: Column, words: tuple[str, ...]) -> Column:
     """Array of structs (w: place in ``words``, n: occurrences) of the words that occur, in the list's order; distinct, non-empty words."""
     words = tuple(words)
@@ -61,13 +74,7 @@ def matches(text: Column, words: tuple[str, ...]) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("w", T.IntegerType()), T.StructField("n", T.IntegerType())])))
     def scan(texts: pa.Array) -> pa.Array:
-        a = _automaton(words)
-        found = [hits(t, a) if t else [] for t in texts.to_pylist()]
-        ends = [0]
-        for f in found:
-            ends.append(ends[-1] + len(f))
-        w, n = ([x[k] for f in found for x in f] for k in (0, 1))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(w, pa.int32()), pa.array(n, pa.int32())], ["w", "n"]))
+        return scanned(texts, _automaton(words))
 
     return scan(F.coalesce(text, F.lit("")))
 

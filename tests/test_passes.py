@@ -1,5 +1,8 @@
 """Texts are scored once, by native functions, however many passes a model makes over them."""
 
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fieldtrust.functions import hashing
@@ -29,3 +32,15 @@ def test_codes_are_counted_not_sorted(spark):
         n = [sum(ord(c) % 8 == b for c in r.text or "") for b in range(8)]
         size = sum(x * x for x in n) ** 0.5
         assert all(abs(x - (m / size if size else 0)) < 1e-12 for x, m in zip(r.v, n, strict=True))
+
+
+def test_many_hits_of_many_texts_stay_small(spark):
+    words = tuple(f"{i:04d}" for i in range(2000))
+    a = keywords._automaton(words)
+    texts = ["".join(words), None, "", "0001 0001", "x"] * 120
+    tracemalloc.start()
+    found = keywords.scanned(pa.array(texts), a)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [[(x["w"], x["n"]) for x in r] for r in found.to_pylist()] == [keywords.hits(t, a) if t else [] for t in texts]
+    assert peak < 12_000_000  # 240,000 hits as tuples take 30 MB
