@@ -58,15 +58,20 @@ def reasons(batch: bool = False) -> Column:
     return F.concat(said("geo_anomalies", "GEO"), said("text_anomalies", "文本"), tail)
 
 
+def has_text(text: Column, p: Params = DEFAULT) -> Column:
+    """Whether a text is long enough to weigh."""
+    return F.length(F.trim(F.coalesce(text, F.lit("")))) >= p.min_length
+
+
 def score(df: DataFrame, p: Params = DEFAULT, batch: bool = False) -> DataFrame:
-    """All of it, for rows with the anomalies and sub-scores; ``neural_score`` may be null. Missing duplicate or cluster columns count as none."""
+    """All of it, for rows with the anomalies and sub-scores; ``neural_score`` may be null. Missing duplicate or cluster columns count as none. ``has_text`` may stand for ``text``."""
     kinds = {"simhash_score": "double", "semantic_score": "double", "similar_records": "int", "cluster_size": "long", "neural_score": "double"}
     for c, kind in kinds.items():
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None if c == "neural_score" else 0).cast(kind))
-    has_text = F.length(F.trim(F.coalesce("text", F.lit("")))) >= p.min_length
+    said = F.col("has_text") if "has_text" in df.columns else has_text(F.col("text"), p)
     has_geo = ~((F.coalesce("latitude", F.lit(0.0)) == 0) & (F.coalesce("longitude", F.lit(0.0)) == 0))
-    df = df.withColumn("total_score", total(F.col("geo_score"), F.col("text_score"), F.col("simhash_score"), F.col("semantic_score"), has_text, has_geo, F.col("neural_score"), batch, p))
+    df = df.withColumn("total_score", total(F.col("geo_score"), F.col("text_score"), F.col("simhash_score"), F.col("semantic_score"), said, has_geo, F.col("neural_score"), batch, p))
     df = risk_and_confidence(decide(df, p), p)
     return df.withColumns({"suspicion_score": round_half_even(F.col("total_score"), 2), "reasons": reasons(batch)})
 
