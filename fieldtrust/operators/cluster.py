@@ -2,7 +2,8 @@
 
 Pairs are found block against block with a matrix product. Vectors are blocked by their nearest pivot and the angle to it.
 Angles obey the triangle inequality: blocks whose angles to some pivot are further apart than the threshold allows hold no link
-and never meet. No task holds more than two blocks.
+and never meet. No task holds more than two blocks. Each vector is sent to the blocks that it meets: blocks grow with the rows
+up to ``WIDEST`` times ``BLOCK_ROWS``, so that their number, and with it what a vector is sent to, stays about the same until then.
 """
 
 from __future__ import annotations
@@ -14,12 +15,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from fieldtrust.operators import slices
 from fieldtrust.operators.graph import checkpoint_dir, components
 from fieldtrust.params import DEFAULT, Params
 
 BLOCK_ROWS = 2048
+#: About so many blocks (and as many as pivots), and how far their rows may grow for it.
+BLOCKS, WIDEST = 64, 16
+#: Cosines that a task holds at once.
+COSINES = 1 << 22
 PIVOTS = 32
 BIN = 0.02  # radians; block bounds are looked up by bins of this width
 SLACK = 1e-6  # of angles, for rounding
@@ -38,13 +45,14 @@ def _matrix(lists, d: int) -> np.ndarray:
 
 
 def blocked(df: DataFrame, key: str, vector: str, rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
-    """``(block, d, cell, angles, id, v)``: unit vectors of ``d`` components, their nearest pivot and the angles to all, in blocks of about ``rows``.
+    """``(block, d, cell, angles, id, v)``: vectors of ``d`` components as they came (floats stay floats), their nearest pivot and the angles to all, in blocks of about ``rows`` or, of very many vectors, up to ``WIDEST`` times that.
 
     Pivots are at most ``pivots`` vectors, drawn by a hash of their key; a vector whose length none of them has lies in cell -1.
     Vectors that are null, have no length or hold a component that is null or not finite are left out: they are like nothing.
     """
     checkpoint_dir(df.sparkSession)
-    v = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    kind = "array<float>" if isinstance(df.schema[vector].dataType, T.ArrayType) and isinstance(df.schema[vector].dataType.elementType, T.FloatType) else "array<double>"
+    v = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
     drawn: dict[int, list[list[float]]] = {}
     for r in v.orderBy(F.xxhash64("id"), "id", "v").limit(pivots).collect():  # so many rows
         drawn.setdefault(len(r.v), []).append(r.v)
@@ -62,12 +70,13 @@ def blocked(df: DataFrame, key: str, vector: str, rows: int = BLOCK_ROWS, pivots
                 good = np.isfinite(m).all(axis=1) & (d > 0)
                 if not good.any():
                     continue
-                m, ids = m[good], part.id.to_numpy()[good]
+                m, ids, own = m[good], part.id.to_numpy()[good], part.v[good]
                 angles = np.arccos(np.clip(m @ at[d].T, -1, 1)) if d in at else np.zeros((len(m), 1))
                 cell = angles.argmin(axis=1) if d in at else np.full(len(m), -1)
-                yield pd.DataFrame({"d": d, "cell": cell, "bin": (angles.min(axis=1) / BIN).astype(int), "angles": list(angles), "id": ids, "v": list(m)})
+                yield pd.DataFrame({"d": d, "cell": cell, "bin": (angles.min(axis=1) / BIN).astype(int), "angles": list(angles), "id": ids, "v": own.to_numpy()})
 
-    v = v.mapInPandas(place, "d int, cell int, bin int, angles array<double>, id long, v array<double>").checkpoint()
+    v = v.mapInPandas(place, f"d int, cell int, bin int, angles array<double>, id long, v {kind}").checkpoint()
+    rows = max(rows, min(v.count() // BLOCKS, WIDEST * rows))
     before = F.sum("n").over(Window.partitionBy("d", "cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     counts = v.groupBy("d", "cell", "bin").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
     # bins follow each other in blocks; one that is larger than a block by itself is dealt to several
@@ -103,9 +112,11 @@ def _block_pairs(df: DataFrame, key: str, vector: str, threshold: float, found,
         own = len(x) > 0 and x.i.iloc[0] == x.j.iloc[0]
         if not len(x) or not (own or len(y)):
             return pd.DataFrame(columns=columns)
-        a = np.vstack(x.v.to_numpy())
-        b, other = (a, x.id) if own else (np.vstack(y.rv.to_numpy()), y.rid)
-        return pd.DataFrame(found(x.id.to_numpy(), other.to_numpy(), a @ b.T, own), columns=columns)
+        a = _unit(np.vstack(x.v.to_numpy()).astype(np.float64))
+        b, other = (a, x.id) if own else (_unit(np.vstack(y.rv.to_numpy()).astype(np.float64)), y.rid)
+        ids, other, step = x.id.to_numpy(), other.to_numpy(), max(1, COSINES // len(b))
+        strips = [pd.DataFrame(found(ids[at : at + step], other, a[at : at + step] @ b.T, own), columns=columns) for at in range(0, len(a), step)]
+        return pd.concat(strips, ignore_index=True)
 
     return left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(compare, kinds)
 
@@ -128,25 +139,14 @@ def similar_pairs(df: DataFrame, threshold: float = DEFAULT.cosine, key: str = "
 
 
 def links(df: DataFrame, threshold: float = DEFAULT.cosine, key: str = "seq", vector: str = "vector") -> DataFrame:
-    """Of the pairs at or over the threshold, ``(a, b)`` for a spanning forest of each pair of blocks: as many rows as vectors, not as pairs."""
+    """Links ``(a, b)`` that join what the pairs at or over the threshold join: of the rows that meet in a task each to the least one it reaches, as many rows as vectors, not as pairs."""
 
     def found(ids, other, c, own):
         a, b, _ = _ordered(ids, other, c, own, threshold)
-        order = np.lexsort((b, a))
-        root: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while (y := root.setdefault(x, x)) != x:
-                root[x] = x = root[y]
-            return x
-
-        tree = []
-        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
-            p, q = top(x), top(y)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                tree.append((x, y))
-        return np.array(tree, np.int64).reshape(-1, 2)
+        linked, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = slices.roots(len(linked), [(at[: len(a)], at[len(a) :], None)])
+        moved = np.flatnonzero(root != np.arange(len(linked)))
+        return {"a": linked[root[moved]], "b": linked[moved]}
 
     return _block_pairs(df, key, vector, threshold, found, "a long, b long")
 
