@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.functions import geo
+from fieldtrust.operators import slices
 from fieldtrust.operators.graph import checkpoint_dir
 from fieldtrust.params import DEFAULT, Params
 
@@ -123,6 +127,78 @@ def neighbours(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, k
     return a.join(b, ["r", "c"]).withColumn("metres", m).where(F.col("metres") <= radius_m).select(key, "other_id", "metres")
 
 
+#: Cubes in which places are held against each other are so many radii wide, and so many cosines are held at once.
+SIDE, COSINES = 4, 1 << 22
+
+
+def _units(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    lat, lon = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+
+
+def _numbers(la: np.ndarray, lo: np.ndarray, lb: np.ndarray, lp: np.ndarray, w: np.ndarray, radius_m: float) -> np.ndarray:
+    """How many of the weighted places ``(lb, lp)`` lie within the radius of each of ``(la, lo)``: by cosines, and by the great circle where these are too close to tell."""
+    a, b, out = _units(la, lo), _units(lb, lp), np.zeros(len(la), np.int64)
+    least, blur = math.cos(min(radius_m / (geo.EARTH_KM * 1000), math.pi)), 1e-12
+    step = max(1, COSINES // len(b))
+    one = bool((w == 1).all())
+    for at in range(0, len(a), step):
+        c = a[at : at + step] @ b.T
+        inside = c >= least + blur
+        out[at : at + step] = np.count_nonzero(inside, axis=1) if one else inside @ w
+        i, j = np.nonzero(~inside & (c >= least - blur))
+        if len(i):
+            x, y, p, q = np.radians(la[at + i]), np.radians(lb[j]), np.radians(lo[at + i]), np.radians(lp[j])
+            h = np.sin((y - x) / 2) ** 2 + np.cos(x) * np.cos(y) * np.sin((q - p) / 2) ** 2
+            near = 2 * geo.EARTH_KM * 1000 * np.arcsin(np.sqrt(np.minimum(1.0, h))) <= radius_m
+            np.add.at(out, at + i[near], w[j[near]])
+    return out
+
+
+def neighbour_numbers(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, key: str = "record_id") -> DataFrame:
+    """(key, n): how many of ``others`` lie within the radius of each of ``points``, of those that have any: ``neighbours`` counted, without a row for each pair.
+
+    Equal places count once. Places lie in cubes around the earth's centre (so poles and the date line are no borders), others also in the
+    cubes that their radius touches; a task compares the places of a cube and puts out a number for each. For radii with few places, or with crowds
+    at one place; ``counts_within`` halves cubes where very many places lie within a radius.
+    """
+    chord = 2 * math.sin(min(radius_m / (2 * geo.EARTH_KM * 1000), math.pi / 2))
+    reach, edge = chord * (1 + 1e-6), max(SIDE * chord, 2.0**-18)
+    spark = points.sparkSession
+    lat, lon = F.radians("la"), F.radians("lo")
+    axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    at = lambda v: F.floor((v + 2) / edge)
+    value = ((F.col("x") * (1 << 20) + F.col("y")) * (1 << 20) + F.col("z")).alias("value")
+
+    def places(df: DataFrame) -> DataFrame:
+        d = df.select(F.col("latitude").alias("la"), F.col("longitude").alias("lo")).where("la IS NOT NULL AND lo IS NOT NULL AND NOT isnan(la) AND NOT isnan(lo)")
+        return d.groupBy("la", "lo").agg(F.count("*").alias("w"))
+
+    asks = places(points).select("la", "lo", F.lit(0).cast("long").alias("w"), *[at(v).alias(k) for k, v in axes.items()])
+    held = places(others)
+    for k, v in axes.items():
+        held = held.select("*", F.explode(F.array_distinct(F.array(at(v - reach), at(v + reach)))).alias(k))
+    rows = asks.unionByName(held).select(F.lit(0).alias("choice"), value, "la", "lo", "w")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in slices.whole_keys(batches):
+            la, lo, w = (t.column(c).to_numpy() for c in ("la", "lo", "w"))
+            n, begin = np.zeros(len(la), np.int64), 0
+            for end in slices.key_ends(t).tolist():
+                mine = begin + np.flatnonzero(w[begin:end] == 0)
+                theirs = begin + np.flatnonzero(w[begin:end] > 0)
+                if len(mine) and len(theirs):
+                    n[mine] = _numbers(la[mine], lo[mine], la[theirs], lo[theirs], w[theirs], radius_m)
+                begin = end
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(la[some]), pa.array(lo[some]), pa.array(n[some])], ["la", "lo", "n"])
+
+    found = rows.repartition(parts, "value").sortWithinPartitions("value").mapInArrow(run, "la double, lo double, n long")
+    own = points.select(key, F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
+    return shuffled(own, found, ["la", "lo"]).groupBy(key).agg(F.sum("n").alias("n"))
+
+
 #: A pair of cells with so many pairs of places, at most, is compared place by place; others are cut further.
 COMPARED = 4096
 #: The finest cells are so many halvings under the radius.
