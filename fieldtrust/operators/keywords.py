@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from fieldtrust.functions import text as tx
 
-#: The largest keyword table that tasks hold: some ten bytes a word and four a character.
+#: The largest keyword table that tasks hold: some forty bytes a word and four a character.
 WORDS, CHARS = 1_000_000, 16_000_000
 #: So many words are looked for one by one, by their bytes, rather than in a table.
 FEW = 32

@@ -1,4 +1,4 @@
-"""Words held as arrays against plain counts, and in little memory; the automaton before took some 350 bytes a word more."""
+"""Words held as arrays against plain counts, and how much memory they take."""
 
 import random
 import tracemalloc
