@@ -111,7 +111,7 @@ def forest(fps: DataFrame, masks: list[int], k: int) -> DataFrame:
     return dealt(fps.select("fp"), masks).mapInArrow(run, "a long, b long")
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for each length."""
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
@@ -156,7 +156,7 @@ def earlier_counts(rows: DataFrame, masks: list[int], k: int) -> DataFrame:
                         if lo >= hi:
                             continue
                         p, q, f = a[lo:hi], b[lo:hi], e[lo:hi]
-                        at = _ragged(starts[p], size[p])
+                        at = ragged(starts[p], size[p])
                         who = np.repeat(np.arange(len(p)), size[p])
                         found = np.searchsorted(placed, q[who] * (len(distinct) + 1) + rank[at]) - starts[q][who]
                         some = found > 0

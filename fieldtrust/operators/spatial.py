@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.functions import geo
-from fieldtrust.operators import slices
+from fieldtrust.operators import radius, slices
 from fieldtrust.operators.graph import checkpoint_dir
 from fieldtrust.params import DEFAULT, Params
 
@@ -205,35 +205,29 @@ COMPARED = 4096
 DEPTH = 16
 #: Cells of the radius's size meet in cubes of so many doublings more.
 MEETING = 2
+#: A cube with more rows than these is not counted within a task.
+HEAVY = 1 << 19
 
 
-def shuffled(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+def shuffled(a: DataFrame, b: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
     """A join of two tables that grow with the input. Their sizes are guessed from compressed files, so that the smaller one would be broadcast, through the driver, at many times the limit."""
     return a.join(b.hint("merge"), on, how)
 
 
-def counts_within(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, key: str = "record_id", by: str | None = None) -> DataFrame:
-    """(key, n): how many of ``others(latitude, longitude)`` lie within the radius of each of ``points(key, latitude, longitude)``; with ``by`` only those of an equal value (0 for a null one).
+def _halved(places: DataFrame, radius_m: float) -> DataFrame:
+    """``places(g, la, lo, asks, w)``, one row for each place of a group, to ``(g, la, lo, n)``: the sum of ``w`` within the radius, for places that ask and have any.
 
-    Nothing is paired that need not be: equal places are counted once, places lie in cubes around the earth's centre (so poles and
-    the date line are no borders), and pairs of cubes go down from the radius's size. A pair wholly within the radius adds its
-    count to the cube, one wholly outside goes, and of the rest those with many places are halved; only pairs with few are
-    compared place by place, by the great circle. Points without a coordinate have no row; a key with several points has one.
+    Nothing is paired that need not be: places lie in cubes around the earth's centre, and pairs of cubes go down from the
+    radius's size. A pair wholly within the radius adds its count to the cube, one wholly outside goes, and of the rest those
+    with many places are halved; only pairs with few are compared place by place, by the great circle.
     """
-    spark = points.sparkSession
-    checkpoint_dir(spark)
-    chord = 2 * math.sin(min(radius_m / (2 * geo.EARTH_KM * 1000), math.pi / 2))
+    checkpoint_dir(places.sparkSession)
+    chord = radius.chord(radius_m)
     fine = chord / (1 << DEPTH)
-    group = F.lit("") if by is None else F.col(by).cast("string")
     lat, lon = F.radians("la"), F.radians("lo")
     axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
-
-    def placed(df: DataFrame, n: Column) -> DataFrame:
-        d = df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(group.alias("g"), F.col("latitude").alias("la"), F.col("longitude").alias("lo")).where("g IS NOT NULL")
-        d = d.groupBy("g", "la", "lo").agg(n.alias("w"))
-        return d.select("*", *[F.floor((v + 1) / fine).alias(k) for k, v in axes.items()]).checkpoint()
-
-    a, b = placed(points, F.lit(1).cast("long")), placed(others, F.count("*"))
+    placed = places.select("*", *[F.floor((v + 1) / fine).alias(k) for k, v in axes.items()]).checkpoint()
+    a, b = placed.where("asks"), placed.where("w > 0")
     cell = lambda level: F.struct(*[F.shiftright(k, DEPTH - level).alias(k) for k in axes])
 
     def cells(df: DataFrame, level: int, to: str) -> DataFrame:
@@ -275,25 +269,108 @@ def counts_within(points: DataFrame, others: DataFrame, radius_m: float = 1000.0
     reach, blur = float(1 << DEPTH), 4.0
     near = (steps <= (reach - blur) ** 2) | ((steps <= (reach + blur) ** 2) & (geo.haversine_m(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp")) <= radius_m))
     close = close.where(near).select("g", "la", "lo", F.col("w").alias("n"))
-    found = inside.unionAll(close).groupBy("g", "la", "lo").agg(F.sum("n").alias("n"))
-    rows = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(key, group.alias("g"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
-    out = shuffled(rows, found, ["g", "la", "lo"], "left")
-    return out.groupBy(key).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return inside.unionAll(close).groupBy("g", "la", "lo").agg(F.sum("n").alias("n"))
+
+
+def _located(lat: Column, lon: Column) -> Column:
+    return F.coalesce((F.abs(lat) < math.inf) & (F.abs(lon) < math.inf), F.lit(False))
+
+
+def _totals(rows: DataFrame, radius_m: float, both: bool) -> DataFrame:
+    """``rows(id, g, apart, la, lo, asks, counts)``, all with a place, to ``(id, la, lo, n, same)``: for each row that asks the rows that count within the radius, and with ``both`` those of its ``g`` (0 for a null one).
+
+    Rows are sent once, to the cube of their place, and to the others that their radius touches (at ``radius.SIDE`` a twentieth
+    more); a task counts its cubes. Only rows of a cube with too many of them for a task are summed up by place and counted by ``_halved``.
+    """
+    spark = rows.sparkSession
+    rows = radius.with_cubes(rows, radius_m).withColumn("cubes", F.when(F.col("counts"), F.col("touched")).otherwise(F.array("home"))).drop("touched")
+
+    def at(which: Column) -> DataFrame:
+        """A row for each of these cubes: its number, whether the place lies in it and whether it is the row's first. What is asked of a cube lies in the exploded value, and empty arrays
+        are let through: Spark would else put conditions on the cubes before everything, spelled out, and work them out for every row several times over."""
+        told = F.transform(which, lambda c, i: F.struct(c.alias("value"), (c == F.col("home")).alias("own"), (i == 0).alias("first")))
+        return rows.withColumn("at", F.explode_outer(told)).select(*rows.columns, "at.*").where("value IS NOT NULL")
+
+    # each has so many rows that the list is short
+    heavy = [r.value for r in at(F.col("cubes")).groupBy("apart", "value").count().where(F.col("count") > HEAVY).select("value").distinct().collect()]
+    role = F.when(F.col("asks") & F.col("own"), 1).otherwise(0) + F.when(F.col("counts"), 2).otherwise(0)
+    light = at(F.filter("cubes", lambda c: ~c.isin(heavy)) if heavy else F.col("cubes"))
+    light = light.select(F.col("apart").alias("choice"), "value", "id", *(["g"] if both else []), "la", "lo", role.cast("byte").alias("role"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    kind, wide = rows.schema["id"].dataType.simpleString(), radius.edge(radius_m)
+    out = light.repartition(parts, "choice", "value").sortWithinPartitions("choice", "value").mapInArrow(lambda batches: radius.in_cubes(batches, radius_m, wide, both), f"id {kind}, la double, lo double, n long, same long")
+    if not heavy:
+        return out
+    crowded = at(F.filter("cubes", lambda c: c.isin(heavy)))
+    checkpoint_dir(spark)
+    places = crowded.where("first").groupBy("apart", "g", "la", "lo").agg(F.bool_or(F.col("asks") & F.col("home").isin(heavy)).alias("asks"), F.count_if("counts").alias("w")).checkpoint()
+    every = _halved(places.groupBy(F.col("apart").cast("string").alias("g"), "la", "lo").agg(F.bool_or("asks").alias("asks"), F.sum("w").alias("w")), radius_m)
+    found = shuffled(places.where("asks").withColumn("e", F.col("apart").cast("string")), every.withColumnRenamed("g", "e"), ["e", "la", "lo"], "left")
+    if both:
+        by = F.concat_ws(":", "apart", "g")
+        own = _halved(places.where("g IS NOT NULL").select(by.alias("g"), "la", "lo", "asks", "w"), radius_m).toDF("s", "la", "lo", "same")
+        found = shuffled(found.withColumn("s", F.when(F.col("g").isNotNull(), by)), own, ["s", "la", "lo"], "left")
+    else:
+        found = found.withColumn("same", F.lit(0))
+    found = found.select(F.col("apart").alias("fa"), F.col("g").alias("fg"), F.col("la").alias("fla"), F.col("lo").alias("flo"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("same", F.lit(0)).cast("long").alias("same"))
+    on = (F.col("apart") == F.col("fa")) & F.col("g").eqNullSafe(F.col("fg")) & (F.col("la") == F.col("fla")) & (F.col("lo") == F.col("flo"))
+    return out.unionByName(shuffled(crowded.where("asks AND own").select("id", "apart", "g", "la", "lo"), found, on).select("id", "la", "lo", "n", "same"))
+
+
+def _between(points: DataFrame, others: DataFrame, radius_m: float, key: str, by: str | None) -> DataFrame:
+    """(key, n, same) of ``others`` within the radius of each of ``points`` with a coordinate: all, and those of an equal value of ``by``. A key with several points has one row."""
+
+    def side(df: DataFrame, id_: Column, asks: bool) -> DataFrame:
+        group = (F.lit(None) if by is None else F.col(by)).cast("string")
+        lat, lon = F.col("latitude").cast("double"), F.col("longitude").cast("double")
+        flags = F.lit(0).alias("apart"), lat.alias("la"), lon.alias("lo"), F.lit(asks).alias("asks"), F.lit(not asks).alias("counts")
+        return df.where(_located(lat, lon)).select(id_.alias("id"), group.alias("g"), *flags)
+
+    rows = side(points, F.col(key), True).unionByName(side(others, F.lit(None).cast(points.schema[key].dataType), False))
+    return _totals(rows, radius_m, by is not None).groupBy(F.col("id").alias(key)).agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+
+
+def counts_within(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, key: str = "record_id", by: str | None = None) -> DataFrame:
+    """(key, n): how many of ``others(latitude, longitude)`` lie within the radius of each of ``points(key, latitude, longitude)``; with ``by`` only those of an equal value (0 for a null one). Points without a coordinate have no row; a key with several points has one."""
+    return _between(points, others, radius_m, key, by).select(key, F.col("n" if by is None else "same").alias("n"))
+
+
+def _density(n: Column, radius_m: float) -> Column:
+    return F.least(F.coalesce(n, F.lit(0)) / (math.pi * (radius_m / 1000) ** 2) / 100, F.lit(1.0))
+
+
+def _share(n: Column, same: Column) -> Column:
+    return F.coalesce(F.when(n > 0, same / n), F.lit(0.0))
 
 
 def spatial_density(points: DataFrame, others: DataFrame, key: str = "record_id", radius_m: float = 1000.0) -> DataFrame:
     """(key, density): others within the radius by square kilometre of its circle, by a hundred, 1 at most; 0 for (0, 0) and none. Others on the equator or the first meridian do not count."""
     n = counts_within(points.where("NOT (latitude = 0 AND longitude = 0)"), others.where("latitude <> 0 AND longitude <> 0"), radius_m, key)
-    area = math.pi * (radius_m / 1000) ** 2
-    return shuffled(points.select(key).distinct(), n, key, "left").select(key, F.least(F.coalesce("n", F.lit(0)) / area / 100, F.lit(1.0)).alias("density"))
+    return shuffled(points.select(key).distinct(), n, key, "left").select(key, _density(F.col("n"), radius_m).alias("density"))
 
 
 def neighbour_category_share(points: DataFrame, others: DataFrame, radius_m: float = 1000.0, category: str = "category", key: str = "record_id") -> DataFrame:
     """(key, category_share): of the others within the radius the share with the point's category; 0 where there are none or the point has none."""
-    every = counts_within(points, others, radius_m, key)
-    own = counts_within(points.where(F.coalesce(category, F.lit("")) != ""), others, radius_m, key, category).withColumnRenamed("n", "same")
-    share = F.when(F.col("n") > 0, F.coalesce("same", F.lit(0)) / F.col("n")).otherwise(0.0)
-    return shuffled(shuffled(points.select(key).distinct(), every, key, "left"), own, key, "left").select(key, F.coalesce(share, F.lit(0.0)).alias("category_share"))
+    named = points.withColumn(category, F.nullif(F.col(category), F.lit("")))
+    both = _between(named, others, radius_m, key, category)
+    return shuffled(points.select(key).distinct(), both, key, "left").select(key, _share(F.col("n"), F.col("same")).alias("category_share"))
+
+
+def density_and_share(reports: DataFrame, key: str = "record_id", radius_m: float = 1000.0, category: str = "category", apart: Column | None = None) -> DataFrame:
+    """(key, density, category_share) for every row of ``reports(key, latitude, longitude, category)`` among all of them: ``spatial_density`` and ``neighbour_category_share`` in one, without a join and without those on the equator or the first meridian as others.
+
+    Rows of different ``apart`` (a whole number) are never near each other. A row without a place has 0 for both.
+    """
+    lat, lon = F.col("latitude").cast("double"), F.col("longitude").cast("double")
+    kind = F.col(category).cast("string")
+    rows = reports.where(_located(lat, lon)).select(
+        F.col(key).alias("id"), F.nullif(kind, F.lit("")).alias("g"), (F.lit(0) if apart is None else F.coalesce(apart, F.lit(0))).cast("int").alias("apart"),
+        lat.alias("la"), lon.alias("lo"), F.lit(True).alias("asks"), ((lat != 0) & (lon != 0)).alias("counts"),
+    )
+    n = _totals(rows, radius_m, True)
+    density = F.when((F.col("la") == 0) & (F.col("lo") == 0), 0.0).otherwise(_density(F.col("n"), radius_m))
+    out = n.select(F.col("id").alias(key), density.alias("density"), _share(F.col("n"), F.col("same")).alias("category_share"))
+    return out.unionByName(reports.where(~_located(lat, lon)).select(key, F.lit(0.0).alias("density"), F.lit(0.0).alias("category_share")))
 
 
 def category_share(near: DataFrame, category: str = "category", other: str = "other_category", key: str = "record_id") -> DataFrame:
