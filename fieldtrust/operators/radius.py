@@ -20,8 +20,8 @@ from fieldtrust.operators import slices
 
 #: A cube is so many radii wide; the finest cells are so many halvings under the radius.
 SIDE, DEPTH = 128, 12
-#: Pairs of cells with so many pairs of places, at most, are compared; pairs of places and pairs of cells of one step.
-PAIRED, STEP, CELLS = 256, 1 << 18, 1 << 13
+#: Pairs of cells with so many pairs of places, at most, are compared; pairs of places and pairs of cells of one step; a cell with so many pairs to compare does so by a product of matrices.
+PAIRED, STEP, CELLS, DENSE = 1 << 16, 1 << 18, 1 << 13, 4096
 
 
 def chord(radius_m: float) -> float:
@@ -108,6 +108,16 @@ def counted(group: np.ndarray, cube: np.ndarray, la: np.ndarray, lo: np.ndarray,
     slack, blur = 1e-6 + 1e-14 / c, 1e-9 + 1e-14 / c
 
     def compare(begin: np.ndarray, end: np.ndarray, other: np.ndarray, until: np.ndarray) -> None:
+        o = np.argsort(begin, kind="stable")
+        begin, end, other, until = begin[o], end[o], other[o], until[o]
+        first = _changes(begin, end)
+        held = np.add.reduceat(until - other, first) if len(first) else first
+        dense = (end[first] - begin[first]) * held >= DENSE
+        last = np.append(first[1:], len(begin))
+        for f, l in zip(first[dense].tolist(), last[dense].tolist(), strict=True):
+            block(int(begin[f]), int(end[f]), slices.ragged(other[f:l], until[f:l] - other[f:l]))
+        rest = np.repeat(~dense, last - first)
+        begin, end, other, until = begin[rest], end[rest], other[rest], until[rest]
         size = end - begin
         a, b, many = slices.ragged(begin, size), np.repeat(other, size), np.repeat(until - other, size)
         mine = asked[a]
@@ -123,6 +133,22 @@ def counted(group: np.ndarray, cube: np.ndarray, la: np.ndarray, lo: np.ndarray,
             near[rim] = metres(la[i[rim]], lo[i[rim]], la[j[rim]], lo[j[rim]]) <= radius_m
             np.add.at(n, i[near], w[j[near]])
 
+    def block(begin: int, end: int, j: np.ndarray) -> None:
+        """A cell against all places of its near cells, as a product of matrices."""
+        i, j = begin + np.flatnonzero(asked[begin:end]), j[w[j] > 0]
+        if not len(i) or not len(j):
+            return
+        x, y, weights = u[i] - u[begin], u[j] - u[begin], w[j]  # from a place nearby, so that nothing is lost to the globe's size
+        xx, yy, one = (x**2).sum(axis=1), (y**2).sum(axis=1), bool((weights == 1).all())
+        for s in range(0, len(i), max(1, STEP // len(j))):
+            e = s + max(1, STEP // len(j))
+            far = xx[s:e, None] + yy - 2 * (x[s:e] @ y.T)
+            near = far <= c * c * (1 - blur)
+            n[i[s:e]] += np.count_nonzero(near, axis=1) if one else near @ weights
+            p, q = np.nonzero(~near & (far <= c * c * (1 + blur)))
+            close = metres(la[i[s + p]], lo[i[s + p]], la[j[q]], lo[j[q]]) <= radius_m
+            np.add.at(n, i[s + p[close]], weights[q[close]])
+
     begin, end, where, sent, askers = cells(0)
     run = (rank[begin] << (3 * bits)) | _interleaved(where)
     from_ = np.flatnonzero(askers)

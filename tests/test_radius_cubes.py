@@ -51,10 +51,11 @@ def test_both_numbers_equal_brute_force(spark, monkeypatch, heavy, side):
         assert abs(share[a[0]] - (sum(bool(a[3]) and b[3] == a[3] for b in near) / len(near) if near else 0.0)) < 1e-12
 
 
-@pytest.mark.parametrize("paired", [0, 8, 256])
+@pytest.mark.parametrize("paired, dense", [(0, 1 << 12), (8, 1), (1 << 16, 1), (1 << 16, 1 << 12)])
 @pytest.mark.parametrize("metres, spread", [(1000.0, 0.02), (30.0, 0.001), (30_000.0, 1.0)])
-def test_cells_are_halved_as_far_as_need_be(monkeypatch, paired, metres, spread):
+def test_cells_are_halved_as_far_as_need_be(monkeypatch, paired, dense, metres, spread):
     monkeypatch.setattr(radius, "PAIRED", paired)
+    monkeypatch.setattr(radius, "DENSE", dense)
     monkeypatch.setattr(radius, "STEP", 64)
     monkeypatch.setattr(radius, "CELLS", 16)
     rng = np.random.default_rng(5)
